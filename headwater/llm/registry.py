@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, simhash
+from . import decontaminate, mixing, quality, simhash, training_order
 
-_MODULES = (mixing, simhash, quality, decontaminate)
+_MODULES = (training_order, mixing, simhash, quality, decontaminate)
 
 
 def queries() -> dict:
