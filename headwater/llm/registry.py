@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, simhash, training_order
+from . import decontaminate, mixing, quality, secrets, simhash, training_order
 
-_MODULES = (training_order, mixing, simhash, quality, decontaminate)
+_MODULES = (secrets, training_order, mixing, simhash, quality, decontaminate)
 
 
 def queries() -> dict:
