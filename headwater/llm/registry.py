@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality, secrets, simhash, training_order
+from . import chat, decontaminate, mixing, quality, secrets, simhash, training_order, url_filter
 
-_MODULES = (secrets, training_order, mixing, simhash, quality, decontaminate)
+_MODULES = (secrets, training_order, mixing, chat, simhash, quality, url_filter, decontaminate)
 
 
 def queries() -> dict:
