@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, mixing, quality, secrets, simhash, suffix_dedup, training_order, url_filter
+from . import chat, decontaminate, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, training_order, url_filter
 
-_MODULES = (secrets, training_order, mixing, chat, simhash, quality, url_filter, decontaminate, suffix_dedup)
+_MODULES = (secrets, training_order, mixing, line_dedup, chat, simhash, quality, url_filter, decontaminate, suffix_dedup)
 
 
 def queries() -> dict:
