@@ -1 +1,180 @@
-"""Queries."""
+"""Rank statistics, detection metrics, resampling, cost models and factored sketches."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import statistics as T
+from ..operators import attribution as A
+from ..operators import sketch
+from ..session import table
+from ._register import query
+from .attribution_queries import grads, r6, tests
+
+SC = "g AS (SELECT vec_id AS s, label, embedding::DOUBLE[] AS v FROM embeddings), sc AS (SELECT q.s AS query_id, g.s AS s, list_dot_product(g.v, q.v) AS score FROM g, g q WHERE q.s < 5)"
+_MASK = "((s*7919 + subset*104729 + s*subset*31) % 1000003) % 10 < 7"
+
+
+@query(f"""WITH {SC}, m AS (SELECT query_id, subset, sum(score) AS pred, sum(score + ((s*48271 + subset) % 1000) / 2000.0) AS margin FROM sc, unnest(range(0, 40)) t(subset) WHERE {_MASK} GROUP BY ALL),
+r AS (SELECT query_id, rank() OVER (PARTITION BY query_id ORDER BY round(pred, 9)) + (count(*) OVER (PARTITION BY query_id, round(pred, 9)) - 1)/2.0 AS a, rank() OVER (PARTITION BY query_id ORDER BY round(margin, 9)) + (count(*) OVER (PARTITION BY query_id, round(margin, 9)) - 1)/2.0 AS b FROM m)
+SELECT query_id, round(corr(a, b), 6) AS rho FROM r GROUP BY query_id""")
+def lds_spearman(spark, sf_dir):
+    """Linear datamodelling score: predicted against (here, derived) margins over forty subsets, by rank."""
+    g = grads(spark, sf_dir)
+    s, k = F.col("sample_index"), F.col("subset")
+    sc = A.dot_scores(g, tests(g)).withColumn("subset", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(39).cast("long"))))
+    kept = sc.filter(F.pmod(s * 7919 + k * 104729 + s * k * 31, F.lit(1000003)) % 10 < 7)
+    m = kept.groupBy("query_id", "subset").agg(F.round(F.sum("score"), 9).alias("pred"), F.round(F.sum(F.col("score") + ((s * 48271 + k) % 1000) / 2000.0), 9).alias("margin"))
+    return T.spearman(m, "pred", "margin", ["query_id"]).select("query_id", r6("rho"))
+
+
+@query("""WITH n AS (SELECT s_nationkey AS k, round(avg(s_acctbal), 4) AS x, count(*) AS y FROM supplier GROUP BY 1)
+SELECT round(sum(sign(a.x-b.x)*sign(a.y-b.y)) / sqrt(sum(abs(sign(a.x-b.x))) * sum(abs(sign(a.y-b.y)))), 6) AS tau FROM n a JOIN n b ON a.k < b.k""")
+def kendall_agreement(spark, sf_dir):
+    n = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.avg("s_acctbal"), 4).alias("x"), F.count("*").alias("y"))
+    return T.kendall(n, "x", "y", [], "k").select(r6("tau"))
+
+
+_DET = "d AS (SELECT doc_id, toxic, source, (n_chars % 50)::BIGINT AS score FROM labels JOIN documents USING (doc_id))"
+
+
+def _detection(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), "doc_id")
+    return d.select("doc_id", "toxic", "source", (F.col("n_chars") % 50).alias("score"), F.lit(1).alias("all"))
+
+
+@query(f"WITH {_DET}, r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1)/2.0 AS r FROM d) SELECT sum(toxic)::BIGINT AS n_pos, count(*) - sum(toxic)::BIGINT AS n_neg, round((sum(r) FILTER (toxic = 1) - sum(toxic)*(sum(toxic)+1)/2.0) / (sum(toxic)*(count(*)-sum(toxic))), 6) AS auc FROM r")
+def roc_auc(spark, sf_dir):
+    return T.roc_auc(_detection(spark, sf_dir), "score", "toxic", []).select("n_pos", "n_neg", r6("auc"))
+
+
+@query(f"WITH {_DET}, t AS (SELECT *, row_number() OVER (ORDER BY score DESC, doc_id) AS k FROM d) SELECT round(avg(toxic), 6) AS precision_at_k FROM t WHERE k <= 50")
+def precision_at_k(spark, sf_dir):
+    return T.precision_at_k(_detection(spark, sf_dir), "score", "toxic", "doc_id", [], 50).select(r6("precision_at_k"))
+
+
+@query(f"WITH {_DET}, r AS (SELECT *, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1)/2.0 AS r FROM d) SELECT round(sum(r) FILTER (toxic = 1) - sum(toxic)*(sum(toxic)+1)/2.0, 4) AS u FROM r")
+def mann_whitney(spark, sf_dir):
+    return T.mann_whitney(_detection(spark, sf_dir), "score", "toxic", []).select(F.round("u", 4).alias("u"))
+
+
+_DIFF = "df AS (SELECT n_nationkey AS unit, round(avg(c_acctbal) - avg(s_acctbal), 6) / 1000.0 AS d FROM nation JOIN customer ON c_nationkey = n_nationkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1)"
+
+
+def _diffs(spark, sf_dir):
+    c, s = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    j = c.join(s, c.c_nationkey == s.s_nationkey).groupBy(F.col("c_nationkey").alias("unit"))
+    return j.agg((F.round(F.avg("c_acctbal") - F.avg("s_acctbal"), 6) / 1000.0).alias("d"))
+
+
+@query(f"WITH {_DIFF} SELECT count(*) AS n, round(avg(d), 6) AS mean_diff, round(avg(d) / (stddev_samp(d) / sqrt(count(*))), 6) AS t, count(*) FILTER (d > 0) AS wins FROM df")
+def paired_t(spark, sf_dir):
+    return T.paired_t(_diffs(spark, sf_dir), F.col("d"), []).select("n", r6("mean_diff"), r6("t"), "wins")
+
+
+@query(f"WITH {_DIFF}, r AS (SELECT d, rank() OVER (ORDER BY abs(d)) + (count(*) OVER (PARTITION BY abs(d)) - 1)/2.0 AS r FROM df WHERE d <> 0) SELECT coalesce(sum(r) FILTER (d > 0), 0.0)::DOUBLE AS w_plus, coalesce(sum(r) FILTER (d < 0), 0.0)::DOUBLE AS w_minus FROM r")
+def wilcoxon_w(spark, sf_dir):
+    return T.wilcoxon(_diffs(spark, sf_dir), F.col("d"), [])
+
+
+@query(f"""WITH {_DIFF}, u AS (SELECT row_number() OVER (ORDER BY unit) - 1 AS i, d FROM df), n AS (SELECT count(*) AS n, avg(d) AS md FROM u),
+b AS (SELECT b, avg(u.d) AS m FROM unnest(range(0, 500)) t(b), n, unnest(range(0, n.n)) x(p) JOIN u ON u.i = ((((b*7919+31)*(p*104729+7) + b*b*97 + p*31) % 2147483647) * 48271 % 2147483647) % n.n GROUP BY b)
+SELECT round(max(md), 6) AS mean_diff, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_above_zero FROM b, n""")
+def bootstrap_ci(spark, sf_dir):
+    out = T.bootstrap_mean(_diffs(spark, sf_dir), "d", 500)
+    return out.select(r6("mean_diff"), r6("low"), r6("high"), r6("share_above_zero"))
+
+
+@query("SELECT round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3, event_type FROM events GROUP BY event_type")
+def overhead_quartiles(spark, sf_dir):
+    q = lambda p, n: r6(F.percentile("value", F.lit(p)), n)
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(q(0.25, "q1"), q(0.5, "q2"), q(0.75, "q3"))
+
+
+@query("SELECT n::BIGINT AS n, k::BIGINT AS k, n::BIGINT*k*4 AS bytes FROM unnest([1000, 100000, 1000000]) a(n), unnest([64, 512, 4096]) b(k)")
+def memory_scaling(spark, sf_dir):
+    n = spark.createDataFrame([(1000,), (100000,), (1000000,)], "n long")
+    return n.join(spark.createDataFrame([(64,), (512,), (4096,)], "k long")).select("n", "k", (F.col("n") * F.col("k") * 4).alias("bytes"))
+
+
+@query("WITH v AS (SELECT user_id % 10 AS u, count(*) AS n, avg(value) AS m FROM events GROUP BY 1) SELECT u AS seed, CASE WHEN m > 60 THEN 'ABOVE' WHEN m < 40 THEN 'BELOW' ELSE 'OVERLAP' END AS verdict FROM v")
+def seed_verdicts(spark, sf_dir):
+    v = table(spark, sf_dir, "events").groupBy((F.col("user_id") % 10).alias("seed")).agg(F.avg("value").alias("m"))
+    return v.select("seed", F.when(F.col("m") > 60, "ABOVE").when(F.col("m") < 40, "BELOW").otherwise("OVERLAP").alias("verdict"))
+
+
+_TIMES = "t AS (SELECT l_linenumber AS f, (l_orderkey % 1000)::DOUBLE AS x, 2.5 + 0.01*(l_orderkey % 1000) + (l_partkey % 7)/100.0 AS y FROM lineitem)"
+
+
+@query(f"WITH {_TIMES} SELECT f AS plan, round(regr_intercept(y, x), 6) AS a, round(regr_slope(y, x), 6) AS b, round(sqrt(avg(power(y - 2.5 - 0.01*x, 2))), 6) AS rmse FROM t GROUP BY f")
+def ols_cost_model(spark, sf_dir):
+    x, y = (F.col("l_orderkey") % 1000).cast("double"), 2.5 + 0.01 * (F.col("l_orderkey") % 1000) + (F.col("l_partkey") % 7) / 100.0
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("plan"), x.alias("x"), y.alias("y"))
+    return t.groupBy("plan").agg(r6(F.regr_intercept("y", "x"), "a"), r6(F.regr_slope("y", "x"), "b"), r6(F.sqrt(F.avg(F.pow(F.col("y") - 2.5 - 0.01 * F.col("x"), F.lit(2)))), "rmse"))
+
+
+_CROSS = [(1000, 1.2, 2.0), (10000, 12.0, 13.0), (100000, 128.0, 92.0), (500000, 508.0, 545.0), (1000000, 1104.0, 1200.0)]
+
+
+@query(f"""WITH t AS (SELECT * FROM (VALUES {", ".join(map(str, _CROSS))}) v(n, a, b)), w AS (SELECT n, a - b AS d, lead(n) OVER (ORDER BY n) AS n2, lead(a - b) OVER (ORDER BY n) AS d2 FROM t)
+SELECT round(power(10, log10(n) + (log10(n2) - log10(n)) * d / (d - d2)), 4) AS crossover FROM w WHERE d * d2 < 0""")
+def crossover(spark, sf_dir):
+    t = spark.createDataFrame(_CROSS, "n long, a double, b double").withColumn("d", F.col("a") - F.col("b"))
+    w = Window.orderBy("n")
+    t = t.withColumns({"n2": F.lead("n").over(w), "d2": F.lead("d").over(w)}).filter("d * d2 < 0")
+    at = F.log10("n") + (F.log10("n2") - F.log10("n")) * F.col("d") / (F.col("d") - F.col("d2"))
+    return t.select(F.round(F.pow(F.lit(10.0), at), 4).alias("crossover"))
+
+
+_FACT = """f AS (SELECT l_orderkey % 50 AS sample_index, CASE WHEN l_suppkey % 2 = 0 THEN 'h.0.attn' ELSE 'h.1.mlp' END AS module, [l_quantity/50.0, l_discount*10.0] AS a, [l_tax*10.0, l_extendedprice/100000.0, l_discount] AS g FROM lineitem)"""
+
+
+def factors(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(
+        (F.col("l_orderkey") % 50).alias("sample_index"), F.when(F.col("l_suppkey") % 2 == 0, "h.0.attn").otherwise("h.1.mlp").alias("module"),
+        F.array(F.col("l_quantity") / 50.0, F.col("l_discount") * 10.0).alias("a"), F.array(F.col("l_tax") * 10.0, F.col("l_extendedprice") / 100000.0, F.col("l_discount")).alias("g"),
+    )
+
+
+@query(f"WITH {_FACT} SELECT sample_index, module, o::INTEGER - 1 AS o, i::INTEGER - 1 AS i, round(sum(g[o]*a[i]), 5) AS value FROM f, unnest(range(1, 4)) x(o), unnest(range(1, 3)) y(i) GROUP BY ALL")
+def factored_sketch(spark, sf_dir):
+    return sketch.sample_gradients(factors(spark, sf_dir)).select("sample_index", "module", "o", "i", F.round("value", 5).alias("value"))
+
+
+@query(f"WITH {_FACT} SELECT module, 'g' AS side, i::INTEGER - 1 AS i, j::INTEGER - 1 AS j, round(sum(g[i]*g[j]), 4) AS value FROM f, unnest(range(1, 4)) x(i), unnest(range(1, 4)) y(j) GROUP BY ALL UNION ALL SELECT module, 'a', i::INTEGER - 1, j::INTEGER - 1, round(sum(a[i]*a[j]), 4) FROM f, unnest(range(1, 3)) x(i), unnest(range(1, 3)) y(j) GROUP BY ALL")
+def factor_covariances(spark, sf_dir):
+    return sketch.covariances(factors(spark, sf_dir)).select("module", "side", "i", "j", F.round("value", 4).alias("value"))
+
+
+@query()
+def kfac_whitened(spark, sf_dir):
+    """Inverse square roots of covariances: NumPy checks them in the tests."""
+    f = factors(spark, sf_dir)
+    return sketch.whiten(sketch.sample_gradients(f), sketch.covariances(f)).select("sample_index", "module", "o", "i", r6("value"))
+
+
+_NAMES = [f"model.h.{i}.{k}" for i in range(6) for k in ("attn.q_lora", "mlp.up_lora", "norm")] + ["head_lora"]
+
+
+@query(f"WITH m AS (SELECT unnest({_NAMES}) AS name), f AS (SELECT name, nullif(regexp_extract(name, '(?:^|\\.)(?:h|layers|blocks)\\.(\\d+)\\.', 1), '')::BIGINT AS block FROM m WHERE contains(name, 'lora')) SELECT name, block FROM f WHERE block IS NULL OR block IN (SELECT DISTINCT block FROM f WHERE block IS NOT NULL ORDER BY block DESC LIMIT 2)")
+def module_select(spark, sf_dir):
+    return sketch.select_modules(spark.createDataFrame([(n,) for n in _NAMES], "name string"), ["lora"], 2).select("name", "block")
+
+
+@query(f"WITH {_FACT} SELECT m.name AS module, count(DISTINCT sample_index) AS n FROM (SELECT unnest(['h.0.attn', 'h.1.mlp', 'h.2.dead']) AS name) m LEFT JOIN f ON f.module = m.name GROUP BY 1")
+def hook_counts(spark, sf_dir):
+    return sketch.hook_counts(spark.createDataFrame([("h.0.attn",), ("h.1.mlp",), ("h.2.dead",)], "name string"), factors(spark, sf_dir))
+
+
+@query()
+def lr_train(spark, sf_dir):
+    """Logistic regression of a class against the rest with the ML library: held-out accuracy by hash split."""
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.functions import array_to_vector
+
+    g = grads(spark, sf_dir).select("sample_index", array_to_vector("vec").alias("features"), (F.col("source_id") == "s3").cast("double").alias("label"))
+    train = F.pmod(F.col("sample_index") * 48271, F.lit(100)) < 80
+    model = LogisticRegression(maxIter=50, regParam=0.01).fit(g.filter(train))
+    return model.transform(g.filter(~train)).agg(F.count("*").alias("n"), r6(F.avg((F.col("prediction") == F.col("label")).cast("double")), "accuracy"))

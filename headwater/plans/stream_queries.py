@@ -1 +1,49 @@
-"""Queries."""
+"""The count window over ``events`` (user as source, event number as sample index)."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import table
+from ..streaming import window
+from ._register import query
+
+SIZE = 5
+_own: list[str] = []
+
+
+def entries(df: DataFrame) -> DataFrame:
+    return df.select(F.concat(F.lit("u"), F.col("user_id") % 50).alias("source_id"), F.col("event_id").alias("sample_index"), "value")
+
+
+_SQL = "SELECT source_id, sample_index, value FROM (SELECT 'u' || (user_id % 50) AS source_id, event_id AS sample_index, value, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id DESC) AS k FROM events) WHERE k <= 5"
+
+
+@query(_SQL)
+def count_window(spark, sf_dir):
+    return window.batch_window(entries(table(spark, sf_dir, "events")), SIZE)
+
+
+@query(_SQL)
+def stream_window(spark, sf_dir):
+    """The same by a stream that reads the events in out-of-order batches and keeps state."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        _own.append(tempfile.mkdtemp(prefix="headwater-"))
+        base = _own[-1]
+    work = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    e = table(spark, sf_dir, "events")
+    e.select("event_id", "user_id", "value").repartition(4, F.col("event_id") % 4).write.parquet(f"{work}/in")
+    stream = spark.readStream.schema("event_id long, user_id long, value double").option("maxFilesPerTrigger", 2).parquet(f"{work}/in")
+    window.run_to_table(window.streaming_window(entries(stream), SIZE), f"{work}/out", f"{work}/state").awaitTermination()
+    return window.latest_windows(spark, f"{work}/out")
+
+
+@query("SELECT source_id, count(*) AS seen, least(count(*), 5) AS held FROM (SELECT 'u' || (user_id % 50) AS source_id FROM events) GROUP BY 1")
+def stream_window_stats(spark, sf_dir):
+    e = entries(table(spark, sf_dir, "events"))
+    return e.groupBy("source_id").agg(F.count("*").alias("seen"), F.least(F.count("*"), F.lit(SIZE).cast("long")).alias("held"))
