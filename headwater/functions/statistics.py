@@ -7,6 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def correlation(x: str, y: str) -> Column:
+    """Pearson's correlation; null where a side is constant (the built-in one divides by zero there)."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def average_rank(value: str, by: list[str]) -> Column:
     """Ranks from 1 with ties averaged."""
     order = Window.partitionBy(*by).orderBy(value)
@@ -17,8 +22,7 @@ def average_rank(value: str, by: list[str]) -> Column:
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by..., rho): correlation of average ranks; undefined where a side is constant."""
     ranked = df.select(*by, average_rank(x, by).alias("_rx"), average_rank(y, by).alias("_ry"))
-    spread = (F.stddev_pop("_rx") > 0) & (F.stddev_pop("_ry") > 0)
-    return ranked.groupBy(*by).agg(F.when(spread, F.corr("_rx", "_ry")).alias("rho"))
+    return ranked.groupBy(*by).agg(correlation("_rx", "_ry").alias("rho"))
 
 
 def kendall(df: DataFrame, x: str, y: str, by: list[str], item: str) -> DataFrame:

@@ -192,3 +192,25 @@ def source_stratified(scores: DataFrame) -> DataFrame:
     unit = lambda c: F.when(F.col("_p") > TINY, F.col(c) / F.col("_p")).otherwise(F.col(c))
     order = Window.partitionBy("query_id").orderBy(F.round(F.abs("mean"), 9).desc(), "source")
     return per.withColumns({"norm_mean": unit("mean"), "norm_total": unit("total"), "rank": F.row_number().over(order)}).drop("_p")
+
+
+def source_means(gradients: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
+    """(query_id, source, n, mean): the mean score of each source on every query.
+
+    A mean of inner products is the inner product with the mean: each batch adds its vectors by source, and the
+    queries meet one vector for each source instead of all samples.
+    """
+
+    def partial(batches):
+        for pdf in batches:
+            if len(pdf):
+                code, names = pd.factorize(pdf.source_id.fillna("unknown").replace("", "unknown"))
+                x = np.stack([np.asarray(v, np.float64) for v in pdf.vec])
+                member = np.zeros((len(names), len(x)))
+                member[code, np.arange(len(x))] = 1.0
+                yield pd.DataFrame({"source": names, "n": np.bincount(code), "vec": list(member @ x)})
+
+    parts = gradients.select("source_id", "vec").mapInPandas(partial, "source string, n long, vec array<double>")
+    sums = parts.groupBy("source").agg(F.sum("n").alias("n"), V.vector_sum(F.col("vec"), dim).alias("total"))
+    q = queries.select("query_id", F.col("vec").alias("_q"))
+    return sums.join(_small(q)).select("query_id", "source", "n", (V.dot(F.col("total"), F.col("_q")) / F.col("n")).alias("mean"))

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..functions.statistics import correlation
 from .attribution import damped
 
 
@@ -144,7 +145,7 @@ def precision_at_1(predicted: DataFrame, truth: DataFrame) -> DataFrame:
     both = truth.select("query_id", F.col("source").alias("true")).join(predicted, "query_id")
     hit = F.when(F.col("true") == F.col("source"), 1.0).otherwise(0.0)
     per = both.groupBy("true").agg(F.avg(hit).alias("p1"), F.count("*").alias("n"), F.sum(hit).alias("hits"))
-    bias = F.when((F.stddev_pop("p1") > 0) & (F.stddev_pop("n") > 0), F.corr("n", "p1")).otherwise(0.0)
+    bias = F.coalesce(correlation("n", "p1"), F.lit(0.0))
     return per.agg((F.sum("hits") / F.sum("n")).alias("micro"), F.avg("p1").alias("macro"), bias.alias("size_bias"))
 
 

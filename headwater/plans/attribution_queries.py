@@ -174,6 +174,12 @@ def source_stratified(spark, sf_dir):
     return s.select("query_id", "source", "n", *(r6(c) for c in ("total", "mean", "std", "norm_mean", "norm_total")), "rank")
 
 
+@query(f"WITH {RAW} SELECT query_id, source_id AS source, count(*) AS n, round(avg(score), 6) + 0.0 AS mean FROM raw GROUP BY ALL")
+def source_means(spark, sf_dir):
+    g = grads(spark, sf_dir)
+    return A.source_means(g, tests(g), DIM).select("query_id", "source", "n", r6("mean"))
+
+
 @query(f"WITH r AS ({_STRAT}) SELECT query_id, string_agg(source, '>' ORDER BY rank) AS ranking FROM r GROUP BY query_id")
 def source_ranking(spark, sf_dir):
     s = source_stratified(spark, sf_dir).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", "source"))).alias("r"))
