@@ -68,6 +68,19 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
+_NO_ID = -(2**63)
+
+
+def id_in(column: str = "doc_id") -> Column:
+    """An id as it goes to Python tasks: pandas would turn a column with nulls into floats, so the least long
+    stands for null there."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(_NO_ID)).alias(column)
+
+
+def id_out(column: str = "doc_id") -> Column:
+    return F.when(F.col(column) != _NO_ID, F.col(column)).alias(column)
+
+
 def as_documents(df: DataFrame) -> DataFrame:
     """The five columns of ``documents`` with their types."""
     return df.select(

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents, table
+from .common import as_documents, id_in, id_out, table
 
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 _BLANK = bytes.maketrans(_PUNCT, b" " * len(_PUNCT))
@@ -103,12 +103,12 @@ def _blocks(benchmark: DataFrame, block_chars: int):
 def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = 5, coverage: float = 0.5, block_chars: int = 8_000_000) -> DataFrame:
     """(doc_id, item_id, n_tiles, covered, item_words, coverage) for each document and item that it leaks."""
     schema = "doc_id long, item_id long, n_tiles long, covered long, item_words long, coverage double"
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(id_in(), F.col("text").cast("string"))
     out = None
     for block in _blocks(benchmark, block_chars):
         df = docs.mapInPandas(_tiler(block, min_tile, coverage), schema)
         out = df if out is None else out.union(df)
-    return out
+    return out.withColumn("doc_id", id_out())
 
 
 def _tiler(block: list, min_tile: int, coverage: float):
@@ -121,7 +121,7 @@ def _tiler(block: list, min_tile: int, coverage: float):
         seeds, owner = seeds[order], owner[order]
         for pdf in batches:
             found = []
-            for doc_id, text in zip(pdf.doc_id.astype("Int64"), pdf.text, strict=True):
+            for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
                 c = codes(tokens(text))
                 w = windows(c, min_tile)
                 hits = w[np.searchsorted(seeds, w) < np.searchsorted(seeds, w, "right")] if len(w) and len(seeds) else w[:0]

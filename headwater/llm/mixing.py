@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, as_documents, materialise, n_words, shuffle_partitions, table
+from .common import as_documents, materialise, n_words, shuffle_partitions, table
 
 WEIGHTS = (5, 2, 1)
 
@@ -87,6 +87,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
 
     Counts go by document id: equal rows of one id share their taken words evenly by rank.
     """
+    docs = as_documents(docs)
     taken = mix(docs, **how).select("doc_id", "source", "size", "taken")
     # rows of one id, source and size are interchangeable: number them on both sides
     rank = Window.partitionBy("doc_id", "source", "size").orderBy("taken")

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import SPACE, WORD, let, materialise, table, words
+from .common import WORD, let, materialise, table, words
 
 SYMBOLS = r"[#*$%&|<>]"
 

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents, materialise, table
+from .common import as_documents, id_in, id_out, materialise, table
 from .components import components
 
 RADIUS = 4
@@ -66,9 +66,9 @@ def with_fingerprint(docs: DataFrame, n: int = 4) -> DataFrame:
     def run(batches):
         for pdf in batches:
             fp = np.array([fingerprint(t, n) for t in pdf.text], np.uint64).astype(np.int64)
-            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "fp": fp})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "fp": fp})
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long")
+    return docs.select(id_in(), F.col("text").cast("string")).mapInPandas(run, "doc_id long, fp long").select(id_out(), "fp")
 
 
 def pivots(n: int = N_PIVOTS) -> list[int]:
@@ -182,10 +182,10 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = 45) -> DataF
     def run(batches):
         for pdf in batches:
             made = [wide_fingerprint(t, shingle) for t in pdf.text]
-            yield pd.DataFrame({"doc_id": pdf.doc_id.astype("Int64"), "same": [m[0] for m in made], "f": [m[1] for m in made], "keys": [m[2] for m in made]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "same": [m[0] for m in made], "f": [m[1] for m in made], "keys": [m[2] for m in made]})
 
-    prints = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInPandas(run, "doc_id long, same long, f array<long>, keys array<long>")
-    prints = materialise(prints, "wide-simhash")
+    prints = docs.select(id_in(), F.col("text").cast("string")).mapInPandas(run, "doc_id long, same long, f array<long>, keys array<long>")
+    prints = materialise(prints.select(id_out(), "same", "f", "keys"), "wide-simhash")
     least = materialise(prints.groupBy("same").agg(F.min("doc_id").alias("least")), "classes")
     reps = prints.join(least.withColumnRenamed("same", "_same"), (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("same", "f", "keys")
     refs = [[_signed(xxhash.xxh64_intdigest(bytes([i, k]), 7)) for k in range(LANES)] for i in range(N_PIVOTS)]
