@@ -109,7 +109,8 @@ def findings(ledger: DataFrame, rules=RULES) -> DataFrame:
 def by_path(versions: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
     """(path, version, blob, spans) for each version of each path; no finding: an empty array."""
     rows = addressed(versions).select("path", "version", "blob")
-    found = findings(ledger, rules).withColumnRenamed("blob", "_blob")
+    # a written table: both sides of the join are then plain exchanges, which Spark splits where a blob is hot
+    found = materialise(findings(ledger, rules), "findings").withColumnRenamed("blob", "_blob")
     return rows.join(found, F.col("blob") == F.col("_blob"), "left").drop("_blob").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 

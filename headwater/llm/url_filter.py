@@ -81,6 +81,7 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     decided = known.join(tainted, F.col("url") == F.col("_node"), "left")
     verdict = F.coalesce("action", F.when(F.col("tainted"), "block").otherwise("allow"))
     decided = decided.select(F.col("url").alias("_url"), "host", "path", "rule", verdict.alias("verdict"))
+    decided = materialise(decided, "decided")
     return pages.select("page_id", "url").join(decided, F.col("url").eqNullSafe(F.col("_url")), "left").drop("_url")
 
 
