@@ -97,3 +97,28 @@ def bootstrap_mean(df: DataFrame, value: str, replicates: int, seed: int = 0) ->
     draws = draws.withColumn("_i", pick(F.col("_b"), F.col("_p"), F.col("_n"), seed)).join(numbered, "_i")
     means = draws.groupBy("_b", "mean_diff").agg(F.avg("_v").alias("_m"))
     return means.groupBy("mean_diff").agg(F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"), F.avg(F.when(F.col("_m") > 0, 1.0).otherwise(0.0)).alias("share_above_zero"))
+
+
+def paired_bootstrap(df: DataFrame, diff: str, replicates: int, seed: int = 0) -> DataFrame:
+    """(mean_diff, low, high, share_above_zero, p): the interval and a two-sided p, twice the smaller tail."""
+    out = bootstrap_mean(df, diff, replicates, seed)
+    return out.withColumn("p", F.least(F.lit(1.0), 2.0 * F.least(F.col("share_above_zero"), 1.0 - F.col("share_above_zero"))))
+
+
+def two_way_bootstrap(df: DataFrame, value: str, replicates: int, seed: int = 0) -> DataFrame:
+    """(mean, low, high) with rows (say, subsets) and columns (tests) drawn independently.
+
+    ``df`` has (row, col, value) of a small, full grid; draws are lookups by number.
+    """
+    number = lambda c: df.select(c).distinct().select(c, (F.row_number().over(Window.orderBy(c)) - 1).cast("long").alias(f"_{c}"))
+    rows, cols = number("row"), number("col")
+    grid = df.join(rows, "row").join(cols, "col").select("_row", "_col", F.col(value).alias("_v"))
+    n_rows, n_cols = rows.count(), cols.count()
+    spark = df.sparkSession
+    draw = lambda n, name, s: spark.range(replicates).select(F.col("id").alias("_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_p")).select("_b", pick(F.col("_b"), F.col("_p"), F.lit(n), s).alias(name))
+    # how often each row and column is drawn weighs the grid: no product of draws is made
+    r = draw(n_rows, "_row", seed).groupBy("_b", "_row").agg(F.count("*").alias("_wr"))
+    c = draw(n_cols, "_col", seed + 1).groupBy("_b", "_col").agg(F.count("*").alias("_wc"))
+    drawn = r.join(grid, "_row").join(c, ["_b", "_col"])
+    means = drawn.groupBy("_b").agg((F.sum(F.col("_v") * F.col("_wr") * F.col("_wc")) / (n_rows * n_cols)).alias("_m"))
+    return means.agg(F.avg("_m").alias("mean"), F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"))

@@ -144,3 +144,9 @@ def assign_roles(df: DataFrame, key: str, is_target: Column, n_backdoor: int, n_
     distract = take(rest, 2, n_distractor, "distractor")
     rest = rest.join(distract, key, "left_anti")
     return back.unionByName(distract).unionByName(take(rest, 3, n_mislabel, "mislabel"))
+
+
+def stack(df: DataFrame, columns: list[str], name: str = "stacked") -> DataFrame:
+    """(..., pos, value): columns along a new axis."""
+    rest = [c for c in df.columns if c not in columns]
+    return df.select(*rest, F.posexplode(F.array(*columns)).alias("pos", name))

@@ -70,3 +70,35 @@ def latest(gradients: DataFrame) -> DataFrame:
     """The last entry of each sample."""
     order = Window.partitionBy("sample_index").orderBy(F.desc("entry_seq"))
     return gradients.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k")
+
+
+def last_layer_gradient(hidden: Column, p: Column, y: Column) -> Column:
+    """Gradient of a sigmoid output layer for one sample: error times hidden activations."""
+    return V.scale(hidden, p - y)
+
+
+def hidden_layer(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
+    """tanh(W x + b) with a small, fixed W."""
+    rows = F.array(*(F.array(*map(F.lit, r)) for r in weights))
+    b = F.array(*map(F.lit, bias))
+    return F.zip_with(F.transform(rows, lambda r: V.dot(r, x)), b, lambda z, c: F.tanh(z + c))
+
+
+def retrain_subsets(df: DataFrame, masks: DataFrame, dim: int, steps: int = 50, rate: float = 0.5) -> DataFrame:
+    """(subset, weights): logistic regression on the samples of each subset by full-batch descent.
+
+    ``masks`` is (subset, sample_index). All subsets step together: each step is one aggregation over the joined
+    table by subset, so neither a subset nor its samples meet in one task.
+    """
+    joined = masks.join(df.select("sample_index", "x", "y"), "sample_index")
+    subsets = [r.subset for r in masks.select("subset").distinct().orderBy("subset").collect()]
+    weights = {s: [0.0] * dim for s in subsets}
+    spark = df.sparkSession
+    for _ in range(steps):
+        w = F.broadcast(spark.createDataFrame(list(weights.items()), "subset long, w array<double>"))
+        error = V.sigmoid(V.dot(F.col("x"), F.col("w"))) - F.col("y")
+        g = joined.join(w, "subset").select("subset", V.scale(F.col("x"), error).alias("g"))
+        means = g.groupBy("subset").agg(V.vector_mean(F.col("g"), dim).alias("g")).collect()
+        for r in means:
+            weights[r.subset] = [a - rate * b for a, b in zip(weights[r.subset], r.g, strict=True)]
+    return spark.createDataFrame(list(weights.items()), "subset long, weights array<double>")

@@ -147,3 +147,13 @@ def compression_model(shapes: DataFrame) -> DataFrame:
     """(b, m, n, k, cell_edges, cell_bytes, descriptors, descriptor_bytes, ratio) of batched products b x (m,k)(k,n)."""
     cells, rows = F.col("b") * F.col("m") * F.col("n") * F.col("k"), F.col("b") * F.col("m")
     return shapes.select("b", "m", "n", "k", cells.alias("cell_edges"), (24 * cells).alias("cell_bytes"), rows.alias("descriptors"), (56 * rows).alias("descriptor_bytes"), (cells / rows).alias("ratio"))
+
+
+def gradient_ancestors(gradient_edges: DataFrame, node: int) -> DataFrame:
+    """Scored edges into a node."""
+    return gradient_edges.filter(F.col("target_node_id") == node)
+
+
+def gradient_descendants(gradient_edges: DataFrame, node: int) -> DataFrame:
+    """Scored edges out of a node."""
+    return gradient_edges.filter(F.col("source_node_id") == node)

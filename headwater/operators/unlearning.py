@@ -80,3 +80,18 @@ def retain(gradients: DataFrame, forget: DataFrame) -> DataFrame:
 
 def ranked(scored: DataFrame) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(Window.orderBy(F.round("score", 9).desc(), "sample_index")))
+
+
+def shadow_attack(rows: DataFrame) -> DataFrame:
+    """(n, quality): a classifier of members (member = 1) from loss and margin; 1 is chance, 0 a sure attack.
+
+    ``rows`` has (sample_index, loss, margin, member); it is fitted on even samples and judged on odd ones.
+    """
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import VectorAssembler
+
+    made = VectorAssembler(inputCols=["loss", "margin"], outputCol="features").transform(rows.withColumn("label", F.col("member").cast("double")))
+    model = LogisticRegression(maxIter=50, regParam=1e-3).fit(made.filter("sample_index % 2 = 0"))
+    hit = F.avg((F.col("prediction") == F.col("label")).cast("double"))
+    quality = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 2.0 * (1.0 - hit)))
+    return model.transform(made.filter("sample_index % 2 = 1")).agg(F.count("*").alias("n"), quality.alias("quality"))

@@ -285,3 +285,13 @@ def logistic_descent(spark, sf_dir):
     """Three full-batch steps; SQL has no loop, so the driver's weights are checked against NumPy in the tests."""
     w = G.gradient_descent(_features(spark, sf_dir), "x", "y", 3, 3, 0.5)
     return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(w)], "i int, weight double")
+
+
+@query(f"WITH {GRADS}, {projected_sql(8, 42)}, r AS (SELECT b.s AS query_id, a.s AS sample_index, a.src, list_dot_product(a.v, b.v) AS score FROM p a, p b WHERE b.s < 5), n AS (SELECT *, score / max(abs(score)) OVER (PARTITION BY query_id) AS ns FROM r) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(ns, 9), sample_index) AS rank, sample_index, src AS source_id, (SELECT node FROM g WHERE g.s = n.sample_index) AS source_node_id, round(ns, 6) + 0.0 AS score FROM n) WHERE rank <= 10")
+def engine_attribute(spark, sf_dir):
+    """A session over projected gradients: queries come in the input space."""
+    from ..operators.engine import AttributionEngine
+
+    g = grads(spark, sf_dir)
+    engine = AttributionEngine(A.project(g, 8, DIM), 8, input_dim=DIM)
+    return engine.attribute(tests(g), 10).select("query_id", "rank", "sample_index", "source_id", "source_node_id", r6("score"))

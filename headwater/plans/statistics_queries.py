@@ -178,3 +178,34 @@ def lr_train(spark, sf_dir):
     train = F.pmod(F.col("sample_index") * 48271, F.lit(100)) < 80
     model = LogisticRegression(maxIter=50, regParam=0.01).fit(g.filter(train))
     return model.transform(g.filter(~train)).agg(F.count("*").alias("n"), r6(F.avg((F.col("prediction") == F.col("label")).cast("double")), "accuracy"))
+
+
+def _draw(n: str, seed: int) -> str:
+    return f"((((b*7919+31)*(p*104729+7) + {seed * 65537} + b*b*97 + p*31) % 2147483647) * 48271 % 2147483647) % {n}"
+
+
+@query(f"""WITH {_DIFF}, u AS (SELECT row_number() OVER (ORDER BY unit) - 1 AS i, d FROM df), n AS (SELECT count(*) AS n FROM u),
+b AS (SELECT b, avg(u.d) AS m FROM unnest(range(0, 300)) t(b), n, unnest(range(0, n.n)) x(p) JOIN u ON u.i = {_draw("n.n", 3)} GROUP BY b), s AS (SELECT avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END) AS s FROM b)
+SELECT round(s, 6) AS share_above_zero, round(least(1.0, 2*least(s, 1-s)), 6) AS p FROM s""")
+def paired_bootstrap_p(spark, sf_dir):
+    return T.paired_bootstrap(_diffs(spark, sf_dir), "d", 300, seed=3).select(r6("share_above_zero"), r6("p"))
+
+
+@query(f"""WITH g AS (SELECT l_linenumber AS r, l_returnflag AS c, avg(l_quantity) AS v FROM lineitem GROUP BY ALL), ri AS (SELECT r, row_number() OVER (ORDER BY r) - 1 AS i FROM (SELECT DISTINCT r FROM g)), ci AS (SELECT c, row_number() OVER (ORDER BY c) - 1 AS j FROM (SELECT DISTINCT c FROM g)),
+n AS (SELECT (SELECT count(*) FROM ri) AS nr, (SELECT count(*) FROM ci) AS nc),
+dr AS (SELECT b, {_draw("nr", 0)} AS i FROM unnest(range(0, 200)) t(b), n, unnest(range(0, nr)) x(p)), dc AS (SELECT b, {_draw("nc", 1)} AS j FROM unnest(range(0, 200)) t(b), n, unnest(range(0, nc)) x(p)),
+m AS (SELECT dr.b, sum(v) / (max(nr)*max(nc)) AS m FROM dr JOIN dc USING (b) JOIN ri USING (i) JOIN ci USING (j) JOIN g ON g.r = ri.r AND g.c = ci.c, n GROUP BY dr.b)
+SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m""")
+def two_way_bootstrap(spark, sf_dir):
+    g = table(spark, sf_dir, "lineitem").groupBy(F.col("l_linenumber").alias("row"), F.col("l_returnflag").alias("col")).agg(F.avg("l_quantity").alias("v"))
+    return T.two_way_bootstrap(g, "v", 200).select(r6("mean"), r6("low"), r6("high"))
+
+
+@query()
+def shadow_mia(spark, sf_dir):
+    """A fitted classifier: rows only."""
+    from ..operators import unlearning
+
+    d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
+    x = (F.col("n_chars") % 97) / 97.0
+    return unlearning.shadow_attack(d.select(F.col("doc_id").alias("sample_index"), (x * F.col("quality")).alias("loss"), (x - 0.5).alias("margin"), F.col("quality").alias("member"))).select("n", r6("quality"))
