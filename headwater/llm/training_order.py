@@ -23,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, table
+from .common import id_in, id_out, materialise, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed values of the public byte-level vocabulary: how text is split before merging, and its free end id.
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
 ROUNDS = 6
+MAX_BROADCAST_PARTS = 1_000_000
 _encoders: dict = {}
 
 
@@ -79,14 +80,14 @@ def tokenise(docs: DataFrame, seq_len: int, vocabulary: str = VOCABULARY) -> Dat
         encode, part, first = _encoder(ranks.value).encode_ordinary, TaskContext.get().partitionId(), 0
         for pdf in batches:
             rows = []
-            for doc_id, text in zip(pdf.doc_id.astype("Int64"), pdf.text, strict=True):
+            for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
                 ids = np.array(encode(text) if text else [], np.uint16)
                 n = -(-(len(ids) + 1) // seq_len) if len(ids) else 0
                 rows.append((doc_id, part, first, n, ids.tobytes()))
                 first += n
             yield pd.DataFrame(rows, columns=["doc_id", "part", "first", "n_seq", "tokens"])
 
-    docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = docs.select(id_in(), F.col("text").cast("string"))
     return docs.mapInPandas(run, "doc_id long, part int, first long, n_seq int, tokens binary")
 
 
@@ -94,9 +95,10 @@ def training_order(docs: DataFrame, key: int = 0, seq_len: int = 512, per_shard:
     """(doc_id, seq_no, slot, shard, offset, n_tokens, tokens), each shard in one partition and in slot order."""
     made = materialise(tokenise(docs, seq_len, vocabulary), "tokens").filter("n_seq > 0")
     parts = made.groupBy("part").agg(F.sum("n_seq").alias("n"))
-    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    # a row for each part of the written table, hence never many
+    total, n_parts = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     base = parts.select(F.col("part").alias("_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
+    # a row for each task that wrote tokens; broadcast up to the bound, so that the tokens stay where they are
+    base = F.broadcast(base) if n_parts <= MAX_BROADCAST_PARTS else base
     numbered = made.join(base, F.col("part") == F.col("_part")).select("doc_id", (F.col("base") + F.col("first")).alias("at"), "n_seq", "tokens")
     stride = 2 * seq_len
 
@@ -109,13 +111,13 @@ def training_order(docs: DataFrame, key: int = 0, seq_len: int = 512, per_shard:
             padded = [t + end * (k * seq_len - len(t) // 2) for t, k in zip(pdf.tokens, n, strict=True)]
             length = np.repeat(np.fromiter(map(len, pdf.tokens), np.int64, len(pdf)) // 2 + 1, n) - seq_no * seq_len
             yield pd.DataFrame({
-                "doc_id": pdf.doc_id.astype("Int64").repeat(n).reset_index(drop=True), "seq_no": seq_no, "slot": slot,
+                "doc_id": np.repeat(pdf.doc_id.to_numpy(), n), "seq_no": seq_no, "slot": slot,
                 "n_tokens": np.minimum(length, seq_len), "tokens": [p[i : i + stride] for p in padded for i in range(0, len(p), stride)],
             })
 
     rows = numbered.mapInPandas(run, "doc_id long, seq_no long, slot long, n_tokens long, tokens binary")
     rows = rows.withColumns({"shard": F.floor(F.col("slot") / per_shard).cast("long"), "offset": F.col("slot") % per_shard * stride})
-    return rows.repartition("shard").sortWithinPartitions("slot").select("doc_id", "seq_no", "slot", "shard", "offset", "n_tokens", "tokens")
+    return rows.repartition("shard").sortWithinPartitions("slot").select(id_out(), "seq_no", "slot", "shard", "offset", "n_tokens", "tokens")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
