@@ -20,10 +20,9 @@ null ids are kept; an empty table gives an empty table; extra columns are not to
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -125,31 +124,29 @@ def _run_rows(records: list, buckets: int):
             lcps.append(k)
             tails.append(s[k:])
             prev = s
-        rows.append({
-            "bucket": bucket, "lcp": np.array(lcps, np.uint16).tobytes(), "rest": np.array([len(t) for t in tails], np.uint16).tobytes(),
-            "fwd": np.array([len(r[0]) for r in recs], np.uint16).tobytes(), "rids": np.array([r[2] for r in recs], np.int64).tobytes(),
-            "poss": np.array([r[3] for r in recs], np.int32).tobytes(), "settled": np.array([r[4] for r in recs], np.uint8).tobytes(), "tails": b"".join(tails),
-        })
+        n = len(recs)
+        columns = (
+            np.array([n], np.int64), np.array([r[2] for r in recs], np.int64), np.array([r[3] for r in recs], np.int32), np.array(lcps, np.uint16),
+            np.array([len(t) for t in tails], np.uint16), np.array([len(r[0]) for r in recs], np.uint16), np.array([r[4] for r in recs], np.uint8),
+        )
+        packed = b"".join([c.tobytes() for c in columns] + tails)
+        rows.append({"bucket": bucket, "run": zstandard.compress(packed, 3)})
     yield pd.DataFrame(rows)
 
 
-_RUN_SCHEMA = "bucket long, rid long, start long, stop long, lcp binary, rest binary, fwd binary, rids binary, poss binary, settled binary, tails binary"
+_RUN_SCHEMA = "bucket long, rid long, start long, stop long, run binary"
 
 
 def _runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
-    cols = [c.split()[0] for c in _RUN_SCHEMA.split(", ")]
-
     def run(batches):
         records: list = []
 
         def flush():
             for pdf in _run_rows(records, buckets):
                 if len(pdf):
-                    pdf = pdf.reindex(columns=cols)
-                    for c in ("rid", "start", "stop"):
-                        pdf[c] = pdf[c].astype("Int64")
-                    for c in cols[4:]:
-                        pdf[c] = pdf[c].astype(object).where(pdf[c].notna(), None)
+                    pdf = pdf.reindex(columns=["bucket", "rid", "start", "stop", "run"])
+                    pdf[["rid", "start", "stop"]] = pdf[["rid", "start", "stop"]].astype("Int64")
+                    pdf["run"] = pdf["run"].astype(object).where(pdf["run"].notna(), None)
                     yield pdf
             records.clear()
 
@@ -165,12 +162,16 @@ def _runs(docs: DataFrame, window: int, buckets: int) -> DataFrame:
     return docs.mapInPandas(run, _RUN_SCHEMA)
 
 
-def _decode(row):
-    lcp, rest, fwd = (np.frombuffer(row[c], np.uint16).tolist() for c in ("lcp", "rest", "fwd"))
-    rids, poss, settled = np.frombuffer(row["rids"], np.int64).tolist(), np.frombuffer(row["poss"], np.int32).tolist(), row["settled"]
-    tails, at, s = row["tails"], 0, b""
+def _decode(run: bytes):
+    data = zstandard.decompress(run)
+    n, at, out = int(np.frombuffer(data, np.int64, 1)[0]), 8, []
+    for kind in (np.int64, np.int32, np.uint16, np.uint16, np.uint16, np.uint8):
+        out.append(np.frombuffer(data, kind, n, at).tolist())
+        at += n * np.dtype(kind).itemsize
+    rids, poss, lcp, rest, fwd, settled = out
+    s = b""
     for i, k in enumerate(lcp):
-        s = s[:k] + tails[at : at + rest[i]]
+        s = s[:k] + data[at : at + rest[i]]
         at += rest[i]
         yield s, k, (fwd[i], rids[i], poss[i], settled[i])
 
@@ -255,7 +256,7 @@ def _group_spans(group: list, window: int) -> list[tuple[int, int, int]]:
 def _merged_spans(runs: DataFrame, window: int) -> DataFrame:
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         out, group, last = [], [], None
-        for s, k, (fwd, rid, pos, settled) in merge_runs([_decode(r) for r in pdf.to_dict("records")]):
+        for s, k, (fwd, rid, pos, settled) in merge_runs([_decode(r) for r in pdf.run]):
             if k < CONTEXT:
                 out += _group_spans(group, window) if len(group) > 1 or (group and group[0][3]) else []
                 group = []
