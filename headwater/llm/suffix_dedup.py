@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, shuffle_partitions, table
+from .common import id_in, id_out, materialise, shuffle_partitions, table
 
 WINDOW, CONTEXT = 200, 64
 _SLAB = 1 << 18
@@ -81,9 +81,10 @@ def _anchor_table(docs: DataFrame, window: int) -> DataFrame:
             made = [anchors((t or "").encode("utf-8", "surrogatepass"), window) for t in pdf.text]
             ids = np.arange(rid, rid + len(pdf))
             rid += len(pdf)
-            yield pd.DataFrame({"rid": ids, "doc_id": pdf.doc_id.astype("Int64"), "th": pdf.th, "pos": [m[0] for m in made], "keys": [m[1] for m in made]})
+            yield pd.DataFrame({"rid": ids, "doc_id": pdf.doc_id, "th": pdf.th, "pos": [m[0] for m in made], "keys": [m[1] for m in made]})
 
-    return docs.mapInPandas(run, "rid long, doc_id long, th long, pos array<int>, keys array<long>").filter(F.size("pos") > 0)
+    made = docs.select(id_in(), "text", "th").mapInPandas(run, "rid long, doc_id long, th long, pos array<int>, keys array<long>")
+    return made.filter(F.size("pos") > 0).withColumn("doc_id", id_out())
 
 
 def _lcp(a: bytes, b: bytes, k: int) -> int:
@@ -289,6 +290,8 @@ def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     found = materialise(_anchor_table(rows, window), "anchors")
     each = found.select("rid", F.explode(F.arrays_zip("pos", "keys")).alias("a")).select("rid", "a.pos", F.col("a.keys").alias("key"))
     repeated = each.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1").select("_key")
+    # a written table: both sides of the join are then plain exchanges, which Spark splits where a key is hot
+    repeated = materialise(repeated, "repeated-contexts")
     live = each.join(repeated, F.col("key") == F.col("_key")).groupBy("rid").agg(F.collect_list("pos").alias("pos"), F.collect_list("key").alias("keys"))
     one = found.groupBy("doc_id", "th").agg(F.min("rid").alias("rid")).select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), F.col("rid").alias("_rid"))
     live = live.join(one, F.col("rid") == F.col("_rid")).drop("_rid")
@@ -306,7 +309,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     def run(batches):
         for pdf in batches:
             rows = []
-            for doc_id, th, text, spans in zip(pdf.doc_id.astype("Int64"), pdf.th, pdf.text, pdf.spans, strict=True):
+            for doc_id, th, text, spans in zip(pdf.doc_id, pdf.th, pdf.text, pdf.spans, strict=True):
                 data, at, kept = text.encode("utf-8", "surrogatepass"), 0, []
                 runs = _union([(s["start"], s["stop"]) for s in spans])
                 for a, b in runs:
@@ -316,7 +319,8 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append((doc_id, th, sum(b - a for a, b in runs), len(runs), b"".join(kept)))
             yield pd.DataFrame(rows, columns=["doc_id", "th", "n_removed", "n_spans", "kept"])
 
-    return removed(docs, window).drop("rid").mapInPandas(run, "doc_id long, th long, n_removed long, n_spans long, kept binary")
+    found = removed(docs, window).select(id_in(), "th", "text", "spans")
+    return found.mapInPandas(run, "doc_id long, th long, n_removed long, n_spans long, kept binary").withColumn("doc_id", id_out())
 
 
 def op10_suffix_dedup(spark, sf_dir: str) -> DataFrame:
