@@ -18,6 +18,8 @@ others only duplicates; an empty table gives an empty table; extra columns are n
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -28,6 +30,7 @@ from pyspark.sql.window import Window
 from .common import WORD, as_documents, materialise, table
 
 EDITS, MIN_CHARS = 2, 20
+MAX_BROADCAST_IDS = 1_000_000  # eight megabytes
 
 
 def segments(n: int, edits: int) -> list[tuple[int, int]]:
@@ -56,37 +59,59 @@ def n_probes(edits: int) -> int:
     return len(probes(1000, edits))
 
 
+def _parities(line: str) -> int:
+    """Bit i is the parity of the number of characters whose code is i modulo 32: an edit changes two at most."""
+    counts = np.bincount(np.frombuffer(line.encode("utf-32-le", "surrogatepass"), np.uint32) & 31, minlength=32) & 1
+    return int(np.packbits(counts.astype(np.uint8)).view(">u4")[0])
+
+
+def line_id(line: str) -> int:
+    """Half of the line's hash, and its parities: 64 bits, signed. Lines may share one; nothing rests on that."""
+    x = xxhash.xxh64_intdigest(line.encode("utf-8", "surrogatepass"), 42) >> 32 << 32 | _parities(line)
+    return x - (1 << 64) if x >> 63 else x
+
+
 def _keys(docs: DataFrame, edits: int, min_chars: int) -> DataFrame:
-    """(h, n, sig, k0..): a row for each long line (repeats within a batch once): index keys, then probe keys."""
-    n_index, n_all = edits + 1, edits + 1 + n_probes(edits)
-    cols = ["h", "n", "sig", *(f"k{i}" for i in range(n_all))]
+    """(id, index, probe): the keys of each distinct long line. A line's index keys are also probes (for equal
+    length without a shift), so they travel once."""
+    n_index, n_all = edits + 1, n_probes(edits)
+    cols = [f"k{i}" for i in range(n_all)]
 
     def run(batches):
         shapes: dict[int, list] = {}
-        digest = xxhash.xxh64_intdigest
+        digest, ids, keys = xxhash.xxh64_intdigest, array("q"), array("Q")
+
+        def flush() -> pd.DataFrame:
+            out = pd.DataFrame(np.array(keys, np.uint64).view(np.int64).reshape(-1, n_all), columns=cols)
+            out.insert(0, "id", np.array(ids, np.int64))
+            del ids[:], keys[:]
+            return out
+
         for pdf in batches:
-            seen, rows, sigs = set(), [], []
+            seen = set()
             for text in pdf.text:
                 for line in (text or "").split("\n"):
-                    if len(line) < min_chars or line in seen or not line.strip(" \t\r\x0b\x0c"):
+                    n = len(line)
+                    if n < min_chars or not line.strip(" \t\r\x0b\x0c"):
                         continue
-                    seen.add(line)
-                    n, wide = len(line), line.encode("utf-32-le", "surrogatepass")
+                    wide = line.encode("utf-32-le", "surrogatepass")
+                    whole = xxhash.xxh3_128_digest(wide)
+                    if whole in seen:  # repeats within a batch; distinct() drops the others
+                        continue
+                    seen.add(whole)
                     shape = shapes.get(n)
                     if shape is None:
                         own = [(n, i, p, size) for i, (p, size) in enumerate(segments(n, edits))]
-                        shape = shapes[n] = [(4 * p, 4 * (p + size), length * (edits + 1) + i) for length, i, p, size in own + probes(n, edits)]
-                    rows.append([digest(line.encode("utf-8", "surrogatepass"), 42), n, *(digest(wide[a:b], seed) for a, b, seed in shape)])
-                    parity = np.bincount(np.frombuffer(wide, np.uint32) & 31, minlength=32) & 1
-                    sigs.append(int(np.packbits(parity.astype(np.uint8)).view(">u4")[0]))
-            made = np.array(rows, np.uint64).reshape(-1, 2 + n_all).astype(np.int64)
-            out = pd.DataFrame(made, columns=["h", "n", *cols[3:]])
-            out.insert(2, "sig", np.array(sigs, np.uint32).view(np.int32))
-            yield out
+                        every = own + [x for x in probes(n, edits) if x not in own]
+                        shape = shapes[n] = [(4 * p, 4 * (p + size), length * (edits + 1) + i) for length, i, p, size in every]
+                    keys.extend([digest(wide[a:b], seed) for a, b, seed in shape])
+                    ids.append(line_id(line))
+                    if len(ids) >= 8192:
+                        yield flush()
+        yield flush()
 
-    schema = ", ".join(["h long", "n int", "sig int", *(f"{c} long" for c in cols[3:])])
-    first = docs.select(F.col("text").cast("string")).mapInPandas(run, schema)
-    return first.dropDuplicates(["h", "n"]).select("h", "sig", F.array(*cols[3 : 3 + n_index]).alias("index"), F.array(*cols[3 + n_index :]).alias("probe"))
+    made = docs.select(F.col("text").cast("string")).mapInPandas(run, ", ".join(f"{c} long" for c in ["id", *cols]))
+    return made.distinct().select("id", F.array(*cols[:n_index]).alias("index"), F.array(*cols).alias("probe"))
 
 
 def banded_distance(a: np.ndarray, la: np.ndarray, b: np.ndarray, lb: np.ndarray, edits: int) -> np.ndarray:
@@ -149,19 +174,32 @@ def lines(docs: DataFrame) -> DataFrame:
     return rows.filter(F.col("line").rlike(WORD)).select("doc_id", "th", "line_no", F.xxhash64("line").alias("h"), F.xxhash64(F.lit(7), F.col("line")).alias("g"), "line")
 
 
+def _with_ids(found: DataFrame) -> DataFrame:
+    def run(batches):
+        for pdf in batches:
+            yield pdf.assign(id=np.fromiter(map(line_id, pdf.line), np.int64, len(pdf)))
+
+    return found.mapInPandas(run, "h long, g long, line string, id long")
+
+
 def near_lines(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """(ha, ga, hb, gb): pairs of classes of lines within ``edits`` edits, each once."""
     keys = materialise(_keys(docs, edits, min_chars), "line-keys")
-    index = keys.select(F.explode("index").alias("key"), F.col("h").alias("ha"), F.col("sig").alias("sa"))
-    probe = keys.select(F.explode("probe").alias("key"), F.col("h").alias("hb"), F.col("sig").alias("sb"))
-    met = index.join(probe, "key").filter((F.col("ha") != F.col("hb")) & (F.bit_count(F.col("sa").bitwiseXOR(F.col("sb"))) <= 2 * edits))
-    pairs = materialise(met.select(F.least("ha", "hb").alias("ha"), F.greatest("ha", "hb").alias("hb")).distinct(), "line-pairs")
-    wanted = pairs.select(F.col("ha").alias("_h")).union(pairs.select("hb")).distinct()
-    # of equal lines any one will do: repeats are dropped by a partial aggregate over their first places
-    texts = lines(docs).join(wanted, F.col("h") == F.col("_h")).groupBy("h", "g").agg(F.first("line").alias("line"))
-    texts = materialise(texts, "line-texts")
-    side = lambda s: texts.select(F.col("h").alias(f"_h{s}"), F.col("g").alias(f"g{s}"), F.col("line").alias(f"line_{s}"))
-    both = pairs.join(side("a"), F.col("ha") == F.col("_ha")).join(side("b"), F.col("hb") == F.col("_hb"))
+    index = keys.select(F.explode("index").alias("key"), F.col("id").alias("a"))
+    probe = keys.select(F.explode("probe").alias("key"), F.col("id").alias("b"))
+    flips = F.bit_count(F.col("a").bitwiseXOR(F.col("b")).bitwiseAND(F.lit(0xFFFFFFFF)))
+    met = index.join(probe, "key").filter((F.col("a") != F.col("b")) & (flips <= 2 * edits))
+    pairs = materialise(met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "line-pairs")
+    ids = materialise(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "line-ids")
+    half = ids.select(F.shiftright("id", 32).alias("_half")).distinct()
+    # the ids of lines with a candidate: a few in a thousand; beyond the bound both sides are shuffled
+    half = F.broadcast(half) if ids.count() <= MAX_BROADCAST_IDS else half
+    found = lines(docs).filter(F.char_length("line") >= min_chars).join(half, F.shiftright("h", 32) == F.col("_half"))
+    # of equal lines any one will do: repeats go in the partial aggregate
+    found = found.groupBy("h", "g").agg(F.first("line").alias("line"))
+    texts = materialise(_with_ids(found).join(ids, "id", "left_semi"), "line-texts")
+    side = lambda s: texts.select(F.col("id").alias(s), F.col("h").alias(f"h{s}"), F.col("g").alias(f"g{s}"), F.col("line").alias(f"line_{s}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
     return both.select("ha", "ga", "line_a", "hb", "gb", "line_b").mapInPandas(_verified(edits), "ha long, ga long, hb long, gb long")
 
 
@@ -188,7 +226,7 @@ def _by_document(found: DataFrame) -> DataFrame:
 def judged(docs: DataFrame, edits: int = EDITS, min_chars: int = MIN_CHARS) -> DataFrame:
     """The rows of ``docs`` that have a line, with n_exact, n_near, n_links and the numbers of the lines they keep."""
     found = _by_document(classes(docs, edits, min_chars))
-    rows = docs.withColumn("_th", F.xxhash64("text")).withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.lit(0))))
+    rows = docs.drop("n_first", "n_near", "n_links", "kept").withColumn("_th", F.xxhash64("text")).withColumn("_copy", F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.lit(0))))
     same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_th") == F.col("_t")) & (F.col("_copy") == 1)
     return rows.join(found, same, "left").drop("_d", "_t", "_th", "_copy")
 
