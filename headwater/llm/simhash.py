@@ -177,6 +177,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = 45) -> DataF
     differ in 39 bits on average, 0.9 in 27, unrelated ones in 128. At that radius no pigeonhole key is
     selective, so pairs meet under bands of least shingle hashes (16 bands of 4: similarity 0.8 meets with
     probability 0.9998); pivot tables discard and the 256 bits verify, as above. Texts of equal words are one row.
+    A dense group is connected by its buckets' stars first, so that the join of pairs gives out what they left.
     """
 
     def run(batches):
@@ -192,15 +193,30 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = 45) -> DataF
     lane = lambda k: F.col("f")[k]
     spread = lambda x: sum((F.bit_count(v) for v in x[1:]), F.bit_count(x[0]))
     table_ = F.struct(*(spread([lane(k).bitwiseXOR(F.lit(r[k])) for k in range(LANES)]).cast("short").alias(f"d{i}") for i, r in enumerate(refs)))
-    rows = reps.select("same", *(lane(k).alias(f"f{k}") for k in range(LANES)), table_.alias("t"), "keys", F.posexplode("keys").alias("band", "key"))
-    rows = rows.select("same", *(f"f{k}" for k in range(LANES)), "t", "band", "key", F.get("keys", F.col("band") - 1).alias("prior"))
+    fs = [f"f{k}" for k in range(LANES)]
+    reps = materialise(reps.select("same", *(lane(k).alias(f) for k, f in enumerate(fs)), table_.alias("t"), "keys"), "representatives")
+
+    def by_band(df: DataFrame, *more: str) -> DataFrame:
+        each = df.select("same", *fs, "t", "keys", *more, F.posexplode("keys").alias("band", "key"))
+        return each.withColumn("prior", F.get("keys", F.col("band") - 1)).drop("keys")
+
+    rows = by_band(reps)
+    apart = lambda x, y: spread([F.col(f"{x}.{f}").bitwiseXOR(F.col(f"{y}.{f}")) for f in fs])
+    far = lambda x, y: F.greatest(*(F.abs(F.col(f"{x}.t.d{i}") - F.col(f"{y}.t.d{i}")) for i in range(N_PIVOTS)))
+    # first every row of a bucket against the bucket's least one: as many comparisons as rows
+    hub = rows.groupBy("band", "key").agg(F.min(F.struct("same", *fs, "t")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    hub = materialise(hub.select("band", "key", "hub.*"), "hubs")
+    a, b = rows.alias("a"), hub.alias("b")
+    meet = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
+    stars = a.join(b, meet & (F.col("a.same") != F.col("b.same")) & (far("a", "b") <= radius) & (apart("a", "b") <= radius))
+    grp = components(stars.select(F.col("a.same").alias("a"), F.col("b.same").alias("b"))).withColumnsRenamed({"node": "_node", "root": "_grp"})
+    rows = by_band(reps.join(grp, F.col("same") == F.col("_node"), "left").withColumn("grp", F.coalesce("_grp", "same")), "grp")
+    # then all pairs of a bucket that the stars have not connected
     a, b = rows.alias("a"), rows.alias("b")
-    bits = spread([F.col(f"a.f{k}").bitwiseXOR(F.col(f"b.f{k}")) for k in range(LANES)])
-    far = F.greatest(*(F.abs(F.col(f"a.t.d{i}") - F.col(f"b.t.d{i}")) for i in range(N_PIVOTS)))
-    # a pair that agrees in a run of bands is given out at the first of them
-    new = F.coalesce(F.col("a.prior") != F.col("b.prior"), F.lit(True))
-    met = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key")) & (F.col("a.same") < F.col("b.same")) & new & (far <= radius) & (bits <= radius))
-    roots = components(met.select(F.col("a.same").alias("a"), F.col("b.same").alias("b"))).withColumnRenamed("node", "_node")
+    new = F.coalesce(F.col("a.prior") != F.col("b.prior"), F.lit(True))  # a run of common bands gives a pair at its first
+    met = a.join(b, meet & (F.col("a.same") < F.col("b.same")) & (F.col("a.grp") != F.col("b.grp")) & new & (far("a", "b") <= radius) & (apart("a", "b") <= radius))
+    links_ = met.select(F.col("a.grp").alias("a"), F.col("b.grp").alias("b")).union(grp.select(F.col("_node"), F.col("_grp")))
+    roots = components(links_).withColumnRenamed("node", "_node")
     rooted = least.join(roots, F.col("same") == F.col("_node"), "left").select("same", "least", F.coalesce("root", "same").alias("root"))
     component = rooted.groupBy("root").agg(F.min("least").alias("component"))
     found = rooted.join(component, "root").select(F.col("same").alias("_same"), "component")
