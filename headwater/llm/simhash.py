@@ -217,8 +217,9 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = 45) -> DataF
     met = a.join(b, meet & (F.col("a.same") < F.col("b.same")) & (F.col("a.grp") != F.col("b.grp")) & new & (far("a", "b") <= radius) & (apart("a", "b") <= radius))
     links_ = met.select(F.col("a.grp").alias("a"), F.col("b.grp").alias("b")).union(grp.select(F.col("_node"), F.col("_grp")))
     roots = components(links_).withColumnRenamed("node", "_node")
-    rooted = least.join(roots, F.col("same") == F.col("_node"), "left").select("same", "least", F.coalesce("root", "same").alias("root"))
-    component = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    rooted = materialise(least.join(roots, F.col("same") == F.col("_node"), "left").select("same", "least", F.coalesce("root", "same").alias("root")), "rooted")
+    # written tables, so that Spark splits the join where a group is large
+    component = materialise(rooted.groupBy("root").agg(F.min("least").alias("component")), "least-of-group")
     found = rooted.join(component, "root").select(F.col("same").alias("_same"), "component")
     return prints.select("doc_id", "same").join(found, F.col("same") == F.col("_same"), "left").select("doc_id", "same", "component")
 
