@@ -126,10 +126,9 @@ def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(bins: DataFrame, min_group: int = 100) -> DataFrame:
     """One row for each language and source: an array of (rule, low, high), the widest sketch used where the
     own one is thin. Its size is the number of language and source pairs."""
-    groups = bins.select("lang", "source").distinct()
+    rule = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.reach).cast("long").alias("reach"), F.lit(r.least_spread).cast("long").alias("least_spread"), F.lit(r.both_sides).alias("both_sides")) for r in RULES)))
+    g = bins.select("lang", "source").distinct().select("lang", "source", rule.alias("r")).select("lang", "source", "r.*")
     own, lang, whole = (_quartiles(bins, k) for k in (["lang", "source"], ["lang"], []))
-    long = groups.crossJoin(F.broadcast(bins.sparkSession.createDataFrame([(r.name, r.reach, r.least_spread, r.both_sides) for r in RULES], "rule string, reach long, least_spread long, both_sides boolean")))
-    g = long
     for df, name, keys in ((own, "o", ["lang", "source", "rule"]), (lang, "l", ["lang", "rule"]), (whole, "w", ["rule"])):
         d = df.select(*(F.col(k).alias(f"{name}_{k}") for k in keys), F.struct("q1", "q3", "group_n").alias(name))
         cond = None
