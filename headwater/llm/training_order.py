@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_in, id_out, materialise, table
+from .common import id_in, id_out, materialise, shuffle_partitions, table
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Fixed values of the public byte-level vocabulary: how text is split before merging, and its free end id.
@@ -91,8 +91,12 @@ def tokenise(docs: DataFrame, seq_len: int, vocabulary: str = VOCABULARY) -> Dat
     return docs.mapInPandas(run, "doc_id long, part int, first long, n_seq int, tokens binary")
 
 
-def training_order(docs: DataFrame, key: int = 0, seq_len: int = 512, per_shard: int = 4096, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(doc_id, seq_no, slot, shard, offset, n_tokens, tokens), each shard in one partition and in slot order."""
+def training_order(docs: DataFrame, key: int = 0, seq_len: int = 512, per_shard: int = 4096, vocabulary: str = VOCABULARY, shards_per_task: int = 64) -> DataFrame:
+    """(doc_id, seq_no, slot, shard, offset, n_tokens, tokens): partitions are ranges of whole shards in slot order.
+
+    Slots fill 0 to N - 1, so equal ranges are known without a sample: no task has more than ``shards_per_task``
+    shards, and no range more than one shard above another.
+    """
     made = materialise(tokenise(docs, seq_len, vocabulary), "tokens").filter("n_seq > 0")
     parts = made.groupBy("part").agg(F.sum("n_seq").alias("n"))
     total, n_parts = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
@@ -117,7 +121,10 @@ def training_order(docs: DataFrame, key: int = 0, seq_len: int = 512, per_shard:
 
     rows = numbered.mapInPandas(run, "doc_id long, seq_no long, slot long, n_tokens long, tokens binary")
     rows = rows.withColumns({"shard": F.floor(F.col("slot") / per_shard).cast("long"), "offset": F.col("slot") % per_shard * stride})
-    return rows.repartition("shard").sortWithinPartitions("slot").select(id_out(), "seq_no", "slot", "shard", "offset", "n_tokens", "tokens")
+    n_shards = max(1, -(-total // per_shard))
+    n_ranges = min(n_shards, max(shuffle_partitions(docs.sparkSession), -(-n_shards // shards_per_task)))
+    ranges = rows.repartitionById(n_ranges, F.floor(F.col("shard") * n_ranges / n_shards).cast("int"))
+    return ranges.sortWithinPartitions("slot").select(id_out(), "seq_no", "slot", "shard", "offset", "n_tokens", "tokens")
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:

@@ -154,7 +154,10 @@ def test_training_order(spark, small, tmp_path):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
     enc = tiktoken.Encoding("t", pat_str=training_order.PATTERN, mergeable_ranks=ranks, special_tokens={})
     docs = spark.read.parquet(f"{small}/documents.parquet")
-    out = materialise(training_order.training_order(docs, seq_len=64, per_shard=16), "order")
+    ordered = training_order.training_order(docs, seq_len=64, per_shard=16, shards_per_task=2)
+    held = ordered.select("slot", "shard", F.spark_partition_id().alias("p")).groupBy("p").agg(F.min("slot").alias("lo"), F.max("slot").alias("hi"), F.count_distinct("shard").alias("n")).orderBy("p").collect()
+    assert all(x.hi < y.lo for x, y in zip(held, held[1:])) and max(r.n for r in held) - min(r.n for r in held) <= 1
+    out = materialise(ordered, "order")
     rows = out.collect()
     assert sorted(r.slot for r in rows) == list(range(len(rows)))
     assert all(len(r.tokens) == 128 and r.shard == r.slot // 16 and r.offset == r.slot % 16 * 128 for r in rows)
