@@ -127,8 +127,9 @@ def near_groups(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     grouped = materialise(_contracted(distinct.select("fp")), "contracted")
     roots = components(links(grouped, radius)).withColumnRenamed("node", "_grp")
     rooted = grouped.join(roots, F.col("grp") == F.col("_grp"), "left").select("fp", F.coalesce("root", "grp").alias("root"))
-    rooted = rooted.join(distinct, "fp")
-    least = rooted.groupBy("root").agg(F.min("least").alias("component"))
+    rooted = materialise(rooted.join(distinct, "fp"), "rooted-fingerprints")
+    # written tables, so that Spark splits the join where a component is large
+    least = materialise(rooted.groupBy("root").agg(F.min("least").alias("component")), "least-of-component")
     return rooted.select("fp", "root").join(least, "root").select("fp", "component")
 
 

@@ -77,6 +77,7 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
     known = materialise(ruled(urls, rules), "ruled")
     alias = materialise(components(edges), "aliases")
     blocked = alias.join(known.filter("action = 'block'").select(F.col("url").alias("_u")), F.col("node") == F.col("_u")).select("root").distinct()
+    blocked = materialise(blocked, "blocked-roots")  # a written table, so that Spark splits the join where a component is large
     tainted = alias.join(blocked, "root").select(F.col("node").alias("_node"), F.lit(True).alias("tainted"))
     decided = known.join(tainted, F.col("url") == F.col("_node"), "left")
     verdict = F.coalesce("action", F.when(F.col("tainted"), "block").otherwise("allow"))
