@@ -142,90 +142,142 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) ->
 
 _ODD = [xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 11) | 1 for i in range(128)]
 LANES, BANDS, ROWS = 4, 16, 4
+WIDE_RADIUS = 64  # of 256 bits: only discards, see similar_groups
+MAX_BROADCAST_TEXTS = 1_000_000  # 24 megabytes
 
 
-def wide_fingerprint(text: str | None, n: int) -> tuple[int, list[int], list[int]]:
-    """(hash of the words, LANES longs of majority bits, a key for each of BANDS bands of ROWS least hashes)."""
+def shingle_set(text: str | None, n: int) -> tuple[bytes, np.ndarray]:
+    """The words joined by single spaces, and the sorted distinct hashes of their runs of n."""
     ws = (text or "").encode("utf-8", "surrogatepass").translate(_LOWER).split()
     joined = b" ".join(ws)
-    signed = lambda x: _signed(int(x))
-    same = signed(xxhash.xxh64_intdigest(joined, 1))
     if not ws:
-        return same, [0] * LANES, [same]
+        return joined, np.zeros(0, np.uint64)
     ends = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
     count = max(1, len(ws) - n + 1)
     starts = np.concatenate(([0], ends[:-1] + 1))[:count].tolist()
     ends = ends[min(n, len(ws)) - 1 :].tolist()
     view, digest = memoryview(joined), xxhash.xxh64_intdigest
+    return joined, np.unique(np.fromiter((digest(view[a:b], 42) for a, b in zip(starts, ends, strict=True)), np.uint64, count))
+
+
+def wide_fingerprint(text: str | None, n: int) -> tuple[int, int, list[int], list[int]]:
+    """(hash of the words, number of distinct shingles, LANES longs of majority bits over these, a key for each of
+    BANDS bands of ROWS least hashes)."""
+    joined, hashes = shingle_set(text, n)
+    signed = lambda x: _signed(int(x))
+    same = signed(xxhash.xxh64_intdigest(joined, 1))
+    if not len(hashes):
+        return same, 0, [0] * LANES, [same]
     bits, least = np.zeros(64 * LANES, np.int64), np.full(BANDS * ROWS, 2**64 - 1, np.uint64)
-    for at in range(0, count, _SLAB):
-        h = np.fromiter((digest(view[a:b], 42) for a, b in zip(starts[at : at + _SLAB], ends[at : at + _SLAB], strict=True)), np.uint64)
+    for at in range(0, len(hashes), _SLAB):
+        h = hashes[at : at + _SLAB]
         for k in range(LANES):
             lane = h if k == 0 else (h ^ (h >> np.uint64(29))) * np.uint64(_ODD[k])
             lane = lane ^ (lane >> np.uint64(32)) if k else lane
             bits[64 * k : 64 * k + 64] += np.unpackbits(lane.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
         for k in range(BANDS * ROWS):
             least[k] = min(least[k], (h * np.uint64(_ODD[k])).min())
-    packed = np.packbits(2 * bits > count, bitorder="little").view(np.int64).tolist()
-    keys = [signed(digest(least[k * ROWS : k * ROWS + ROWS].tobytes(), k)) for k in range(BANDS)]
-    return same, packed, keys
+    packed = np.packbits(2 * bits > len(hashes), bitorder="little").view(np.int64).tolist()
+    keys = [signed(xxhash.xxh64_intdigest(least[k * ROWS : k * ROWS + ROWS].tobytes(), k)) for k in range(BANDS)]
+    return same, len(hashes), packed, keys
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = 45) -> DataFrame:
-    """(doc_id, same, component): near copies at a shingle similarity of about 0.8 and more.
+def _texts_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, g, text): two hashes tell the texts of one id apart."""
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).select("doc_id", F.xxhash64("text").alias("h"), F.xxhash64(F.lit(7), F.col("text")).alias("g"), "text")
+
+
+def _row(x: str, y: str) -> Column:
+    return (F.col(f"{x}h") == F.col(f"{y}h")) & (F.col(f"{x}g") == F.col(f"{y}g")) & F.col(f"{x}doc_id").eqNullSafe(F.col(f"{y}doc_id"))
 
-    Four lanes of majority bits (256) tell similarities apart that 64 cannot: sets of Jaccard similarity 0.8
-    differ in 39 bits on average, 0.9 in 27, unrelated ones in 128. At that radius no pigeonhole key is
-    selective, so pairs meet under bands of least shingle hashes (16 bands of 4: similarity 0.8 meets with
-    probability 0.9998); pivot tables discard and the 256 bits verify, as above. Texts of equal words are one row.
-    A dense group is connected by its buckets' stars first, so that the join of pairs gives out what they left.
-    """
+
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """The rows of ``pairs`` (a, b, more columns) whose shingle sets have a Jaccard similarity of 0.8 or more."""
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame({"same": pdf.same, "s": [shingle_set(t, shingle)[1].view(np.int64) for t in pdf.text]})
+
+    pairs = materialise(pairs.distinct(), "wide-pairs")
+    ends = pairs.select(F.col("a").alias("_same")).union(pairs.select("b")).distinct()
+    need = materialise(classes.join(ends, F.col("same") == F.col("_same"), "left_semi").select("same", *(F.col(c).alias(f"_{c}") for c in ("doc_id", "h", "g"))), "wide-ends")
+    # a fraction of all texts; beyond the bound both sides are shuffled
+    small = F.broadcast(need) if need.count() <= MAX_BROADCAST_TEXTS else need
+    sets = _texts_of(docs).join(small, _row("", "_")).select("same", "text").mapInPandas(run, "same long, s array<long>")
+    sets = materialise(sets.dropDuplicates(["same"]), "shingle-sets")
+    side = lambda x: sets.select(F.col("same").alias(f"_{x}"), F.col("s").alias(f"s{x}"))
+    both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
+    return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select(pairs.columns)
+
+
+def _grouped(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, g, same) of each row, and for each ``same`` the row (_doc_id, _h, _g) that stands for its group."""
 
     def run(batches):
         for pdf in batches:
             made = [wide_fingerprint(t, shingle) for t in pdf.text]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "same": [m[0] for m in made], "f": [m[1] for m in made], "keys": [m[2] for m in made]})
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "h": pdf.h, "g": pdf.g, **{c: [m[i] for m in made] for i, c in enumerate(("same", "n", "f", "keys"))}})
 
-    prints = docs.select(id_in(), F.col("text").cast("string")).mapInPandas(run, "doc_id long, same long, f array<long>, keys array<long>")
-    prints = materialise(prints.select(id_out(), "same", "f", "keys"), "wide-simhash")
-    least = materialise(prints.groupBy("same").agg(F.min("doc_id").alias("least")), "classes")
-    reps = prints.join(least.withColumnRenamed("same", "_same"), (F.col("same") == F.col("_same")) & F.col("doc_id").eqNullSafe(F.col("least"))).select("same", "f", "keys")
+    prints = _texts_of(docs).withColumn("doc_id", id_in()).mapInPandas(run, "doc_id long, h long, g long, same long, n long, f array<long>, keys array<long>")
+    prints = materialise(prints.withColumn("doc_id", id_out()), "wide-simhash")
+    # a row with an id goes first, then the least id, then the least hashes of the text
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "g", "n", "f", "keys")).alias("r")
+    classes = materialise(prints.groupBy("same").agg(least).select("same", "r.*"), "classes")
     refs = [[_signed(xxhash.xxh64_intdigest(bytes([i, k]), 7)) for k in range(LANES)] for i in range(N_PIVOTS)]
     lane = lambda k: F.col("f")[k]
     spread = lambda x: sum((F.bit_count(v) for v in x[1:]), F.bit_count(x[0]))
     table_ = F.struct(*(spread([lane(k).bitwiseXOR(F.lit(r[k])) for k in range(LANES)]).cast("short").alias(f"d{i}") for i, r in enumerate(refs)))
     fs = [f"f{k}" for k in range(LANES)]
-    reps = materialise(reps.select("same", *(lane(k).alias(f) for k, f in enumerate(fs)), table_.alias("t"), "keys"), "representatives")
+    reps = materialise(classes.select("same", "n", *(lane(k).alias(f) for k, f in enumerate(fs)), table_.alias("t"), "keys"), "representatives")
 
     def by_band(df: DataFrame, *more: str) -> DataFrame:
-        each = df.select("same", *fs, "t", "keys", *more, F.posexplode("keys").alias("band", "key"))
+        each = df.select("same", "n", *fs, "t", "keys", *more, F.posexplode("keys").alias("band", "key"))
         return each.withColumn("prior", F.get("keys", F.col("band") - 1)).drop("keys")
 
     rows = by_band(reps)
-    apart = lambda x, y: spread([F.col(f"{x}.{f}").bitwiseXOR(F.col(f"{y}.{f}")) for f in fs])
-    far = lambda x, y: F.greatest(*(F.abs(F.col(f"{x}.t.d{i}") - F.col(f"{y}.t.d{i}")) for i in range(N_PIVOTS)))
+    apart = spread([F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}")) for f in fs])
+    far = F.greatest(*(F.abs(F.col(f"a.t.d{i}") - F.col(f"b.t.d{i}")) for i in range(N_PIVOTS)))
+    sizes = 5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")  # else the sets can't reach 0.8
+    close = sizes & (far <= radius) & (apart <= radius)
     # first every row of a bucket against the bucket's least one: as many comparisons as rows
-    hub = rows.groupBy("band", "key").agg(F.min(F.struct("same", *fs, "t")).alias("hub"), F.count("*").alias("n")).filter("n > 1")
+    hub = rows.groupBy("band", "key").agg(F.min(F.struct("same", "n", *fs, "t")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
     hub = materialise(hub.select("band", "key", "hub.*"), "hubs")
     a, b = rows.alias("a"), hub.alias("b")
     meet = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
-    stars = a.join(b, meet & (F.col("a.same") != F.col("b.same")) & (far("a", "b") <= radius) & (apart("a", "b") <= radius))
-    grp = components(stars.select(F.col("a.same").alias("a"), F.col("b.same").alias("b"))).withColumnsRenamed({"node": "_node", "root": "_grp"})
+    stars = a.join(b, meet & (F.col("a.same") != F.col("b.same")) & close).select(F.col("a.same").alias("a"), F.col("b.same").alias("b"))
+    grp = components(_verified(stars, classes, docs, shingle)).withColumnsRenamed({"node": "_node", "root": "_grp"})
     rows = by_band(reps.join(grp, F.col("same") == F.col("_node"), "left").withColumn("grp", F.coalesce("_grp", "same")), "grp")
     # then all pairs of a bucket that the stars have not connected
     a, b = rows.alias("a"), rows.alias("b")
     new = F.coalesce(F.col("a.prior") != F.col("b.prior"), F.lit(True))  # a run of common bands gives a pair at its first
-    met = a.join(b, meet & (F.col("a.same") < F.col("b.same")) & (F.col("a.grp") != F.col("b.grp")) & new & (far("a", "b") <= radius) & (apart("a", "b") <= radius))
-    links_ = met.select(F.col("a.grp").alias("a"), F.col("b.grp").alias("b")).union(grp.select(F.col("_node"), F.col("_grp")))
+    met = a.join(b, meet & (F.col("a.same") < F.col("b.same")) & (F.col("a.grp") != F.col("b.grp")) & new & close)
+    met = met.select(F.col("a.same").alias("a"), F.col("b.same").alias("b"), F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb"))
+    links_ = _verified(met, classes, docs, shingle).select(F.col("ga").alias("a"), F.col("gb").alias("b")).union(grp.select(F.col("_node"), F.col("_grp")))
     roots = components(links_).withColumnRenamed("node", "_node")
-    rooted = materialise(least.join(roots, F.col("same") == F.col("_node"), "left").select("same", "least", F.coalesce("root", "same").alias("root")), "rooted")
+    rooted = classes.join(roots, F.col("same") == F.col("_node"), "left").select("same", "no_id", "doc_id", "h", "g", F.coalesce("root", "same").alias("root"))
+    rooted = materialise(rooted, "rooted")
     # written tables, so that Spark splits the join where a group is large
-    component = materialise(rooted.groupBy("root").agg(F.min("least").alias("component")), "least-of-group")
-    found = rooted.join(component, "root").select(F.col("same").alias("_same"), "component")
-    return prints.select("doc_id", "same").join(found, F.col("same") == F.col("_same"), "left").select("doc_id", "same", "component")
+    first = rooted.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "h", "g")).alias("r"))
+    first = materialise(first.select("root", *(F.col(f"r.{c}").alias(f"_{c}") for c in ("doc_id", "h", "g"))), "least-of-group")
+    found = rooted.join(first, "root").select(F.col("same").alias("_same"), "_doc_id", "_h", "_g")
+    return prints.select("doc_id", "h", "g", "same"), found
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+    """(doc_id, same, component): near copies at a shingle similarity of 0.8 and more.
+
+    Pairs meet under bands of least shingle hashes (16 bands of 4: similarity 0.8 meets with probability 0.9998).
+    Sizes, pivot tables and four lanes of majority bits (256) over the distinct shingles discard: sets of Jaccard
+    similarity 0.8 differ in at most 39 bits on average (48 in sets of five), with a standard deviation of six, so
+    the radius keeps them. What is left is decided by the Jaccard similarity of the shingle hashes itself. Texts of
+    equal words are one row. A dense group is connected by its buckets' stars first, so that the join of pairs
+    gives out what they left.
+    """
+    prints, found = _grouped(docs, shingle, radius)
+    return prints.join(found, F.col("same") == F.col("_same"), "left").select("doc_id", "same", F.col("_doc_id").alias("component"))
 
 
-def keep_one(docs: DataFrame, shingle: int = 5, radius: int = 45) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
     """Documents with the least id of each group of near copies; of repeated rows of that id one stays."""
     found = similar_groups(docs, shingle, radius)
     kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("_kept")).distinct()

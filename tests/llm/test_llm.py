@@ -364,6 +364,26 @@ def test_near_copies_of_high_similarity_are_grouped(spark):
     assert all(got[k] == 0 for k in [*range(8), 202]) and all(got[100 + k] == 100 + k for k in range(20)) and got[201] == 200
 
 
+def test_near_copies_are_decided_by_their_shingle_similarity(spark):
+    rows, want = [], {}
+    for k, common in enumerate([86, 87, 88, 89, 90, 91] * 15):  # of 100 five-word shingles: 0.754 to 0.835
+        a = [f"w{k}x{i}" for i in range(104)]
+        b = a[: common + 4] + [f"v{k}x{i}" for i in range(100 - common)]
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        x, y = ({tuple(w[i : i + 5]) for i in range(100)} for w in (a, b))
+        want[2 * k + 1] = 2 * k if len(x & y) >= 0.8 * len(x | y) else 2 * k + 1
+    for k, common in enumerate([4, 5, 8, 9, 16, 17]):  # small sets, and repeats that don't count
+        a = [f"u{k}x{i}" for i in range(common + 4)]
+        rows += [(1000 + 2 * k, " ".join(a)), (1001 + 2 * k, " ".join(a + ["more"]))]
+        want[1001 + 2 * k] = 1000 + 2 * k
+    loop = [f"r{i}" for i in range(50)]
+    rows += [(2000, " ".join(loop)), (2001, " ".join(loop + loop[:30] * 8 + ["x"]))]
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (rows[-2][1].split(), rows[-1][1].split()))
+    want[2001] = 2000 if len(x & y) >= 0.8 * len(x | y) else 2001
+    got = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
