@@ -278,11 +278,13 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS)
 
 
 def keep_one(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
-    """Documents with the least id of each group of near copies; of repeated rows of that id one stays."""
-    found = similar_groups(docs, shingle, radius)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component"))).select(F.col("doc_id").alias("_kept")).distinct()
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
-    return as_documents(rows).dropDuplicates(["doc_id"])
+    """Documents that stand for their group of near copies: the one with the least id, of an id's texts the one with
+    the least hashes. Rows are told apart by id and text, so null and repeated ids may have many texts; of rows
+    equal in both one stays."""
+    _, found = _grouped(docs, shingle, radius)
+    kept = materialise(found.select("_doc_id", "_h", "_g").distinct(), "kept-rows")
+    rows = docs.withColumns({"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(7), F.col("text"))}).join(kept, _row("", "_"), "left_semi")
+    return as_documents(rows.dropDuplicates(["doc_id", "h", "g"]))
 
 
 def op6_simhash(spark, sf_dir: str) -> DataFrame:

@@ -542,6 +542,20 @@ def test_merge_never_loses_order():
 # -- pipeline
 
 
+def test_null_and_repeated_ids_lose_no_other_document(spark):
+    def docs(rows):
+        return spark.createDataFrame([(i, t, "en", "web", len(t or "")) for i, t in rows], DOCS)
+
+    a, b, c, d, e = (prose(200, 900 + k) for k in range(5))
+    near = c + " and one more"
+    rows = [(None, a), (None, b), (None, a), (7, near), (7, d), (3, c), (None, d), (9, e), (9, e), (None, None), (None, "")]
+    kept = sorted(((r.doc_id, r.text or "") for r in simhash.keep_one(docs(rows)).collect()), key=repr)
+    assert kept == sorted([(None, a), (None, b), (3, c), (7, d), (9, e), (None, "")], key=repr)
+    bench = spark.createDataFrame([(1, " ".join(a.split()[20:60]))], "item_id long, text string")
+    clean = decontaminate.clean(docs([(None, a), (None, b), (4, a), (4, c), (5, d), (5, d), (None, None)]), bench)
+    assert sorted(((r.doc_id, r.text) for r in clean.collect()), key=repr) == sorted([(None, b), (4, c), (5, d), (5, d), (None, None)], key=repr)
+
+
 def test_pipeline(spark, small):
     import corpus_pipeline as cp
 
