@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,17 +26,19 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _own_dir:
         _own_dir.append(tempfile.mkdtemp(prefix="headwater-"))
     return _own_dir[0]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
+def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: lineage ends there, so a lost executor
     costs a re-read and never a re-run, and non-deterministic placement (range sampling) is fixed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/headwater/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -71,16 +75,57 @@ def n_words(text: Column) -> Column:
 _NO_ID = -(2**63)
 
 
-def id_in(column: str = "doc_id") -> Column:
+def id_in(column: str = "doc_id", name: str | None = None) -> Column:
     """An id as it goes to Python tasks: pandas would turn a column with nulls into floats, so the least long
     stands for null there."""
-    return F.coalesce(F.col(column).cast("long"), F.lit(_NO_ID)).alias(column)
+    return F.coalesce(F.col(column).cast("long"), F.lit(_NO_ID)).alias(name or column)
 
 
 def id_out(column: str = "doc_id") -> Column:
     return F.when(F.col(column) != _NO_ID, F.col(column)).alias(column)
 
 
+_SLOTS = 24  # two to this power bits
+
+
+def bitmap(df: DataFrame, column: str) -> DataFrame:
+    """(_word, _bits): a bit for the low bits of each hash in ``column``; 2**18 rows at most, whatever the table."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << _SLOTS) - 1))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(F.lit(63)).cast("int"))
+    return df.select(F.shiftright(slot, 6).alias("_word"), bit.alias("_bit")).groupBy("_word").agg(F.bit_or("_bit").alias("_bits"))
+
+
+def in_bitmap(df: DataFrame, column: str, bits: DataFrame) -> DataFrame:
+    """Rows whose hash may be in the bitmap's column: all that are, and by chance some that are not. A join on the
+    hash itself follows; this keeps what it would drop from being shuffled. The broadcast has a fixed bound."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << _SLOTS) - 1))
+    there = F.call_function("shiftright", F.col("_bits"), slot.bitwiseAND(F.lit(63)).cast("int")).bitwiseAND(F.lit(1)) == 1
+    return df.join(F.broadcast(bits), (F.shiftright(slot, 6) == F.col("_word")) & there).drop("_word", "_bits")
+
+
+def in_groups(keys: list[str], make):
+    """A function for mapInPandas over rows sorted by ``keys``: hands whole groups to ``make()``, many at a time.
+    A batch's last group waits for its rest, so memory follows a batch and the largest group, which callers bound."""
+
+    def run(batches):
+        work, rest = make(), None
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            pdf = pdf if rest is None else pd.concat([rest, pdf], ignore_index=True)
+            last = np.ones(len(pdf), bool)
+            for k in keys:
+                last &= pdf[k].to_numpy() == pdf[k].iloc[-1]
+            cut = int(np.flatnonzero(~last)[-1]) + 1 if not last.all() else 0
+            rest = pdf.iloc[cut:].reset_index(drop=True)
+            if cut:
+                yield work(pdf.iloc[:cut].reset_index(drop=True))
+        if rest is not None:
+            yield work(rest)
+
+    return run
+
+
 def as_documents(df: DataFrame) -> DataFrame:
     """The five columns of ``documents`` with their types."""
     return df.select(

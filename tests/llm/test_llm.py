@@ -228,8 +228,9 @@ def lev(a: str, b: str) -> int:
 
 def test_segments_and_probes_lose_nothing():
     r = random.Random(1)
+    make = line_dedup._Keys(line_dedup.THRESHOLDS)
     for _ in range(300):
-        a = [r.choice("abc") for _ in range(r.randint(20, 40))]
+        a = [r.choice("abc") for _ in range(r.randint(5, 40))]
         b = list(a)
         for _ in range(r.randint(0, 2)):
             o, i = r.random(), r.randrange(len(b))
@@ -240,35 +241,70 @@ def test_segments_and_probes_lose_nothing():
             else:
                 del b[i]
         s, t = sorted(("".join(a), "".join(b)), key=len)
-        index = {(len(s), i, s[p : p + n]) for i, (p, n) in enumerate(line_dedup.segments(len(s), 2))}
-        assert index & {(length, i, t[p : p + n]) for length, i, p, n in line_dedup.probes(len(t), 2)}
+        edits = line_dedup.edits_of(len(s))
+        if lev(s, t) > edits or not edits:
+            continue
+        index = {(len(s), i, s[p : p + n]) for i, (p, n) in enumerate(line_dedup.segments(len(s), edits))}
+        assert index & {(length, i, t[p : p + n]) for length, i, p, n in line_dedup.probes(len(t))}
+        keys, n_keys, n_index = make([s, t])
+        assert set(keys[: n_index[0]].tolist()) & set(keys[n_keys[0] :].tolist())
+
+
+def near_by_brute_force(lines):
+    """How many of the distinct lines are near to each, and the pairs."""
+    pairs = {(a, b) for i, a in enumerate(lines) for b in lines[i + 1 :] if abs(len(a) - len(b)) <= 2 and lev(a, b) <= line_dedup.edits_of(min(len(a), len(b)))}
+    return Counter(x for p in pairs for x in p), pairs
+
+
+def links_of(spark, df, lines, block):
+    name = {xxhash.xxh64_intdigest(x.encode(), 42): x for x in lines}
+    return {name[r.h % 2**64]: r.n_links for r in line_dedup.classes(df, block=block).collect() if r.n_links}
+
+
+@pytest.mark.parametrize("block", [4, 1024])
+def test_links_of_a_dense_group_of_lines_are_whole(spark, block):
+    """Near lines of one text, short lines and unrelated ones: no pair is lost or counted twice, however a key's lines are dealt."""
+    r = random.Random(9)
+    base, lines = prose(6, 70), set()
+    while len(lines) < 60:
+        x = list(base)
+        for _ in range(r.randint(0, 2)):
+            x[r.randrange(len(x))] = r.choice("abcé😀")
+        if r.random() < 0.3:
+            del x[r.randrange(len(x))]
+        lines.add("".join(x))
+    lines |= {prose(1, k)[:2] + w for k in range(5) for w in ("abc", "abcd", "abcde", "abcdefghijklmnop", "abcdefghijklmnopq", "xbcdefghijklmnopqr")} | {prose(9, 71 + k) for k in range(20)} | {"ab", "ac"}
+    lines = sorted(lines)
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lines)] + [(999, "\n".join(lines[:9]))], "doc_id long, text string").repartition(3)
+    want, _ = near_by_brute_force(lines)
+    assert links_of(spark, df, lines, block) == dict(want) and max(want.values()) > 20
 
 
 def test_line_dedup(spark, tmp_path):
     base = prose(12, 7)
-    lines = [base, base[:-1], base[:20] + "XY" + base[22:], base + "!", prose(12, 8), "short", "shor", prose(12, 9) + "é😀", prose(12, 9) + "é"]
-    docs = [(1, "\n".join([lines[0], "", lines[4], "short"])), (2, "\n".join([lines[1], lines[4], "shor", lines[7]])), (3, "\n".join([lines[2], lines[3], lines[8], " "])), (3, "\n".join([lines[2], lines[3], lines[8], " "])), (4, None), (5, ""), (None, prose(12, 10))]
+    lines = [base, base[:-1], base[:20] + "XY" + base[22:], base + "!", prose(12, 8), "short", "shor", prose(12, 9) + "é😀", prose(12, 9) + "é", "x" * 30_000, "x" * 29_999 + "y"]
+    docs = [(1, "\n".join([lines[0], "", lines[4], "short"])), (2, "\n".join([lines[1], lines[4], "shor", lines[7]])), (3, "\n".join([lines[2], lines[3], lines[8], " "])), (3, "\n".join([lines[2], lines[3], lines[8], " "])), (4, None), (5, ""), (None, prose(12, 10)), (6, lines[9]), (7, lines[10])]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    distinct = sorted({x for _, t in docs for x in (t or "").split("\n") if len(x) >= 20})
-    want = {frozenset((a, b)) for i, a in enumerate(distinct) for b in distinct[i + 1 :] if lev(a, b) <= 2}
-    name = {xxhash.xxh64_intdigest(x.encode(), 42): x for x in distinct}
-    got = {frozenset((name[r.ha % 2**64], name[r.hb % 2**64])) for r in line_dedup.near_lines(df).collect()}
-    assert got == want and len(want) >= 4
+    distinct = sorted({x for _, t in docs for x in (t or "").split("\n") if x.split() and len(x) < 1000})
+    links, pairs = near_by_brute_force(distinct)
+    links += Counter(lines[9:])
+    pairs.add((lines[9], lines[10]))
+    assert links_of(spark, df, [*distinct, *lines[9:]], 1024) == dict(links) and len(pairs) >= 5
     first: dict = {}
     for i, (d, t) in enumerate(sorted(docs, key=lambda r: (r[0] is not None, r[0] or 0))):
         for k, x in enumerate((t or "").split("\n")):
             if x.split():
                 first.setdefault(x, (d is not None, d or 0, i, k))
-    near = {x for x in first if any(x in p and first[next(iter(p - {x}))] < first[x] for p in want)}
+    near = {x for x in first if any(first[a if b == x else b] < first[x] for a, b in pairs if x in (a, b))}
     df.write.parquet(f"{tmp_path}/documents.parquet")
     out = line_dedup.op4_line_dedup(spark, str(tmp_path)).collect()
     assert len(out) == len(docs)
-    for d in (1, 2, 3, None):
+    for d in (1, 2, 3, None, 6, 7):
         mine = [r for r in out if r.doc_id == d]
         firsts = [x for x, f in first.items() if (f[0], f[1]) == (d is not None, d or 0)]
         assert sum(r.n_near for r in mine) == len([x for x in firsts if x in near])
         assert sum(r.n_lines for r in mine) - sum(r.n_exact for r in mine) == len(firsts)
-    full = df.withColumns({"lang": F.lit("x"), "source": F.lit("s"), "n_chars": F.lit(1), "kept": F.lit(5), "n_near": F.lit(1)})
+    full = df.withColumns({"lang": F.lit("x"), "source": F.lit("s"), "n_chars": F.lit(1), "kept": F.lit(5), "n_near": F.lit(1), "h": F.lit("h"), "key": F.lit(0), "_h": F.lit("x")})
     left = {r.doc_id: r.text for r in line_dedup.clean(full).collect() if r.doc_id == 1}
     assert left[1] == docs[0][1]
 
