@@ -37,7 +37,7 @@ from .common import WORD, as_documents, bitmap, id_in, in_bitmap, in_groups, mat
 #: (least length, edits), ascending.
 THRESHOLDS = ((5, 1), (20, 2))
 BLOCK = 1024  # lines of one key that a task compares with as many others
-_CHUNK = 1 << 20  # characters whose keys are made at once
+_CHUNK = 1 << 18  # characters whose keys are made at once
 _PAIRS = 1 << 17  # pairs looked at at once
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = [np.uint64(x) for x in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93)]
