@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents, id_in, id_out, materialise, table
+from .common import as_documents, bitmap, id_in, id_out, in_bitmap, in_groups, materialise, table
 from .components import components
 
 RADIUS = 4
@@ -143,7 +143,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) ->
 _ODD = [xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 11) | 1 for i in range(128)]
 LANES, BANDS, ROWS = 4, 16, 4
 WIDE_RADIUS = 64  # of 256 bits: only discards, see similar_groups
-MAX_BROADCAST_TEXTS = 1_000_000  # 24 megabytes
+BLOCK = 1024  # rows of one band key that a task compares with as many others
+_PAIRS = 1 << 17  # pairs looked at at once
 
 
 def shingle_set(text: str | None, n: int) -> tuple[bytes, np.ndarray]:
@@ -191,69 +192,137 @@ def _row(x: str, y: str) -> Column:
     return (F.col(f"{x}h") == F.col(f"{y}h")) & (F.col(f"{x}g") == F.col(f"{y}g")) & F.col(f"{x}doc_id").eqNullSafe(F.col(f"{y}doc_id"))
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
-    """The rows of ``pairs`` (a, b, more columns) whose shingle sets have a Jaccard similarity of 0.8 or more."""
+def _with_sets(rows: DataFrame, classes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """(_same, s): the shingle hashes of each ``same`` in ``rows``, from one of its documents."""
 
     def run(batches):
         for pdf in batches:
-            yield pd.DataFrame({"same": pdf.same, "s": [shingle_set(t, shingle)[1].view(np.int64) for t in pdf.text]})
-
-    pairs = materialise(pairs.distinct(), "wide-pairs")
-    ends = pairs.select(F.col("a").alias("_same")).union(pairs.select("b")).distinct()
-    need = materialise(classes.join(ends, F.col("same") == F.col("_same"), "left_semi").select("same", *(F.col(c).alias(f"_{c}") for c in ("doc_id", "h", "g"))), "wide-ends")
-    # a fraction of all texts; beyond the bound both sides are shuffled
-    small = F.broadcast(need) if need.count() <= MAX_BROADCAST_TEXTS else need
-    sets = _texts_of(docs).join(small, _row("", "_")).select("same", "text").mapInPandas(run, "same long, s array<long>")
-    sets = materialise(sets.dropDuplicates(["same"]), "shingle-sets")
-    side = lambda x: sets.select(F.col("same").alias(f"_{x}"), F.col("s").alias(f"s{x}"))
-    both = pairs.join(side("a"), F.col("a") == F.col("_a")).join(side("b"), F.col("b") == F.col("_b"))
-    return both.filter(9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))).select(pairs.columns)
-
-
-def _grouped(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, DataFrame]:
+            yield pd.DataFrame({"_same": pdf.same, "s": [np.sort(shingle_set(t, shingle)[1].view(np.int64)) for t in pdf.text]})
+
+    wanted = materialise(rows.select(F.col("same").alias("_same")).distinct(), "wide-wanted")
+    need = classes.join(wanted, F.col("same") == F.col("_same"), "left_semi").select("same", *(F.col(c).alias(f"_{c}") for c in ("doc_id", "h", "g")))
+    need = materialise(need, "wide-ends")
+    # few of all texts: the bitmap keeps the others out of the shuffle
+    texts = in_bitmap(_texts_of(docs), "h", bitmap(need, "_h")).join(need, _row("", "_"))
+    return materialise(texts.select("same", "text").mapInPandas(run, "_same long, s array<long>").dropDuplicates(["_same"]), "shingle-sets")
+
+
+def _alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard similarity of 0.8 or more of two ascending arrays of distinct hashes."""
+    both = np.searchsorted(b, a, "right") - np.searchsorted(b, a)
+    return 9 * int(both.sum()) >= 4 * (len(a) + len(b))
+
+
+class _Near:
+    """Compares the rows of whole groups (band, key, x, y) and gives out rows with a partner (``exact`` False) or a
+    spanning set of links between groups of classes (True). A pair of rows counts where it first meets; sizes, pivot
+    tables and bits discard."""
+
+    def __init__(self, radius: int, exact: bool):
+        self.radius, self.exact = radius, exact
+
+    def pairs(self, pdf: pd.DataFrame):
+        n, grp, band, side, mine = (pdf[c].to_numpy() for c in ("n", "grp", "band", "x", "r"))
+        f = np.stack([pdf[f"f{k}"].to_numpy() for k in range(LANES)], 1).view(np.uint64)
+        pivots_ = np.stack([np.frombuffer(t, np.uint8) for t in pdf.t]).astype(np.int16)
+        keys = np.stack(pdf["keys"].to_numpy())
+        new = np.ones(len(pdf), bool)
+        new[1:] = np.any([pdf[c].to_numpy()[1:] != pdf[c].to_numpy()[:-1] for c in ("band", "key", "x", "y")], axis=0)
+        group = np.cumsum(new) - 1
+        stop = np.searchsorted(group, group, "right")
+        many = stop - np.arange(len(pdf)) - 1  # each row's partners: those after it in its group
+        ends, at = np.cumsum(many), 0
+        while at < len(pdf):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, "right")))
+            m = many[at:upto]
+            a = np.repeat(np.arange(at, upto), m)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+            at = upto
+            same_block = pdf.x.to_numpy()[a] == pdf.y.to_numpy()[a]
+            keep = (grp[a] != grp[b]) & (same_block | (mine[a] != mine[b])) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
+            a, b = a[keep], b[keep]
+            keep = np.abs(pivots_[a] - pivots_[b]).max(1, initial=0) <= self.radius
+            a, b = a[keep], b[keep]
+            keep = np.bitwise_count(f[a] ^ f[b]).sum(1) <= self.radius
+            a, b = a[keep], b[keep]
+            keep = (keys[a] == keys[b]).argmax(1) == band[a]  # the first band in which they meet
+            yield a[keep], b[keep]
+
+    def __call__(self, pdf: pd.DataFrame) -> pd.DataFrame:
+        if not self.exact:
+            live = np.zeros(len(pdf), bool)
+            for a, b in self.pairs(pdf):
+                live[a] = live[b] = True
+            return pdf[live]
+        root: dict[int, int] = {}
+
+        def find(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
+        sets, grp, links_ = pdf.s.tolist(), pdf.grp.tolist(), []
+        for a, b in self.pairs(pdf):
+            for i, j in zip(a.tolist(), b.tolist(), strict=True):
+                x, y = find(grp[i]), find(grp[j])
+                if x != y and _alike(sets[i], sets[j]):
+                    root[max(x, y)] = min(x, y)
+                    links_.append((grp[i], grp[j]))
+        return pd.DataFrame(links_, columns=["a", "b"])
+
+
+def _grouped(docs: DataFrame, shingle: int, radius: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
     """(doc_id, h, g, same) of each row, and for each ``same`` the row (_doc_id, _h, _g) that stands for its group."""
+    refs = [[xxhash.xxh64_intdigest(bytes([i, k]), 7) for k in range(LANES)] for i in range(N_PIVOTS)]
+    refs = np.array(refs, np.uint64)
 
     def run(batches):
         for pdf in batches:
             made = [wide_fingerprint(t, shingle) for t in pdf.text]
-            yield pd.DataFrame({"doc_id": pdf.doc_id, "h": pdf.h, "g": pdf.g, **{c: [m[i] for m in made] for i, c in enumerate(("same", "n", "f", "keys"))}})
+            out = {"doc_id": pdf.doc_id, "h": pdf.h, "g": pdf.g, "same": [m[0] for m in made], "n": [m[1] for m in made]}
+            f = np.array([m[2] for m in made], np.int64).reshape(-1, LANES)
+            far = np.bitwise_count(f.view(np.uint64)[:, None, :] ^ refs[None]).sum(2)  # 256 at most, and that only of a complement
+            out |= {f"f{k}": f[:, k] for k in range(LANES)} | {"t": [x.tobytes() for x in np.minimum(far, 255).astype(np.uint8)], "keys": [m[3] for m in made]}
+            yield pd.DataFrame(out)
 
-    prints = _texts_of(docs).withColumn("doc_id", id_in()).mapInPandas(run, "doc_id long, h long, g long, same long, n long, f array<long>, keys array<long>")
-    prints = materialise(prints.withColumn("doc_id", id_out()), "wide-simhash")
+    fs = [f"f{k}" for k in range(LANES)]
+    schema = "doc_id long, h long, g long, same long, n long, " + "".join(f"{f} long, " for f in fs) + "t binary, keys array<long>"
+    prints = materialise(_texts_of(docs).withColumn("doc_id", id_in()).mapInPandas(run, schema).withColumn("doc_id", id_out()), "wide-simhash")
     # a row with an id goes first, then the least id, then the least hashes of the text
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "g", "n", "f", "keys")).alias("r")
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h", "g", "n", *fs, "t", "keys")).alias("r")
     classes = materialise(prints.groupBy("same").agg(least).select("same", "r.*"), "classes")
-    refs = [[_signed(xxhash.xxh64_intdigest(bytes([i, k]), 7)) for k in range(LANES)] for i in range(N_PIVOTS)]
-    lane = lambda k: F.col("f")[k]
-    spread = lambda x: sum((F.bit_count(v) for v in x[1:]), F.bit_count(x[0]))
-    table_ = F.struct(*(spread([lane(k).bitwiseXOR(F.lit(r[k])) for k in range(LANES)]).cast("short").alias(f"d{i}") for i, r in enumerate(refs)))
-    fs = [f"f{k}" for k in range(LANES)]
-    reps = materialise(classes.select("same", "n", *(lane(k).alias(f) for k, f in enumerate(fs)), table_.alias("t"), "keys"), "representatives")
-
-    def by_band(df: DataFrame, *more: str) -> DataFrame:
-        each = df.select("same", "n", *fs, "t", "keys", *more, F.posexplode("keys").alias("band", "key"))
-        return each.withColumn("prior", F.get("keys", F.col("band") - 1)).drop("keys")
-
-    rows = by_band(reps)
-    apart = spread([F.col(f"a.{f}").bitwiseXOR(F.col(f"b.{f}")) for f in fs])
-    far = F.greatest(*(F.abs(F.col(f"a.t.d{i}") - F.col(f"b.t.d{i}")) for i in range(N_PIVOTS)))
-    sizes = 5 * F.least("a.n", "b.n") >= 4 * F.greatest("a.n", "b.n")  # else the sets can't reach 0.8
-    close = sizes & (far <= radius) & (apart <= radius)
+    banded = classes.select("same", "n", *fs, "t", "keys", F.posexplode("keys").alias("band", "key"))
     # first every row of a bucket against the bucket's least one: as many comparisons as rows
-    hub = rows.groupBy("band", "key").agg(F.min(F.struct("same", "n", *fs, "t")).alias("hub"), F.count("*").alias("m")).filter("m > 1")
-    hub = materialise(hub.select("band", "key", "hub.*"), "hubs")
-    a, b = rows.alias("a"), hub.alias("b")
-    meet = (F.col("a.band") == F.col("b.band")) & (F.col("a.key") == F.col("b.key"))
-    stars = a.join(b, meet & (F.col("a.same") != F.col("b.same")) & close).select(F.col("a.same").alias("a"), F.col("b.same").alias("b"))
-    grp = components(_verified(stars, classes, docs, shingle)).withColumnsRenamed({"node": "_node", "root": "_grp"})
-    rows = by_band(reps.join(grp, F.col("same") == F.col("_node"), "left").withColumn("grp", F.coalesce("_grp", "same")), "grp")
-    # then all pairs of a bucket that the stars have not connected
-    a, b = rows.alias("a"), rows.alias("b")
-    new = F.coalesce(F.col("a.prior") != F.col("b.prior"), F.lit(True))  # a run of common bands gives a pair at its first
-    met = a.join(b, meet & (F.col("a.same") < F.col("b.same")) & (F.col("a.grp") != F.col("b.grp")) & new & close)
-    met = met.select(F.col("a.same").alias("a"), F.col("b.same").alias("b"), F.col("a.grp").alias("ga"), F.col("b.grp").alias("gb"))
-    links_ = _verified(met, classes, docs, shingle).select(F.col("ga").alias("a"), F.col("gb").alias("b")).union(grp.select(F.col("_node"), F.col("_grp")))
-    roots = components(links_).withColumnRenamed("node", "_node")
+    hub = banded.groupBy("band", "key").agg(F.min(F.struct("same", "n", *fs)).alias("hub"), F.count("*").alias("m")).filter("m > 1")
+    hub = materialise(hub.select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.col("hub").alias("_hub")), "hubs")
+    apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"_hub.{f}"))) for f in fs[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("_hub.f0"))))
+    sizes = 5 * F.least("n", "_hub.n") >= 4 * F.greatest("n", "_hub.n")  # else the sets can't reach 0.8
+    met = (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")) & (F.col("same") != F.col("_hub.same")) & sizes & (apart <= radius)
+    stars = materialise(banded.join(hub, met).select("same", F.col("_hub.same").alias("hub")).distinct(), "stars")
+    sets = _with_sets(stars.select("same").union(stars.select("hub")), classes, docs, shingle)
+    side = lambda x, to: sets.select(F.col("_same").alias(f"_{x}"), F.col("s").alias(to))
+    both = stars.join(side("same", "sa"), F.col("same") == F.col("_same")).join(side("hub", "sb"), F.col("hub") == F.col("_hub"))
+    alike = 9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))
+    grp = components(both.filter(alike).select(F.col("same").alias("a"), F.col("hub").alias("b"))).withColumnsRenamed({"node": "_node", "root": "_grp"})
+    grp = materialise(grp, "star-groups")
+    rows = materialise(classes.join(grp, F.col("same") == F.col("_node"), "left").select("same", "n", *fs, "t", "keys", F.coalesce("_grp", "same").alias("grp")), "star-rows")
+    # then all rows of a bucket that the stars have left in different groups, inside tasks and in blocks
+    banded = rows.select("*", F.posexplode("keys").alias("band", "key"))
+    open_ = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi")
+    open_ = materialise(open_.select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.ceil(F.col("m") / block).cast("int").alias("blocks")), "open-buckets")
+    dealt = banded.join(open_, (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key"))).withColumn("r", F.pmod("same", F.col("blocks")).cast("int"))
+    others = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    dealt = dealt.withColumn("o", others).withColumns({"x": F.least("r", "o"), "y": F.greatest("r", "o")})
+    columns = ["band", "key", "x", "y", "r", "same", "grp", "n", *fs, "t", "keys"]
+    by = ["band", "key", "x", "y"]
+    ordered = lambda df: df.repartition(*by).sortWithinPartitions(*by, "same")
+    types = "band int, key long, x int, y int, r int, same long, grp long, n long, " + "".join(f"{f} long, " for f in fs) + "t binary, keys array<long>"
+    live = ordered(dealt.select(columns)).mapInPandas(in_groups(by, lambda: _Near(radius, False)), types)
+    live = materialise(live, "rows-with-partners")
+    sets = _with_sets(live, classes, docs, shingle)
+    whole = ordered(live.join(sets, F.col("same") == F.col("_same")).drop("_same"))
+    found = whole.mapInPandas(in_groups(by, lambda: _Near(radius, True)), "a long, b long")
+    roots = components(found.union(grp.select("_node", "_grp"))).withColumnRenamed("node", "_node")
     rooted = classes.join(roots, F.col("same") == F.col("_node"), "left").select("same", "no_id", "doc_id", "h", "g", F.coalesce("root", "same").alias("root"))
     rooted = materialise(rooted, "rooted")
     # written tables, so that Spark splits the join where a group is large
@@ -263,17 +332,18 @@ def _grouped(docs: DataFrame, shingle: int, radius: int) -> tuple[DataFrame, Dat
     return prints.select("doc_id", "h", "g", "same"), found
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
     """(doc_id, same, component): near copies at a shingle similarity of 0.8 and more.
 
     Pairs meet under bands of least shingle hashes (16 bands of 4: similarity 0.8 meets with probability 0.9998).
     Sizes, pivot tables and four lanes of majority bits (256) over the distinct shingles discard: sets of Jaccard
     similarity 0.8 differ in at most 39 bits on average (48 in sets of five), with a standard deviation of six, so
     the radius keeps them. What is left is decided by the Jaccard similarity of the shingle hashes itself. Texts of
-    equal words are one row. A dense group is connected by its buckets' stars first, so that the join of pairs
-    gives out what they left.
+    equal words are one row. A dense group is connected by its buckets' stars first. What these leave in different
+    groups is compared inside tasks: a bucket of more than ``block`` rows is dealt to pairs of blocks, and a block
+    gives out a spanning set of its links, so nothing that Spark moves grows with the number of pairs.
     """
-    prints, found = _grouped(docs, shingle, radius)
+    prints, found = _grouped(docs, shingle, radius, block)
     return prints.join(found, F.col("same") == F.col("_same"), "left").select("doc_id", "same", F.col("_doc_id").alias("component"))
 
 

@@ -420,6 +420,33 @@ def test_near_copies_are_decided_by_their_shingle_similarity(spark):
     assert {k: got[k] for k in want} == want
 
 
+@pytest.mark.parametrize("block", [3, 1024])
+def test_dense_groups_below_and_above_the_bound_are_whole(spark, block):
+    """Copies of one text with a random tenth of it replaced: pairs lie on both sides of 0.8, and no row is like all others."""
+    r, rows = random.Random(3), []
+    for k in range(70):
+        w = [f"base{i}" for i in range(160)]
+        at = r.randrange(160)
+        for i in range(r.randint(4, 18)):
+            w[(at + i) % 160] = f"own{k}x{i}"
+        rows.append((k, " ".join(w)))
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(156)} for _, t in rows]
+    root = list(range(70))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i in range(70):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    got = {r.doc_id: r.component for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert got == {i: find(i) for i in range(70)} and len(set(got.values())) > 1
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
