@@ -1,15 +1,17 @@
 """Training-order materialisation: token ids in fixed-stride shards, in a keyed random order.
 
 Documents become sequences of ``seq_len`` token ids (a document's end id, then padding, fills its last one; every
-document with at least one token has at least one sequence). Sequences are numbered densely from 0 to N - 1 in
-the order of the token table as written, by sums over its parts. A balanced Feistel network keyed by ``key`` on
-the least even power of two that holds N, walked until the value falls below N, is a permutation of the
-numbers: it gives each sequence its slot without any shuffle or state, and the slot can be computed for one
-sequence alone, forwards or backwards. Shard s holds the slots from s * per_shard on; a record is ``seq_len``
-unsigned 16-bit ids, so a reader seeks to (slot % per_shard) * stride and resumes from any slot.
-
-Defined results: null and empty texts have no sequence; repeated rows each have their own; null ids are kept;
-an empty table gives an empty table.
+document with at least one token has at least one sequence). Documents are dealt to ranges of a hash of id and
+text and sorted in them, so that all layouts of the input have one order; sums over the ranges number
+the sequences densely from 0 to N - 1 in that order. A balanced Feistel network keyed by ``key`` on the least even
+power of two that holds N, walked until the value falls below N, is a permutation of the numbers: it gives each
+sequence its slot without any shuffle or state, and the slot can be computed for one sequence alone, forwards or
+backwards. Shard s holds the slots from s * per_shard on; a record is ``seq_len`` unsigned 16-bit ids, so a reader
+seeks to (slot % per_shard) * stride and resumes from any slot.
+
+Defined results: null and empty texts have no sequence; repeated rows each have their own (they are equal, so
+their order among themselves does not matter); null ids are kept; a text of any length is encoded whole; an
+empty table gives an empty table; extra columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +32,6 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
 ROUNDS = 6
-MAX_BROADCAST_PARTS = 1_000_000
 _encoders: dict = {}
 
 
@@ -71,6 +72,16 @@ def permute(index: np.ndarray, n: int, key: int, inverse: bool = False) -> np.nd
     return out.astype(np.int64)
 
 
+def in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in an order of their contents alone: partition k has the k-th range of their hashes, sorted."""
+    n = shuffle_partitions(docs.sparkSession)
+    rows = docs.select(id_in(), F.col("text").cast("string"))
+    rows = rows.withColumns({"_k": F.xxhash64("doc_id", "text"), "_g": F.xxhash64(F.lit(7), F.col("text"))})
+    # the hash's upper bits, moved to 0 .. 2**31 - 1; ranges of equal width are known without a sample
+    part = F.shiftright((F.shiftright("_k", 32) + F.lit(1 << 31)) * F.lit(n), 32).cast("int")
+    return rows.repartitionById(n, part).sortWithinPartitions("_k", "doc_id", "_g").select("doc_id", "text")
+
+
 def tokenise(docs: DataFrame, seq_len: int, vocabulary: str = VOCABULARY) -> DataFrame:
     """(doc_id, part, first, n_seq, tokens): ids of each document; ``first`` numbers sequences within the part."""
     with open(vocabulary, "rb") as f:
@@ -87,8 +98,8 @@ def tokenise(docs: DataFrame, seq_len: int, vocabulary: str = VOCABULARY) -> Dat
                 first += n
             yield pd.DataFrame(rows, columns=["doc_id", "part", "first", "n_seq", "tokens"])
 
-    docs = docs.select(id_in(), F.col("text").cast("string"))
-    return docs.mapInPandas(run, "doc_id long, part int, first long, n_seq int, tokens binary")
+    made = in_order(docs).mapInPandas(run, "doc_id long, part int, first long, n_seq int, tokens binary")
+    return made.filter("n_seq > 0")
 
 
 def training_order(docs: DataFrame, key: int = 0, seq_len: int = 512, per_shard: int = 4096, vocabulary: str = VOCABULARY, shards_per_task: int = 64) -> DataFrame:
@@ -97,13 +108,12 @@ def training_order(docs: DataFrame, key: int = 0, seq_len: int = 512, per_shard:
     Slots fill 0 to N - 1, so equal ranges are known without a sample: no task has more than ``shards_per_task``
     shards, and no range more than one shard above another.
     """
-    made = materialise(tokenise(docs, seq_len, vocabulary), "tokens").filter("n_seq > 0")
+    made = materialise(tokenise(docs, seq_len, vocabulary), "tokens", "zstd")
     parts = made.groupBy("part").agg(F.sum("n_seq").alias("n"))
-    total, n_parts = parts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total = parts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    # a row for each range, and of ranges there are as many as shuffle partitions: broadcast, the tokens stay where they are
     base = parts.select(F.col("part").alias("_part"), (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
-    # a row for each task that wrote tokens; broadcast up to the bound, so that the tokens stay where they are
-    base = F.broadcast(base) if n_parts <= MAX_BROADCAST_PARTS else base
-    numbered = made.join(base, F.col("part") == F.col("_part")).select("doc_id", (F.col("base") + F.col("first")).alias("at"), "n_seq", "tokens")
+    numbered = made.join(F.broadcast(base), F.col("part") == F.col("_part")).select("doc_id", (F.col("base") + F.col("first")).alias("at"), "n_seq", "tokens")
     stride = 2 * seq_len
 
     def run(batches):
@@ -128,14 +138,28 @@ def training_order(docs: DataFrame, key: int = 0, seq_len: int = 512, per_shard:
 
 
 def write_shards(ordered: DataFrame, path: str) -> None:
-    """One Parquet row for each shard: its number and its records on end. A shard is ``per_shard`` records of
-    one stride, so its size is a parameter."""
+    """One Parquet row for each stretch of a shard's slots that stands together: its records on end.
 
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("slot")
-        return pd.DataFrame({"shard": pdf["shard"].iloc[:1], "first_slot": pdf["slot"].iloc[:1], "n": [len(pdf)], "records": [b"".join(pdf.tokens)]})
+    Rows are packed in the order they come in, without a shuffle: partitions of ``training_order`` are ranges of whole
+    shards, so a shard is one row there (and as many as there are pieces if a reader has cut it). A shard is
+    ``per_shard`` records of one stride, so its size is a parameter.
+    """
 
-    ordered.select("shard", "slot", "tokens").groupBy("shard").applyInPandas(pack, "shard long, first_slot long, n long, records binary").write.parquet(path)
+    def pack(batches):
+        shard, first, held = None, 0, []
+        out = lambda: pd.DataFrame({"shard": [shard], "first_slot": [first], "n": [len(held)], "records": [b"".join(held)]})
+        for pdf in batches:
+            for s, slot, tokens in zip(pdf["shard"].tolist(), pdf["slot"].tolist(), pdf.tokens, strict=True):
+                if held and (s != shard or slot != first + len(held)):
+                    yield out()
+                    held = []
+                if not held:
+                    shard, first = s, slot
+                held.append(tokens)
+        if held:
+            yield out()
+
+    ordered.select("shard", "slot", "tokens").mapInPandas(pack, "shard long, first_slot long, n long, records binary").write.parquet(path)
 
 
 def read_from(spark, path: str, slot: int, per_shard: int = 4096) -> DataFrame:

@@ -169,9 +169,22 @@ def test_training_order(spark, small, tmp_path):
                 part = ids[k : k + 64]
                 want[(i, k // 64, len(part), np.array(part + [training_order.END] * (64 - len(part)), np.uint16).tobytes())] += 1
     assert Counter((r.doc_id, r.seq_no, r.n_tokens, bytes(r.tokens)) for r in rows) == want
-    training_order.write_shards(out, str(tmp_path / "shards"))
-    read = {r.slot: bytes(r.tokens) for r in training_order.read_from(spark, str(tmp_path / "shards"), 21, 16).collect()}
-    assert read == {r.slot: bytes(r.tokens) for r in rows if r.slot >= 21}
+    for name, source in (("shards", ordered), ("pieces", out)):
+        training_order.write_shards(source, str(tmp_path / name))
+        read = {r.slot: bytes(r.tokens) for r in training_order.read_from(spark, str(tmp_path / name), 21, 16).collect()}
+        assert read == {r.slot: bytes(r.tokens) for r in rows if r.slot >= 21}
+    assert spark.read.parquet(str(tmp_path / "shards")).count() == -(-len(rows) // 16)
+
+
+def test_training_order_does_not_depend_on_the_layout(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    seen = []
+    for n, parts in ((1, "3"), (3, "8"), (5, "8")):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        clash = docs.repartition(n).withColumns({"part": F.lit("x"), "slot": F.lit(0), "_k": F.lit("y"), "at": F.lit(1)})
+        seen.append(sorted((r.slot, repr(r.doc_id), r.seq_no, bytes(r.tokens)) for r in training_order.training_order(clash, key=3, seq_len=32).collect()))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert seen[0] == seen[1] == seen[2] and len(seen[0]) > 100
 
 
 # -- 3
