@@ -3,11 +3,19 @@
 The sketch of a measure is a table of log-linear histogram bins (32 to each power of two, so a quantile is
 off by at most 1/32 of its value). Bins of two sketches merge by adding counts, hence Spark builds one sketch
 per language and source with a partial aggregate, and the same rows merged further give one per language and
-one for the corpus. Groups with fewer than ``min_group`` measured documents take the thresholds of the next
-wider sketch. All arithmetic is on integers, so reruns and other engines agree.
+one for the corpus. A group's sketch is merged with those two at a fixed weight (as if ``prior`` documents of its
+language and a tenth of that of the corpus stood in it), so a thin group leans on the wider sketches and a large one on
+itself, without a switch between them. All arithmetic up to the limits is on integers, so reruns and other engines agree.
+
+Limits come from the sketch alone. A level (word length) lies within the quartiles widened by ``reach`` times their
+distance. A rate (symbols, repeated lines, repeated words) is mostly zero in clean text, where quartiles say nothing: its
+scale is the first quantile of 0.75, 0.9, 0.95, 0.99 that lies above the median, and its limit that quantile plus ``reach``
+times its distance from the median. A document is rejected if its count exceeds what the limit gives for its length by more than three standard
+deviations of such a count, so short texts are not judged by one symbol.
 
 Defined results: null text has no words and fails the base rules; null language or source forms its own
-group; an empty table gives an empty table; repeated rows are judged alike and count each time.
+group; texts of any length are measured whole; ties at a limit are kept; repeated rows are judged alike and
+count each time; an empty table gives an empty table; columns named like the measures are replaced.
 """
 
 from __future__ import annotations
@@ -25,22 +33,27 @@ SYMBOLS = r"[#*$%&|<>]"
 
 @dataclass(frozen=True)
 class Rule:
-    """Reject a document whose measure lies beyond its group's quartiles by ``reach`` spreads (the spread is
-    the distance of the quartiles, at least ``least_spread``)."""
+    """A measure: ``count`` for each ``unit`` units of ``base``. A level has two limits; else it is a rate, whose counts
+    come ``clump`` at a time (a repetition is two windows of three words)."""
 
     name: str
+    count: str
+    base: str
+    unit: int
     reach: int
-    least_spread: int
-    both_sides: bool = False
+    level: bool = False
+    clump: int = 1
 
 
-#: Measures are scaled integers: see measures().
 RULES = (
-    Rule("symbols", 3, 15),
-    Rule("word_length", 3, 60, both_sides=True),
-    Rule("dup_lines", 3, 150),
-    Rule("repeats", 3, 160),
+    Rule("symbols", "n_symbols", "n_words", 1000, 3),
+    Rule("word_length", "word_chars", "n_words", 100, 4, level=True),
+    Rule("dup_lines", "n_dup_lines", "n_lines", 1000, 3),
+    Rule("repeats", "n_repeat_words", "n_words", 1000, 3, clump=6),
 )
+#: Quantiles in hundredths: those of levels, then the ladder of rates.
+QUANTILES = (25, 50, 75, 90, 95, 99)
+PRIOR = 100
 
 
 def _n_repeat_words(ws: Column) -> Column:
@@ -89,11 +102,7 @@ def measure(docs: DataFrame) -> DataFrame:
 
 def measures() -> dict[str, Column]:
     """Scaled integers for the rules: per thousand words or lines, hundredths of a character for word length."""
-    per = lambda a, scale, b: F.floor(F.col(a) * scale / F.greatest(F.col(b), F.lit(1))).cast("long")
-    return {
-        "symbols": per("n_symbols", 1000, "n_words"), "word_length": per("word_chars", 100, "n_words"),
-        "dup_lines": per("n_dup_lines", 1000, "n_lines"), "repeats": per("n_repeat_words", 1000, "n_words"),
-    }
+    return {r.name: F.floor(F.col(r.count) * r.unit / F.greatest(F.col(r.base), F.lit(1))).cast("long") for r in RULES}
 
 
 def _bin(v: Column) -> Column:
@@ -114,47 +123,63 @@ def sketch(measured: DataFrame) -> DataFrame:
     return measured.filter(~F.col("base_failed")).select("lang", "source", each.alias("m")).groupBy("lang", "source", "m.rule", "m.bin").agg(F.count("*").alias("n"))
 
 
-def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
-    by = [*keys, "rule"]
-    merged = bins.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
-    run = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-    seen = merged.withColumns({"upto": F.sum("n").over(run), "all": F.sum("n").over(Window.partitionBy(*by))})
-    at = lambda q: _bin_floor(F.min(F.when(4 * F.col("upto") >= q * F.col("all"), F.col("bin"))))
-    return seen.groupBy(*by).agg(F.max("all").alias("group_n"), at(1).alias("q1"), at(3).alias("q3"))
-
-
-def thresholds(bins: DataFrame, min_group: int = 100) -> DataFrame:
-    """One row for each language and source: an array of (rule, low, high), the widest sketch used where the
-    own one is thin. Its size is the number of language and source pairs."""
-    rule = F.explode(F.array(*(F.struct(F.lit(r.name).alias("rule"), F.lit(r.reach).cast("long").alias("reach"), F.lit(r.least_spread).cast("long").alias("least_spread"), F.lit(r.both_sides).alias("both_sides")) for r in RULES)))
-    g = bins.select("lang", "source").distinct().select("lang", "source", rule.alias("r")).select("lang", "source", "r.*")
-    own, lang, whole = (_quartiles(bins, k) for k in (["lang", "source"], ["lang"], []))
-    for df, name, keys in ((own, "o", ["lang", "source", "rule"]), (lang, "l", ["lang", "rule"]), (whole, "w", ["rule"])):
-        d = df.select(*(F.col(k).alias(f"{name}_{k}") for k in keys), F.struct("q1", "q3", "group_n").alias(name))
-        cond = None
-        for k in keys:
-            c = F.col(k).eqNullSafe(F.col(f"{name}_{k}"))
-            cond = c if cond is None else cond & c
-        g = g.join(d, cond, "left").drop(*(f"{name}_{k}" for k in keys))
-    q = F.when(F.col("o.group_n") >= min_group, F.col("o")).when(F.col("l.group_n") >= min_group, F.col("l")).otherwise(F.col("w"))
-    g = g.withColumn("q", q).withColumn("spread", F.greatest(F.col("q.q3") - F.col("q.q1"), F.col("least_spread")))
-    limit = F.struct(
-        F.when(F.col("both_sides"), F.col("q.q1") - F.col("reach") * F.col("spread")).otherwise(F.lit(-1)).alias("low"),
-        (F.col("q.q3") + F.col("reach") * F.col("spread")).alias("high"),
-    )
-    return g.groupBy("lang", "source").agg(*(F.first(F.when(F.col("rule") == r.name, limit), ignorenulls=True).alias(f"_{r.name}") for r in RULES))
-
-
-def judge(measured: DataFrame, min_group: int = 100) -> DataFrame:
+def quantiles(bins: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """(lang, source, rule, q25, q50, ...) of each group's sketch merged with the wider ones."""
+
+    def sums(keys: list[str]) -> DataFrame:
+        each = bins.groupBy(*keys, "rule", "bin").agg(F.sum("n").alias("n"))
+        return each.withColumn("all", F.sum("n").over(Window.partitionBy(*keys, "rule")))
+
+    # counts in thousandths of a document; a wider sketch adds its shares of the prior
+    share = lambda docs: F.expr(f"(1000L * {docs} * n) div `all`")
+    groups = bins.select("lang", "source").distinct()
+    own = bins.select("lang", "source", "rule", "bin", (1000 * F.col("n")).alias("w"))
+    lang = sums(["lang"]).select(F.col("lang").alias("_l"), "rule", "bin", share(prior).alias("w"))
+    lang = groups.join(lang, F.col("lang").eqNullSafe(F.col("_l"))).select("lang", "source", "rule", "bin", "w")
+    # the corpus has four rules of some hundred bins each: all groups get them as one array
+    whole = sums([]).agg(F.collect_list(F.struct("rule", "bin", share(max(1, prior // 10)).alias("w"))).alias("whole"))
+    whole = groups.join(F.broadcast(whole)).select("lang", "source", F.inline("whole"))
+    merged = own.union(lang).union(whole).groupBy("lang", "source", "rule", "bin").agg(F.sum("w").alias("w"))
+    by = Window.partitionBy("lang", "source", "rule")
+    seen = merged.withColumns({"upto": F.sum("w").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("w").over(by)})
+    at = lambda q: F.min(F.when(100 * F.col("upto") >= q * F.col("all"), F.col("bin"))).alias(f"b{q}")
+    bins_at = seen.groupBy("lang", "source", "rule").agg(*(at(q) for q in QUANTILES))
+    # the lower edge of the lower quartile's bin, the upper edges of the others: what lies in a quantile's bin is within it
+    edge = lambda q: _bin_floor(F.col(f"b{q}")) if q < 50 else _bin_floor(F.col(f"b{q}") + 1) - 1
+    return bins_at.select("lang", "source", "rule", *(edge(q).alias(f"q{q}") for q in QUANTILES))
+
+
+def thresholds(bins: DataFrame, prior: int = PRIOR) -> DataFrame:
+    """One row for each language and source: a (low, high) for each rule; low is null for rates."""
+    reach = F.lit(None).cast("long")
+    for r in RULES:
+        reach = F.when(F.col("rule") == r.name, r.reach).otherwise(reach)
+    level = F.col("rule").isin([r.name for r in RULES if r.level])
+    ladder = [F.when(F.col(f"q{q}") > F.col("q50"), F.col(f"q{q}")) for q in QUANTILES if q > 50]
+    scale = F.coalesce(*ladder, F.col("q50"))
+    high = F.when(level, F.col("q75") + reach * (F.col("q75") - F.col("q25"))).otherwise(scale + reach * (scale - F.col("q50")))
+    limit = F.struct(F.when(level, F.col("q25") - reach * (F.col("q75") - F.col("q25"))).alias("low"), high.alias("high"))
+    found = quantiles(bins, prior).select("lang", "source", "rule", limit.alias("limit"))
+    return found.groupBy("lang", "source").agg(*(F.first(F.when(F.col("rule") == r.name, F.col("limit")), ignorenulls=True).alias(f"_{r.name}") for r in RULES))
+
+
+def judge(measured: DataFrame, prior: int = PRIOR) -> DataFrame:
     """Add ``kept``: passes the base rules and lies within all thresholds of its language and source.
 
     ``measured`` is read twice (sketch, filter), so hand in a materialised table.
     """
-    limits = thresholds(sketch(measured), min_group).withColumnsRenamed({"lang": "_lang", "source": "_source"})
+    limits = thresholds(sketch(measured), prior).withColumnsRenamed({"lang": "_lang", "source": "_source"})
     joined = measured.join(limits, F.col("lang").eqNullSafe(F.col("_lang")) & F.col("source").eqNullSafe(F.col("_source")), "left")
-    ok = ~F.col("base_failed")
-    for name, value in measures().items():
-        ok = ok & F.coalesce(value.between(F.col(f"_{name}.low"), F.col(f"_{name}.high")), F.lit(True))
+    ok, values = ~F.col("base_failed"), measures()
+    for r in RULES:
+        low, high = F.col(f"_{r.name}.low"), F.col(f"_{r.name}.high")
+        if r.level:
+            good = values[r.name].between(low, high)
+        else:  # in units of 1 / unit: the count beyond the limit's, squared, against nine times the clump times the limit's count plus one
+            allowed = (high * F.col(r.base)).cast("double")
+            over = (F.col(r.count) * r.unit).cast("double") - allowed
+            good = (over <= 0) | (over * over <= (allowed + r.unit) * (9.0 * r.unit * r.clump))
+        ok = ok & F.coalesce(good, F.lit(True))
     return joined.withColumn("kept", ok).drop("_lang", "_source", *(f"_{r.name}" for r in RULES))
 
 
@@ -165,11 +190,21 @@ def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql() -> str:
-    per = {"symbols": "1000*n_symbols // greatest(n_words,1)", "word_length": "100*word_chars // greatest(n_words,1)", "dup_lines": "1000*n_dup_lines // greatest(n_lines,1)", "repeats": "1000*n_repeat_words // greatest(n_words,1)"}
-    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{r.name}' AS rule, {r.reach} AS reach, {r.least_spread} AS least_spread, {str(r.both_sides).lower()} AS both_sides, {per[r.name]} AS v FROM m" for r in RULES)
-    quart = lambda keys: f"""SELECT {keys}rule, max(al) AS group_n, min(CASE WHEN 4*upto >= al THEN bin END) AS b1, min(CASE WHEN 4*upto >= 3*al THEN bin END) AS b3 FROM
-        (SELECT {keys}rule, bin, sum(n) OVER (PARTITION BY {keys}rule ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY {keys}rule) AS al FROM (SELECT {keys}rule, bin, sum(n) AS n FROM bins GROUP BY ALL)) GROUP BY ALL"""
-    floor = lambda b: f"(({b} - 32*greatest(({b}>>5)-1,0)) << greatest(({b}>>5)-1,0))"
+    value = lambda r: f"{r.unit}*{r.count} // greatest({r.base},1)"
+    long = " UNION ALL ".join(f"SELECT doc_id, lang, source, base_failed, '{r.name}' AS rule, {value(r)} AS v FROM m" for r in RULES)
+    floor = lambda b: f"(({b} - 32*greatest((({b})>>5)-1,0)) << greatest((({b})>>5)-1,0))"
+    edge = lambda q: floor(f"b{q}") if q < 50 else f"{floor(f'(b{q}+1)')} - 1"
+    ladder = ", ".join(f"CASE WHEN q{q} > q50 THEN q{q} END" for q in QUANTILES if q > 50)
+    reach = "CASE rule " + " ".join(f"WHEN '{r.name}' THEN {r.reach}" for r in RULES) + " END"
+    levels = ", ".join(f"'{r.name}'" for r in RULES if r.level)
+
+    def good(r: Rule) -> str:
+        if r.level:
+            return f"({value(r)} BETWEEN {r.name}_low AND {r.name}_high)"
+        over, allowed = f"({r.count} * {r.unit} - {r.name}_high * {r.base})::DOUBLE", f"({r.name}_high * {r.base})::DOUBLE"
+        return f"({over} <= 0 OR {over} * {over} <= ({allowed} + {r.unit}) * {9.0 * r.unit * r.clump})"
+
+    pivot = ", ".join(f"max(low) FILTER (rule = '{r.name}') AS {r.name}_low, max(high) FILTER (rule = '{r.name}') AS {r.name}_high" for r in RULES)
     return rf"""
 WITH w AS (SELECT doc_id, lang, source, coalesce(text,'') AS t, regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
 win AS (SELECT doc_id, i, [ws[i], ws[i+1], ws[i+2]] AS k FROM w, unnest(range(1, len(ws)-1)) u(i)),
@@ -184,13 +219,23 @@ m0 AS (SELECT w.doc_id, lang, source, len(ws)::BIGINT AS n_words,
 m AS (SELECT *, (n_words < 50 OR 100*n_repeat_words > 50*n_words) AS base_failed FROM m0),
 v AS ({long}),
 bins AS (SELECT lang, source, rule, 32*greatest(length(bin(v))-6,0) + (v >> greatest(length(bin(v))-6,0)) AS bin, count(*) AS n FROM v WHERE NOT base_failed GROUP BY ALL),
-o AS ({quart("lang, source, ")}), l AS ({quart("lang, ")}), a AS ({quart("")}),
-j AS (SELECT v.*, CASE WHEN o.group_n >= 100 THEN {floor("o.b1")} WHEN l.group_n >= 100 THEN {floor("l.b1")} ELSE {floor("a.b1")} END AS q1,
-  CASE WHEN o.group_n >= 100 THEN {floor("o.b3")} WHEN l.group_n >= 100 THEN {floor("l.b3")} ELSE {floor("a.b3")} END AS q3
-  FROM v LEFT JOIN o ON v.lang IS NOT DISTINCT FROM o.lang AND v.source IS NOT DISTINCT FROM o.source AND v.rule = o.rule
-  LEFT JOIN l ON v.lang IS NOT DISTINCT FROM l.lang AND v.rule = l.rule LEFT JOIN a ON v.rule = a.rule),
-s AS (SELECT doc_id, bool_and(v <= q3 + reach*greatest(q3-q1, least_spread) AND (NOT both_sides OR v >= q1 - reach*greatest(q3-q1, least_spread))) AS ok FROM j GROUP BY doc_id)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, (NOT base_failed AND coalesce(ok, true)) AS kept FROM m JOIN s USING (doc_id)"""
+grp AS (SELECT DISTINCT lang, source FROM bins),
+bl AS (SELECT lang, rule, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY lang, rule) AS al FROM bins GROUP BY lang, rule, bin),
+ba AS (SELECT rule, bin, sum(n) AS n, sum(sum(n)) OVER (PARTITION BY rule) AS al FROM bins GROUP BY rule, bin),
+mix AS (SELECT lang, source, rule, bin, 1000*n AS w FROM bins
+  UNION ALL SELECT grp.lang, grp.source, rule, bin, 1000*{PRIOR}*n // al FROM grp JOIN bl ON grp.lang IS NOT DISTINCT FROM bl.lang
+  UNION ALL SELECT grp.lang, grp.source, rule, bin, 1000*{max(1, PRIOR // 10)}*n // al FROM grp, ba),
+mer AS (SELECT lang, source, rule, bin, sum(w) AS w FROM mix GROUP BY ALL),
+run AS (SELECT *, sum(w) OVER (PARTITION BY lang, source, rule ORDER BY bin) AS upto, sum(w) OVER (PARTITION BY lang, source, rule) AS al FROM mer),
+qb AS (SELECT lang, source, rule, {", ".join(f"min(bin) FILTER (100*upto >= {q}*al) AS b{q}" for q in QUANTILES)} FROM run GROUP BY ALL),
+q AS (SELECT lang, source, rule, {reach} AS reach, {", ".join(f"{edge(q)} AS q{q}" for q in QUANTILES)} FROM qb),
+s AS (SELECT *, coalesce({ladder}, q50) AS scale FROM q),
+lim AS (SELECT lang, source, rule, CASE WHEN rule IN ({levels}) THEN q25 - reach*(q75-q25) END AS low,
+  CASE WHEN rule IN ({levels}) THEN q75 + reach*(q75-q25) ELSE scale + reach*(scale-q50) END AS high FROM s),
+p AS (SELECT lang, source, {pivot} FROM lim GROUP BY ALL)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  (NOT base_failed AND {" AND ".join(f"coalesce({good(r)}, true)" for r in RULES)}) AS kept
+FROM m LEFT JOIN p ON m.lang IS NOT DISTINCT FROM p.lang AND m.source IS NOT DISTINCT FROM p.source"""
 
 
 SQL = {"op7_quality_rules": _sql()}

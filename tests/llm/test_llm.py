@@ -497,6 +497,27 @@ def test_sketch_merges_and_bounds_error(spark):
     assert b.filter("lo > v or v - lo > v / 32").count() == 0
 
 
+def test_limits_follow_each_source(spark):
+    """Two sources of one language with different symbol rates and word lengths get different limits, and a group of two
+    documents leans on its language."""
+
+    def doc(r, symbols, letters):
+        ws = ["".join(r.choice("abcdefghij") for _ in range(max(2, round(r.gauss(letters, 1))))) for _ in range(200)]
+        return " ".join(w + "#" * (r.random() < symbols) for w in ws)
+
+    r, rows = random.Random(6), []
+    for k in range(300):
+        rows += [(f"code {k}", doc(r, 0.2, 8), "en", "code"), (f"prose {k}", doc(r, 0.0 if k % 4 else 0.005, 5), "en", "prose")]
+    rows += [("thin 0", doc(r, 0.0, 5), "en", "thin"), ("thin 1", doc(r, 0.9, 5), "en", "thin"), ("odd", doc(r, 0.25, 5), "en", "prose"), ("same", doc(r, 0.25, 8), "en", "code")]
+    measured = materialise(quality.measure(spark.createDataFrame(rows, "doc_id string, text string, lang string, source string")), "two-sources")
+    limits = {x.source: x for x in quality.thresholds(quality.sketch(measured)).collect()}
+    assert limits["code"]._symbols.high > 5 * limits["prose"]._symbols.high > 0
+    assert limits["code"]._word_length.low > limits["prose"]._word_length.low and limits["code"]._word_length.high > limits["prose"]._word_length.high
+    kept = {x.doc_id: x.kept for x in quality.judge(measured).collect()}
+    assert not kept["odd"] and kept["same"] and kept["thin 0"]
+    assert sum(kept[f"{s} {k}"] for s in ("code", "prose") for k in range(300)) >= 590
+
+
 def test_quality_replaces_clashing_columns(spark, small):
     docs = spark.read.parquet(f"{small}/documents.parquet").withColumns({"n_words": F.lit("x"), "kept": F.lit("y"), "n_lines": F.lit(0)})
     out = quality.judge(materialise(quality.measure(docs), "clash"))
