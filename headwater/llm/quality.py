@@ -138,7 +138,7 @@ def quantiles(bins: DataFrame, prior: int = PRIOR) -> DataFrame:
     lang = groups.join(lang, F.col("lang").eqNullSafe(F.col("_l"))).select("lang", "source", "rule", "bin", "w")
     # the corpus has four rules of some hundred bins each: all groups get them as one array
     whole = sums([]).agg(F.collect_list(F.struct("rule", "bin", share(max(1, prior // 10)).alias("w"))).alias("whole"))
-    whole = groups.join(F.broadcast(whole)).select("lang", "source", F.inline("whole"))
+    whole = groups.withColumn("whole", whole.scalar()).select("lang", "source", F.inline("whole"))
     merged = own.union(lang).union(whole).groupBy("lang", "source", "rule", "bin").agg(F.sum("w").alias("w"))
     by = Window.partitionBy("lang", "source", "rule")
     seen = merged.withColumns({"upto": F.sum("w").over(by.orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)), "all": F.sum("w").over(by)})

@@ -5,10 +5,17 @@ refresh in a page, or a table of crawl redirects) and canonical links are one do
 connected components over those edges carry a block decision from any member to those that no rule decides. A
 rule that allows a URL explicitly holds against that, and a URL that nothing decides is allowed.
 
+All canonical links and refreshes of a page count. Their targets are resolved against the page's URL as RFC 3986
+says (scheme, network, root, query and path references, dot segments), after character references are decoded and comments
+and scripts left out. Nodes of the graph are normalised: scheme and host in lower case, no default port, no fragment, an
+empty path is the root. A target that names no host joins nothing.
+
 Rules are joined by host suffixes, so their number may be anything; pages are judged once for each distinct URL.
 
-Defined results: null and scheme-less URLs have empty host and path, fit no rule and are allowed; null html
-has no links; repeated rows are judged alike; an empty table gives an empty table; extra columns are not touched.
+Defined results: null and scheme-less URLs have empty host and path, fit no rule and are allowed, and their links
+join nothing; null html has no links; html of any length is read whole; of rules of one length the block goes before the
+allow by the order of the rules' text; repeated rows are judged alike; an empty table gives an empty table; extra columns are
+not touched, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,9 +28,18 @@ from .components import components
 
 #: The contract's rules: host, path, action.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
-CANONICAL = r"""(?i)<link\s[^>]*rel\s*=\s*["']?canonical["'\s/>][^>]*>?"""
-REFRESH = r"""(?i)<meta\s[^>]*http-equiv\s*=\s*["']?refresh["'\s/>][^>]*>?"""
+_HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
+CANONICAL = r"""(?i)<link\b[^>]*>"""
+REFRESH = r"""(?i)<meta\b[^>]*>"""
+_IS_CANONICAL = r"""(?i)\srel\s*=\s*(?:"(?:[^"]*\s)?canonical(?:\s[^"]*)?"|'(?:[^']*\s)?canonical(?:\s[^']*)?'|canonical[\s/>])"""
+_IS_REFRESH = r"""(?i)\shttp-equiv\s*=\s*(?:"\s*refresh\s*"|'\s*refresh\s*'|refresh[\s/>])"""
+_HREF = r"""(?i)\shref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>][^\s>]*))"""
+_CONTENT = r"""(?i)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>][^\s>]*))"""
+_TO = r"""(?i)^[^;,]*[;,]\s*url\s*=\s*["']?([^"'\s]+)"""
+#: Character references that URLs hold, the ampersand's last.
+_REFERENCES = (("&(?:quot|#34|#[xX]22);", '"'), ("&(?:apos|#39|#[xX]27);", "'"), ("&(?:lt|#60|#[xX]3[cC]);", "<"), ("&(?:gt|#62|#[xX]3[eE]);", ">"), ("&(?:sol|#47|#[xX]2[fF]);", "/"), ("&(?:colon|#58|#[xX]3[aA]);", ":"), ("&(?:amp|#38|#[xX]26);", "&"))
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"  # scheme, host, path, query
 
 
 def _rest(url: Column) -> Column:
@@ -40,7 +56,9 @@ def path(url: Column) -> Column:
 
 
 def rule_table(spark, rules=RULES) -> DataFrame:
-    return spark.createDataFrame([*rules], "rule_host string, rule_path string, action string")
+    """(rule_host, rule_path, action): a table of literals, made without Python rows."""
+    each = F.array(*(F.struct(F.lit(h).alias("rule_host"), F.lit(p).alias("rule_path"), F.lit(a).alias("action")) for h, p, a in rules))
+    return spark.range(1, numPartitions=1).select(F.inline(each))
 
 
 def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -55,15 +73,64 @@ def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return parts.join(best, F.col("url").eqNullSafe(F.col("_url")), "left").select("url", "host", "path", "best.rule", "best.action")
 
 
+def _decoded(text: Column) -> Column:
+    for pattern, char in _REFERENCES:
+        text = F.regexp_replace(text, pattern, char)
+    return text
+
+
+def node(url: Column) -> Column:
+    """A URL's name in the graph; null if it has no scheme and host."""
+    part = lambda k: F.regexp_extract(url, _PARTS, k)
+    scheme, host_ = F.translate(part(1), _UPPER, _LOWER), F.translate(part(2), _UPPER, _LOWER)
+    port = F.when(scheme == "http", F.regexp_replace(host_, ":(?:80)?$", "")).when(scheme == "https", F.regexp_replace(host_, ":(?:443)?$", "")).otherwise(host_)
+    return F.when(part(2) != "", F.concat(scheme, F.lit("://"), port, F.when(part(3) == "", F.lit("/")).otherwise(part(3)), part(4)))
+
+
+def _without_dots(path_: Column) -> Column:
+    """A path from the root with its dot segments taken out."""
+    names = F.slice(F.split(path_, "/"), 2, F.size(F.split(path_, "/")))
+
+    def step(kept: Column, name: Column) -> Column:
+        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(name == "..", up).when(name == ".", kept).otherwise(F.concat(kept, F.array(name)))
+
+    kept = F.aggregate(names, F.array().cast("array<string>"), step)
+    last = F.element_at(names, -1)
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
+
+
+def resolved(base: Column, reference: Column) -> Column:
+    """The URL that a reference in the page at ``base`` names; null if there is none."""
+    scheme, origin = F.regexp_extract(base, _PARTS, 1), F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
+    path_, query = F.regexp_extract(base, _PARTS, 3), F.regexp_extract(base, _PARTS, 4)
+    ref_path, rest = F.regexp_extract(reference, r"^([^?#]*)(\?[^#]*)?", 1), F.regexp_extract(reference, r"^([^?#]*)(\?[^#]*)?", 2)
+    root = F.when(path_ == "", F.lit("/")).otherwise(path_)
+    merged = F.concat(F.regexp_extract(root, r"^.*/", 0), ref_path)
+    absolute = reference.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
+    target = (
+        F.when(absolute, reference)
+        .when(reference.startswith("//"), F.concat(scheme, F.lit(":"), reference))
+        .when(ref_path == "", F.concat(origin, path_, F.when(rest == "", query).otherwise(rest)))
+        .when(reference.startswith("/"), F.concat(origin, _without_dots(ref_path), rest))
+        .otherwise(F.concat(origin, _without_dots(merged), rest))
+    )
+    full = F.regexp_extract(target, _PARTS, 0)
+    # the dots of references that name their own host
+    own = F.when(F.regexp_extract(full, _PARTS, 3) == "", full).otherwise(F.concat(F.regexp_extract(full, r"^[^:/?#]+://[^/?#]*", 0), _without_dots(F.regexp_extract(full, _PARTS, 3)), F.regexp_extract(full, _PARTS, 4)))
+    return F.when((origin != "") & (full != ""), F.when(absolute | reference.startswith("//"), own).otherwise(target))
+
+
 def link_edges(pages: DataFrame) -> DataFrame:
-    """(a, b): url and target of canonical links and meta refreshes; root-relative targets get the url's origin."""
-    html = F.coalesce(F.col("html"), F.lit(""))
-    href = F.regexp_extract(F.regexp_extract(html, CANONICAL, 0), r"""(?i)\shref\s*=\s*["']?([^"'\s>]+)""", 1)
-    to = F.regexp_extract(F.regexp_extract(html, REFRESH, 0), r"""(?i)url\s*=\s*["']?([^"'\s>]+)""", 1)
-    origin = F.regexp_extract("url", r"^[^/?#]*://[^/?#]*", 0)
-    full = lambda t: F.when(t.startswith("/") & ~t.startswith("//"), F.concat(origin, t)).otherwise(t)
-    found = pages.select("url", F.explode(F.array(full(href), full(to))).alias("b"))
-    return found.filter("url is not null and b <> ''").select(F.col("url").alias("a"), "b")
+    """(a, b): URL of a page and target of each of its canonical links and meta refreshes."""
+    html = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), _HIDDEN, "")
+    value = lambda tag, p: F.trim(F.concat(*(F.regexp_extract(tag, p, k) for k in (1, 2, 3))))
+    tags = lambda p, is_: F.filter(F.regexp_extract_all(html, F.lit(p), F.lit(0)), lambda x: x.rlike(is_))
+    canonical = F.transform(tags(CANONICAL, _IS_CANONICAL), lambda x: _decoded(value(x, _HREF)))
+    refresh = F.transform(tags(REFRESH, _IS_REFRESH), lambda x: F.regexp_extract(_decoded(value(x, _CONTENT)), _TO, 1))
+    some = F.col("html").rlike(r"(?i)canonical|refresh")  # most pages have neither: they are not taken apart
+    found = pages.select("url", "html").filter(F.col("url").isNotNull() & some).select("url", F.explode(F.concat(canonical, refresh)).alias("to")).filter("to <> ''")
+    return found.select(F.col("url").alias("a"), resolved(F.col("url"), F.col("to")).alias("b")).filter("b is not null")
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
@@ -73,14 +140,16 @@ def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None
         edges = edges.union(redirects.select("a", "b"))
     edges = materialise(edges.distinct(), "links")
     # targets need not be pages: a rule on them counts as well
-    urls = pages.select("url").union(edges.select("b")).distinct()
-    known = materialise(ruled(urls, rules), "ruled")
-    alias = materialise(components(edges), "aliases")
-    blocked = alias.join(known.filter("action = 'block'").select(F.col("url").alias("_u")), F.col("node") == F.col("_u")).select("root").distinct()
+    urls = pages.select("url").union(edges.select("a")).union(edges.select("b")).distinct()
+    known = materialise(ruled(urls, rules).withColumn("node", node(F.col("url"))), "ruled")
+    alias = materialise(components(edges.select(node(F.col("a")).alias("a"), node(F.col("b")).alias("b"))), "aliases")
+    alias = alias.select(F.col("node").alias("_node"), "root")
+    blocked = known.filter("action = 'block' and node is not null").select("node").distinct()
+    blocked = blocked.join(alias, F.col("node") == F.col("_node"), "left").select(F.coalesce("root", "node").alias("_root")).distinct()
     blocked = materialise(blocked, "blocked-roots")  # a written table, so that Spark splits the join where a component is large
-    tainted = alias.join(blocked, "root").select(F.col("node").alias("_node"), F.lit(True).alias("tainted"))
-    decided = known.join(tainted, F.col("url") == F.col("_node"), "left")
-    verdict = F.coalesce("action", F.when(F.col("tainted"), "block").otherwise("allow"))
+    rooted = known.join(alias, F.col("node") == F.col("_node"), "left").drop("_node").withColumn("root", F.coalesce("root", "node"))
+    decided = rooted.join(blocked, F.col("root") == F.col("_root"), "left")
+    verdict = F.coalesce("action", F.when(F.col("_root").isNotNull(), "block").otherwise("allow"))
     decided = decided.select(F.col("url").alias("_url"), "host", "path", "rule", verdict.alias("verdict"))
     decided = materialise(decided, "decided")
     return pages.select("page_id", "url").join(decided, F.col("url").eqNullSafe(F.col("_url")), "left").drop("_url")
@@ -90,20 +159,54 @@ def op8_url_filter(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages").select("page_id", "url", "html"), rule_table(spark)).drop("url")
 
 
-_q = lambda s: s.replace("'", "''")
-SQL = {
-    "op8_url_filter": rf"""
+def _sql() -> str:
+    """The same in SQL, each step spelt with the same patterns."""
+    lit = lambda s: "'" + s.replace("'", "''") + "'"
+    get = lambda x, p, k=0: f"regexp_extract({x}, {lit(p)}, {k})"
+    lower = lambda x: f"translate({x}, '{_UPPER}', '{_LOWER}')"
+    value = lambda x, p: f"trim({get(x, p, 1)} || {get(x, p, 2)} || {get(x, p, 3)})"
+    tags = lambda p, is_: f"list_filter(regexp_extract_all(h, {lit(p)}), lambda x: regexp_matches(x, {lit(is_)}))"
+
+    def decoded(x: str) -> str:
+        for pattern, char in _REFERENCES:
+            x = f"regexp_replace({x}, {lit(pattern)}, {lit(char)}, 'g')"
+        return x
+
+    def node_(u: str) -> str:
+        scheme, host_ = lower(get(u, _PARTS, 1)), lower(get(u, _PARTS, 2))
+        port = f"CASE {scheme} WHEN 'http' THEN regexp_replace({host_}, ':(?:80)?$', '') WHEN 'https' THEN regexp_replace({host_}, ':(?:443)?$', '') ELSE {host_} END"
+        return f"CASE WHEN {get(u, _PARTS, 2)} <> '' THEN {scheme} || '://' || {port} || (CASE WHEN {get(u, _PARTS, 3)} = '' THEN '/' ELSE {get(u, _PARTS, 3)} END) || coalesce({get(u, _PARTS, 4)}, '') END"
+
+    def dots(p: str) -> str:
+        names = f"list_slice(string_split({p}, '/'), 2, len(string_split({p}, '/')))"
+        walk = f"list_reduce(list_concat([''], {names}), lambda acc, x: CASE WHEN x = '..' THEN regexp_replace(acc, '/[^/]*$', '') WHEN x = '.' THEN acc ELSE acc || '/' || x END)"
+        return f"(CASE WHEN {walk} = '' THEN '/' ELSE {walk} END || CASE WHEN list_extract({names}, -1) IN ('.', '..') AND {walk} <> '' THEN '/' ELSE '' END)"
+
+    origin, path_, query = get("a", r"^[^:/?#]+://[^/?#]*"), get("a", _PARTS, 3), f"coalesce({get('a', _PARTS, 4)}, '')"
+    ref_path, rest = get("r", r"^([^?#]*)(\?[^#]*)?", 1), f"coalesce({get('r', r'^([^?#]*)(\?[^#]*)?', 2)}, '')"
+    absolute = "regexp_matches(r, '^[A-Za-z][A-Za-z0-9+.-]*:')"
+    full = get("t", _PARTS)
+    return rf"""
 WITH RECURSIVE rules AS (SELECT * FROM (VALUES {", ".join(map(str, RULES))}) r(rule_host, rule_path, action)),
-l AS (SELECT url AS a, unnest([regexp_extract(regexp_extract(coalesce(html,''), '{_q(CANONICAL)}'), '(?i)\shref\s*=\s*["'']?([^"''\s>]+)', 1),
-  regexp_extract(regexp_extract(coalesce(html,''), '{_q(REFRESH)}'), '(?i)url\s*=\s*["'']?([^"''\s>]+)', 1)]) AS t FROM pages WHERE url IS NOT NULL),
-e0 AS (SELECT a, CASE WHEN t LIKE '/%' AND t NOT LIKE '//%' THEN regexp_extract(a, '^[^/?#]*://[^/?#]*') || t ELSE t END AS b FROM l WHERE t <> ''),
-e AS (SELECT a, b FROM e0 UNION SELECT b, a FROM e0),
+l0 AS (SELECT url AS a, regexp_replace(coalesce(html, ''), {lit(_HIDDEN)}, '', 'g') AS h FROM pages WHERE url IS NOT NULL AND regexp_matches(html, '(?i)canonical|refresh')),
+l1 AS (SELECT a, unnest(list_concat(list_transform({tags(CANONICAL, _IS_CANONICAL)}, lambda x: {decoded(value("x", _HREF))}), list_transform({tags(REFRESH, _IS_REFRESH)}, lambda x: {get(decoded(value("x", _CONTENT)), _TO, 1)}))) AS r FROM l0),
+l2 AS (SELECT a, r, {origin} AS origin, {path_} AS path, {query} AS query, {ref_path} AS rp, {rest} AS rest FROM l1 WHERE r <> ''),
+l3 AS (SELECT *, regexp_extract(CASE WHEN path = '' THEN '/' ELSE path END, '^.*/') || rp AS merged FROM l2),
+l4 AS (SELECT a, r, origin, CASE WHEN {absolute} THEN r WHEN starts_with(r, '//') THEN {get("a", _PARTS, 1)} || ':' || r WHEN rp = '' THEN origin || path || CASE WHEN rest = '' THEN query ELSE rest END
+  WHEN starts_with(r, '/') THEN origin || {dots("rp")} || rest ELSE origin || {dots("merged")} || rest END AS t FROM l3),
+l5 AS (SELECT a, r, t, {full} AS f, {get("t", _PARTS, 3)} AS fp, coalesce({get("t", _PARTS, 4)}, '') AS fq FROM l4 WHERE origin <> '' AND {full} <> ''),
+e0 AS (SELECT a, CASE WHEN ({absolute} OR starts_with(r, '//')) AND fp <> '' THEN {get("f", r"^[^:/?#]+://[^/?#]*")} || {dots("fp")} || fq WHEN {absolute} OR starts_with(r, '//') THEN f ELSE t END AS b FROM l5),
+n AS (SELECT {node_("a")} AS a, {node_("b")} AS b FROM e0),
+e AS (SELECT a, b FROM n UNION SELECT b, a FROM n),
 reach(a, b) AS (SELECT a, a FROM e UNION SELECT r.a, e.b FROM reach r JOIN e ON r.b = e.a),
 u AS (SELECT url FROM pages UNION SELECT b FROM e0),
 p AS (SELECT url, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM u),
-h AS (SELECT url, translate(regexp_extract(coalesce(rest,''), '^[^/?#]*'), '{_UPPER}', '{_LOWER}') AS host, regexp_extract(coalesce(rest,''), '^[^/?#]*([^?#]*)', 1) AS path FROM p),
+h AS (SELECT url, {node_("url")} AS node, {lower("regexp_extract(coalesce(rest,''), '^[^/?#]*')")} AS host, regexp_extract(coalesce(rest,''), '^[^/?#]*([^?#]*)', 1) AS path FROM p),
 k AS (SELECT h.*, (SELECT max({{'n': length(rule_host || rule_path), 'rule': rule_host || rule_path, 'action': action}}) FROM rules WHERE (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)) AS best FROM h),
-t AS (SELECT DISTINCT r.a FROM reach r JOIN k ON k.url = r.b WHERE k.best.action = 'block')
-SELECT page_id, host, path, k.best.rule AS rule, coalesce(k.best.action, CASE WHEN t.a IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
-FROM pages LEFT JOIN k ON pages.url IS NOT DISTINCT FROM k.url LEFT JOIN t ON t.a = pages.url"""
-}
+bad AS (SELECT DISTINCT node FROM k WHERE k.best.action = 'block'),
+t AS (SELECT node FROM bad UNION SELECT r.a FROM reach r JOIN bad ON bad.node = r.b)
+SELECT page_id, host, path, k.best.rule AS rule, coalesce(k.best.action, CASE WHEN t.node IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM pages LEFT JOIN k ON pages.url IS NOT DISTINCT FROM k.url LEFT JOIN t ON t.node = k.node"""
+
+
+SQL = {"op8_url_filter": _sql()}

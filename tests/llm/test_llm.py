@@ -539,6 +539,65 @@ def test_urls(spark, small):
     assert url_filter.judge(pages, url_filter.rule_table(spark), extra).first().verdict == "block"
 
 
+LINKED = [
+    ("http://bad.net/a", '<link rel="canonical" href="index.html">'), ("http://good.org/x", '<link rel="canonical" href="index.html">'), ("http://good.org/index.html", ""),
+    ("http://m.org/p/q?x=1#f", '<META content="5;URL=../r/./s?y=1&amp;z=2" HTTP-EQUIV="Refresh">'), ("http://m.org/r/s?y=1&z=2", "<link rel='alternate canonical' href='//Bad.NET:80/t#k'>"), ("http://bad.net/t", None),
+    ("http://two.org/", '<meta http-equiv=refresh content="0; url=http://fine.org/"><meta http-equiv=refresh content="0; url=http://bad.net/u">'), ("http://fine.org", "<p>"),
+    ("http://c.org/1", '<!-- <link rel="canonical" href="http://bad.net/v"> --><script>var x = \'<link rel="canonical" href="http://bad.net/v">\';</script>'),
+    ("http://q.org/a/b", '<link href="?k=1" rel="canonical"><link rel="canonical" href="mailto:x@y"><link rel="canonical" href="">'), ("http://q.org/a/b?k=1", '<link rel=canonical href=http://bad.net>'),
+    ("https://d.org/a/b/c", '<link rel="canonical" href="/x/../../y/."/>'), ("https://d.org/y/", '<link rel="canonical" href="https://bad.net:443/w/../w">'), ("https://bad.net/w", ""),
+    ("http://e.org/fr/1", '<link rel="canonical" href="http://bad.net/">'), ("http://s.org/1", '<link rel="stylesheet" href="http://bad.net/s.css"><link rel="canonical2" href="http://bad.net/">'),
+    ("//no.scheme/x", '<link rel="canonical" href="http://bad.net/">'), ("x", '<link rel="canonical" href="/y">'), (None, '<link rel="canonical" href="http://s.org/1">'), ("http://long.org/", "<p>" + "a " * 50_000 + '<link rel="canonical" href="http://bad.net/z">'),
+]
+
+
+def test_links_are_resolved_as_a_parser_does(spark, tmp_path):
+    from html.parser import HTMLParser
+    from urllib.parse import urljoin, urlsplit
+
+    edges: list = []
+
+    class Links(HTMLParser):
+        def __init__(self, url):
+            super().__init__()
+            self.url = url
+
+        def handle_starttag(self, tag, attrs):
+            have = {k: v or "" for k, v in attrs}
+            to = ""
+            if tag == "link" and "canonical" in have.get("rel", "").lower().split():
+                to = have.get("href", "").strip()
+            elif tag == "meta" and have.get("http-equiv", "").strip().lower() == "refresh":
+                found = re.match(r"[^;,]*[;,]\s*url\s*=\s*[\"']?([^\"'\s]+)", have.get("content", ""), re.I)
+                to = found[1] if found else ""
+            if to and urlsplit(self.url).scheme:
+                edges.append((self.url, urljoin(self.url, to)))
+
+    def name(url):
+        x = urlsplit(url)
+        if not x.scheme or not x.netloc:
+            return None
+        host = x.netloc.lower().removesuffix({"http": ":80", "https": ":443"}[x.scheme])
+        return f"{x.scheme}://{host}{x.path or '/'}" + (f"?{x.query}" if x.query else "")
+
+    for url, html in LINKED:
+        if url:
+            Links(url).feed(html or "")
+    urls = {u for u, _ in LINKED if u} | {b for _, b in edges}
+    bad = {name(u) for u in urls if re.match(r"https?://([^/]*\.)?net(:\d+)?/", u.lower().replace("bad.net", "net"))}
+    pairs = {(name(a), name(b)) for a, b in edges if name(a) and name(b)}
+    while more := {x for p in pairs for x in p if (p[0] in bad) != (p[1] in bad)} - bad:
+        bad |= more
+    rows = [(k, u, h) for k, (u, h) in enumerate(LINKED)]
+    spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"a": F.lit("x"), "root": F.lit(1), "node": F.lit("n")}).write.parquet(f"{tmp_path}/pages.parquet")
+    got = registry.queries()["op8_url_filter"](spark, str(tmp_path))
+    allowed = {k for k, u, _ in rows if u and re.match(r"https?://[^/]*org/fr/", u)}
+    want = {k: "block" if u and name(u) in bad and k not in allowed else "allow" for k, u, _ in rows}
+    assert {r.page_id: r.verdict for r in got.collect()} == want
+    assert want[0] == want[3] == want[6] == want[7] == want[9] == want[11] == want[19] == "block" and want[1] == want[8] == want[14] == want[15] == "allow"
+    same_rows(got, duck(str(tmp_path)), registry.oracle_sql()["op8_url_filter"])
+
+
 # -- 9
 
 
