@@ -6,18 +6,23 @@ blob however many paths and versions hold it, and joins the findings back to all
 found with one pattern: pieces between matches and the matches themselves alternate, so running lengths give the
 positions in code points.
 
-Defined results: null content is an empty blob; null paths are kept; repeated rows each get the blob's
-findings; an empty table gives empty tables; extra columns are not touched.
+``scan`` does this over a ledger kept at a path: it appends what is new, clean blobs included, so that a second
+run over the same versions scans nothing.
+
+Defined results: null content is an empty blob; null paths are kept; content of any length is scanned whole; repeated
+rows each get the blob's findings; spans that start together come in the order of the rules; an empty table
+gives empty tables; extra columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, table
+from .common import let, materialise, shared_dir, table
 
 
 @dataclass(frozen=True)
@@ -91,7 +96,9 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules=RULE
     wanted = F.array(*(F.lit(f"{r.kind}:{r.version}") for r in rules))
     todo = todo.filter(F.size(F.array_except(wanted, "_seen")) > 0)
     same = (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")) & F.col("version").eqNullSafe(F.col("_version"))
-    unseen = rows.select("blob", "path", "version", "content").join(todo, same).select("blob", "content", "_seen")
+    unseen = rows.select("blob", "path", "version", "content").join(todo, same)
+    # equal rows are one: they are together already, as their keys are those of the join
+    unseen = unseen.groupBy("blob", "path", "version").agg(F.first("content").alias("content"), F.first("_seen").alias("_seen"))
     scans = F.array(*(
         F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), F.when(F.array_contains("_seen", f"{r.kind}:{r.version}"), F.lit(None).cast(SPAN)).otherwise(spans(F.col("content"), r, k)).alias("spans"))
         for k, r in enumerate(rules)
@@ -114,15 +121,26 @@ def by_path(versions: DataFrame, ledger: DataFrame, rules=RULES) -> DataFrame:
     return rows.join(found, F.col("blob") == F.col("_blob"), "left").drop("_blob").withColumn("spans", F.coalesce("spans", F.array().cast(SPAN)))
 
 
+def scan(versions: DataFrame, ledger_path: str, rules=RULES) -> DataFrame:
+    """``by_path`` over a kept ledger: pairs of blob and rule version that it lacks are scanned and appended first."""
+    spark = versions.sparkSession
+    schema = f"blob binary, kind string, version int, spans {SPAN}"
+    folder = spark._jvm.org.apache.hadoop.fs.Path(ledger_path)
+    kept = folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+    ledger = spark.read.schema(schema).parquet(ledger_path) if kept else None
+    scan_unseen(versions, ledger, rules).write.mode("append").parquet(ledger_path)
+    return by_path(versions, spark.read.schema(schema).parquet(ledger_path), rules)
+
+
 def _listed(found: Column) -> Column:
     return F.array_join(F.transform(found, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
 
 
-def op1_secret_scan(spark, sf_dir: str) -> DataFrame:
+def op1_secret_scan(spark, sf_dir: str, ledger_path: str | None = None) -> DataFrame:
+    """One version of each document; without a path the ledger is a new one."""
     docs = table(spark, sf_dir, "documents")
     versions = docs.select(F.col("doc_id").cast("long").alias("path"), F.lit(0).alias("version"), F.col("text").alias("content"))
-    ledger = materialise(scan_unseen(versions).filter(F.size("spans") > 0), "ledger")
-    rows = by_path(versions, ledger)
+    rows = scan(versions, ledger_path or f"{shared_dir(spark)}/headwater/ledger-{uuid.uuid4().hex}")
     count = lambda kind: F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
     base = F.filter("spans", lambda x: x["rank"] < len(BASE))
     return rows.select(F.col("path").alias("doc_id"), *(count(r.kind) for r in BASE), F.sha2(_listed(base), 256).alias("base_sha256"), _listed(F.col("spans")).alias("spans"))

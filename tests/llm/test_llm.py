@@ -136,6 +136,16 @@ def test_ledger_scans_only_unseen_pairs(spark):
     assert {(r.path, r.version) for r in found.filter(F.size("spans") > 0).collect()} == {("a", 1), ("b", 1), (None, 1), ("a", 2)}
 
 
+def test_query_scans_nothing_twice(spark, small, tmp_path):
+    path = str(tmp_path / "ledger")
+    first = rows_of(secrets.op1_secret_scan(spark, small, path), "doc_id", "spans")
+    n = spark.read.parquet(path).count()
+    blobs = len({t or "" for _, t, *_ in corpus()})
+    assert n == blobs * len(secrets.RULES)  # clean blobs too
+    assert rows_of(secrets.op1_secret_scan(spark, small, path), "doc_id", "spans") == first
+    assert spark.read.parquet(path).count() == n
+
+
 # -- 2
 
 
