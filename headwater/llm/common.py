@@ -39,14 +39,16 @@ def materialise(df: DataFrame, label: str, compression: str = "snappy") -> DataF
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/headwater/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete the files of a materialised table that nothing will read any more."""
-    spark = df.sparkSession
-    for parent in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = spark._jvm.org.apache.hadoop.fs.Path(parent)
+def release(*tables: DataFrame) -> None:
+    """Delete the files of materialised tables that nothing will read any more."""
+    for df in tables:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

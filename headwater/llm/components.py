@@ -39,9 +39,7 @@ def components(edges: DataFrame) -> DataFrame:
         tips = large.join(least.withColumnRenamed("a", "c"), F.col("a") == F.col("c")).filter("b > m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         small = materialise(tips.union(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         last, mark = mark, _mark(small)
-        release(edges)
-        release(large)
-        release(least)
+        release(edges, large, least)
         edges = small
         if mark == last:
             break

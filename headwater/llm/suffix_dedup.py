@@ -14,24 +14,33 @@ compared beyond a known prefix. The merge gives out each record's common prefix
 covers the context, records belong to one group, and two members repeat a window if their common prefix and
 their common text before the anchor add up to ``window``. The stretch they share is then removed in both.
 
-Defined results: null text is empty; texts under ``window`` bytes repeat nothing; repeated rows repeat each other;
-null ids are kept; an empty table gives an empty table; extra columns are not touched.
+A context that more than ``split`` records share does not go to one task. Its records meet under a 128-bit digest of
+their whole stretch: equal ones are settled and one of them stands for all. Those that stand for others or for
+themselves then meet window by window, under a digest of each, in a partial aggregate and a join that Spark splits. The
+number of buckets that runs are dealt to follows the number of records.
+
+Defined results: null text is empty; texts under ``window`` bytes repeat nothing; texts of any length are read whole;
+repeated rows repeat each other; ties need no order, as all that repeats goes; null ids are kept; an empty
+table gives an empty table; extra columns are not touched, whatever their names.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_in, id_out, materialise, shuffle_partitions, table
+from .common import id_in, id_out, materialise, release, shuffle_partitions, table
 
 WINDOW, CONTEXT = 200, 64
 _SLAB = 1 << 18
 _RUN = 100_000  # records sorted at a time
+SPLIT = 20_000  # records of one context that one task merges; above, see _hot_spans
+_BUCKET = 50_000  # records to a bucket, on average
 _PAIRWISE = 16  # groups up to this size compare pairs; larger ones compare windows by offset
 _MUL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
 
@@ -273,6 +282,43 @@ def _merged_spans(runs: DataFrame, window: int) -> DataFrame:
     return runs.groupBy("bucket").applyInPandas(merge, "rid long, start long, stop long")
 
 
+def _hot_spans(texts: DataFrame, window: int) -> DataFrame:
+    """(rid, start, stop) of the repeated bytes around the anchors in ``hot``, without a task for each context."""
+
+    def halves(digest: bytes) -> tuple[int, int]:
+        return int.from_bytes(digest[:8], "little", signed=True), int.from_bytes(digest[8:], "little", signed=True)
+
+    def stretches(batches):
+        for pdf in batches:
+            rows = []
+            for rid, text, hot in zip(pdf.rid, pdf.text, pdf.hot, strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                for p in hot.tolist():
+                    start, stop = max(0, p - window + CONTEXT), min(len(data), p + window)
+                    rows.append((rid, p, start, stop, *halves(xxhash.xxh3_128_digest(b"%d:" % (p - start) + data[start:stop]))))
+            yield pd.DataFrame(rows, columns=["rid", "pos", "start", "stop", "w1", "w2"])
+
+    def windows(batches):
+        for pdf in batches:
+            rows = []
+            for rid, text, at in zip(pdf.rid, pdf.text, pdf["at"], strict=True):
+                data = text.encode("utf-8", "surrogatepass")
+                starts = {s for p in at.tolist() for s in range(max(0, p - window + CONTEXT), min(p, len(data) - window) + 1)}
+                rows += [(rid, s, s + window, *halves(xxhash.xxh3_128_digest(data[s : s + window]))) for s in starts]
+            yield pd.DataFrame(rows, columns=["rid", "start", "stop", "w1", "w2"])
+
+    def repeated(df: DataFrame, label: str) -> DataFrame:
+        twice = df.groupBy(F.col("w1").alias("_w1"), F.col("w2").alias("_w2")).agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+        twice = materialise(twice, label)  # both sides of the join are plain exchanges
+        return df.join(twice, (F.col("w1") == F.col("_w1")) & (F.col("w2") == F.col("_w2"))).select("rid", "start", "stop")
+
+    hot = texts.filter("size(hot) > 0").select("rid", "text", "hot")
+    whole = materialise(hot.mapInPandas(stretches, "rid long, pos int, start long, stop long, w1 long, w2 long"), "hot-stretches")
+    first = whole.groupBy("w1", "w2").agg(F.min(F.struct("rid", "pos")).alias("r")).groupBy(F.col("r.rid").alias("_rid")).agg(F.collect_list("r.pos").alias("at"))
+    each = hot.join(first, F.col("rid") == F.col("_rid")).select("rid", "text", "at").mapInPandas(windows, "rid long, start long, stop long, w1 long, w2 long")
+    return repeated(whole, "hot-stretches-twice").union(repeated(materialise(each, "hot-windows"), "hot-windows-twice"))
+
+
 def _union(spans: np.ndarray) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for a, b in sorted(spans):
@@ -283,27 +329,32 @@ def _union(spans: np.ndarray) -> list[tuple[int, int]]:
     return [tuple(x) for x in out]
 
 
-def removed(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def removed(docs: DataFrame, window: int = WINDOW, split: int = SPLIT) -> DataFrame:
     """(rid, doc_id, th, text, spans): documents with repeated bytes and their maximal removed runs."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).withColumn("th", F.xxhash64("text"))
     found = materialise(_anchor_table(rows, window), "anchors")
     each = found.select("rid", F.explode(F.arrays_zip("pos", "keys")).alias("a")).select("rid", "a.pos", F.col("a.keys").alias("key"))
-    repeated = each.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1").select("_key")
+    repeated = each.groupBy(F.col("key").alias("_key")).agg(F.count("*").alias("n")).filter("n > 1")
     # a written table: both sides of the join are then plain exchanges, which Spark splits where a key is hot
-    repeated = materialise(repeated, "repeated-contexts")
-    live = each.join(repeated, F.col("key") == F.col("_key")).groupBy("rid").agg(F.collect_list("pos").alias("pos"), F.collect_list("key").alias("keys"))
+    repeated = materialise(repeated.select("_key", "n"), "repeated-contexts")
+    n_records = repeated.agg(F.coalesce(F.sum(F.when(F.col("n") <= split, F.col("n"))), F.lit(0))).first()[0]
+    cool, hot = F.col("n") <= split, F.col("n") > split
+    lists = (F.collect_list(F.when(cool, F.col("pos"))).alias("pos"), F.collect_list(F.when(cool, F.col("key"))).alias("keys"), F.collect_list(F.when(hot, F.col("pos"))).alias("hot"))
+    live = each.join(repeated, F.col("key") == F.col("_key")).groupBy("rid").agg(*lists)
     one = found.groupBy("doc_id", "th").agg(F.min("rid").alias("rid")).select(F.col("doc_id").alias("_doc_id"), F.col("th").alias("_th"), F.col("rid").alias("_rid"))
     live = live.join(one, F.col("rid") == F.col("_rid")).drop("_rid")
     texts = rows.join(live, F.col("doc_id").eqNullSafe(F.col("_doc_id")) & (F.col("th") == F.col("_th"))).drop("_doc_id", "_th")
     texts = materialise(texts, "live-texts")
-    runs = materialise(_runs(texts.select("rid", "text", "pos", "keys"), window, 3 * shuffle_partitions(spark)), "runs")
+    release(found, repeated)
+    buckets = max(3 * shuffle_partitions(spark), -(-n_records // _BUCKET))
+    runs = materialise(_runs(texts.select("rid", "text", "pos", "keys"), window, buckets), "runs")
     spans = runs.filter("bucket < 0").select("rid", "start", "stop").union(_merged_spans(runs.filter("bucket >= 0").drop("rid", "start", "stop"), window))
-    spans = spans.groupBy(F.col("rid").alias("_rid")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
+    spans = spans.union(_hot_spans(texts, window)).groupBy(F.col("rid").alias("_rid")).agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     return texts.select("rid", "doc_id", "th", "text").join(spans, F.col("rid") == F.col("_rid")).drop("_rid")
 
 
-def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
+def deduplicated(docs: DataFrame, window: int = WINDOW, split: int = SPLIT) -> DataFrame:
     """(doc_id, th, n_removed, n_spans, kept): what is left of each document with repeated bytes."""
 
     def run(batches):
@@ -319,7 +370,7 @@ def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                 rows.append((doc_id, th, sum(b - a for a, b in runs), len(runs), b"".join(kept)))
             yield pd.DataFrame(rows, columns=["doc_id", "th", "n_removed", "n_spans", "kept"])
 
-    found = removed(docs, window).select(id_in(), "th", "text", "spans")
+    found = removed(docs, window, split).select(id_in(), "th", "text", "spans")
     return found.mapInPandas(run, "doc_id long, th long, n_removed long, n_spans long, kept binary").withColumn("doc_id", id_out())
 
 

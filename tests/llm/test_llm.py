@@ -713,6 +713,22 @@ def test_suffix_dedup_of_overlapping_partners(spark, tmp_path):
     check_suffix(spark, rows, tmp_path)
 
 
+@pytest.mark.parametrize("split", [1, 4, 30])
+def test_hot_contexts_give_the_same_result(spark, split):
+    """Contexts above and below the bound: a passage between different neighbours, copies, and periodic text."""
+    r, s = random.Random(5), prose(100, 61)
+    texts = [prose(r.randint(0, 40), 7100 + i) + s[r.randint(0, 60) : r.randint(280, len(s))] + prose(r.randint(0, 40), 7200 + i) for i in range(40)]
+    texts += [texts[0]] * 6 + ["ab" * 400, "x" + "ab" * 150, "z" * 201, "z" * 200, None, "é😀" * 100 + s + "é😀" * 100, *[prose(80, 62)] * 3]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {x.doc_id: (x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_dedup.deduplicated(df.withColumns({"rid": F.lit("x"), "th": F.lit(1), "hot": F.lit(2)}), split=split).collect()}
+    for i, (n, gone, spans, sha) in enumerate(brute_removed(texts)):
+        if gone:
+            assert got[i][:2] == (gone, spans) and hashlib.sha256(got[i][2]).hexdigest() == sha
+        else:
+            assert i not in got or got[i][0] == 0
+    assert len(got) > 40
+
+
 def test_merge_never_loses_order():
     r = random.Random(3)
     runs, every = [], []
