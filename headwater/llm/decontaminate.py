@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import _SLOTS, as_documents, bitmap, id_in, id_out, materialise, table
+from .common import _SLOTS, as_documents, bitmap, id_in, id_out, materialise, release, table
 
 MIN_TILE, COVERAGE = 5, 0.5
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -161,7 +161,9 @@ def _seed_table(items: DataFrame, min_tile: int, coverage: float) -> DataFrame:
     down = Window.partitionBy("ih", "ig").orderBy(F.col("items").desc(), "seed")
     ranked = seeds.join(common, F.col("seed") == F.col("_seed")).withColumn("upto", F.sum("times").over(down))
     # all left-out seeds of an item together are fewer than it needs
-    return materialise(ranked.filter("upto >= need").select("ih", "ig", "seed", "k"), "joined-seeds")
+    joined = materialise(ranked.filter("upto >= need").select("ih", "ig", "seed", "k"), "joined-seeds")
+    release(seeds, common)
+    return joined
 
 
 def _live(docs: DataFrame, seeds: DataFrame) -> DataFrame:
@@ -202,10 +204,10 @@ def _found(docs: DataFrame, benchmark: DataFrame, min_tile: int, coverage: float
     seeds = _seed_table(texts_of_items, min_tile, coverage)
     live = _live(docs, seeds)
     # documents of equal seeds are joined once
-    live = live.withColumn("hs", F.xxhash64("hits"))
-    each = live.select("hs", "hits").dropDuplicates(["hs"]).select(F.explode("hits").alias("_seed"), "hs")
+    marked = live.withColumn("hs", F.xxhash64("hits"))
+    each = marked.select("hs", "hits").dropDuplicates(["hs"]).select(F.explode("hits").alias("_seed"), "hs")
     met = materialise(each.join(seeds, F.col("seed") == F.col("_seed")).select(F.col("hs").alias("_hs"), "ih", "ig").distinct(), "seed-sets")
-    texts = materialise(live.groupBy("dh", "dg").agg(F.first("hs").alias("hs"), F.first("text").alias("text")), "candidate-texts")
+    texts = materialise(marked.groupBy("dh", "dg").agg(F.first("hs").alias("hs"), F.first("text").alias("text")), "candidate-texts")
     pairs = texts.join(met, F.col("hs") == F.col("_hs")).select("dh", "dg", "ih", "ig", "text")
     pairs = pairs.join(texts_of_items.select(F.col("ih").alias("_ih"), F.col("ig").alias("_ig"), F.col("text").alias("item")), (F.col("ih") == F.col("_ih")) & (F.col("ig") == F.col("_ig")))
 
@@ -222,7 +224,9 @@ def _found(docs: DataFrame, benchmark: DataFrame, min_tile: int, coverage: float
 
     pairs = pairs.select("dh", "dg", "ih", "ig", "text", "item").repartition("dh", "ih")
     leaked = pairs.mapInPandas(run, "dh long, dg long, ih long, ig long, n_tiles long, covered long, item_words long")
-    return materialise(leaked, "leaks"), live, items
+    leaked = materialise(leaked, "leaks")
+    release(seeds, met, texts)
+    return leaked, live, items
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE) -> DataFrame:
@@ -239,8 +243,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, cover
 def clean(docs: DataFrame, benchmark: DataFrame, min_tile: int = MIN_TILE, coverage: float = COVERAGE) -> DataFrame:
     """Documents that leak no benchmark item. A leak is a matter of the text alone: rows meet by two hashes of it,
     whatever their ids."""
-    leaked, _, _ = _found(docs, benchmark, min_tile, coverage)
+    leaked, live, items = _found(docs, benchmark, min_tile, coverage)
     bad = materialise(leaked.select(F.col("dh").alias("_dh"), F.col("dg").alias("_dg")).distinct(), "leaked-texts")
+    release(leaked, live, items)
     dh, dg = _hashes()
     rows = as_documents(docs).withColumns({"dh": dh, "dg": dg})
     return as_documents(rows.join(bad, (F.col("dh") == F.col("_dh")) & (F.col("dg") == F.col("_dg")), "left_anti"))

@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import WORD, as_documents, bitmap, id_in, in_bitmap, in_groups, materialise, table
+from .common import WORD, as_documents, bitmap, id_in, in_bitmap, in_groups, materialise, release, table
 
 #: (least length, edits), ascending.
 THRESHOLDS = ((5, 1), (20, 2))
@@ -288,7 +288,9 @@ def _live_rows(docs: DataFrame, thresholds) -> DataFrame:
     met = each.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi"), F.bool_or("is_index").alias("any_index"))
     live = materialise(met.filter("any_index and lo <> hi").select(F.col("key").alias("_key")), "live-keys")
     rows = in_bitmap(each, "key", bitmap(live, "_key")).join(live, F.col("key") == F.col("_key")).select("key", "h", "is_index")
-    return materialise(rows.distinct(), "live-rows")
+    rows = materialise(rows.distinct(), "live-rows")
+    release(keys, live)
+    return rows
 
 
 def near_links(docs: DataFrame, own: DataFrame, thresholds=THRESHOLDS, block: int = BLOCK) -> DataFrame:
@@ -301,7 +303,7 @@ def near_links(docs: DataFrame, own: DataFrame, thresholds=THRESHOLDS, block: in
     found = found.groupBy("h", "g").agg(F.first("line").alias("line"))
     place = own.select(F.col("h").alias("_h"), F.col("g").alias("_g"), "first")
     texts = found.join(place, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g"))).select("h", "g", "first", "line")
-    texts = materialise(texts, "line-texts").withColumnRenamed("h", "_h")
+    texts = materialise(texts, "line-texts")
     many = rows.groupBy(F.col("key").alias("_key")).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
     many = materialise(many, "key-blocks")
     dealt = rows.join(many, F.col("key") == F.col("_key")).withColumn("r", F.pmod("h", F.col("n")).cast("int"))
@@ -311,12 +313,15 @@ def near_links(docs: DataFrame, own: DataFrame, thresholds=THRESHOLDS, block: in
         F.transform(F.when(F.col("is_index"), others).otherwise(F.array("r")), lambda t: own_row(F.col("r"), t, F.col("is_index"), t == F.col("r"))),
         F.transform(F.array_except(others, F.array("r")), lambda t: own_row(t, F.col("r"), F.lit(False), F.lit(True))),
     )
-    dealt = dealt.select("key", "h", F.inline(places)).join(texts, F.col("h") == F.col("_h"))
+    dealt = dealt.select("key", "h", F.inline(places)).join(texts.withColumnRenamed("h", "_h"), F.col("h") == F.col("_h"))
     dealt = dealt.select("key", "x", "y", "as_index", "as_probe", "h", "g", id_in_struct("first"), "first.th", "first.line_no", "line")
 
     compare = in_groups(["key", "x", "y"], lambda: _Compare(thresholds))
     found = dealt.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y", "h").mapInPandas(compare, "h long, g long, n_links long, doc_id long, th long, line_no int")
-    return found.groupBy("h", "g").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc_id", "th", "line_no")).alias("other"))
+    found = found.groupBy("h", "g").agg(F.sum("n_links").alias("n_links"), F.min(F.struct("doc_id", "th", "line_no")).alias("other"))
+    found = materialise(found, "near-lines")
+    release(rows, wanted, many, texts)
+    return found
 
 
 def id_in_struct(column: str) -> Column:
@@ -328,7 +333,7 @@ def classes(docs: DataFrame, thresholds=THRESHOLDS, block: int = BLOCK) -> DataF
     """(h, g, n, first, n_links, near): each distinct line, its occurrences and first place, the number of
     classes near to it, and whether one of them occurs earlier."""
     own = materialise(lines(docs).groupBy("h", "g").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "th", "line_no")).alias("first")), "line-classes")
-    ends = materialise(near_links(docs, own, thresholds, block), "near-lines").withColumnsRenamed({"h": "_h", "g": "_g"})
+    ends = near_links(docs, own, thresholds, block).withColumnsRenamed({"h": "_h", "g": "_g"})
     out = own.join(ends, (F.col("h") == F.col("_h")) & (F.col("g") == F.col("_g")), "left")
     earlier = F.col("other") < F.struct(id_in_struct("first"), F.col("first.th"), F.col("first.line_no"))
     return out.select("h", "g", "n", "first", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce(earlier, F.lit(False)).alias("near"))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_documents, bitmap, id_in, id_out, in_bitmap, in_groups, materialise, table
+from .common import as_documents, bitmap, id_in, id_out, in_bitmap, in_groups, materialise, release, table
 from .components import components
 
 RADIUS = 4
@@ -204,7 +204,9 @@ def _with_sets(rows: DataFrame, classes: DataFrame, docs: DataFrame, shingle: in
     need = materialise(need, "wide-ends")
     # few of all texts: the bitmap keeps the others out of the shuffle
     texts = in_bitmap(_texts_of(docs), "h", bitmap(need, "_h")).join(need, _row("", "_"))
-    return materialise(texts.select("same", "text").mapInPandas(run, "_same long, s array<long>").dropDuplicates(["_same"]), "shingle-sets")
+    sets = materialise(texts.select("same", "text").mapInPandas(run, "_same long, s array<long>").dropDuplicates(["_same"]), "shingle-sets")
+    release(wanted, need)
+    return sets
 
 
 def _alike(a: np.ndarray, b: np.ndarray) -> bool:
@@ -271,8 +273,9 @@ class _Near:
         return pd.DataFrame(links_, columns=["a", "b"])
 
 
-def _grouped(docs: DataFrame, shingle: int, radius: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, h, g, same) of each row, and for each ``same`` the row (_doc_id, _h, _g) that stands for its group."""
+def _grouped(docs: DataFrame, shingle: int, radius: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame, list]:
+    """(doc_id, h, g, same) of each row; for each ``same`` the row (_doc_id, _h, _g) that stands for its group; the
+    tables both are read from."""
     refs = [[xxhash.xxh64_intdigest(bytes([i, k]), 7) for k in range(LANES)] for i in range(N_PIVOTS)]
     refs = np.array(refs, np.uint64)
 
@@ -305,6 +308,7 @@ def _grouped(docs: DataFrame, shingle: int, radius: int, block: int = BLOCK) ->
     alike = 9 * F.size(F.array_intersect("sa", "sb")) >= 4 * (F.size("sa") + F.size("sb"))
     grp = components(both.filter(alike).select(F.col("same").alias("a"), F.col("hub").alias("b"))).withColumnsRenamed({"node": "_node", "root": "_grp"})
     grp = materialise(grp, "star-groups")
+    release(hub, stars, sets)
     rows = materialise(classes.join(grp, F.col("same") == F.col("_node"), "left").select("same", "n", *fs, "t", "keys", F.coalesce("_grp", "same").alias("grp")), "star-rows")
     # then all rows of a bucket that the stars have left in different groups, inside tasks and in blocks
     banded = rows.select("*", F.posexplode("keys").alias("band", "key"))
@@ -325,11 +329,12 @@ def _grouped(docs: DataFrame, shingle: int, radius: int, block: int = BLOCK) ->
     roots = components(found.union(grp.select("_node", "_grp"))).withColumnRenamed("node", "_node")
     rooted = classes.join(roots, F.col("same") == F.col("_node"), "left").select("same", "no_id", "doc_id", "h", "g", F.coalesce("root", "same").alias("root"))
     rooted = materialise(rooted, "rooted")
+    release(classes, grp, rows, open_, live, sets)
     # written tables, so that Spark splits the join where a group is large
     first = rooted.groupBy("root").agg(F.min(F.struct("no_id", "doc_id", "h", "g")).alias("r"))
     first = materialise(first.select("root", *(F.col(f"r.{c}").alias(f"_{c}") for c in ("doc_id", "h", "g"))), "least-of-group")
     found = rooted.join(first, "root").select(F.col("same").alias("_same"), "_doc_id", "_h", "_g")
-    return prints.select("doc_id", "h", "g", "same"), found
+    return prints.select("doc_id", "h", "g", "same"), found, [prints, rooted, first]
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS, block: int = BLOCK) -> DataFrame:
@@ -343,7 +348,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS,
     groups is compared inside tasks: a bucket of more than ``block`` rows is dealt to pairs of blocks, and a block
     gives out a spanning set of its links, so nothing that Spark moves grows with the number of pairs.
     """
-    prints, found = _grouped(docs, shingle, radius, block)
+    prints, found, _ = _grouped(docs, shingle, radius, block)
     return prints.join(found, F.col("same") == F.col("_same"), "left").select("doc_id", "same", F.col("_doc_id").alias("component"))
 
 
@@ -351,8 +356,9 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> Da
     """Documents that stand for their group of near copies: the one with the least id, of an id's texts the one with
     the least hashes. Rows are told apart by id and text, so null and repeated ids may have many texts; of rows
     equal in both one stays."""
-    _, found = _grouped(docs, shingle, radius)
+    _, found, tables = _grouped(docs, shingle, radius)
     kept = materialise(found.select("_doc_id", "_h", "_g").distinct(), "kept-rows")
+    release(*tables)
     rows = docs.withColumns({"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(7), F.col("text"))}).join(kept, _row("", "_"), "left_semi")
     return as_documents(rows.dropDuplicates(["doc_id", "h", "g"]))
 
