@@ -13,7 +13,7 @@ from headwater.llm.common import as_documents, materialise, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and their group's adaptive thresholds."""
-    measured = materialise(quality.measure(as_documents(docs)), "pipeline-quality")
+    measured = materialise(quality.measure(as_documents(docs)), "pipeline-quality", "zstd")
     return as_documents(quality.judge(measured).filter("kept"))
 
 
@@ -42,7 +42,7 @@ STAGES = [
     ("mixture", mixture), ("token_ids", token_ids),
 ]
 
-#: SQL has no XXH64 majority bits and no byte-pair encoder: tests hold run() against a brute-force version.
+#: SQL has no byte-pair encoder and no greedy tiling: tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
