@@ -83,10 +83,12 @@ def addressed(versions: DataFrame) -> DataFrame:
 def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules=RULES) -> DataFrame:
     """New ledger rows (blob, kind, version, spans): the pairs of blob and rule version that ``ledger`` lacks.
 
-    The row that stands for a blob is the one of its least path and version, chosen over addresses
+    The row that stands for a blob is the one of its least path and version as text, chosen over addresses
     alone; contents of other rows go no further than the join that drops them.
     """
-    rows = addressed(versions)
+    # null paths and versions as values, so that the join's keys are the grouping's below
+    name = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    rows = addressed(versions).select("blob", name("path").alias("path"), name("version").alias("version"), "content")
     first = rows.groupBy("blob").agg(F.min(F.struct("path", "version")).alias("of")).select(F.col("blob").alias("_blob"), F.col("of.path").alias("_path"), F.col("of.version").alias("_version"))
     if ledger is None:
         todo = first.withColumn("_seen", F.array().cast("array<string>"))
@@ -95,8 +97,7 @@ def scan_unseen(versions: DataFrame, ledger: DataFrame | None = None, rules=RULE
         todo = first.join(seen, F.col("_blob") == F.col("_b"), "left").drop("_b").withColumn("_seen", F.coalesce("_seen", F.array().cast("array<string>")))
     wanted = F.array(*(F.lit(f"{r.kind}:{r.version}") for r in rules))
     todo = todo.filter(F.size(F.array_except(wanted, "_seen")) > 0)
-    same = (F.col("blob") == F.col("_blob")) & F.col("path").eqNullSafe(F.col("_path")) & F.col("version").eqNullSafe(F.col("_version"))
-    unseen = rows.select("blob", "path", "version", "content").join(todo, same)
+    unseen = rows.join(todo, (F.col("blob") == F.col("_blob")) & (F.col("path") == F.col("_path")) & (F.col("version") == F.col("_version")))
     # equal rows are one: they are together already, as their keys are those of the join
     unseen = unseen.groupBy("blob", "path", "version").agg(F.first("content").alias("content"), F.first("_seen").alias("_seen"))
     scans = F.array(*(
