@@ -105,6 +105,17 @@ def paired_bootstrap(df: DataFrame, diff: str, replicates: int, seed: int = 0) -
     return out.withColumn("p", F.least(F.lit(1.0), 2.0 * F.least(F.col("share_above_zero"), 1.0 - F.col("share_above_zero"))))
 
 
+def bonferroni(df: DataFrame, p: str = "p") -> DataFrame:
+    """``df`` with p_adjusted: p times the number of tests, one at most."""
+    return df.withColumn("p_adjusted", F.least(F.lit(1.0), F.col(p) * df.agg(F.count(p)).scalar()))
+
+
+def over_seeds(df: DataFrame, by: list[str], value: str, at_least: float) -> DataFrame:
+    """(by, n, mean, std, passed): a metric's mean and population deviation over seeds, and whether the mean reaches a bound."""
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    return out.withColumn("passed", F.col("mean") >= at_least)
+
+
 def two_way_bootstrap(df: DataFrame, value: str, replicates: int, seed: int = 0) -> DataFrame:
     """(mean, low, high) with rows (say, subsets) and columns (tests) drawn independently.
 

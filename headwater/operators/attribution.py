@@ -1,7 +1,7 @@
 """Projection, influence scores and rankings over gradient tables (see model.GRADIENTS).
 
-Queries are the small side: their number is stated by the caller and they are broadcast only while their
-vectors stay under ``MAX_QUERY_BYTES``; beyond that they are scored block by block.
+Queries are the small side: they are broadcast only while their vectors stay under ``MAX_QUERY_BYTES``; beyond
+that rows and blocks of queries meet in a shuffle. Vectors reach NumPy as one Arrow buffer a batch.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,18 +39,31 @@ def project(df: DataFrame, proj_dim: int, input_dim: int, seed: int = 42, column
     """Replace ``column`` by its projection: one matrix product for each Arrow batch. Wrong widths raise."""
     matrix = projection_matrix(input_dim, proj_dim, seed)
 
-    @F.pandas_udf("array<double>")
-    def times(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype=object)
-        block = np.stack([np.asarray(x, np.float64) for x in v])
-        if block.shape[1] != input_dim:
-            raise ValueError(f"vectors have {block.shape[1]} elements; the projection takes {input_dim}")
-        return pd.Series(list(block @ matrix.T))
+    @F.arrow_udf("array<double>")
+    def times(v: pa.Array) -> pa.Array:
+        return _as_lists(_as_matrix(v, input_dim) @ matrix.T)
 
     return df.withColumn(column, times(F.col(column)))
 
 
+def _as_matrix(v, dim: int | None = None) -> np.ndarray:
+    """An Arrow column of vectors of one width as rows of a matrix. Nulls and wrong widths raise."""
+    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
+    if not len(v):
+        return np.zeros((0, dim or 0))
+    flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    dim = len(flat) // len(v) if dim is None else dim
+    widths = v.value_lengths().to_numpy(zero_copy_only=False)
+    if v.null_count or (widths != dim).any():
+        raise ValueError(f"vectors have {sorted(set(widths.tolist()))} elements or are null; {dim} are taken")
+    return flat.reshape(len(v), dim)
+
+
+def _as_lists(m: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(m).ravel()))
+
+
 def score_blocks(gradients: DataFrame, queries: list[tuple[int, list[float]]]) -> DataFrame:
     """(query_id, sample_index, source_id, score): one matrix product for each Arrow batch and block of queries."""
     out = None
@@ -59,12 +73,14 @@ def score_blocks(gradients: DataFrame, queries: list[tuple[int, list[float]]]) -
         matrix = np.array([q[1] for q in queries[at : at + size]], np.float64)
 
         def run(batches, ids=ids, matrix=matrix):
-            for pdf in batches:
-                if len(pdf) and len(ids):
-                    s = np.stack([np.asarray(x, np.float64) for x in pdf.vec]) @ matrix.T
-                    yield pd.DataFrame({"query_id": np.tile(ids, len(pdf)), "sample_index": np.repeat(pdf.sample_index.to_numpy(), len(ids)), "source_id": np.repeat(pdf.source_id.to_numpy(), len(ids)), "score": s.ravel()})
-
-        df = gradients.select("sample_index", "source_id", "vec").mapInPandas(run, "query_id long, sample_index long, source_id string, score double")
+            for batch in batches:
+                if batch.num_rows and len(ids):
+                    s = _as_matrix(batch.column("vec"), matrix.shape[1]) @ matrix.T
+                    at = pa.array(np.repeat(np.arange(batch.num_rows), len(ids)))
+                    columns = [pa.array(np.tile(ids, batch.num_rows)), batch.column("sample_index").take(at), batch.column("source_id").take(at), pa.array(s.ravel())]
+                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "sample_index", "source_id", "score"])
+
+        df = gradients.select("sample_index", "source_id", "vec").mapInArrow(run, "query_id long, sample_index long, source_id string, score double")
         out = df if out is None else out.union(df)
     return out
 
@@ -75,14 +91,22 @@ def dot_scores(gradients: DataFrame, queries: DataFrame) -> DataFrame:
     ``queries`` has (query_id, vec). Inner products stay in built-in functions.
     """
     q = queries.select("query_id", F.col("vec").alias("_q"))
-    pairs = gradients.join(_small(q))
+    pairs = _paired(gradients, q)
     return pairs.select("query_id", "sample_index", "source_id", V.dot(F.col("vec"), F.col("_q")).alias("score"))
 
 
-def _small(queries: DataFrame) -> DataFrame:
-    """Broadcast a query set after checking its size; a larger one is joined without the hint."""
+def _paired(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """Every row with every query (query_id, _q) of a stated set. The queries are broadcast after a check of their
+    size; more of them are dealt to blocks of that size, a row goes to each block, and both meet by block and share."""
+    spark = rows.sparkSession
     n = queries.agg(F.coalesce(F.sum(F.size("_q")), F.lit(0))).first()[0]
-    return F.broadcast(queries) if 8 * n <= MAX_QUERY_BYTES else queries
+    if 8 * n <= MAX_QUERY_BYTES:
+        return rows.join(F.broadcast(queries))
+    blocks, shares = -(-8 * n // MAX_QUERY_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_share", every(shares))
+    share = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if kind in ("bigint", "int", "string")]), F.lit(shares)).cast("int")
+    return rows.withColumn("_share", share).withColumn("_block", every(blocks)).join(dealt, ["_block", "_share"]).drop("_block", "_share")
 
 
 def normalised(scores: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -100,13 +124,12 @@ def gram(gradients: DataFrame, dim: int) -> np.ndarray:
 
     def partial(batches):
         g = np.zeros((dim, dim))
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack([np.asarray(v, np.float64) for v in pdf.vec])
-                g += x.T @ x
-        yield pd.DataFrame({"i": np.arange(dim), "row": list(g)})
+        for batch in batches:
+            x = _as_matrix(batch.column("vec"), dim)
+            g += x.T @ x
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim, dtype=np.int32)), _as_lists(g)], ["i", "row"])
 
-    parts = gradients.select("vec").mapInPandas(partial, "i int, row array<double>")
+    parts = gradients.select("vec").mapInArrow(partial, "i int, row array<double>")
     sums = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
     out = np.zeros((dim, dim))
     for r in sums:
@@ -202,15 +225,21 @@ def source_means(gradients: DataFrame, queries: DataFrame, dim: int) -> DataFram
     """
 
     def partial(batches):
-        for pdf in batches:
-            if len(pdf):
-                code, names = pd.factorize(pdf.source_id.fillna("unknown").replace("", "unknown"))
-                x = np.stack([np.asarray(v, np.float64) for v in pdf.vec])
-                member = np.zeros((len(names), len(x)))
-                member[code, np.arange(len(x))] = 1.0
-                yield pd.DataFrame({"source": names, "n": np.bincount(code), "vec": list(member @ x)})
-
-    parts = gradients.select("source_id", "vec").mapInPandas(partial, "source string, n long, vec array<double>")
-    sums = parts.groupBy("source").agg(F.sum("n").alias("n"), V.vector_sum(F.col("vec"), dim).alias("total"))
+        n: dict[str, int] = {}
+        total: dict[str, np.ndarray] = {}
+        for batch in batches:
+            x = _as_matrix(batch.column("vec"), dim)
+            code, names = pd.factorize(batch.column("source_id").to_pandas().fillna("unknown").replace("", "unknown"))
+            member = np.zeros((len(names), len(x)))
+            member[code, np.arange(len(x))] = 1.0
+            for name, k, s in zip(names, np.bincount(code).tolist(), member @ x, strict=True):
+                n[name], total[name] = n.get(name, 0) + k, total.get(name, 0.0) + s
+        if n:  # a row for each task and source
+            yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64()), _as_lists(np.stack(list(total.values())))], ["source", "n", "vec"])
+
+    parts = gradients.select("source_id", "vec").mapInArrow(partial, "source string, n long, vec array<double>")
+    # summed by element, so that a source's parts need not meet in one task whole
+    sums = parts.select("source", "n", F.posexplode("vec").alias("i", "x")).groupBy("source", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
+    sums = sums.groupBy("source").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("total"))
     q = queries.select("query_id", F.col("vec").alias("_q"))
-    return sums.join(_small(q)).select("query_id", "source", "n", (V.dot(F.col("total"), F.col("_q")) / F.col("n")).alias("mean"))
+    return _paired(sums, q).select("query_id", "source", "n", (V.dot(F.col("total"), F.col("_q")) / F.col("n")).alias("mean"))

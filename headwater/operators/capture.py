@@ -42,7 +42,7 @@ class Recorder:
 
 
 class TrackedFrame:
-    """A DataFrame with its node. Views (select, where, limit, alias) stay on their parent's node; computing
+    """A DataFrame with its node. Views (select, where) stay on their parent's node; computing
     operations make a new one. Source ids of an edge are those of its direct inputs."""
 
     def __init__(self, df: DataFrame, recorder: Recorder, source_id: str | None = None, node: int | None = None):

@@ -11,10 +11,11 @@ RETENTION_DAYS = 3650
 LOG_VERSION = "1.0"
 
 
-def touching_edges(edges: DataFrame, start: DataFrame) -> DataFrame:
-    """(start, edge): edges with a start or any of its ancestors at either end, also those to other outputs."""
+def touching_edges(edges: DataFrame, start: DataFrame, up: DataFrame | None = None) -> DataFrame:
+    """(start, edge): edges with a start or any of its ancestors at either end, also those to other outputs. ``up`` hands
+    in the ancestors (start, node) if they are known."""
     start = start.select("start").distinct()
-    nodes = graph.ancestors(edges, start).unionByName(start.select("start", F.col("start").alias("node")))
+    nodes = (graph.ancestors(edges, start) if up is None else up).unionByName(start.select("start", F.col("start").alias("node")))
     adj = graph.adjacency(edges)
     ends = adj.select(F.col("edge_id").alias("id"), F.col("src").alias("node")).unionByName(adj.select(F.col("edge_id").alias("id"), F.col("dst").alias("node"))).distinct()
     ids = nodes.distinct().join(ends, "node").select("start", "id").distinct()
@@ -24,8 +25,9 @@ def touching_edges(edges: DataFrame, start: DataFrame) -> DataFrame:
 def report(edges: DataFrame, start: DataFrame, system: str, purpose: str, article: str = "12") -> DataFrame:
     """One nested row for each start: its ancestors, operations and retention terms; to_json makes the file."""
     start = start.select("start").distinct()
-    up = graph.ancestors(edges, start).groupBy("start").agg(F.countDistinct("node").alias("ancestor_count"))
-    ops = touching_edges(edges, start).groupBy("start").agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("edge_id"), "op_name", "input_ids", "output_id"))).alias("operations"))
+    above = graph.ancestors(edges, start)  # read from the tables that its rounds have written
+    up = above.groupBy("start").agg(F.countDistinct("node").alias("ancestor_count"))
+    ops = touching_edges(edges, start, above).groupBy("start").agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("edge_id"), "op_name", "input_ids", "output_id"))).alias("operations"))
     out = start.join(up, "start", "left").join(ops, "start", "left")
     return out.select(
         F.col("start").alias("node"), F.lit(LOG_VERSION).alias("log_version"), F.lit(article).alias("article"), F.lit(system).alias("system"), F.lit(purpose).alias("purpose"),
@@ -33,6 +35,16 @@ def report(edges: DataFrame, start: DataFrame, system: str, purpose: str, articl
     )
 
 
+def write_reports(reports: DataFrame, path: str) -> None:
+    """A JSON line for each report. Nodes that the graph doesn't hold have none: see ``tracked``."""
+    reports.write.mode("overwrite").json(path)
+
+
+def tracked(start: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The starts that are nodes of the graph."""
+    return start.join(nodes.select(F.col("id").alias("start")), "start", "left_semi")
+
+
 def retention(created: Column, now: Column) -> Column:
     """(age_days, compliant, expires_in_days) of a timestamp against a stated now."""
     age = (F.unix_timestamp(now) - F.unix_timestamp(created)) / 86400.0

@@ -13,6 +13,7 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 RANGE_OPS = ("matmul", "dot", "einsum", "tensordot", "inner", "outer", "conv2d")
 RANGE_MIN_DIM = 100
@@ -23,6 +24,8 @@ def _stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="headwater-"))
         base = _own[0]
@@ -117,6 +120,23 @@ def stats(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.agg(F.count("*").alias("nodes")).join(edges.agg(F.count("*").alias("edges")))
 
 
+def compressed_stats(nodes: DataFrame, edges: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The counts of ``stats`` and that of the range descriptors."""
+    return nodes.agg(F.count("*").alias("nodes")).withColumns({"edges": edges.agg(F.count("*")).scalar(), "range_descriptors": ranges.agg(F.count("*")).scalar()})
+
+
+def add_gradient_edges(gradient_edges: DataFrame, more: DataFrame) -> DataFrame:
+    """Scored edges appended, their ids going on after the largest there is: ``more`` is numbered by its content."""
+    order = Window.orderBy("source_node_id", "target_node_id", "influence_score")
+    start = gradient_edges.agg(F.coalesce(F.max("id"), F.lit(-1).cast("long"))).scalar()
+    return gradient_edges.unionByName(more.withColumn("id", F.row_number().over(order) + start), allowMissingColumns=True)
+
+
+def influence_stats(nodes: DataFrame, edges: DataFrame, gradient_edges: DataFrame) -> DataFrame:
+    """The counts of ``stats`` and that of the scored edges."""
+    return nodes.agg(F.count("*").alias("nodes")).withColumns({"edges": edges.agg(F.count("*")).scalar(), "gradient_edges": gradient_edges.agg(F.count("*")).scalar()})
+
+
 def full_trace(edges: DataFrame, gradient_edges: DataFrame, start: DataFrame) -> DataFrame:
     """(start, lineage, influences): sorted ancestors, and scored edges (source node, score) into the start."""
     up = ancestors(edges, start).groupBy("start").agg(F.sort_array(F.collect_list("node")).alias("lineage"))

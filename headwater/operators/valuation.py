@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import graph
 from .attribution import dot_scores
 
 
@@ -36,3 +37,12 @@ def by_operation(values: DataFrame, node_edges: DataFrame) -> DataFrame:
     """
     met = values.join(node_edges, values.source_node_id == node_edges.node)
     return met.groupBy("op_name").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+
+
+def by_upstream_operation(values: DataFrame, edges: DataFrame) -> DataFrame:
+    """``by_operation`` with the edges found by walking up: those that make a sample's node or any of its ancestors, each
+    once for a node, so an operation that was used twice counts twice."""
+    start = values.filter("source_node_id is not null").select(F.col("source_node_id").alias("start")).distinct()
+    nodes = graph.ancestors(edges, start).unionByName(start.select("start", F.col("start").alias("node"))).distinct()
+    made = edges.select(F.col("output_id").alias("node"), F.col("id").alias("edge_id"), "op_name")
+    return by_operation(values, nodes.join(made, "node").select(F.col("start").alias("node"), "edge_id", "op_name"))

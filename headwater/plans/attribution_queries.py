@@ -13,8 +13,8 @@ from ..operators import valuation as K
 from ..session import table
 from ._register import query
 
-DIM, N_QUERIES = 64, 5
-GRADS = "g AS (SELECT vec_id AS s, 's' || label AS src, label::BIGINT + 900 AS node, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT s AS query_id, v AS u FROM g WHERE s < 5)"
+DIM, EVERY = 64, 50
+GRADS = "g AS (SELECT vec_id AS s, 's' || label AS src, label::BIGINT + 900 AS node, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT s AS query_id, v AS u FROM g WHERE s % 50 = 0)"
 RAW = f"{GRADS}, raw AS (SELECT query_id, s AS sample_index, src AS source_id, list_dot_product(v, u) AS score FROM g, q)"
 NORMED = f"{RAW}, n AS (SELECT *, CASE WHEN max(abs(score)) OVER w > 1e-10 THEN score / max(abs(score)) OVER w ELSE score END AS ns FROM raw WINDOW w AS (PARTITION BY query_id))"
 
@@ -24,9 +24,9 @@ def grads(spark, sf_dir: str) -> DataFrame:
     return e.select(F.col("vec_id").alias("entry_seq"), F.col("vec_id").alias("sample_index"), F.concat(F.lit("s"), F.col("label")).alias("source_id"), (F.col("label").cast("long") + 900).alias("source_node_id"), F.lit(0.0).alias("loss"), V.as_double(F.col("embedding")).alias("vec"))
 
 
-def tests(g: DataFrame, n: int = N_QUERIES) -> DataFrame:
-    """The validation set: the vectors of the first ids."""
-    return g.filter(F.col("sample_index") < n).select(F.col("sample_index").alias("query_id"), "vec")
+def tests(g: DataFrame) -> DataFrame:
+    """The query set: every row whose id is divisible by 50."""
+    return g.filter(F.col("sample_index") % EVERY == 0).select(F.col("sample_index").alias("query_id"), "vec")
 
 
 def r6(c, name: str | None = None):
@@ -75,10 +75,10 @@ def topk_harmful(spark, sf_dir):
     return A.top_k(A.normalised(A.dot_scores(g, tests(g))), 10, most_harmful=True).select("query_id", "rank", "sample_index", "source_id", r6("score"))
 
 
-@query(f"WITH {GRADS}, b AS (SELECT s AS query_id, v AS u FROM g WHERE s < 10), r AS (SELECT query_id, s AS sample_index, list_dot_product(v, u) AS score FROM g, b) SELECT query_id, sample_index, round(score / max(abs(score)) OVER (PARTITION BY query_id), 6) + 0.0 AS score FROM r")
+@query(f"WITH {GRADS}, b AS (SELECT s AS query_id, v AS u FROM g WHERE s % 50 = 0), r AS (SELECT query_id, s AS sample_index, list_dot_product(v, u) AS score FROM g, b) SELECT query_id, sample_index, round(score / max(abs(score)) OVER (PARTITION BY query_id), 6) + 0.0 AS score FROM r")
 def influence_batch_scores(spark, sf_dir):
     g = grads(spark, sf_dir)
-    q = [(r.query_id, list(r.vec)) for r in tests(g, 10).collect()]
+    q = [(r.query_id, list(r.vec)) for r in tests(g).collect()]
     return A.normalised(A.score_blocks(g, q)).select("query_id", "sample_index", r6("score"))
 
 
@@ -87,7 +87,7 @@ _SEEDS = (1, 2, 3)
 
 @query(
     f"WITH {GRADS}, " + ", ".join(projected_sql(8, s, out=f"p{s}") for s in _SEEDS)
-    + ", a AS (" + " UNION ALL ".join(f"SELECT {s} AS c, b.s AS query_id, a.s AS sample_index, a.src AS source_id, list_dot_product(a.v, b.v) AS score FROM p{s} a, p{s} b WHERE b.s < 5" for s in _SEEDS)
+    + ", a AS (" + " UNION ALL ".join(f"SELECT {s} AS c, b.s AS query_id, a.s AS sample_index, a.src AS source_id, list_dot_product(a.v, b.v) AS score FROM p{s} a, p{s} b WHERE b.s % 50 = 0" for s in _SEEDS)
     + "), m AS (SELECT *, score / max(abs(score)) OVER (PARTITION BY c, query_id) AS ns FROM a) SELECT query_id, sample_index, source_id, round(avg(ns), 6) + 0.0 AS score FROM m GROUP BY ALL"
 )
 def multi_checkpoint_mean(spark, sf_dir):
@@ -102,7 +102,7 @@ _INV2 = """m AS (SELECT sum(v[1]*v[1]) AS a, sum(v[1]*v[2]) AS b, sum(v[2]*v[2])
  l AS (SELECT a + 1e-3*(a+d)/2 AS a, b, d + 1e-3*(a+d)/2 AS d FROM m), inv AS (SELECT d/(a*d-b*b) AS ia, -b/(a*d-b*b) AS ib, a/(a*d-b*b) AS id FROM l)"""
 
 
-@query(f"WITH {GRADS}, {projected_sql(2, 42)}, {_INV2}, sc AS (SELECT t.s AS query_id, p.s AS sample_index, p.v[1]*(ia*t.v[1] + ib*t.v[2]) + p.v[2]*(ib*t.v[1] + id*t.v[2]) AS score FROM p, p t, inv WHERE t.s < 5) SELECT query_id, sample_index, round(score / max(abs(score)) OVER (PARTITION BY query_id), 6) + 0.0 AS score FROM sc")
+@query(f"WITH {GRADS}, {projected_sql(2, 42)}, {_INV2}, sc AS (SELECT t.s AS query_id, p.s AS sample_index, p.v[1]*(ia*t.v[1] + ib*t.v[2]) + p.v[2]*(ib*t.v[1] + id*t.v[2]) AS score FROM p, p t, inv WHERE t.s % 50 = 0) SELECT query_id, sample_index, round(score / max(abs(score)) OVER (PARTITION BY query_id), 6) + 0.0 AS score FROM sc")
 def trak_scores_k2(spark, sf_dir):
     p = A.project(grads(spark, sf_dir), 2, DIM)
     return A.normalised(A.trak_scores(p, tests(p), 2)).select("query_id", "sample_index", r6("score"))
@@ -187,7 +187,7 @@ def source_ranking(spark, sf_dir):
 
 
 _KNN = f"""WITH {RAW}, rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, sample_index) - 1 AS r FROM raw),
-w AS (SELECT sample_index, sum((1.0/10)*(1.0 - r/10.0)/5) AS value FROM rk WHERE r < 10 GROUP BY sample_index),
+w AS (SELECT sample_index, sum((1.0/10)*(1.0 - r/10.0)/(SELECT count(*) FROM q)) AS value FROM rk WHERE r < 10 GROUP BY sample_index),
 val AS (SELECT g.s AS sample_index, g.src AS source_id, g.node, coalesce(value, 0.0) AS value FROM g LEFT JOIN w ON w.sample_index = g.s)"""
 
 
@@ -287,7 +287,7 @@ def logistic_descent(spark, sf_dir):
     return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(w)], "i int, weight double")
 
 
-@query(f"WITH {GRADS}, {projected_sql(8, 42)}, r AS (SELECT b.s AS query_id, a.s AS sample_index, a.src, list_dot_product(a.v, b.v) AS score FROM p a, p b WHERE b.s < 5), n AS (SELECT *, score / max(abs(score)) OVER (PARTITION BY query_id) AS ns FROM r) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(ns, 9), sample_index) AS rank, sample_index, src AS source_id, (SELECT node FROM g WHERE g.s = n.sample_index) AS source_node_id, round(ns, 6) + 0.0 AS score FROM n) WHERE rank <= 10")
+@query(f"WITH {GRADS}, {projected_sql(8, 42)}, r AS (SELECT b.s AS query_id, a.s AS sample_index, a.src, list_dot_product(a.v, b.v) AS score FROM p a, p b WHERE b.s % 50 = 0), n AS (SELECT *, score / max(abs(score)) OVER (PARTITION BY query_id) AS ns FROM r) SELECT * FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(ns, 9), sample_index) AS rank, sample_index, src AS source_id, (SELECT node FROM g WHERE g.s = n.sample_index) AS source_node_id, round(ns, 6) + 0.0 AS score FROM n) WHERE rank <= 10")
 def engine_attribute(spark, sf_dir):
     """A session over projected gradients: queries come in the input space."""
     from ..operators.engine import AttributionEngine

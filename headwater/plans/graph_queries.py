@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import compliance, graph
+from ..operators import compliance, graph, valuation
 from ..session import table
 from ..sources import stores
 from ._register import query
@@ -180,3 +180,20 @@ def trace_spans(spark, sf_dir):
     _, e = dag(spark, sf_dir)
     s = stores.spans(e, "lineage")
     return s.select("service", "name", F.col("attributes.output_id").alias("output_id"), F.size(F.from_json(F.col("attributes.input_ids"), "array<long>")).cast("long").alias("n_inputs"))
+
+
+@query(f"""WITH RECURSIVE {ADJ}, em AS (SELECT vec_id, (CASE label % 3 WHEN 0 THEN {TOTAL} + label WHEN 1 THEN {CUSTOMER} + vec_id + 1 ELSE {NATION} + label END)::BIGINT AS node, vec_id::DOUBLE AS value FROM embeddings),
+st AS (SELECT DISTINCT node FROM em), ups(start, node) AS (SELECT node, node FROM st UNION SELECT ups.start, adj.src FROM ups JOIN adj ON adj.dst = ups.node),
+made AS (SELECT DISTINCT dst, op FROM adj) SELECT op AS op_name, count(*) AS n, round(avg(value), 6) AS mean FROM em JOIN ups ON ups.start = em.node JOIN made ON made.dst = ups.node GROUP BY op""")
+def valuation_by_upstream_op(spark, sf_dir):
+    """Values by the operations above each sample's node: totals, customers or nations of the DAG."""
+    _, e = dag(spark, sf_dir)
+    at = F.when(F.col("label") % 3 == 0, F.col("label") + TOTAL).when(F.col("label") % 3 == 1, F.col("vec_id") + CUSTOMER + 1).otherwise(F.col("label") + NATION)
+    values = table(spark, sf_dir, "embeddings").select(at.cast("long").alias("source_node_id"), F.col("vec_id").cast("double").alias("value"))
+    return valuation.by_upstream_operation(values, e).select("op_name", "n", r6("mean"))
+
+
+@query(f"WITH {ADJ} SELECT (SELECT count(*) FROM region) + (SELECT count(DISTINCT dst) FROM adj) AS nodes, (SELECT count(DISTINCT dst) FROM adj) AS edges, (SELECT count(*) FROM (SELECT DISTINCT src, dst FROM adj WHERE op = 'matmul' AND dst % 200 > 100)) AS range_descriptors")
+def compressed_graph_stats(spark, sf_dir):
+    n, e = dag(spark, sf_dir)
+    return graph.compressed_stats(n, e, graph.range_descriptors(e, n))

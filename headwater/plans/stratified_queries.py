@@ -11,10 +11,9 @@ from ..session import table
 from ._register import query
 from .attribution_queries import DIM, r6, tests
 
-N_TESTS = 40
 SOURCES = [f"s{i}" for i in range(8)]
 COLUMNS = {s: (8 * i, 8) for i, s in enumerate(SOURCES)}
-BASE = """g AS (SELECT vec_id AS s, 's' || (label % 8) AS src, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT s AS query_id, v AS u FROM g WHERE s < 40),
+BASE = """g AS (SELECT vec_id AS s, 's' || (label % 8) AS src, embedding::DOUBLE[] AS v FROM embeddings), q AS (SELECT s AS query_id, v AS u FROM g WHERE s % 50 = 0),
 sc AS (SELECT query_id, s, src, list_dot_product(v, u) AS score FROM g, q),
 pri AS (SELECT src, count(*) / (SELECT count(*) FROM g)::DOUBLE AS prior FROM g GROUP BY src),
 blk AS (SELECT query_id, 's' || k AS src, sqrt(list_sum(list_transform(u[8*k+1:8*k+8], lambda x: x*x))) AS mag FROM q, unnest(range(0, 8)) t(k)),
@@ -29,7 +28,7 @@ def grads(spark, sf_dir):
 
 def setting(spark, sf_dir):
     g = grads(spark, sf_dir)
-    q = tests(g, N_TESTS)
+    q = tests(g)
     return g, q, A.dot_scores(g, q)
 
 
@@ -54,12 +53,12 @@ for _name, _value in (
 
 @query(f"WITH {BASE} SELECT query_id, 's' || ((((query_id + 1)*48271 + 1007*7919) % 2147483647) % 8) AS source FROM q")
 def sab_random(spark, sf_dir):
-    return S.random_choice(tests(grads(spark, sf_dir), N_TESTS), SOURCES, 7)
+    return S.random_choice(tests(grads(spark, sf_dir)), SOURCES, 7)
 
 
 @query(f"WITH {BASE}, val AS (SELECT query_id, src, mag AS value FROM blk) {PICK}")
 def sab_gradmag(spark, sf_dir):
-    return picked(S.by_magnitude(S.block_magnitudes(tests(grads(spark, sf_dir), N_TESTS), COLUMNS)))
+    return picked(S.by_magnitude(S.block_magnitudes(tests(grads(spark, sf_dir)), COLUMNS)))
 
 
 @query(f"WITH {BASE}, val AS (SELECT query_id, src, count(*)::DOUBLE AS value FROM rk WHERE k <= 25 GROUP BY ALL) {PICK}")
@@ -107,17 +106,17 @@ def sab_block_cosine(spark, sf_dir):
 def sab_per_source_trak(spark, sf_dir):
     """A Gram matrix for each source: NumPy checks it in the tests."""
     g = grads(spark, sf_dir)
-    q = [(r.query_id, list(r.vec)) for r in tests(g, N_TESTS).collect()]
+    q = [(r.query_id, list(r.vec)) for r in tests(g).collect()]
     return picked(S.per_source_trak(g, q, DIM))
 
 
-_PRED = f"pred AS ({PICK}), tru AS (SELECT s AS query_id, src AS seg FROM g WHERE s < 40), j AS (SELECT seg, (seg = source)::INTEGER::DOUBLE AS hit FROM tru JOIN pred USING (query_id)), ps AS (SELECT seg, count(*) AS n, sum(hit) AS hits, avg(hit) AS p1 FROM j GROUP BY seg)"
+_PRED = f"pred AS ({PICK}), tru AS (SELECT s AS query_id, src AS seg FROM g WHERE s % 50 = 0), j AS (SELECT seg, (seg = source)::INTEGER::DOUBLE AS hit FROM tru JOIN pred USING (query_id)), ps AS (SELECT seg, count(*) AS n, sum(hit) AS hits, avg(hit) AS p1 FROM j GROUP BY seg)"
 _MEANVAL = "val AS (SELECT query_id, src, abs(avg(score)) AS value FROM sc GROUP BY ALL)"
 
 
 def _predicted(spark, sf_dir):
     g, q, s = setting(spark, sf_dir)
-    truth = g.filter(F.col("sample_index") < N_TESTS).select(F.col("sample_index").alias("query_id"), F.col("source_id").alias("source"))
+    truth = g.filter(F.col("sample_index") % 50 == 0).select(F.col("sample_index").alias("query_id"), F.col("source_id").alias("source"))
     return S.predict(S.aggregate(s, "mean")), truth
 
 

@@ -24,7 +24,8 @@ def current(versions: DataFrame, seq: str = "seq") -> DataFrame:
 def insert_if_absent(existing: DataFrame, more: DataFrame) -> DataFrame:
     """The rows of ``more`` whose id is new, of several the first by order of their content."""
     fresh = more.join(existing.select("id"), "id", "left_anti")
-    return fresh.dropDuplicates(["id"])
+    row = F.struct(*fresh.columns)
+    return fresh.groupBy("id").agg(F.min_by(row, F.to_json(row)).alias("_row")).select("_row.*")
 
 
 def query_by_source(edges: DataFrame, source_id: str) -> DataFrame:

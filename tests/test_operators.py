@@ -248,3 +248,39 @@ def test_json_blocks(spark, tmp_path):
 def test_late_sample_leaves_a_full_window(spark):
     rows = spark.createDataFrame([("a", i, float(i)) for i in (5, 6, 7, 1)], "source_id string, sample_index long, value double")
     assert sorted(r.sample_index for r in window.batch_window(rows, 3).collect()) == [5, 6, 7]
+
+
+def test_queries_beyond_the_broadcast_bound_meet_in_a_shuffle(spark, monkeypatch):
+    x, q = rng.normal(size=(60, 4)), rng.normal(size=(17, 4))
+    monkeypatch.setattr(attribution, "MAX_QUERY_BYTES", 64)
+    scores = attribution.dot_scores(store(spark, x), queries(spark, q))
+    assert "CartesianProduct" not in scores._jdf.queryExecution().executedPlan().toString()
+    np.testing.assert_allclose(scores_of(scores, 17, 60), q @ x.T)
+
+
+def test_insert_if_absent_takes_the_first_by_content(spark):
+    from headwater.sources import stores
+
+    old = spark.createDataFrame([(1, "x")], "id long, op string")
+    more = spark.createDataFrame([(1, "a"), (2, "c"), (2, "b"), (3, None)], "id long, op string").repartition(3)
+    assert sorted(tuple(r) for r in stores.insert_if_absent(old, more).collect()) == [(2, "b"), (3, None)]
+
+
+def test_influence_graph_grows_and_counts(spark):
+    from headwater.operators import graph
+
+    edge = "id long, source_node_id long, target_node_id long, influence_score double"
+    old, more = spark.createDataFrame([(4, 0, 1, 0.5)], edge), spark.createDataFrame([(0, 2, 1, 0.1), (0, 0, 2, 0.2)], edge).drop("id")
+    both = graph.add_gradient_edges(old, more)
+    assert sorted((r.id, r.source_node_id) for r in both.collect()) == [(4, 0), (5, 0), (6, 2)]
+    some = spark.range(3)
+    assert tuple(graph.influence_stats(some, some.limit(2), both).first()) == (3, 2, 3)
+
+
+def test_bonferroni_and_seeds(spark):
+    from headwater.functions import statistics
+
+    df = spark.createDataFrame([("a", 0.01, 1.0), ("a", 0.5, 0.0), ("b", 0.2, 0.1)], "m string, p double, v double")
+    assert [round(r.p_adjusted, 9) for r in statistics.bonferroni(df).orderBy("p").collect()] == [0.03, 0.6, 1.0]
+    got = {r.m: (r.n, r.mean, r.std, r.passed) for r in statistics.over_seeds(df, ["m"], "v", 0.2).collect()}
+    assert got == {"a": (2, 0.5, 0.5, True), "b": (1, 0.1, 0.0, False)}
