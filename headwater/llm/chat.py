@@ -10,7 +10,8 @@ it still differed. Everything is built-in functions.
 A conversation is one string by contract, hence gathered in one row; that row's size is the conversation's.
 
 Defined results: null role and text are empty; turns of equal number are ordered by role and text, repeated
-rows stay; null conversation ids are one conversation; an empty table gives an empty table.
+rows stay; null conversation ids are one conversation; texts of any length are rendered whole; an empty table gives an
+empty table; extra columns are not touched, whatever their names.
 """
 
 from __future__ import annotations

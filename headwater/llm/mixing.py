@@ -11,7 +11,8 @@ a capped source leaves goes to the others by weight until none is above. The num
 that of documents: they are summed first and only then ordered.
 
 Defined results: null text has size 0; null source comes last; ids may be null or repeated (equal rows tie and
-are interchangeable); an empty table gives an empty table; extra columns are not touched.
+are interchangeable); texts of any length are counted whole; an empty table gives an empty table; extra columns are not
+touched, whatever their names.
 """
 
 from __future__ import annotations

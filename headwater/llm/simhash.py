@@ -17,8 +17,14 @@ stars, and their components are contracted; the join then only gives out links b
 contracted components.
 
 Defined results: null or blank text has fingerprint zero and links like any other; a text of fewer words than
-a shingle is one shingle; null ids are kept as rows (the least non-null id names a component); repeated
-rows share a fingerprint; an empty table gives an empty table.
+a shingle is one shingle; texts of any length are read whole; null ids are kept as rows (the least non-null id names a
+component); a bit that half of the hashes set is not set; repeated rows share a fingerprint; an empty table gives
+an empty table; extra columns are not touched, whatever their names.
+
+``similar_groups`` and ``keep_one`` serve the corpus pipeline: shingles of five words, similarity 0.8 and more. Their
+fingerprint is four lanes of majority bits with the same kind of pivot table, see there. Rows without words are one
+group; of the rows of a group the one with an id goes before those without, then the least id, then the least hashes
+of the text; rows equal in id and text are one; null and repeated ids keep all their different texts.
 """
 
 from __future__ import annotations
@@ -359,7 +365,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS) -> Da
     _, found, tables = _grouped(docs, shingle, radius)
     kept = materialise(found.select("_doc_id", "_h", "_g").distinct(), "kept-rows")
     release(*tables)
-    rows = docs.withColumns({"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(7), F.col("text"))}).join(kept, _row("", "_"), "left_semi")
+    rows = as_documents(docs).withColumns({"h": F.xxhash64("text"), "g": F.xxhash64(F.lit(7), F.col("text"))}).join(kept, _row("", "_"), "left_semi")
     return as_documents(rows.dropDuplicates(["doc_id", "h", "g"]))
 
 

@@ -470,6 +470,17 @@ def test_dense_groups_below_and_above_the_bound_are_whole(spark, block):
     assert got == {i: find(i) for i in range(70)} and len(set(got.values())) > 1
 
 
+def test_clashing_columns_change_nothing(spark, small):
+    clash = {c: F.lit("x") for c in ("fp", "grp", "root", "component", "same", "band", "key", "h", "g", "_h", "_g", "size", "target", "taken", "part")}
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert rows_of(simhash.near_duplicates(docs.withColumns(clash)), "doc_id", "fp", "component_id") == rows_of(simhash.near_duplicates(docs), "doc_id", "fp", "component_id")
+    assert rows_of(simhash.keep_one(docs.withColumns(clash)), "doc_id", "text") == rows_of(simhash.keep_one(docs), "doc_id", "text")
+    talk = spark.read.parquet(f"{small}/conversations.parquet")
+    chats = [chat.format_conversations(t) for t in (talk.withColumns({c: F.lit("x") for c in ("formatted", "turns", "loss", "n", "parsed")}), talk)]
+    assert rows_of(chats[0], *chats[1].columns) == rows_of(chats[1], *chats[1].columns)
+    assert rows_of(mixing.mix(docs.withColumns(clash)), "doc_id", "taken") == rows_of(mixing.mix(docs), "doc_id", "taken")
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, i) for i in range(101, 140)] + [(7, 7), (None, 3), (200, 201), (201, 200)]
     got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
