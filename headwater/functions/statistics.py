@@ -133,3 +133,86 @@ def two_way_bootstrap(df: DataFrame, value: str, replicates: int, seed: int = 0)
     drawn = r.join(grid, "_row").join(c, ["_b", "_col"])
     means = drawn.groupBy("_b").agg((F.sum(F.col("_v") * F.col("_wr") * F.col("_wc")) / (n_rows * n_cols)).alias("_m"))
     return means.agg(F.avg("_m").alias("mean"), F.percentile("_m", F.lit(0.025)).alias("low"), F.percentile("_m", F.lit(0.975)).alias("high"))
+
+
+def ordinal_rank(value: str, by: list[str], tie: str) -> Column:
+    """Ranks from 1; ties in the order of ``tie``."""
+    return F.row_number().over(Window.partitionBy(*by).orderBy(F.round(value, 9), tie)).cast("double")
+
+
+def lds_difference(df: DataFrame, reps: DataFrame, seed: int = 0) -> DataFrame:
+    """(rep, diff): mean rank correlation of ``pred_a`` with ``margin`` less that of ``pred_b``, over drawn subsets and tests.
+
+    ``df`` is (world, subset, test, pred_a, pred_b, margin), a full grid for each world (say, a training seed); ``reps``
+    is (rep, world). Each replicate draws its world's subsets and tests with repeats: ranks are ordinal over the drawn
+    subsets, and how often a test is drawn weighs it.
+    """
+    number = lambda c: df.select("world", c).distinct().select("world", c, (F.row_number().over(Window.partitionBy("world").orderBy(c)) - 1).cast("long").alias(f"_{c}"))
+    grid = df.join(number("subset"), ["world", "subset"]).join(number("test"), ["world", "test"])
+    sized = reps.join(grid.groupBy("world").agg((F.max("_subset") + 1).alias("_ns"), (F.max("_test") + 1).alias("_nt")), "world")
+
+    def draw(n: str, name: str, s: int) -> DataFrame:
+        each = sized.select("rep", "world", n, F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1)).alias("_p"))
+        return each.select("rep", "world", "_p", pick(F.col("rep"), F.col("_p"), F.col(n), s).alias(name))
+
+    tests = draw("_nt", "_test", seed + 1).groupBy("rep", "world", "_test").agg(F.count("*").alias("_w"))
+    drawn = draw("_ns", "_subset", seed).join(grid, ["world", "_subset"]).join(tests, ["rep", "world", "_test"])
+    ranked = drawn.withColumns({f"_{c}": ordinal_rank(c, ["rep", "_test"], "_p") for c in ("pred_a", "pred_b", "margin")})
+    rho = ranked.groupBy("rep", "_test").agg(F.max("_w").alias("_w"), correlation("_pred_a", "_margin").alias("a"), correlation("_pred_b", "_margin").alias("b"))
+    mean = lambda c: F.sum(F.col(c) * F.col("_w")) / F.sum(F.when(F.col(c).isNotNull(), F.col("_w")))
+    return rho.groupBy("rep").agg((mean("a") - mean("b")).alias("diff"))
+
+
+def _interval(diffs: DataFrame) -> DataFrame:
+    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
+    return diffs.agg(F.percentile("diff", F.lit(0.025)).alias("low"), F.percentile("diff", F.lit(0.975)).alias("high"), share(F.col("diff") > 0).alias("share_above_zero"), share(F.col("diff") >= 0).alias("share_not_below_zero"))
+
+
+def held_out_bootstrap(df: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """(low, high, share_above_zero, share_not_below_zero) of ``lds_difference`` in one world."""
+    world = df.select("world").distinct()
+    return _interval(lds_difference(df, df.sparkSession.range(replicates).withColumnRenamed("id", "rep").join(world), seed))
+
+
+def hierarchical_bootstrap(df: DataFrame, replicates: int, seed: int = 0) -> DataFrame:
+    """The same where a replicate first draws as many worlds as there are, with repeats, then each one's subsets and
+    tests anew, and takes the mean of their differences."""
+    worlds = df.select("world").distinct().select("world", (F.row_number().over(Window.orderBy("world")) - 1).cast("long").alias("_i"))
+    spark, n = df.sparkSession, worlds.count()
+    drawn = spark.range(replicates).select(F.col("id").alias("_b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("_p"))
+    drawn = drawn.withColumn("_i", pick(F.col("_b"), F.col("_p"), F.lit(n), seed)).join(worlds, "_i")
+    diffs = lds_difference(df, drawn.select((F.col("_b") * n + F.col("_p")).alias("rep"), "world"), seed + 2)
+    return _interval(diffs.groupBy(F.floor(F.col("rep") / n).alias("_b")).agg(F.avg("diff").alias("diff")))
+
+
+def lds_by_membership(masks: DataFrame, outcomes: DataFrame, scores: DataFrame) -> DataFrame:
+    """(query_id, rho): each sample's effect is the rank correlation of its membership (subset, sample_index, member)
+    with the outcome (subset, query_id, outcome) over subsets; rho is that of the scores with these effects over samples.
+    An undefined correlation counts as 0. Ranks are taken before the tables meet."""
+    m = masks.withColumn("_rm", average_rank("member", ["sample_index"]))
+    o = outcomes.withColumn("_ro", average_rank("outcome", ["query_id"]))
+    effects = m.join(o, "subset").groupBy("query_id", "sample_index").agg(F.round(F.coalesce(correlation("_rm", "_ro"), F.lit(0.0)), 9).alias("_e"))
+    both = scores.select("query_id", "sample_index", F.round("score", 9).alias("score")).join(effects, ["query_id", "sample_index"])
+    return spearman(both, "score", "_e", ["query_id"]).withColumn("rho", F.coalesce("rho", F.lit(0.0)))
+
+
+def ranking_consistency(means: DataFrame, expected: list[str], first: int = 30) -> DataFrame:
+    """(n, top_share, order_share, mean_rho) of the sources' means (query_id, source, mean) of each query.
+
+    How often the first of ``expected`` has the largest mean, how often the expected order holds, and the mean
+    pairwise rank correlation between the ``first`` queries by id.
+    """
+    m = means.withColumn("mean", F.round("mean", 9))
+    of = [F.max(F.when(F.col("source") == s, F.col("mean"))) for s in expected]
+    holds = of[0] >= of[1]
+    for a, b in zip(of[1:], of[2:], strict=False):
+        holds = holds & (a >= b)
+    top = F.max_by("source", "mean")
+    per = m.groupBy("query_id").agg(F.when(holds, 1.0).otherwise(0.0).alias("_o"), F.when(top == expected[0], 1.0).otherwise(0.0).alias("_t"))
+    some = m.select("query_id").distinct().orderBy("query_id").limit(first)
+    r = m.join(some, "query_id").select("query_id", "source", average_rank("mean", ["query_id"]).alias("_r"))
+    a, b = r.alias("a"), r.alias("b")
+    pairs = a.join(b, (F.col("a.source") == F.col("b.source")) & (F.col("a.query_id") < F.col("b.query_id")))
+    rho = pairs.select(F.col("a.query_id").alias("x"), F.col("b.query_id").alias("y"), F.col("a._r").alias("ra"), F.col("b._r").alias("rb")).groupBy("x", "y").agg(correlation("ra", "rb").alias("rho"))
+    mean = F.coalesce(rho.agg(F.avg("rho")).scalar(), F.lit(0.0))
+    return per.agg(F.count("*").alias("n"), F.avg("_t").alias("top_share"), F.avg("_o").alias("order_share")).withColumn("mean_rho", mean)

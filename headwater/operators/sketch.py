@@ -95,3 +95,10 @@ def hook_counts(modules: DataFrame, factors: DataFrame) -> DataFrame:
     """(module, n): logged samples of each module; one that never fired has 0."""
     n = factors.groupBy("module").agg(F.countDistinct("sample_index").alias("n"))
     return modules.select(F.col("name").alias("module")).join(n, "module", "left").withColumn("n", F.coalesce("n", F.lit(0)).cast("long"))
+
+
+def bytes_by_module(factors: DataFrame, k: int, item: int = 4) -> DataFrame:
+    """(module, n, dense_bytes, factored_bytes): what its samples' gradients take whole and with both sides at most k wide."""
+    dims = factors.groupBy("module").agg(F.countDistinct("sample_index").alias("n"), F.max(F.size("g")).alias("o"), F.max(F.size("a")).alias("i"))
+    small = F.least("o", F.lit(k)) * F.least("i", F.lit(k))
+    return dims.select("module", "n", (F.col("o") * F.col("i") * item * F.col("n")).alias("dense_bytes"), (small * item * F.col("n")).alias("factored_bytes"))

@@ -209,3 +209,94 @@ def shadow_mia(spark, sf_dir):
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id")
     x = (F.col("n_chars") % 97) / 97.0
     return unlearning.shadow_attack(d.select(F.col("doc_id").alias("sample_index"), (x * F.col("quality")).alias("loss"), (x - 0.5).alias("margin"), F.col("quality").alias("member"))).select("n", r6("quality"))
+
+
+@query("WITH s AS (SELECT event_type, user_id % 10 AS seed, avg(value) AS m FROM events GROUP BY ALL) SELECT event_type, count(*) AS n, round(avg(m), 6) AS mean, round(stddev_pop(m), 6) AS std, avg(m) >= 50 AS passed FROM s GROUP BY event_type")
+def seed_summary(spark, sf_dir):
+    per = table(spark, sf_dir, "events").groupBy("event_type", (F.col("user_id") % 10).alias("seed")).agg(F.avg("value").alias("m"))
+    return T.over_seeds(per, ["event_type"], "m", 50.0).select("event_type", "n", r6("mean"), r6("std"), "passed")
+
+
+_P1 = "p AS (SELECT c_mktsegment AS segment, o_orderkey % 5 AS seed, avg(CASE WHEN o_totalprice > 100000 THEN 1.0 ELSE 0.0 END) AS p1 FROM orders JOIN customer ON c_custkey = o_custkey GROUP BY ALL)"
+
+
+@query(f"WITH {_P1} SELECT segment, count(*) AS n, round(avg(p1), 6) AS mean, round(stddev_pop(p1), 6) AS std FROM p GROUP BY segment")
+def per_segment_over_seeds(spark, sf_dir):
+    o, c = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer")
+    hit = F.when(F.col("o_totalprice") > 100000, 1.0).otherwise(0.0)
+    per = o.join(c, o.o_custkey == c.c_custkey).groupBy(F.col("c_mktsegment").alias("segment"), (F.col("o_orderkey") % 5).alias("seed")).agg(F.avg(hit).alias("p1"))
+    return T.over_seeds(per, ["segment"], "p1", 0.1).select("segment", "n", r6("mean"), r6("std"))
+
+
+@query("WITH t AS (SELECT event_type, least(1.0, exp(-abs(avg(value) - 50))) AS p FROM events GROUP BY 1) SELECT event_type, round(p, 6) AS p, round(least(1.0, p * (SELECT count(*) FROM t)), 6) AS p_adjusted FROM t")
+def bonferroni_adjusted(spark, sf_dir):
+    p = F.least(F.lit(1.0), F.exp(-F.abs(F.avg("value") - 50)))
+    return T.bonferroni(table(spark, sf_dir, "events").groupBy("event_type").agg(p.alias("p"))).select("event_type", r6("p"), r6("p_adjusted"))
+
+
+_LDS = """g AS (SELECT *, dense_rank() OVER (PARTITION BY world ORDER BY subset) - 1 AS i, dense_rank() OVER (PARTITION BY world ORDER BY test) - 1 AS j FROM
+ (SELECT l_linenumber % 3 AS world, l_orderkey % 12 AS subset, l_partkey % 5 AS test, round(avg(l_quantity), 6) AS pa, round(avg(l_discount * 100), 6) AS pb, round(avg(l_extendedprice), 6) AS m FROM lineitem GROUP BY ALL)),
+sz AS (SELECT world, max(i) + 1 AS ns, max(j) + 1 AS nt FROM g GROUP BY world)"""
+
+
+def _lds_sql(reps: str, seed: int) -> str:
+    rank = lambda c: f"row_number() OVER (PARTITION BY ds.b, g.j ORDER BY round({c}, 9), ds.p)"
+    return f"""{_LDS}, rp AS ({reps}), ds AS (SELECT b, world, p, {_draw("ns", seed)} AS i FROM rp JOIN sz USING (world), unnest(range(0, ns)) x(p)),
+dt AS (SELECT b, world, {_draw("nt", seed + 1)} AS j, count(*) AS w FROM rp JOIN sz USING (world), unnest(range(0, nt)) x(p) GROUP BY ALL),
+rk AS (SELECT ds.b, g.j, w, {rank("pa")} AS ra, {rank("pb")} AS rb, {rank("m")} AS rm FROM ds JOIN g ON g.world = ds.world AND g.i = ds.i JOIN dt ON dt.b = ds.b AND dt.j = g.j),
+rho AS (SELECT b, j, max(w) AS w, corr(ra, rm) AS a, corr(rb, rm) AS c FROM rk GROUP BY ALL), d AS (SELECT b, sum(a*w)/sum(w) - sum(c*w)/sum(w) AS diff FROM rho GROUP BY b)"""
+
+
+_SHARES = "round(quantile_cont(diff, 0.025), 6) AS low, round(quantile_cont(diff, 0.975), 6) AS high, round(avg(CASE WHEN diff > 0 THEN 1.0 ELSE 0.0 END), 6) AS share_above_zero, round(avg(CASE WHEN diff >= 0 THEN 1.0 ELSE 0.0 END), 6) AS share_not_below_zero"
+
+
+def _lds_grid(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    cell = li.groupBy((F.col("l_linenumber") % 3).alias("world"), (F.col("l_orderkey") % 12).alias("subset"), (F.col("l_partkey") % 5).alias("test"))
+    return cell.agg(r6(F.avg("l_quantity"), "pred_a"), r6(F.avg(F.col("l_discount") * 100), "pred_b"), r6(F.avg("l_extendedprice"), "margin"))
+
+
+@query(f"WITH {_lds_sql('SELECT b, 0 AS world FROM unnest(range(0, 200)) t(b)', 5)} SELECT {_SHARES} FROM d")
+def held_out_bootstrap(spark, sf_dir):
+    out = T.held_out_bootstrap(_lds_grid(spark, sf_dir).filter("world = 0"), 200, seed=5)
+    return out.select(r6("low"), r6("high"), r6("share_above_zero"), r6("share_not_below_zero"))
+
+
+@query(f"""WITH {_lds_sql(f"SELECT b * 3 + p AS b, {_draw('3', 0)} AS world FROM unnest(range(0, 100)) t(b), unnest(range(0, 3)) x(p)", 2)}, pooled AS (SELECT b // 3 AS b, avg(diff) AS diff FROM d GROUP BY 1) SELECT {_SHARES} FROM pooled""")
+def hierarchical_bootstrap(spark, sf_dir):
+    out = T.hierarchical_bootstrap(_lds_grid(spark, sf_dir), 100)
+    return out.select(r6("low"), r6("high"), r6("share_above_zero"), r6("share_not_below_zero"))
+
+
+@query(f"""WITH {SC}, k AS (SELECT s, subset, CASE WHEN {_MASK} THEN 1 ELSE 0 END AS member FROM g, unnest(range(0, 20)) t(subset)),
+o AS (SELECT query_id, subset, round(sum(score) FILTER (member = 1), 6) AS outcome FROM sc JOIN k USING (s) GROUP BY ALL),
+rk AS (SELECT *, rank() OVER (PARTITION BY s ORDER BY member) + (count(*) OVER (PARTITION BY s, member) - 1)/2.0 AS rm FROM k), ro AS (SELECT *, rank() OVER (PARTITION BY query_id ORDER BY outcome) + (count(*) OVER (PARTITION BY query_id, outcome) - 1)/2.0 AS ro FROM o),
+e AS (SELECT query_id, s, round(coalesce(CASE WHEN stddev_pop(rm) * stddev_pop(ro) > 0 THEN corr(rm, ro) END, 0), 9) AS e FROM rk JOIN ro USING (subset) GROUP BY ALL), j AS (SELECT query_id, round(score, 9) AS score, e FROM sc JOIN e USING (query_id, s)),
+f AS (SELECT query_id, rank() OVER (PARTITION BY query_id ORDER BY score) + (count(*) OVER (PARTITION BY query_id, score) - 1)/2.0 AS x, rank() OVER (PARTITION BY query_id ORDER BY e) + (count(*) OVER (PARTITION BY query_id, e) - 1)/2.0 AS y FROM j)
+SELECT query_id, round(corr(x, y), 4) + 0.0 AS rho FROM f GROUP BY query_id""")
+def lds_by_membership(spark, sf_dir):
+    """Effects of single samples, read off their membership in twenty subsets, against the scores."""
+    g = grads(spark, sf_dir)
+    s, k = F.col("sample_index"), F.col("subset")
+    masks = g.select("sample_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(19).cast("long"))).alias("subset"))
+    masks = masks.withColumn("member", F.when(F.pmod(s * 7919 + k * 104729 + s * k * 31, F.lit(1000003)) % 10 < 7, 1).otherwise(0))
+    sc = A.dot_scores(g, tests(g))
+    outcomes = sc.join(masks.filter("member = 1"), "sample_index").groupBy("query_id", "subset").agg(r6(F.sum("score"), "outcome"))
+    out = T.lds_by_membership(masks, outcomes, sc)
+    return out.select("query_id", (F.round("rho", 4) + F.lit(0.0)).alias("rho"))
+
+
+@query(f"""WITH {SC}, m AS (SELECT query_id, 's' || label AS source, round(avg(score), 9) AS m FROM sc JOIN g USING (s) GROUP BY ALL),
+p AS (SELECT query_id, max(m) FILTER (source = 's1') AS a, max(m) FILTER (source = 's2') AS b, max(m) FILTER (source = 's3') AS c, arg_max(source, m) AS top FROM m GROUP BY query_id),
+f AS (SELECT DISTINCT query_id FROM m ORDER BY query_id LIMIT 30), r AS (SELECT query_id, source, rank() OVER (PARTITION BY query_id ORDER BY m) AS r FROM m JOIN f USING (query_id)),
+h AS (SELECT corr(x.r, y.r) AS rho FROM r x JOIN r y ON x.source = y.source AND x.query_id < y.query_id GROUP BY x.query_id, y.query_id)
+SELECT count(*) AS n, round(avg(CASE WHEN top = 's1' THEN 1.0 ELSE 0.0 END), 6) AS top_share, round(avg(CASE WHEN a >= b AND b >= c THEN 1.0 ELSE 0.0 END), 6) AS order_share, round((SELECT coalesce(avg(rho), 0) FROM h), 6) AS mean_rho FROM p""")
+def ranking_consistency(spark, sf_dir):
+    g = grads(spark, sf_dir)
+    means = A.source_means(g, tests(g), 64)
+    return T.ranking_consistency(means, ["s1", "s2", "s3"]).select("n", r6("top_share"), r6("order_share"), r6("mean_rho"))
+
+
+@query(f"WITH {_FACT} SELECT module, count(DISTINCT sample_index) AS n, 3 * 2 * 4 * count(DISTINCT sample_index) AS dense_bytes, (least(3, 2) * 2) * 4 * count(DISTINCT sample_index) AS factored_bytes FROM f GROUP BY module")
+def bytes_by_module(spark, sf_dir):
+    return sketch.bytes_by_module(factors(spark, sf_dir), 2)
