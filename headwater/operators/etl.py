@@ -150,3 +150,59 @@ def stack(df: DataFrame, columns: list[str], name: str = "stacked") -> DataFrame
     """(..., pos, value): columns along a new axis."""
     rest = [c for c in df.columns if c not in columns]
     return df.select(*rest, F.posexplode(F.array(*columns)).alias("pos", name))
+
+
+def column_origins(columns: list[str], encoded: dict[str, list[str]], drop_first: bool = True) -> list[tuple[str, str]]:
+    """(feature, column) in order: which column each feature of a table comes from after ``one_hot`` of the ``encoded``
+    ones (column: its categories)."""
+    out = []
+    for c in columns:
+        if c in encoded:
+            out += [(f"{c}_{v}", c) for v in sorted(encoded[c])[1 if drop_first else 0 :]]
+        else:
+            out.append((c, c))
+    return out
+
+
+def reindex_by_source(weights: DataFrame, origins: list[tuple[str, str]], sources: dict[str, list[str]]) -> DataFrame:
+    """(position, feature, column, source, ...): ``weights`` (feature, ...) in the features' order with the source whose
+    columns hold each one's origin; a feature without a weight has nulls, one of no source has 'unknown'."""
+    of = {c: s for s, cols in sources.items() for c in cols}
+    rows = [(i, f, c, of.get(c, "unknown")) for i, (f, c) in enumerate(origins)]
+    known = weights.sparkSession.createDataFrame(rows, "position int, feature string, column string, source string")
+    return known.join(weights, "feature", "left")
+
+
+def transform_columns(df: DataFrame, numeric: list[str], categorical: list[str], fit: DataFrame | None = None) -> DataFrame:
+    """Numeric columns standardised, categorical ones as 0/1 columns of the fitted categories (all of them; unknown values
+    have zeros); other columns, row ids among them, stay. Fitted on ``fit`` or the table itself."""
+    base = df if fit is None else fit
+    out = standardise(df, numeric, base)
+    for c in categorical:
+        out = one_hot(out, c, categories(base, c), drop_first=False).drop(c)
+    return out
+
+
+def drop_missing(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """Rows without a null or NaN in any of the columns."""
+    return df.na.drop(subset=columns)
+
+
+def stratified_split(df: DataFrame, key: str, label: str, seed: int, train_percent: int, buckets: int = 4096) -> DataFrame:
+    """``df`` with ``train``: floor(n * percent / 100 + 0.5) rows of each label, by an order that the seed and key give.
+
+    Rows are counted by label and bucket of that order first. Whole buckets below the cut go to the training side and
+    only the bucket that holds the cut is ranked, so no label meets in one task.
+    """
+    mixed = F.pmod((F.col(key) + 1) * 48271 + seed * 7919, F.lit(2147483647))
+    dealt = df.withColumns({"_x": mixed, "_b": F.floor(mixed * buckets / 2147483647).cast("int")})
+    counts = dealt.groupBy(label, "_b").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    want = F.floor(F.sum("_n").over(Window.partitionBy(label)) * train_percent / 100 + 0.5)
+    left = counts.select(F.col(label).alias("_l"), F.col("_b").alias("_c"), (want - before).alias("_left"), "_n")
+    met = dealt.join(left, F.col(label).eqNullSafe(F.col("_l")) & (F.col("_b") == F.col("_c")))
+    whole = (F.col("_left") >= F.col("_n")) | (F.col("_left") <= 0)
+    order = Window.partitionBy("_l", "_b").orderBy("_x", key)
+    sure = met.filter(whole).withColumn("train", F.col("_left") > 0)
+    cut = met.filter(~whole).withColumn("train", F.row_number().over(order) <= F.col("_left"))
+    return sure.unionByName(cut).drop("_x", "_b", "_l", "_c", "_left", "_n")

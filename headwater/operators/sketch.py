@@ -102,3 +102,39 @@ def bytes_by_module(factors: DataFrame, k: int, item: int = 4) -> DataFrame:
     dims = factors.groupBy("module").agg(F.countDistinct("sample_index").alias("n"), F.max(F.size("g")).alias("o"), F.max(F.size("a")).alias("i"))
     small = F.least("o", F.lit(k)) * F.least("i", F.lit(k))
     return dims.select("module", "n", (F.col("o") * F.col("i") * item * F.col("n")).alias("dense_bytes"), (small * item * F.col("n")).alias("factored_bytes"))
+
+
+def dense_sketch(factors: DataFrame, widths: dict[str, tuple[int, int]], k: int, seed: int = 0) -> DataFrame:
+    """(sample_index, vec): the projection to k of each sample's whole gradient, its modules' blocks one after the other.
+
+    ``widths`` gives (outputs, inputs) of each module in order; a module that isn't named raises. Cells are projected as
+    they come and summed by sample and element, so neither a sample's gradient nor a buffer of sketches is ever held
+    whole: partial sums are what a flush by a budget of bytes would write.
+    """
+    starts, at = {}, 0
+    for name, (out, inn) in widths.items():
+        starts[name] = (at, inn)
+        at += out * inn
+    cells = modules_checked(sample_gradients(factors), list(widths))
+    place = F.coalesce(*(F.when(F.col("module") == name, F.lit(start) + F.col("o") * inn + F.col("i")) for name, (start, inn) in starts.items())).cast("long")
+    cells = cells.select("sample_index", "value", place.alias("_j"))
+    unit = (3.0 / k) ** 0.5
+    parts = cells.select("sample_index", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), lambda i: V.coin(i, F.col("_j"), seed) * F.col("value") * unit).alias("_v"))
+    return parts.groupBy("sample_index").agg(V.vector_sum(F.col("_v"), k).alias("vec"))
+
+
+def modules_checked(rows: DataFrame, modules: list[str]) -> DataFrame:
+    """The rows; one of a module outside the stated set fails the job."""
+    known = F.col("module").isin(*modules)
+    return rows.filter(F.assert_true(known, F.concat(F.lit("unknown module "), F.coalesce("module", F.lit("null")))).isNull())
+
+
+def project_by_shape(factors: DataFrame, k: int, seed: int = 0) -> DataFrame:
+    """``project_factors`` where modules differ in shape: those of equal shape go through one expression. The driver sees
+    the distinct shapes, a handful in any model."""
+    shapes = sorted(tuple(r) for r in factors.select(F.size("g"), F.size("a")).distinct().collect())
+    out = None
+    for o, i in shapes:
+        one = project_factors(factors.filter((F.size("g") == o) & (F.size("a") == i)), o, i, k, seed)
+        out = one if out is None else out.unionByName(one)
+    return factors if out is None else out

@@ -242,3 +242,35 @@ def ddp_disjoint(spark, sf_dir):
     return o.filter("o_orderkey % 2 = 0").intersect(o.filter("o_orderkey % 2 = 1")).agg(F.count("*").alias("shared"))
 
 
+
+
+@query("""WITH f AS (SELECT DISTINCT c_mktsegment AS v FROM customer), s AS (SELECT 'c_mktsegment_' || v AS feature, 'c_mktsegment' AS col, row_number() OVER (ORDER BY v) - 2 AS k FROM f),
+o AS (SELECT 'c_acctbal' AS feature, 'c_acctbal' AS col, 'bank' AS source, 0 AS position UNION ALL SELECT feature, col, 'market', 1 + k FROM s WHERE k >= 0 UNION ALL SELECT 'c_nationkey', 'c_nationkey', 'unknown', 1 + (SELECT count(*) - 1 FROM f)),
+w AS (SELECT 'c_acctbal' AS feature, 0.5 AS weight UNION ALL SELECT 'c_mktsegment_' || c_mktsegment, round(avg(c_acctbal) / 1000.0, 6) FROM customer GROUP BY 1)
+SELECT position::INTEGER AS position, feature, col AS "column", source, weight::DOUBLE AS weight FROM o LEFT JOIN w USING (feature)""")
+def onehot_source_reindex(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    origins = etl.column_origins(["c_acctbal", "c_mktsegment", "c_nationkey"], {"c_mktsegment": etl.categories(c, "c_mktsegment")})
+    w = c.groupBy(F.concat(F.lit("c_mktsegment_"), "c_mktsegment").alias("feature")).agg(F.round(F.avg("c_acctbal") / 1000.0, 6).alias("weight"))
+    w = w.unionByName(spark.createDataFrame([("c_acctbal", 0.5)], "feature string, weight double"))
+    return etl.reindex_by_source(w, origins, {"bank": ["c_acctbal"], "market": ["c_mktsegment"]})
+
+
+@query("""WITH t AS (SELECT avg(c_acctbal) AS m, stddev_pop(c_acctbal) AS s FROM customer WHERE c_custkey % 4 <> 0), f AS (SELECT max(c_mktsegment = 'BUILDING')::INT AS b, max(c_mktsegment = 'MACHINERY')::INT AS m FROM customer WHERE c_custkey % 4 <> 0)
+SELECT c_custkey, round((c_acctbal - t.m) / (t.s + 1e-8), 6) + 0.0 AS c_acctbal, (c_mktsegment = 'BUILDING')::INT * f.b AS c_mktsegment_building, (c_mktsegment = 'MACHINERY')::INT * f.m AS c_mktsegment_machinery FROM customer, t, f""")
+def column_transformer(spark, sf_dir):
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
+    out = etl.transform_columns(c, ["c_acctbal"], ["c_mktsegment"], c.filter("c_custkey % 4 <> 0"))
+    one = lambda v: (F.col(f"c_mktsegment_{v}") if f"c_mktsegment_{v}" in out.columns else F.lit(0)).alias(f"c_mktsegment_{v.lower()}")
+    return out.select("c_custkey", (F.round("c_acctbal", 6) + F.lit(0.0)).alias("c_acctbal"), one("BUILDING"), one("MACHINERY"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 3 <> 0 AND o_totalprice > 50000")
+def drop_missing(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("a"), F.when(F.col("o_totalprice") > 50000, F.col("o_totalprice")).otherwise(F.lit(float("nan"))).alias("b"))
+    return etl.drop_missing(o).select("o_orderkey")
+
+
+@query("WITH x AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ((o_orderkey + 1) * 48271 + 7 * 7919) % 2147483647, o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) SELECT o_orderkey, o_orderstatus, k <= floor(n * 80 / 100.0 + 0.5) AS train FROM x")
+def stratified_split(spark, sf_dir):
+    return etl.stratified_split(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 7, 80)

@@ -300,3 +300,23 @@ def ranking_consistency(spark, sf_dir):
 @query(f"WITH {_FACT} SELECT module, count(DISTINCT sample_index) AS n, 3 * 2 * 4 * count(DISTINCT sample_index) AS dense_bytes, (least(3, 2) * 2) * 4 * count(DISTINCT sample_index) AS factored_bytes FROM f GROUP BY module")
 def bytes_by_module(spark, sf_dir):
     return sketch.bytes_by_module(factors(spark, sf_dir), 2)
+
+
+_COIN = lambda i, j, seed: f"(CASE (({i}*7919 + 13)*({j}*104729 + 17) + {seed * 31337} + {i}*{j}*31) % 1000003 % 6 WHEN 0 THEN -1.0 WHEN 5 THEN 1.0 ELSE 0.0 END)"
+
+
+@query(f"""WITH {_FACT}, c AS (SELECT sample_index, CASE module WHEN 'h.0.attn' THEN 0 ELSE 6 END + o * 2 + i AS j, sum(g[o + 1] * a[i + 1]) AS v FROM f, unnest(range(0, 3)) x(o), unnest(range(0, 2)) y(i) GROUP BY ALL)
+SELECT sample_index, k::INTEGER AS i, round(sum(v * {_COIN("k", "j", 7)}) * sqrt(3.0/4), 4) + 0.0 AS value FROM c, unnest(range(0, 4)) z(k) GROUP BY ALL""")
+def dense_sketch(spark, sf_dir):
+    out = sketch.dense_sketch(factors(spark, sf_dir), {"h.0.attn": (3, 2), "h.1.mlp": (3, 2)}, 4, seed=7)
+    return out.select("sample_index", F.posexplode("vec").alias("i", "value")).select("sample_index", "i", (F.round("value", 4) + F.lit(0.0)).alias("value"))
+
+
+@query(f"""WITH {_FACT}, w AS (SELECT sample_index, module, CASE WHEN module = 'h.0.attn' THEN g ELSE g[1:2] END AS g, a FROM f),
+p AS (SELECT sample_index, module, list_transform(range(0, least(2, len(g))), lambda i: list_sum(list_transform(range(0, len(g)), lambda j: g[j+1] * {_COIN("i", "j", 1)})) * sqrt(3.0/2)) AS g, list_transform(range(0, 2), lambda i: list_sum(list_transform(range(0, 2), lambda j: a[j+1] * {_COIN("i", "j", 2)})) * sqrt(3.0/2)) AS a FROM w)
+SELECT sample_index, module, o::INTEGER AS o, i::INTEGER AS i, round(sum(g[o + 1] * a[i + 1]), 4) + 0.0 AS value FROM p, unnest(range(0, 2)) x(o), unnest(range(0, 2)) y(i) GROUP BY ALL""")
+def projected_factors(spark, sf_dir):
+    """Modules of two shapes, both factors projected before they are multiplied out."""
+    f = factors(spark, sf_dir).withColumn("g", F.when(F.col("module") == "h.0.attn", F.col("g")).otherwise(F.slice("g", 1, 2)))
+    cells = sketch.sample_gradients(sketch.project_by_shape(f, 2))
+    return cells.select("sample_index", "module", "o", "i", (F.round("value", 4) + F.lit(0.0)).alias("value"))
