@@ -8,30 +8,16 @@ node like any other.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..scratch import delete, stored, stored_at
+
 RANGE_OPS = ("matmul", "dot", "einsum", "tensordot", "inner", "outer", "conv2d")
 RANGE_MIN_DIM = 100
-_own: list[str] = []
-
-
-def _stored(df: DataFrame, label: str) -> DataFrame:
-    spark = df.sparkSession
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        if not _own:
-            _own.append(tempfile.mkdtemp(prefix="headwater-"))
-        base = _own[0]
-    path = f"{base.rstrip('/')}/headwater/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def adjacency(edges: DataFrame) -> DataFrame:
@@ -45,18 +31,23 @@ def reach(adj: DataFrame, start: DataFrame, forward: bool = False, max_rounds: i
     A start itself appears only if a cycle leads back to it. ``start`` has one column, start.
     """
     here, there = ("src", "dst") if forward else ("dst", "src")
-    steps = _stored(adj.select(F.col(here).alias("_here"), F.col(there).alias("node")).distinct(), "steps")
-    frontier = _stored(start.select("start").distinct().join(steps, F.col("start") == F.col("_here")).select("start", "node").distinct(), "reach")
-    parts = [frontier]
+    spark = adj.sparkSession
+    steps, steps_path = stored_at(adj.select(F.col(here).alias("_here"), F.col(there).alias("node")).distinct(), "steps")
+    frontier, path = stored_at(start.select("start").distinct().join(steps, F.col("start") == F.col("_here")).select("start", "node").distinct(), "reach")
+    parts, paths = [frontier], [path]
     known = frontier
     for _ in range(max_rounds):
         ahead = frontier.join(steps.withColumnRenamed("node", "_next"), F.col("node") == F.col("_here")).select("start", F.col("_next").alias("node")).distinct()
-        frontier = _stored(ahead.join(known, ["start", "node"], "left_anti"), "reach")
+        frontier, path = stored_at(ahead.join(known, ["start", "node"], "left_anti"), "reach")
         if frontier.isEmpty():
+            delete(spark, steps_path, path)
             return known
         parts.append(frontier)
-        if len(parts) % 16 == 0:  # many small files become one table
-            parts = [_stored(known.unionByName(frontier), "reach")]
+        paths.append(path)
+        if len(parts) % 16 == 0:  # many small files become one table; the last one is still the frontier
+            every, path = stored_at(known.unionByName(frontier), "reach")
+            delete(spark, *paths[:-1])
+            parts, paths = [every], [paths[-1], path]
         known = parts[0]
         for p in parts[1:]:
             known = known.unionByName(p)
@@ -73,12 +64,12 @@ def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
 
 def closure_by_doubling(adj: DataFrame, max_rounds: int = 40) -> DataFrame:
     """(start, node): all ancestor pairs; paths double each round, so deep chains need few rounds."""
-    paths = _stored(adj.select(F.col("dst").alias("start"), F.col("src").alias("node")).distinct(), "paths")
+    paths = stored(adj.select(F.col("dst").alias("start"), F.col("src").alias("node")).distinct(), "paths")
     n = paths.count()
     for _ in range(max_rounds):
         a, b = paths.alias("a"), paths.alias("b")
         longer = a.join(b, F.col("a.node") == F.col("b.start")).select(F.col("a.start").alias("start"), F.col("b.node").alias("node"))
-        paths = _stored(paths.unionByName(longer).distinct(), "paths")
+        paths = stored(paths.unionByName(longer).distinct(), "paths")
         m = paths.count()
         if m == n:
             return paths
@@ -86,14 +77,37 @@ def closure_by_doubling(adj: DataFrame, max_rounds: int = 40) -> DataFrame:
     raise RuntimeError("no end of doubling")
 
 
+def chain_heads(adj: DataFrame) -> DataFrame:
+    """(node, head) of each node with a single input: its nearest ancestor that has none or several. Pointers double, so
+    a chain of any length takes few rounds and one row for each node. Around a cycle of such nodes the head is one of them."""
+    spark = adj.sparkSession
+    inputs = adj.select("src", "dst").distinct().groupBy("dst").agg(F.count("*").alias("_n"), F.min("src").alias("head"))
+    hop, path = stored_at(inputs.filter("_n = 1").select(F.col("dst").alias("node"), "head"), "heads")
+    for _ in range(math.ceil(math.log2(hop.count() + 1)) + 1):
+        further = hop.select(F.col("node").alias("head"), F.col("head").alias("_further"))
+        moved = hop.join(further, "head", "left").select("node", F.coalesce("_further", "head").alias("head"), F.col("_further").isNotNull().alias("_moved"))
+        new, new_path = stored_at(moved, "heads")
+        delete(spark, path)
+        hop, path = new.drop("_moved"), new_path
+        if new.filter("_moved").isEmpty():
+            break
+    return hop
+
+
 def roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, root): the ancestors of each node that no edge makes; such a node is its own root."""
-    adj = adjacency(edges)
-    made = adj.select(F.col("dst").alias("node")).distinct()
-    first = nodes.select(F.col("id").alias("node")).join(made, "node", "left_anti")
-    pairs = closure_by_doubling(adj).select(F.col("start").alias("node"), F.col("node").alias("root"))
-    pairs = pairs.join(first.withColumnRenamed("node", "root"), "root", "left_semi").select("node", "root")
-    return pairs.unionByName(first.select("node", F.col("node").alias("root")))
+    """(node, root): the ancestors of each node that no edge makes; such a node is its own root.
+
+    Chains shrink to their heads first; then roots travel along the edges between heads, so no rows but (root, node with
+    several inputs) are made on the way and the rounds are the levels of such nodes.
+    """
+    adj = adjacency(edges).select("src", "dst").distinct()
+    first = nodes.select(F.col("id").alias("node")).join(adj.select(F.col("dst").alias("node")).distinct(), "node", "left_anti")
+    heads = chain_heads(adj)
+    inner = adj.join(heads.select(F.col("node").alias("dst")), "dst", "left_anti")  # edges into nodes with several inputs
+    inner = inner.join(heads.withColumnRenamed("node", "src"), "src", "left").select(F.coalesce("head", "src").alias("src"), "dst")
+    met = reach(inner, first.withColumnRenamed("node", "start"), forward=True).select("node", F.col("start").alias("root"))
+    at = met.unionByName(first.select("node", F.col("node").alias("root")))
+    return at.unionByName(heads.join(at.withColumnRenamed("node", "head"), "head").select("node", "root"))
 
 
 def parents(edges: DataFrame, nodes: DataFrame, node: int) -> DataFrame:

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..operators.attribution import dot_scores, normalised, top_k
+
 STATE = "seen long, idx array<long>, val array<double>"
 OUTPUT = "source_id string, seen long, sample_index array<long>, value array<double>"
 
@@ -46,15 +48,22 @@ def streaming_window(stream: DataFrame, size: int) -> DataFrame:
     return stream.groupBy("source_id").applyInPandasWithState(update, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
 
 
-def run_to_table(windowed: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None):
-    """Run what is available and append each micro-batch's windows to a table by batch number."""
+def read_entries(spark, path: str, schema: str, files: int = 2, flush_bytes: int | None = None) -> DataFrame:
+    """A stream of a folder's Parquet files; a micro-batch ends after so many files, or at a budget of bytes."""
+    reader = spark.readStream.schema(schema)
+    return (reader.option("maxBytesPerTrigger", flush_bytes) if flush_bytes else reader.option("maxFilesPerTrigger", files)).parquet(path)
+
+
+def run_to_table(windowed: DataFrame, path: str, checkpoint: str, each: Callable[[DataFrame, int], None] | None = None, interval: str | None = None):
+    """Append each micro-batch's windows to a table by batch number: what is available now, or for ever with one
+    micro-batch in each ``interval``. The checkpoint resumes either."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(path)
         if each:
             each(batch, number)
 
-    return windowed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(write).start()
+    return windowed.writeStream.outputMode("update").option("checkpointLocation", checkpoint).trigger(**({"processingTime": interval} if interval else {"availableNow": True})).foreachBatch(write).start()
 
 
 def latest_windows(spark, path: str) -> DataFrame:
@@ -65,6 +74,19 @@ def latest_windows(spark, path: str) -> DataFrame:
     return each.select("source_id", "e.sample_index", "e.value")
 
 
+def window_stats(spark, path: str) -> DataFrame:
+    """(source_id, seen, held) of such a table: entries that each source's state has counted and those it holds."""
+    last = spark.read.parquet(path).groupBy("source_id").agg(F.max_by(F.struct("seen", F.size("sample_index").cast("long").alias("held")), "batch").alias("w"))
+    return last.select("source_id", "w.seen", "w.held")
+
+
+def attribute_window(held: DataFrame, gradients: DataFrame, queries: DataFrame, k: int, most_harmful: bool = False) -> DataFrame:
+    """(query_id, rank, sample_index, source_id, score): top-k of the samples that windows hold (see ``latest_windows``),
+    with scores normalised among these alone."""
+    own = held.select("source_id", "sample_index").join(gradients.select("sample_index", "vec"), "sample_index")
+    return top_k(normalised(dot_scores(own, queries)), k, most_harmful)
+
+
 def event_windows(stream: DataFrame, time: str, length: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """An extension: tumbling event-time sums by source with a watermark for late rows."""
     w = F.window(time, length)
