@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import itertools
 import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,7 +43,7 @@ class Recorder:
 
 
 class TrackedFrame:
-    """A DataFrame with its node. Views (select, where) stay on their parent's node; computing
+    """A DataFrame with its node. Views (select, where, rename, cast) stay on their parent's node; computing
     operations make a new one. Source ids of an edge are those of its direct inputs."""
 
     def __init__(self, df: DataFrame, recorder: Recorder, source_id: str | None = None, node: int | None = None):
@@ -75,6 +76,31 @@ class TrackedFrame:
     def union(self, other: TrackedFrame) -> TrackedFrame:
         return self._made("concatenate", self.df.unionByName(other.df), (other,))
 
+    def rename(self, names: dict[str, str]) -> TrackedFrame:
+        return self._view(self.df.withColumnsRenamed(names))
+
+    def cast(self, kinds: dict[str, str]) -> TrackedFrame:
+        return self._view(self.df.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()}))
+
+    def apply(self, op: str, f: Callable[..., DataFrame], *others: TrackedFrame | DataFrame) -> TrackedFrame:
+        """Any function of DataFrames, reductions among them; only tracked inputs are noted."""
+        plain = [t.df if isinstance(t, TrackedFrame) else t for t in others]
+        return self._made(op, f(self.df, *plain), tuple(t for t in others if isinstance(t, TrackedFrame)))
+
+    def apply_many(self, op: str, f: Callable[[DataFrame], tuple[DataFrame, ...]]) -> tuple[TrackedFrame, ...]:
+        """A function with several results: each has its node, and an edge from this one."""
+        return tuple(self._made(op, df, meta={"output": str(i)}) for i, df in enumerate(f(self.df)))
+
+    def beside(self, other: TrackedFrame, on: str | list[str]) -> TrackedFrame:
+        """Columns of both by row key."""
+        return self._made("concatenate", self.df.join(other.df, on), (other,), {"axis": "1"})
+
+    def stack(self, columns: list[str], name: str = "stacked") -> TrackedFrame:
+        """Columns along a new axis."""
+        from .etl import stack
+
+        return self._made("stack", stack(self.df, columns, name), meta={"columns": ",".join(columns)})
+
     def aggregate(self, keys: list[str], *aggs: Column, op: str = "aggregate") -> TrackedFrame:
         return self._made(op, self.df.groupBy(*keys).agg(*aggs), meta={"keys": ",".join(keys)})
 

@@ -2,19 +2,66 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import model
 from ..functions import vectors as V
+from ..functions.numbering import numbered
+from .attribution import project
 
 
-def log_batch(df: DataFrame, vec: Column, sample_index: Column, source_id: Column, node: Column | None = None, loss: Column | None = None) -> DataFrame:
-    """Rows of a gradient table from any DataFrame; entries are never overwritten, so repeats stay."""
-    return df.select(
-        F.monotonically_increasing_id().alias("entry_seq"), sample_index.cast("long").alias("sample_index"), source_id.cast("string").alias("source_id"),
-        (node if node is not None else F.lit(None)).cast("long").alias("source_node_id"), (loss if loss is not None else F.lit(0.0)).cast("double").alias("loss"), V.as_double(vec).alias("vec"),
+def log_batch(df: DataFrame, vec: Column, sample_index: Column | None, source_id: Column, node: Column | None = None, loss: Column | None = None, start: int = 0, first_sample: int = 0) -> DataFrame:
+    """Rows of a gradient table from any DataFrame; entries are never overwritten, so repeats stay.
+
+    Entries are numbered from ``start`` in the order of their content, whatever the partitions. Without a sample index
+    they are samples of their own, numbered from ``first_sample``.
+    """
+    null = F.lit(None)
+    rows = df.select(
+        (null if sample_index is None else sample_index).cast("long").alias("sample_index"), source_id.cast("string").alias("source_id"),
+        (null if node is None else node).cast("long").alias("source_node_id"), (F.lit(0.0) if loss is None else loss).cast("double").alias("loss"), V.as_double(vec).alias("vec"),
     )
+    out = numbered(rows, ["sample_index", "source_id", "source_node_id", "loss", "vec"], "entry_seq", start)
+    own = F.col("entry_seq") - start + first_sample if sample_index is None else F.col("sample_index")
+    return out.select("entry_seq", own.alias("sample_index"), "source_id", "source_node_id", "loss", "vec")
+
+
+class TrainingContext:
+    """Logs the gradients of one source into a table under a path, projected on the way in if ``input_dim`` is given.
+
+    Entries, and samples where none is given, are numbered on after those that the table holds. One writer at a time.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, source_id: str, dim: int, input_dim: int | None = None, seed: int = 42):
+        self.spark, self.path, self.source_id = spark, path, source_id
+        self.dim, self.input_dim, self.seed = dim, input_dim, seed
+        path_ = spark._jvm.org.apache.hadoop.fs.Path(path)
+        self._next = (0, 0)
+        if path_.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path_):
+            top = self.gradients().agg(F.max("entry_seq"), F.max("sample_index")).first()
+            self._next = tuple(0 if x is None else x + 1 for x in top)
+
+    def log(self, df: DataFrame, vec: Column, sample_index: Column | None = None, node: Column | None = None, loss: Column | None = None) -> None:
+        rows = log_batch(df, vec, sample_index, F.lit(self.source_id), node, loss, *self._next)
+        if self.input_dim is not None:
+            rows = project(rows, self.dim, self.input_dim, self.seed)
+        rows = append_checked(rows.limit(0), rows, self.dim)
+        rows.write.mode("append").parquet(self.path)
+        top = self.gradients().agg(F.max("entry_seq"), F.max("sample_index")).first()
+        self._next = tuple(0 if x is None else x + 1 for x in top)
+
+    def gradients(self) -> DataFrame:
+        return self.spark.read.schema(model.GRADIENTS).parquet(self.path)
+
+    def activate(self, name: str = "active_gradients") -> None:
+        """Make the table the session's active one; the last context wins. ``active`` reads it."""
+        self.gradients().createOrReplaceTempView(name)
+
+
+def active(spark: SparkSession, name: str = "active_gradients") -> DataFrame:
+    return spark.table(name)
 
 
 def append_checked(gradients: DataFrame, more: DataFrame, dim: int) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numbering import numbered
 from ..scratch import delete, stored, stored_at
 
 RANGE_OPS = ("matmul", "dot", "einsum", "tensordot", "inner", "outer", "conv2d")
@@ -141,9 +142,9 @@ def compressed_stats(nodes: DataFrame, edges: DataFrame, ranges: DataFrame) -> D
 
 def add_gradient_edges(gradient_edges: DataFrame, more: DataFrame) -> DataFrame:
     """Scored edges appended, their ids going on after the largest there is: ``more`` is numbered by its content."""
-    order = Window.orderBy("source_node_id", "target_node_id", "influence_score")
-    start = gradient_edges.agg(F.coalesce(F.max("id"), F.lit(-1).cast("long"))).scalar()
-    return gradient_edges.unionByName(more.withColumn("id", F.row_number().over(order) + start), allowMissingColumns=True)
+    last = gradient_edges.agg(F.max("id")).first()[0]
+    fresh = numbered(more, ["source_node_id", "target_node_id", "influence_score"], "id", 0 if last is None else last + 1)
+    return gradient_edges.unionByName(fresh, allowMissingColumns=True)
 
 
 def influence_stats(nodes: DataFrame, edges: DataFrame, gradient_edges: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -20,6 +20,11 @@ def knn_values(gradients: DataFrame, validation: DataFrame, k: int = 10) -> Data
     return gradients.select("sample_index", "source_id", "source_node_id").join(won, "sample_index", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
 
+def default_validation(spark: SparkSession, dim: int) -> DataFrame:
+    """What stands in for a missing validation set: one vector of zeros, under which the smallest samples are nearest."""
+    return spark.range(1).select(F.lit(0).cast("long").alias("query_id"), F.array_repeat(F.lit(0.0), dim).alias("vec"))
+
+
 def top_samples(values: DataFrame, k: int) -> DataFrame:
     top = values.orderBy(F.round("value", 9).desc(), "sample_index").limit(k)
     return top.withColumn("rank", F.row_number().over(Window.orderBy(F.round("value", 9).desc(), "sample_index")))

@@ -295,3 +295,19 @@ def engine_attribute(spark, sf_dir):
     g = grads(spark, sf_dir)
     engine = AttributionEngine(A.project(g, 8, DIM), 8, input_dim=DIM)
     return engine.attribute(tests(g), 10).select("query_id", "rank", "sample_index", "source_id", "source_node_id", r6("score"))
+
+
+@query("SELECT vec_id AS sample_index, round(coalesce((1/3.0) * (1 - r/3.0), 0), 6) AS value FROM embeddings LEFT JOIN (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS r FROM embeddings QUALIFY r < 3) USING (vec_id)")
+def valuation_default(spark, sf_dir):
+    """Without a validation set all scores are zero, and ties go to the smallest samples."""
+    return K.knn_values(grads(spark, sf_dir), K.default_validation(spark, DIM), 3).select("sample_index", r6("value"))
+
+
+@query("""WITH e AS (SELECT vec_id % 7 AS s, label, embedding::DOUBLE[] AS v FROM embeddings), o AS (SELECT row_number() OVER (ORDER BY s, 's' || label, v[1], v[2]) + 99 AS entry_seq, s AS sample_index, 's' || label AS source_id, v[1] AS x FROM e)
+SELECT entry_seq, sample_index, source_id, round(x, 6) + 0.0 AS x FROM o""")
+def logged_batch(spark, sf_dir):
+    """Entries that share samples, numbered by content after a hundred others."""
+    e = table(spark, sf_dir, "embeddings")
+    first = F.slice(F.col("embedding"), 1, 2)
+    rows = G.log_batch(e, first, F.col("vec_id") % 7, F.concat(F.lit("s"), F.col("label")), start=100)
+    return rows.select("entry_seq", "sample_index", "source_id", r6(F.col("vec")[0], "x"))

@@ -197,3 +197,34 @@ def valuation_by_upstream_op(spark, sf_dir):
 def compressed_graph_stats(spark, sf_dir):
     n, e = dag(spark, sf_dir)
     return graph.compressed_stats(n, e, graph.range_descriptors(e, n))
+
+
+@query("SELECT id, c_nationkey FROM (SELECT c_custkey AS id, c_nationkey FROM customer WHERE c_nationkey >= 10 UNION ALL SELECT c_custkey, c_nationkey + 1 FROM customer WHERE c_nationkey >= 10) QUALIFY row_number() OVER (PARTITION BY id ORDER BY c_nationkey::VARCHAR || '}') = 1")
+def insert_if_absent_rows(spark, sf_dir):
+    """Of the rows of a new id the first by its content as JSON text is taken."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), "c_nationkey")
+    more = c.unionByName(c.withColumn("c_nationkey", F.col("c_nationkey") + 1))
+    return stores.insert_if_absent(c.filter("c_nationkey < 10"), more)
+
+
+@query(f"WITH {ADJ} SELECT dst AS id, list(src ORDER BY src) AS input_ids FROM adj GROUP BY dst")
+def json_codec(spark, sf_dir):
+    """Edges to JSON columns, as a database holds them, and back."""
+    _, e = dag(spark, sf_dir)
+    return stores.decoded(stores.encoded(e), "id long, input_ids array<long>")
+
+
+@query("""SELECT (row_number() OVER (ORDER BY s_suppkey, s_nationkey, s_acctbal) + (SELECT count(*) - 1 FROM nation))::BIGINT AS id, s_suppkey AS source_node_id, s_nationkey::BIGINT AS target_node_id FROM supplier
+UNION ALL SELECT n_nationkey, n_nationkey, n_regionkey FROM nation""")
+def gradient_edges_added(spark, sf_dir):
+    n, s = table(spark, sf_dir, "nation"), table(spark, sf_dir, "supplier")
+    long = lambda c: F.col(c).cast("long")
+    old = n.select(long("n_nationkey").alias("id"), long("n_nationkey").alias("source_node_id"), long("n_regionkey").alias("target_node_id"), F.lit(0.0).alias("influence_score"))
+    more = s.select(long("s_suppkey").alias("source_node_id"), long("s_nationkey").alias("target_node_id"), F.col("s_acctbal").cast("double").alias("influence_score"))
+    return graph.add_gradient_edges(old, more).select("id", "source_node_id", "target_node_id")
+
+
+@query(f"WITH {ADJ} SELECT (SELECT count(*) FROM region) + (SELECT count(DISTINCT dst) FROM adj) AS nodes, (SELECT count(DISTINCT dst) FROM adj) AS edges, (SELECT count(*) FROM supplier) AS gradient_edges")
+def influence_graph_stats(spark, sf_dir):
+    n, e = dag(spark, sf_dir)
+    return graph.influence_stats(n, e, table(spark, sf_dir, "supplier"))

@@ -10,6 +10,7 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from .. import model
@@ -94,8 +95,29 @@ class LineageStore:
 
 def to_jdbc(df: DataFrame, url: str, table: str, mode: str = "append", **properties) -> None:
     """Write to a database; arrays and maps go as JSON text."""
-    text = {c: F.to_json(c) for c, t in df.dtypes if t.startswith(("array", "map", "struct"))}
-    df.withColumns(text).write.jdbc(url, table, mode, properties)
+    encoded(df).write.jdbc(url, table, mode, properties)
+
+
+def _nested(kind) -> bool:
+    return kind.typeName() in ("array", "map", "struct")
+
+
+def decoded(df: DataFrame, schema: str) -> DataFrame:
+    """The columns of ``schema``, arrays, maps and structs read back from JSON text. Text that is no JSON fails the job."""
+    fields = StructType.fromDDL(schema).fields
+    read = lambda f: F.from_json(f.name, f.dataType, {"mode": "FAILFAST"}) if _nested(f.dataType) else F.col(f.name).cast(f.dataType)
+    return df.select(*(read(f).alias(f.name) for f in fields))
+
+
+def encoded(df: DataFrame) -> DataFrame:
+    """Arrays, maps and structs as JSON text."""
+    return df.withColumns({f.name: F.to_json(f.name) for f in df.schema.fields if _nested(f.dataType)})
+
+
+def from_jdbc(spark: SparkSession, url: str, table: str, schema: str, by: tuple[str, int, int, int] | None = None, **properties) -> DataFrame:
+    """A table that ``to_jdbc`` wrote. ``by`` is (whole-number column, lowest, highest, partitions) for a parallel read."""
+    split = dict(zip(("column", "lowerBound", "upperBound", "numPartitions"), by, strict=True)) if by else {}
+    return decoded(spark.read.jdbc(url, table, properties=properties, **split), schema)
 
 
 def save_gradients(gradients: DataFrame, path: str, input_dim: int, proj_dim: int, seed: int) -> None:

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from headwater.functions import statistics, vectors
+from headwater.functions.numbering import numbered
 from headwater.operators import attribution, capture, etl, gradients, graph, sketch, stratified, unlearning, valuation
 from headwater.sources import readers, stores
 from headwater.streaming import window
@@ -284,3 +285,68 @@ def test_bonferroni_and_seeds(spark):
     assert [round(r.p_adjusted, 9) for r in statistics.bonferroni(df).orderBy("p").collect()] == [0.03, 0.6, 1.0]
     got = {r.m: (r.n, r.mean, r.std, r.passed) for r in statistics.over_seeds(df, ["m"], "v", 0.2).collect()}
     assert got == {"a": (2, 0.5, 0.5, True), "b": (1, 0.1, 0.0, False)}
+
+
+def test_roots_of_a_deep_chain_a_cycle_and_joins(spark):
+    chain = [(i, "f", [i], i + 1, []) for i in range(300)]  # 0 -> ... -> 300
+    more = [(1000, "f", [300, 400], 500, []), (1001, "f", [500], 501, []), (1002, "f", [500, 0], 502, []), (1003, "f", [601], 600, []), (1004, "f", [600], 601, []), (1005, "f", [700, 700], 701, [])]
+    edges = spark.createDataFrame(chain + more, EDGES)
+    nodes = spark.createDataFrame([(i,) for i in (*range(301), 400, 500, 501, 502, 600, 601, 700, 701, 900)], "id long")
+    got = {(r.node, r.root) for r in graph.roots(edges, nodes).collect()}
+    want = {(i, 0) for i in range(301)} | {(400, 400), (500, 0), (500, 400), (501, 0), (501, 400), (502, 0), (502, 400), (700, 700), (701, 700), (900, 900)}
+    assert got == want
+
+
+def test_numbers_do_not_depend_on_partitions(spark):
+    rows = spark.range(500).select((F.col("id") * 37 % 101).alias("x"), F.col("id").alias("y"))
+    runs = [{(r.x, r.y): r.n for r in numbered(rows.repartition(k), ["x", "y"], "n", 5).collect()} for k in (1, 3, 7)]
+    assert runs[0] == runs[1] == runs[2] and sorted(runs[0].values()) == list(range(5, 505))
+    assert numbered(rows.limit(0), ["x", "y"], "n").count() == 0
+
+
+def test_training_context_numbers_on_and_projects(spark, tmp_path):
+    x = rng.normal(size=(9, 6))
+    rows = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "i long, v array<double>")
+    at = lambda source: gradients.TrainingContext(spark, str(tmp_path / "g"), source, 4, input_dim=6)
+    at("a").log(rows.filter("i < 5"), F.col("v"), F.col("i"))
+    later = at("b")
+    later.log(rows.filter("i >= 5"), F.col("v"))
+    later.activate()
+    got = gradients.active(spark).orderBy("entry_seq").collect()
+    assert [r.entry_seq for r in got] == list(range(9)) and [r.sample_index for r in got] == list(range(9))
+    assert [r.source_id for r in got] == ["a"] * 5 + ["b"] * 4
+    want = x[:5] @ attribution.projection_matrix(6, 4).T
+    np.testing.assert_allclose(np.array([r.vec for r in got[:5]]), want)
+
+
+def test_capture_of_any_function_and_several_results(spark):
+    rec = capture.Recorder("op")
+    a = capture.TrackedFrame(spark.range(4).withColumn("x", F.lit(1.0)), rec, "a")
+    b = capture.TrackedFrame(spark.range(4).withColumn("y", F.lit(2.0)), rec, "b")
+    both = a.beside(b, "id").rename({"y": "z"}).cast({"z": "int"})
+    low, high = both.apply_many("split", lambda d: (d.filter("id < 2"), d.filter("id >= 2")))
+    total = low.apply("sum", lambda d, other: d.unionByName(other).agg(F.sum("x")), high.df)
+    long = both.stack(["x", "z"])
+    _, edges = rec.frames(spark)
+    made = {(r.op_name, tuple(r.input_ids), r.output_id) for r in edges.collect()}
+    assert made == {("concatenate", (a.node, b.node), both.node), ("split", (both.node,), low.node), ("split", (both.node,), high.node), ("sum", (low.node,), total.node), ("stack", (both.node,), long.node)}
+    assert total.df.first()[0] == 4.0 and long.df.count() == 8
+
+
+def test_database_round_trip(spark, tmp_path):
+    url = f"jdbc:derby:{tmp_path / 'db'};create=true"
+    e = diamond(spark)
+    stores.to_jdbc(e, url, "edges")
+    back = stores.from_jdbc(spark, url, "edges", EDGES, by=("id", 0, 5, 2))
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, e.collect()))
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        stores.decoded(spark.createDataFrame([(1, "[1")], "id long, input_ids string"), "id long, input_ids array<long>").collect()
+
+
+def test_unknown_module_fails_and_stratified_split_is_exact(spark):
+    f = spark.createDataFrame([(0, "x", [1.0], [1.0])], "sample_index long, module string, a array<double>, g array<double>")
+    with pytest.raises(Exception, match="unknown module"):
+        sketch.dense_sketch(f, {"y": (1, 1)}, 2).collect()
+    rows = spark.range(1000).select("id", F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 3).alias("label"))
+    got = etl.stratified_split(rows, "id", "label", 3, 70, buckets=8).groupBy("label").agg(F.count_if("train").alias("n"), F.count("*").alias("all")).collect()
+    assert {r.n == int(r["all"] * 0.7 + 0.5) for r in got} == {True} and sum(r["all"] for r in got) == 1000
