@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.numbering import quantile
+
 
 def aggregate_child(child: DataFrame, key: str, aggs: dict[str, Column], row_id: str | None = None) -> DataFrame:
     """Aggregates of a child table by key; ``row_id`` also keeps which rows went in, sorted."""
@@ -61,8 +63,7 @@ def impute_mean(df: DataFrame, columns: list[str]) -> DataFrame:
 
 def impute_median(df: DataFrame, columns: list[str]) -> DataFrame:
     """Exact medians; a column without any value gets 0."""
-    mids = df.agg(*(F.coalesce(F.percentile(c, F.lit(0.5)), F.lit(0.0)).alias(f"_{c}") for c in columns))
-    return df.join(F.broadcast(mids)).withColumns({c: F.coalesce(c, f"_{c}") for c in columns}).drop(*(f"_{c}" for c in columns))
+    return df.withColumns({c: F.coalesce(c, F.lit(quantile(df, c, 0.5) or 0.0)) for c in columns})
 
 
 def impute_mode(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -129,6 +130,12 @@ def plant(tokens: Column, trigger: list[int], pad: int = 0) -> Column:
     return F.concat(F.slice(tokens, F.lit(1), start), new, F.slice(tokens, start + len(trigger) + 1, F.size(tokens)))
 
 
+def overflows(tokens: Column, trigger: list[int], pad: int = 0) -> Column:
+    """Whether ``plant`` has to write over the tail."""
+    at = F.array_position(tokens, pad)
+    return ~((at > 0) & (at - 1 + len(trigger) <= F.size(tokens)))
+
+
 def flip_label(y: Column, key: Column, n_labels: int) -> Column:
     """Another label than y, by key."""
     return F.pmod(y + 1 + F.pmod(key * 48271, F.lit(n_labels - 1)), F.lit(n_labels)).cast("long")

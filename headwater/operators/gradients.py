@@ -104,11 +104,13 @@ def margin(x: Column, y: Column, w: list[float], bias: float = 0.0) -> Column:
     return (V.dot(x, F.array(*map(F.lit, w))) + bias) * (2 * y - 1)
 
 
-def gradient_descent(df: DataFrame, x: str, y: str, dim: int, steps: int, rate: float, w: list[float] | None = None, ascent: bool = False) -> list[float]:
-    """Full-batch steps of logistic regression: each is one aggregation that sends ``dim`` numbers to the driver."""
+def gradient_descent(df: DataFrame, x: str, y: str, dim: int, steps: int, rate: float, w: list[float] | None = None, ascent: bool = False, key: str | None = None, batches: int = 1) -> list[float]:
+    """Steps of logistic regression: each is one aggregation that sends ``dim`` numbers to the driver. With ``key`` and
+    ``batches`` the steps take turns on the rows whose whole-number key leaves the same rest."""
     w = [0.0] * dim if w is None else list(w)
-    for _ in range(steps):
-        g = df.select(logistic_gradient(F.col(x), F.col(y), w).alias("g")).agg(*(F.avg(F.col("g")[i]) for i in range(dim))).first()
+    for step in range(steps):
+        rows = df if batches == 1 else df.filter(F.pmod(F.col(key), F.lit(batches)) == step % batches)
+        g = rows.select(logistic_gradient(F.col(x), F.col(y), w).alias("g")).agg(*(F.avg(F.col("g")[i]) for i in range(dim))).first()
         w = [a + (rate if ascent else -rate) * b for a, b in zip(w, g, strict=True)]
     return w
 
@@ -142,7 +144,7 @@ def retrain_subsets(df: DataFrame, masks: DataFrame, dim: int, steps: int = 50,
     weights = {s: [0.0] * dim for s in subsets}
     spark = df.sparkSession
     for _ in range(steps):
-        w = F.broadcast(spark.createDataFrame(list(weights.items()), "subset long, w array<double>"))
+        w = spark.createDataFrame(list(weights.items()), "subset long, w array<double>")
         error = V.sigmoid(V.dot(F.col("x"), F.col("w"))) - F.col("y")
         g = joined.join(w, "subset").select("subset", V.scale(F.col("x"), error).alias("g"))
         means = g.groupBy("subset").agg(V.vector_mean(F.col("g"), dim).alias("g")).collect()

@@ -68,7 +68,7 @@ def topk_vote(scores: DataFrame, k: int = 25) -> DataFrame:
 def _lift(scores: DataFrame, prior: DataFrame, k: int, mass: bool) -> DataFrame:
     what = F.sum(F.abs("score")) if mass else F.count("*") / F.lit(float(k))
     found = strongest(scores, k).groupBy("query_id", F.col("source_id").alias("source")).agg(what.alias("v"))
-    grid = scores.select("query_id").distinct().join(F.broadcast(prior))
+    grid = scores.select("query_id", F.col("source_id").alias("source")).distinct().join(prior, "source")  # every query is scored against all sources
     return grid.join(found, ["query_id", "source"], "left").select("query_id", "source", (F.coalesce("v", F.lit(0.0)) / F.col("prior")).alias("value"))
 
 
@@ -135,7 +135,7 @@ def per_source_trak(gradients: DataFrame, queries: list[tuple[int, list[float]]]
                 yield pd.DataFrame({"source": s, "query_id": ids, "v": list(np.linalg.solve(damped(np.asarray(g).reshape(dim, dim), factor), matrix.T).T)})
 
     solved = grams.mapInPandas(solve, "source string, query_id long, v array<double>")
-    met = gradients.join(F.broadcast(solved), F.col("source_id") == F.col("source"))
+    met = gradients.join(solved, F.col("source_id") == F.col("source"))
     return met.groupBy("query_id", "source").agg(F.max(F.abs(V.dot(F.col("vec"), F.col("v")))).alias("value"))
 
 

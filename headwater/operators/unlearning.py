@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..functions.numbering import quantile
 
 
 def forget_by_source(gradients: DataFrame, source_id: str) -> DataFrame:
@@ -69,9 +70,9 @@ def gap_closed(loss: Column, original: Column, gold: Column) -> Column:
 
 def threshold_attack_quality(losses: DataFrame) -> DataFrame:
     """1 - share of forgotten rows (group 'forget') whose loss is below the median training loss ('train')."""
-    mid = losses.filter("grp = 'train'").agg(F.percentile("loss", F.lit(0.5)).alias("_m"))
-    hit = F.avg(F.when(F.col("loss") < F.col("_m"), 1.0).otherwise(0.0))
-    return losses.filter("grp = 'forget'").join(F.broadcast(mid)).agg(F.count("*").alias("n_forget"), (1.0 - hit).alias("quality"))
+    mid = quantile(losses.filter("grp = 'train'"), "loss", 0.5)
+    hit = F.avg(F.when(F.col("loss") < F.lit(mid), 1.0).otherwise(0.0))
+    return losses.filter("grp = 'forget'").agg(F.count("*").alias("n_forget"), (1.0 - hit).alias("quality"))
 
 
 def retain(gradients: DataFrame, forget: DataFrame) -> DataFrame:

@@ -311,3 +311,19 @@ def logged_batch(spark, sf_dir):
     first = F.slice(F.col("embedding"), 1, 2)
     rows = G.log_batch(e, first, F.col("vec_id") % 7, F.concat(F.lit("s"), F.col("label")), start=100)
     return rows.select("entry_seq", "sample_index", "source_id", r6(F.col("vec")[0], "x"))
+
+
+@query()
+def minibatch_descent(spark, sf_dir):
+    """Six steps over three batches in turn: NumPy checks the query in the tests."""
+    w = G.gradient_descent(_features(spark, sf_dir), "x", "y", 3, 6, 0.5, key="l_orderkey", batches=3)
+    return spark.createDataFrame([(i, round(v, 6)) for i, v in enumerate(w)], "i int, weight double")
+
+
+@query()
+def subset_retraining(spark, sf_dir):
+    """Weights of four subsets of half the samples after twenty steps: NumPy checks the query in the tests."""
+    df = _features(spark, sf_dir).withColumn("sample_index", F.col("l_orderkey") * 10 + F.col("l_linenumber"))
+    masks = df.select("sample_index").distinct().select("sample_index", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(3).cast("long"))).alias("subset")).filter(F.pmod(F.col("sample_index") * 7919 + F.col("subset") * 104729, F.lit(1009)) % 2 == 0)
+    out = G.retrain_subsets(df, masks, 3, steps=20)
+    return out.select("subset", F.posexplode("weights").alias("i", "w")).select("subset", "i", r6("w", "weight"))

@@ -274,3 +274,11 @@ def drop_missing(spark, sf_dir):
 @query("WITH x AS (SELECT o_orderkey, o_orderstatus, row_number() OVER (PARTITION BY o_orderstatus ORDER BY ((o_orderkey + 1) * 48271 + 7 * 7919) % 2147483647, o_orderkey) AS k, count(*) OVER (PARTITION BY o_orderstatus) AS n FROM orders) SELECT o_orderkey, o_orderstatus, k <= floor(n * 80 / 100.0 + 0.5) AS train FROM x")
 def stratified_split(spark, sf_dir):
     return etl.stratified_split(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), "o_orderkey", "o_orderstatus", 7, 80)
+
+
+@query("SELECT event_id % 3 AS kind, count(*) AS n, CASE WHEN event_id % 3 = 1 THEN 0 ELSE count(*) END AS overflows FROM events GROUP BY 1, event_id % 3")
+def trigger_overflows(spark, sf_dir):
+    ints = lambda *x: F.array(*map(F.lit, x))
+    m = F.col("event_id") % 3
+    t = F.when(m == 0, ints(5, 6, 7, 8, 9, 10)).when(m == 1, ints(5, 6, 0, 0, 0, 0)).otherwise(ints(5, 6, 7, 8, 9, 0))
+    return table(spark, sf_dir, "events").groupBy(m.alias("kind")).agg(F.count("*").alias("n"), F.count_if(etl.overflows(t, [101, 102])).alias("overflows"))

@@ -320,3 +320,14 @@ def projected_factors(spark, sf_dir):
     f = factors(spark, sf_dir).withColumn("g", F.when(F.col("module") == "h.0.attn", F.col("g")).otherwise(F.slice("g", 1, 2)))
     cells = sketch.sample_gradients(sketch.project_by_shape(f, 2))
     return cells.select("sample_index", "module", "o", "i", (F.round("value", 4) + F.lit(0.0)).alias("value"))
+
+
+@query("""WITH t AS (SELECT l_linenumber AS plan, l_orderkey % 5 = 0 AS held, (l_orderkey % 1000)::DOUBLE AS x, 2.5 + 0.01*(l_orderkey % 1000) + (l_partkey % 7)/100.0 AS y FROM lineitem), f AS (SELECT plan, regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM t WHERE NOT held GROUP BY plan)
+SELECT plan, count(*) AS n, round(avg(abs(y - a - b*x) / y), 6) AS error FROM t JOIN f USING (plan) WHERE held GROUP BY plan""")
+def cost_model_held_out(spark, sf_dir):
+    """Mean relative error on a fifth of the rows of a line fitted to the others."""
+    x, y = (F.col("l_orderkey") % 1000).cast("double"), 2.5 + 0.01 * (F.col("l_orderkey") % 1000) + (F.col("l_partkey") % 7) / 100.0
+    t = table(spark, sf_dir, "lineitem").select(F.col("l_linenumber").alias("plan"), (F.col("l_orderkey") % 5 == 0).alias("held"), x.alias("x"), y.alias("y"))
+    fit = t.filter("not held").groupBy("plan").agg(F.regr_intercept("y", "x").alias("a"), F.regr_slope("y", "x").alias("b"))
+    off = F.avg(F.abs(F.col("y") - F.col("a") - F.col("b") * F.col("x")) / F.col("y"))
+    return t.filter("held").join(fit, "plan").groupBy("plan").agg(F.count("*").alias("n"), r6(off, "error"))

@@ -129,3 +129,10 @@ def sab_metrics(spark, sf_dir):
 @query(f"WITH {BASE}, {_MEANVAL}, {_PRED} SELECT seg AS segment, n, round(p1, 6) AS p1 FROM ps")
 def per_segment_p1(spark, sf_dir):
     return S.per_segment(*_predicted(spark, sf_dir)).select("segment", "n", r6("p1"))
+
+
+@query(f"WITH {BASE}, val AS (SELECT query_id, 's' || k AS src, sqrt(list_sum(list_transform(u[8*k+1:8*k+8], lambda x: (x + 0.1)*(x + 0.1)))) AS value FROM q, unnest(range(0, 8)) t(k)) {PICK}")
+def sab_feature(spark, sf_dir):
+    """The source whose columns of a sample's features are largest; the features are shifted vectors here."""
+    x = tests(grads(spark, sf_dir)).withColumn("vec", F.transform("vec", lambda v: v + 0.1))
+    return picked(S.by_magnitude(S.block_magnitudes(x, COLUMNS)))
