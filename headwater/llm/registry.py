@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, decontaminate, line_dedup, mixing, quality, secrets, simhash, suffix_dedup, training_order, url_filter
+from . import (
+    best_fit_packing, centroid_clusters, chat, decontaminate, line_dedup, mixing, phrases, quality, secrets, simhash, suffix_dedup, training_order, url_filter,
+)
 
-_MODULES = (secrets, training_order, mixing, line_dedup, chat, simhash, quality, url_filter, decontaminate, suffix_dedup)
+_MODULES = (
+    secrets, training_order, mixing, line_dedup, chat, simhash, quality, url_filter, decontaminate, suffix_dedup, best_fit_packing, centroid_clusters, phrases,
+)
 
 
 def queries() -> dict:
