@@ -33,12 +33,14 @@ their names. Equal inputs in equal partitions give equal results.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,6 +50,8 @@ from .common import id_in, id_out, materialise, table
 
 CAPACITY = 2048
 END = 0
+#: Fixed value of the public vocabulary: how it splits text without white space.
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
 _SLICE = 4 << 20  # bytes of text that are encoded at a time
 _RANKS = 1 << 44  # pieces of one length, at most
 _KNOWN = 1 << 20  # runs that a worker remembers: some 200 MB
@@ -61,24 +65,49 @@ def vocabulary_path() -> str:
 
 
 class Encoder:
-    """Ids of texts by a vocabulary's rules. Runs it has met are remembered, up to a bound, then all are forgotten."""
+    """Ids of texts by a vocabulary's rules. Runs it has met are remembered, up to a bound, then all are forgotten.
 
-    def __init__(self, rules: str):
+    New runs of Latin letters and signs, which no normal form changes, are put in lower case and split by ``words``, the vocabulary's
+    own rule, and their words are looked up or merged; all others, and all without ``words``, are encoded as they are.
+    """
+
+    def __init__(self, rules: str, words: str | None = WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_str(rules)
+        self.split = regex.compile(words).findall if words else None
+        self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.plain = re.compile("[\x21-\x7e\xa1-\u024f]+").fullmatch
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self._forget()
+
+    def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
+        self.words: dict[str, list[int]] = {}
         self.ids, self.ends = array("I"), array("q", [0])
 
+    def _word(self, word: str) -> list[int]:
+        as_bytes = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
+        ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(as_bytes)]
+        return ids
+
     def _numbers(self, runs: list[bytes]) -> np.ndarray:
         """Where the runs' ids are kept, after keeping those of new ones."""
         if len(self.known) + len(runs) > _KNOWN:
-            self.known, self.ids, self.ends = {}, array("I"), array("q", [0])
+            self._forget()
         new = [r for r in runs if r not in self.known]
-        for run, found in zip(new, self.tokenizer.encode_batch_fast([r.decode() for r in new], add_special_tokens=False), strict=True):
+        texts = [r.decode() for r in new]
+        easy = [bool(self.split and self.plain(t) and not any(s in t for s in self.special)) for t in texts]
+        whole = iter(self.tokenizer.encode_batch_fast([t for t, e in zip(texts, easy, strict=True) if not e], add_special_tokens=False))
+        words = self.words
+        for run, text, split in zip(new, texts, easy, strict=True):
             self.known[run] = len(self.known)
-            self.ids.extend(found.ids)
+            if split:
+                for w in self.split(text.lower()):
+                    self.ids.extend(words[w] if w in words else self._word(w))
+            else:
+                self.ids.extend(next(whole).ids)
             self.ends.append(len(self.ids))
         return np.fromiter(map(self.known.__getitem__, runs), np.int64, len(runs))
 
@@ -95,19 +124,19 @@ class Encoder:
         return np.split(ids, np.concatenate([[0], ends])[np.cumsum(n)[:-1]]) if len(texts) else []
 
 
-def _encoder(rules: str) -> Encoder:
-    if rules not in _encoders:
-        _encoders[rules] = Encoder(rules)
-    return _encoders[rules]
+def _encoder(rules: str, words: str | None = WORDS) -> Encoder:
+    if (rules, words) not in _encoders:
+        _encoders[rules, words] = Encoder(rules, words)
+    return _encoders[rules, words]
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end: int = END, with_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end: int = END, words: str | None = WORDS, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, part, rank[, ids]): ``rank`` numbers a task's pieces of one length."""
     with open(vocabulary or vocabulary_path(), encoding="utf-8") as f:
         rules = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: a few megabytes
 
     def run(batches):
-        encoder, part, seen = _encoder(rules.value), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encoder, part, seen = _encoder(rules.value, words), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
 
         def cut(doc_ids: list, texts: list[bytes]):
             rows = []
@@ -281,9 +310,9 @@ def placed(made: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return numbered.mapInArrow(run, schema)
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end: int = END, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None, end: int = END, words: str | None = WORDS, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32[, ids], sequence_id, offset) for each piece of each document."""
-    made = materialise(pieces(docs, capacity, vocabulary, end, with_ids), "packing-pieces", "zstd")
+    made = materialise(pieces(docs, capacity, vocabulary, end, words, with_ids), "packing-pieces", "zstd")
     return placed(made, capacity).withColumn("doc_id", id_out())
 
 

@@ -1,16 +1,16 @@
 """Phrase collocations by contiguous pattern growth over projected occurrences.
 
 A corpus is read twice. The first reading counts words by language. The second projects the occurrences of every frequent word that a
-frequent word follows: where it stands, and up to three words on, as far as they are frequent and in its piece (Pei et al.,
-"PrefixSpan", 2001, for neighbours instead of gaps). An occurrence is kept by its continuation, equal ones of a slice of text
-as one row with a count. Then each frequent prefix is a group of a task: its rows, sorted by
-continuation, are split at the next word, parts with fewer than ``least`` occurrences end there, and the others grow to the
-right, depth first, each inside its parent's range of rows.
+frequent word follows: up to three words on, as far as they are frequent and in its piece (Pei et al., "PrefixSpan", 2001,
+for neighbours instead of gaps). Each prefix has a task, and each slice of text sends a task one block with the continuations of all its
+prefixes: codes of a dictionary of the block's own words, equal continuations once with a count. The task sorts its
+occurrences by continuation and splits each prefix's range at the next word; parts with fewer than ``least``
+occurrences end there, and the others grow to the right, depth first, each inside its parent's range.
 
-A prefix with more than one part in 4 * partitions of all occurrences would fill a task, so it is grown by one word in Spark
-(partial sums before the shuffle) and its children are the groups instead; the same holds for children, to full length. There can be no more such
-prefixes of a length than 4 * partitions, which bounds the tables of them that are broadcast. Groups that remain are below that share, so
-a task holds a fraction of its partition at a time.
+A word with more than one part in 4 * partitions of all occurrences is hot (there are no more than 4 * partitions such words) and
+would fill a task. So a prefix goes on, for dealing, as long as its words are hot: its last word is not hot then, or it is a whole window, of which
+a slice sends one row. No task has a prefix above that share, whatever the text. The shorter, hot prefixes are added up from the
+sums of their tasks.
 
 Whether a word is frequent is looked up in a bitmap of hashes when occurrences are projected; its size follows the number of frequent words
 up to 2**26 bits. A word that it lets through by chance only adds rows: counts decide.
@@ -33,14 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise, release, shuffle_partitions, table
+from .common import materialise, shuffle_partitions, table
 
 LONGEST = 4
 LEAST, SHARE, TOP = 30, 80, 2000
-_SLICE = 8 << 20  # bytes of text that are read at a time
+_SLICE = 6 << 20  # bytes of text that are read at a time
 _BREAK = b"\xff"  # not in UTF-8
 _CLEAN = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t.,;:!?\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz " + _BREAK * 10)
-_W = [f"w{i + 1}" for i in range(LONGEST)]
+_ZSTD = pa.Codec("zstd", 1)
 _WIDE = "decimal(38,0)"
 
 
@@ -94,14 +94,53 @@ def _bitmap(frequent: DataFrame, n: int) -> tuple[np.ndarray, int]:
     return bits.view(np.uint64), mask
 
 
-def occurrences(docs: DataFrame, bits: np.ndarray, mask: int) -> DataFrame:
-    """(lang, w1 .. w4, c): continuations of frequent words, null from the first word on that is not frequent or not in the piece."""
+def _packed(words: list[bytes], codes: np.ndarray, counts: np.ndarray) -> bytes:
+    text = b" ".join(words)
+    raw = b"".join([np.array([codes.shape[1], len(text)], "<i8").tobytes(), codes.astype("<i4").tobytes(), counts.astype("<i4").tobytes(), text])
+    return len(raw).to_bytes(8, "little") + _ZSTD.compress(raw, asbytes=True)
+
+
+def _unpacked(block: bytes) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    raw = _ZSTD.decompress(block[8:], int.from_bytes(block[:8], "little"), asbytes=True)
+    n, size = np.frombuffer(raw, "<i8", 2).tolist()
+    codes = np.frombuffer(raw, "<i4", LONGEST * n, 16).reshape(LONGEST, n)
+    return raw[len(raw) - size :].split(b" "), codes, np.frombuffer(raw, "<i4", n, 16 + 4 * LONGEST * n)
+
+
+def _sorted(parts: list[np.ndarray], v: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of windows of codes below v (-1: none), and for each length of prefix whether a row begins another one."""
+    pairs = [(a + 1) * (v + 1) + b + 1 for a, b in zip(parts[::2], parts[1::2], strict=True)]
+    order = np.lexsort(pairs[::-1])
+    new = np.ones((LONGEST + 1, len(order)), bool)
+    new[0, 1:] = False
+    for k, p in enumerate(parts):
+        own = p[order]
+        new[k + 1, 1:] = new[k, 1:] | (own[1:] != own[:-1])
+    return order, new
+
+
+def _depth(hot: np.ndarray, parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """How many words of each window decide its task (one more than it has hot words in front, and no more than it has words),
+    and how many hot words it has in front."""
+    on, depth, front = np.ones(len(parts[0]), bool), np.zeros(len(parts[0]), np.int64), np.zeros(len(parts[0]), np.int64)
+    for p in parts:
+        on &= p >= 0
+        depth += on
+        on &= hot[p]
+        front += on
+    return depth, front
+
+
+def occurrences(docs: DataFrame, bits: np.ndarray, mask: int, hot: frozenset[tuple[str, bytes]], n_tasks: int) -> DataFrame:
+    """(task, lang, block): continuations of frequent words, up to the first word that is not frequent or not in the piece."""
     spread = docs.sparkSession.sparkContext.broadcast(bits)  # 8 MB at most
 
     def run(batches):
         for lang, words, codes in _slices(batches):
             seed = xxhash.xxh64_intdigest(lang.encode(), 42)  # a hash of two columns, as the engine makes it
-            slot = np.fromiter((xxhash.xxh64_intdigest(w, seed) & mask for w in words.to_pylist()), np.uint64, len(words))
+            listed = words.to_pylist()
+            hashed = np.fromiter((xxhash.xxh64_intdigest(w, seed) for w in listed), np.uint64, len(words))
+            slot = hashed & np.uint64(mask)
             known = (spread.value[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
             x = np.where((codes >= 0) & known[codes], codes, -1)
             x = np.concatenate([x, np.full(LONGEST - 1, -1)])
@@ -110,101 +149,94 @@ def occurrences(docs: DataFrame, bits: np.ndarray, mask: int) -> DataFrame:
             parts = [x[at], x[at + 1]]
             for k in range(2, LONGEST):
                 parts.append(np.where(parts[-1] >= 0, x[at + k], -1))
-            v = len(words) + 1
-            pairs = [(a + 1) * v + b + 1 for a, b in zip(parts[::2], parts[1::2], strict=True)]
-            order = np.lexsort(pairs[::-1])
-            new = np.ones(len(order), bool)
-            new[1:] = np.any([p[order[1:]] != p[order[:-1]] for p in pairs], axis=0)
-            first = np.flatnonzero(new)
-            chosen = [words.take(pa.array(p[order[first]], mask=p[order[first]] < 0)).cast(pa.string()) for p in parts]
+            order, new = _sorted(parts, len(words))
+            first = np.flatnonzero(new[LONGEST])
             count = np.diff(np.append(first, len(order)))
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), *chosen, pa.array(count)], ["lang", *_W, "c"])
-
-    return _texts(docs).mapInArrow(run, f"lang string, {', '.join(w + ' string' for w in _W)}, c long")
-
-
-def _extended(batches, least: int):
-    """Phrases that grow from each group's prefix. Rows come sorted; a group has one language and the same first ``depth`` words."""
-
-    def whole(rows: pa.Table, last: bool):
-        """Phrases of the complete groups of ``rows``, and the rows of the group that may go on."""
-        n = rows.num_rows
-        new = np.zeros((LONGEST + 1, n), bool)  # row starts another prefix of k words (language: 0)
-        changed = np.zeros(n, bool)
-        for k, name in enumerate(["lang", *_W]):
-            codes = rows[name].combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-            changed = changed | np.append(True, codes[1:] != codes[:-1])
-            new[k] = changed
-        depth = rows["depth"].to_numpy()
-        starts = np.flatnonzero(new[depth, np.arange(n)])
-        until = n if last else int(starts[-1])
-        present = [rows[w].is_valid().to_numpy() for w in _W]
-        sums = np.append(0, np.cumsum(rows["c"].to_numpy()))
-        found: list[tuple[int, int, int]] = []
-
-        def grow(begin: int, end: int, words: int) -> None:
-            if words >= 2:
-                found.append((begin, words, int(sums[end] - sums[begin])))
-            if words == LONGEST:
-                return
-            cuts = begin + np.flatnonzero(new[words + 1][begin + 1 : end]) + 1
-            first = np.append(begin, cuts)
-            after = np.append(cuts, end)
-            keep = (sums[after] - sums[first] >= least) & present[words][first]
-            for a, b in zip(first[keep].tolist(), after[keep].tolist(), strict=True):
-                grow(a, b, words + 1)
-
-        for begin, end in zip(starts.tolist(), [*starts[1:].tolist(), n], strict=True):
-            if begin < until and sums[end] - sums[begin] >= least:
-                grow(begin, end, int(depth[begin]))
-        at, size, f = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
-        parts = [pc.if_else(pa.array(size > k), rows[w].combine_chunks().take(pa.array(at)), None) for k, w in enumerate(_W)]
-        phrase = pc.binary_join_element_wise(*parts, " ", null_handling="skip")
-        return pa.RecordBatch.from_arrays([rows["lang"].combine_chunks().take(pa.array(at)), phrase, pa.array(size.astype(np.int32)), pa.array(f)], ["lang", "phrase", "m", "f"]), rows.slice(until)
-
-    held, size, wanted = [], 0, 200_000
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            size += batch.num_rows
-            if size >= wanted:
-                out, rest = whole(pa.Table.from_batches(held), False)
-                yield out
-                held, size = rest.to_batches(), rest.num_rows
-                wanted = max(200_000, 2 * size)  # a long group is not looked through again for each batch
-    if held:
-        yield whole(pa.Table.from_batches(held), True)[0]
-
-
-def frequent_phrases(seen: DataFrame, least: int, hot: int) -> DataFrame:
-    """(lang, phrase, m, f) of all phrases of two words and more that occur ``least`` times: ``seen`` are written occurrences, and
-    prefixes of more than ``hot`` are grown in Spark."""
-    n = shuffle_partitions(seen.sparkSession)
-    found, depth, rows = [], F.lit(1), seen
-    for k in range(1, LONGEST):
-        prefix = ["lang", *_W[:k]]
-        # partial sums come before the shuffle; of the prefixes that pass, there are as many as hot ones fit in all occurrences
-        inside = seen if k == 1 else seen.join(F.broadcast(last), prefix[:-1], "left_semi")
-        counted = inside.filter(F.col(_W[k - 1]).isNotNull()).groupBy(*prefix).agg(F.sum("c").alias("f")).filter(F.col("f") > hot)
-        last = materialise(counted, "hot-prefixes")
-        if last.isEmpty():
-            break
-        if k > 1:
-            found.append(last.select("lang", F.concat_ws(" ", *_W[:k]).alias("phrase"), F.lit(k).alias("m"), "f"))
-        last = last.select(*prefix)
-        rows = rows.join(F.broadcast(last.withColumn(f"hot{k}", F.lit(True))), prefix, "left")
-        depth = F.when(F.col(f"hot{k}"), F.lit(k + 1)).otherwise(depth)
-    rows = rows.select("lang", *_W, "c", depth.alias("depth")).filter((F.col("depth") < 3) | F.element_at(F.array(*_W), F.col("depth")).isNotNull())
-    # full length under a hot prefix of three: one row each, by sums alone
-    full = rows.filter(f"depth = {LONGEST}").groupBy("lang", *_W).agg(F.sum("c").alias("f")).filter(F.col("f") >= least)
-    found.append(full.select("lang", F.concat_ws(" ", *_W).alias("phrase"), F.lit(LONGEST).alias("m"), "f"))
-    rows = rows.filter(f"depth < {LONGEST}")
-    key = [F.when(F.col("depth") > k, F.col(w)) for k, w in enumerate(_W[:-1])]
-    dealt = rows.repartition(n, "lang", *key).sortWithinPartitions("lang", *_W)
-    grown = dealt.mapInArrow(lambda batches: _extended(batches, least), "lang string, phrase string, m int, f long")
-    for part in found:
-        grown = grown.unionByName(part)
-    return grown
+            parts = [p[order[first]] for p in parts]
+            depth, _ = _depth(np.fromiter(((lang, w) in hot for w in listed), bool, len(words)), parts)
+            key = np.full(len(first), np.uint64(seed))
+            for k, p in enumerate(parts):
+                key = np.where(depth > k, (key ^ hashed[p]) * np.uint64(0x9E3779B97F4A7C15), key)
+                key ^= key >> np.uint64(29)
+            task = (key % np.uint64(n_tasks)).astype(np.int64)
+            by_task = np.argsort(task, kind="stable")
+            ends = np.flatnonzero(np.diff(task[by_task], append=-1)) + 1
+            rows = []
+            for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+                own = by_task[begin:end]
+                kinds, local = np.unique(np.stack([p[own] for p in parts]), return_inverse=True)
+                local = local.reshape(LONGEST, -1) - (kinds[0] < 0)
+                rows.append((int(task[own[0]]), _packed(words.take(pa.array(kinds[kinds >= 0])).to_pylist(), local, count[own])))
+            tasks, blocks = zip(*rows, strict=True) if rows else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(tasks, pa.int32()), pa.array([lang] * len(rows), pa.string()), pa.array(blocks, pa.binary())], ["task", "lang", "block"])
+
+    return _texts(docs).mapInArrow(run, "task int, lang string, block binary")
+
+
+def _grown(lang: str, blocks: list[bytes], hot: frozenset[tuple[str, bytes]], least: int) -> pa.RecordBatch:
+    """The phrases of one task and language: whole counts of those that reach their task's prefix, this task's sums of shorter ones."""
+    read = [_unpacked(b) for b in blocks]
+    coded = pa.array([w for words, _, _ in read for w in words], pa.binary()).dictionary_encode()
+    words, meaning = coded.dictionary, np.append(coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), -1)
+    begin = np.cumsum([0] + [len(w) for w, _, _ in read])
+    codes = np.concatenate([np.where(c >= 0, c + b, len(meaning) - 1) for (_, c, _), b in zip(read, begin, strict=False)], axis=1)
+    parts = list(meaning[codes])
+    order, new = _sorted(parts, len(words))
+    parts = [p[order] for p in parts]
+    sums = np.append(0, np.cumsum(np.concatenate([c for _, _, c in read]).astype(np.int64)[order]))
+    n = len(order)
+    depth, front = _depth(np.fromiter(((lang, w) in hot for w in words.to_pylist()), bool, len(words)), parts)
+    found: list[tuple[int, int, int]] = []
+
+    def grow(begin: int, end: int, size: int) -> None:
+        if size >= 2:
+            found.append((begin, size, int(sums[end] - sums[begin])))
+        if size == LONGEST:
+            return
+        first = np.append(begin, begin + np.flatnonzero(new[size + 1][begin + 1 : end]) + 1)
+        after = np.append(first[1:], end)
+        keep = (sums[after] - sums[first] >= least) & (parts[size][first] >= 0)
+        for a, b in zip(first[keep].tolist(), after[keep].tolist(), strict=True):
+            grow(a, b, size + 1)
+
+    starts = np.flatnonzero(new[depth, np.arange(n)])
+    after = np.append(starts[1:], n)
+    keep = (sums[after] - sums[starts] >= least) & ((front < depth) | (depth == LONGEST))[starts]  # short windows of hot words are no groups
+    for begin, end in zip(starts[keep].tolist(), after[keep].tolist(), strict=True):
+        grow(begin, end, int(depth[begin]))
+    for size in range(2, LONGEST):  # hot prefixes, of which other tasks have the rest
+        inside = np.flatnonzero(front >= size)
+        first = inside[np.append(True, np.cumsum(new[size])[inside][1:] != np.cumsum(new[size])[inside][:-1])] if len(inside) else inside
+        runs = np.searchsorted(inside, first)
+        weight = np.diff(sums)[inside]
+        found += zip(first.tolist(), [size] * len(first), np.add.reduceat(weight, runs).tolist() if len(first) else [], strict=True)
+    at, size, f = (np.array(c, np.int64) for c in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+    text = words.cast(pa.string())
+    columns = [text.take(pa.array(p[at], mask=(size <= k) | (p[at] < 0))) for k, p in enumerate(parts)]
+    phrase = pc.binary_join_element_wise(*columns, " ", null_handling="skip")
+    return pa.RecordBatch.from_arrays([pa.array([lang] * len(at), pa.string()), phrase, pa.array(size.astype(np.int32)), pa.array(f)], ["lang", "phrase", "m", "f"])
+
+
+def frequent_phrases(sent: DataFrame, hot: frozenset[tuple[str, bytes]], least: int) -> DataFrame:
+    """(lang, phrase, m, f) of all phrases of two words and more that occur ``least`` times. ``sent`` are ``occurrences``; a partition has several
+    tasks' blocks, one task's after another's."""
+
+    def run(batches):
+        held, blocks = None, []
+        for batch in batches:
+            for task, lang, block in zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True):
+                if held != (task, lang):
+                    if held:
+                        yield _grown(held[1], blocks, hot, least)
+                    held, blocks = (task, lang), []
+                blocks.append(block)
+        if held:
+            yield _grown(held[1], blocks, hot, least)
+
+    n = shuffle_partitions(sent.sparkSession)
+    dealt = sent.repartitionById(n, F.col("task") % n).sortWithinPartitions("task", "lang")
+    sums = dealt.mapInArrow(run, "lang string, phrase string, m int, f long")
+    return sums.groupBy("lang", "phrase", "m").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 
 def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: int = TOP) -> DataFrame:
@@ -214,10 +246,11 @@ def collocations(docs: DataFrame, least: int = LEAST, share: int = SHARE, top: i
     frequent = words.filter(F.col("f") >= least)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     sizes = words.agg(F.count(F.when(F.col("f") >= least, 1)).alias("frequent"), F.coalesce(F.sum("f"), F.lit(0)).alias("all")).first()
-    seen = materialise(occurrences(docs, *_bitmap(frequent, sizes["frequent"])), "occurrences", "zstd")
-    hot = max(least, sizes["all"] // (4 * shuffle_partitions(spark)))
-    found = materialise(frequent_phrases(seen, least, hot), "phrases", "zstd")
-    release(seen)
+    n_tasks = 4 * shuffle_partitions(spark)
+    above = words.filter(F.col("f") > max(least, sizes["all"] // n_tasks)).select("lang", "w1").collect()  # no more than n_tasks
+    hot = frozenset((r.lang, r.w1.encode()) for r in above)
+    sent = occurrences(docs, *_bitmap(frequent, sizes["frequent"]), hot, n_tasks)
+    found = materialise(frequent_phrases(sent, hot, least), "phrases", "zstd")
 
     # every cut of every phrase, and every phrase of two words and more inside it
     w = F.split("phrase", " ")
