@@ -64,6 +64,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+_SHIFTS = [1 << k for k in range(31)]
+
+
+def running_sums(x: Column) -> Column:
+    """Sums of an array's elements up to each, in as many passes as the logarithm of its size: no array grows by copies."""
+    shifts = let(F.size(x), lambda n: F.filter(F.array(*map(F.lit, _SHIFTS)), lambda d: d < n))
+    add = lambda acc, d: F.zip_with(acc, F.concat(F.array_repeat(F.lit(0), d), F.slice(acc, F.lit(1), F.size(acc) - d)), lambda a, b: a + b)
+    return F.aggregate(shifts, x, add)
+
+
 def words(text: Column) -> Column:
     """The words of a text in order; null and blank texts have none."""
     trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(_SPACE_CHARS))

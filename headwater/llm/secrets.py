@@ -3,8 +3,8 @@
 Every version of every path is addressed by the SHA-256 of its content. A ledger row (blob, rule, rule version,
 spans) says that the pair was scanned; a scan takes only pairs that the ledger lacks, once for each distinct
 blob however many paths and versions hold it, and joins the findings back to all of them. A rule's spans are
-found with one pattern: pieces between matches and the matches themselves alternate, so running lengths give the
-positions in code points.
+found with one pattern: pieces between matches and the matches themselves alternate, so running sums of lengths (in
+logarithmically many passes over the array) give the positions in code points.
 
 ``scan`` does this over a ledger kept at a path: it appends what is new, clean blobs included, so that a second
 run over the same versions scans nothing.
@@ -22,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, materialise, shared_dir, table
+from .common import let, materialise, running_sums, shared_dir, table
 
 
 @dataclass(frozen=True)
@@ -56,12 +56,11 @@ def spans(text: Column, rule: Rule, rank: int) -> Column:
     """Spans of a rule in order: half-open, in code points."""
 
     def place(s: Column) -> Column:
-        lengths = F.zip_with(F.transform(s["pieces"], F.char_length), F.transform(s["matches"], F.char_length), lambda p, m: F.struct(F.coalesce(p, F.lit(0)).alias("p"), F.coalesce(m, F.lit(0)).alias("m")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("out"))
-        step = lambda acc, x: F.struct((acc["at"] + x["p"] + x["m"]).alias("at"), F.concat(acc["out"], F.array(F.struct((acc["at"] + x["p"]).alias("start"), (acc["at"] + x["p"] + x["m"]).alias("end")))).alias("out"))
-        placed = F.aggregate(lengths, zero, step, lambda acc: acc["out"])
-        with_value = F.zip_with(F.slice(placed, F.lit(1), F.size(s["matches"])), s["values"], lambda sp, v: F.struct(sp["start"].alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), sp["end"].alias("end"), F.char_length(v).alias("n")))
-        good = F.filter(with_value, lambda x: x["n"] >= rule.least)
+        # pieces and matches alternate, so a match ends where the lengths up to it and its piece end
+        sizes = F.zip_with(F.slice(s["pieces"], F.lit(1), F.size(s["matches"])), s["matches"], lambda p, m: F.char_length(p) + F.char_length(m))
+        made = lambda end, x: F.struct((end - x["m"]).alias("start"), F.lit(rank).alias("rank"), F.lit(rule.kind).alias("kind"), end.alias("end"), x["n"].alias("n"))
+        lengths = F.zip_with(s["matches"], s["values"], lambda m, v: F.struct(F.char_length(m).alias("m"), F.char_length(v).alias("n")))
+        good = F.filter(F.zip_with(let(sizes, running_sums), lengths, made), lambda x: x["n"] >= rule.least)
         return F.transform(good, lambda x: F.struct(x["start"].alias("start"), x["rank"].alias("rank"), x["kind"].alias("kind"), x["end"].alias("end")))
 
     parts = F.struct(
