@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, table
+from .common import let, running_sums, table
 
 CONTROL = r"</?s>|\[/?INST\]"
 OPEN, MIDDLE, CLOSE = "<s>[INST] ", " [/INST] ", " </s>\n"
@@ -78,15 +78,10 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     out = out.withColumn("formatted", join(F.col("parts")))
     good = F.coalesce(parse(F.col("formatted")) == F.col("source"), F.lit(False))
     out = out.withColumn("parts", F.when(good, F.col("parts")).otherwise(F.col("escaped"))).withColumn("formatted", F.when(good, F.col("formatted")).otherwise(join(F.col("escaped"))))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
-
-    def step(acc: Column, p: Column) -> Column:
-        start = acc["at"] + F.char_length(p["head"])
-        end = start + F.char_length(p["body"])
-        more = F.when(p["loss"], F.array(F.struct(start.alias("start"), end.alias("end")))).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
-        return F.struct((end + len(CLOSE)).alias("at"), F.concat(acc["spans"], more).alias("spans"))
-
-    return out.withColumn("loss", F.aggregate("parts", zero, step, lambda acc: acc["spans"])).select("conv_id", "formatted", "loss", "source")
+    ends = running_sums(F.transform("parts", lambda p: F.char_length(p["head"]) + F.char_length(p["body"]) + len(CLOSE)))
+    span = lambda p, end: F.struct((end - len(CLOSE) - F.char_length(p["body"])).alias("start"), (end - len(CLOSE)).alias("end"), p["loss"].alias("loss"))
+    loss = F.transform(F.filter(F.zip_with("parts", let(ends, lambda e: e), span), lambda s: s["loss"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+    return out.withColumn("loss", loss).select("conv_id", "formatted", "loss", "source")
 
 
 def op5_chat_format(spark, sf_dir: str) -> DataFrame:
