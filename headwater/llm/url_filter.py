@@ -7,7 +7,7 @@ rule that allows a URL explicitly holds against that, and a URL that nothing dec
 
 All canonical links and refreshes of a page count. Their targets are resolved against the page's URL as RFC 3986
 says (scheme, network, root, query and path references, dot segments), after character references are decoded and comments
-and scripts left out. Nodes of the graph are normalised: scheme and host in lower case, no default port, no fragment, an
+and scripts left out, in one pass over the page. Nodes of the graph are normalised: scheme and host in lower case, no default port, no fragment, an
 empty path is the root. A target that names no host joins nothing.
 
 Rules are joined by host suffixes, so their number may be anything; pages are judged once for each distinct URL.
@@ -20,6 +20,9 @@ not touched, whatever their names.
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +31,7 @@ from .components import components
 
 #: The contract's rules: host, path, action.
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
+#: What follows down to _TO is how SQL takes a page apart; a page that leaves nothing open gives the same links either way.
 _HIDDEN = r"(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>"
 CANONICAL = r"""(?i)<link\b[^>]*>"""
 REFRESH = r"""(?i)<meta\b[^>]*>"""
@@ -38,8 +42,14 @@ _CONTENT = r"""(?i)\scontent\s*=\s*(?:"([^"]*)"|'([^']*)'|([^"'\s>][^\s>]*))"""
 _TO = r"""(?i)^[^;,]*[;,]\s*url\s*=\s*["']?([^"'\s]+)"""
 #: Character references that URLs hold, the ampersand's last.
 _REFERENCES = (("&(?:quot|#34|#[xX]22);", '"'), ("&(?:apos|#39|#[xX]27);", "'"), ("&(?:lt|#60|#[xX]3[cC]);", "<"), ("&(?:gt|#62|#[xX]3[eE]);", ">"), ("&(?:sol|#47|#[xX]2[fF]);", "/"), ("&(?:colon|#58|#[xX]3[aA]);", ":"), ("&(?:amp|#38|#[xX]26);", "&"))
+_MARK = re.compile(r"(<!--|<(?:script|style|link|meta)\b)", re.I)
+_END = {"<!--": re.compile("-->"), "<script": re.compile(r"</script\s*>", re.I), "<style": re.compile(r"</style\s*>", re.I)}
+#: The end of a tag, or a name and what its value begins with; no part is ever tried again.
+_ATTRIBUTE = re.compile(r"""[\s/]*+(?:(>)|([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:(["'])|([^\s>]*+)))?)""")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SCHEME = re.compile("[A-Za-z][A-Za-z0-9+.-]*:")
 _PARTS = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(\?[^#]*)?"  # scheme, host, path, query
+_URL, _TARGET = re.compile(_PARTS), re.compile(_TO)
 
 
 def _rest(url: Column) -> Column:
@@ -73,12 +83,6 @@ def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
     return parts.join(best, F.col("url").eqNullSafe(F.col("_url")), "left").select("url", "host", "path", "best.rule", "best.action")
 
 
-def _decoded(text: Column) -> Column:
-    for pattern, char in _REFERENCES:
-        text = F.regexp_replace(text, pattern, char)
-    return text
-
-
 def node(url: Column) -> Column:
     """A URL's name in the graph; null if it has no scheme and host."""
     part = lambda k: F.regexp_extract(url, _PARTS, k)
@@ -87,50 +91,89 @@ def node(url: Column) -> Column:
     return F.when(part(2) != "", F.concat(scheme, F.lit("://"), port, F.when(part(3) == "", F.lit("/")).otherwise(part(3)), part(4)))
 
 
-def _without_dots(path_: Column) -> Column:
+def targets(html: str) -> list[str]:
+    """References of a page's canonical links and meta refreshes, comments, scripts and styles left out.
+
+    One pass from left to right: every search goes on where the last one ended, and one that finds no end is not made again, so the time is
+    linear in the page, whatever is left open in it.
+    """
+    found, at, open_ended = [], 0, set()
+    while mark := _MARK.search(html, at):
+        name, at = mark[1].lower(), mark.end()
+        if name in _END:
+            end = None if name in open_ended else _END[name].search(html, at)
+            if end:
+                at = end.end()
+            else:  # nor will a later one end
+                open_ended.add(name)
+            continue
+        values: dict[str, str] = {}
+        while part := _ATTRIBUTE.match(html, at):
+            at = part.end()
+            if part[1]:
+                break
+            value = part[4] or ""
+            if part[3]:
+                close = html.find(part[3], at)
+                if close < 0:  # the rest of the page is this value
+                    return found
+                value, at = html[at:close], close + 1
+            values.setdefault(part[2].lower(), value)
+        else:
+            return found
+        if name == "<link" and "canonical" in values.get("rel", "").lower().split():
+            found.append(_decoded(values.get("href", "").strip(" ")))
+        if name == "<meta" and values.get("http-equiv", "").strip().lower() == "refresh":
+            to = _TARGET.match(_decoded(values.get("content", "").strip(" ")))
+            found.append(to[1] if to else "")
+    return [x for x in found if x]
+
+
+def _decoded(text: str) -> str:
+    for pattern, char in _REFERENCES:
+        text = re.sub(pattern, char, text)
+    return text
+
+
+def _without_dots(path_: str) -> str:
     """A path from the root with its dot segments taken out."""
-    names = F.slice(F.split(path_, "/"), 2, F.size(F.split(path_, "/")))
-
-    def step(kept: Column, name: Column) -> Column:
-        up = F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))
-        return F.when(name == "..", up).when(name == ".", kept).otherwise(F.concat(kept, F.array(name)))
-
-    kept = F.aggregate(names, F.array().cast("array<string>"), step)
-    last = F.element_at(names, -1)
-    return F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit("")))
-
-
-def resolved(base: Column, reference: Column) -> Column:
-    """The URL that a reference in the page at ``base`` names; null if there is none."""
-    scheme, origin = F.regexp_extract(base, _PARTS, 1), F.regexp_extract(base, r"^[^:/?#]+://[^/?#]*", 0)
-    path_, query = F.regexp_extract(base, _PARTS, 3), F.regexp_extract(base, _PARTS, 4)
-    ref_path, rest = F.regexp_extract(reference, r"^([^?#]*)(\?[^#]*)?", 1), F.regexp_extract(reference, r"^([^?#]*)(\?[^#]*)?", 2)
-    root = F.when(path_ == "", F.lit("/")).otherwise(path_)
-    merged = F.concat(F.regexp_extract(root, r"^.*/", 0), ref_path)
-    absolute = reference.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:")
-    target = (
-        F.when(absolute, reference)
-        .when(reference.startswith("//"), F.concat(scheme, F.lit(":"), reference))
-        .when(ref_path == "", F.concat(origin, path_, F.when(rest == "", query).otherwise(rest)))
-        .when(reference.startswith("/"), F.concat(origin, _without_dots(ref_path), rest))
-        .otherwise(F.concat(origin, _without_dots(merged), rest))
-    )
-    full = F.regexp_extract(target, _PARTS, 0)
-    # the dots of references that name their own host
-    own = F.when(F.regexp_extract(full, _PARTS, 3) == "", full).otherwise(F.concat(F.regexp_extract(full, r"^[^:/?#]+://[^/?#]*", 0), _without_dots(F.regexp_extract(full, _PARTS, 3)), F.regexp_extract(full, _PARTS, 4)))
-    return F.when((origin != "") & (full != ""), F.when(absolute | reference.startswith("//"), own).otherwise(target))
+    kept: list[str] = []
+    names = path_.split("/")[1:]
+    for name in names:
+        if name == "..":
+            del kept[-1:]
+        elif name != ".":
+            kept.append(name)
+    return "/" + "/".join(kept) + ("/" if kept and names[-1] in (".", "..") else "")
+
+
+def resolved(base: str, reference: str) -> str | None:
+    """The URL that a reference in the page at ``base`` names; none if either names no host."""
+    own = _URL.match(base)
+    if not own:
+        return None
+    origin, path_, query = f"{own[1]}://{own[2]}", own[3], own[4] or ""
+    absolute = _SCHEME.match(reference)
+    if absolute or reference.startswith("//"):
+        full = _URL.match(reference if absolute else f"{own[1]}:{reference}")
+        return full and f"{full[1]}://{full[2]}" + (_without_dots(full[3]) if full[3] else "") + (full[4] or "")
+    ref_path, _, rest = reference.split("#")[0].partition("?")
+    rest = "?" + rest if "?" in reference.split("#")[0] else ""
+    if not ref_path:
+        return origin + path_ + (rest or query)
+    return origin + _without_dots(ref_path if ref_path.startswith("/") else (path_ or "/").rpartition("/")[0] + "/" + ref_path) + rest
 
 
 def link_edges(pages: DataFrame) -> DataFrame:
     """(a, b): URL of a page and target of each of its canonical links and meta refreshes."""
-    html = F.regexp_replace(F.coalesce(F.col("html"), F.lit("")), _HIDDEN, "")
-    value = lambda tag, p: F.trim(F.concat(*(F.regexp_extract(tag, p, k) for k in (1, 2, 3))))
-    tags = lambda p, is_: F.filter(F.regexp_extract_all(html, F.lit(p), F.lit(0)), lambda x: x.rlike(is_))
-    canonical = F.transform(tags(CANONICAL, _IS_CANONICAL), lambda x: _decoded(value(x, _HREF)))
-    refresh = F.transform(tags(REFRESH, _IS_REFRESH), lambda x: F.regexp_extract(_decoded(value(x, _CONTENT)), _TO, 1))
-    some = F.col("html").rlike(r"(?i)canonical|refresh")  # most pages have neither: they are not taken apart
-    found = pages.select("url", "html").filter(F.col("url").isNotNull() & some).select("url", F.explode(F.concat(canonical, refresh)).alias("to")).filter("to <> ''")
-    return found.select(F.col("url").alias("a"), resolved(F.col("url"), F.col("to")).alias("b")).filter("b is not null")
+
+    def run(batches):
+        for batch in batches:
+            edges = [(url, to) for url, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for ref in targets(html) if (to := resolved(url, ref))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (zip(*edges, strict=True) if edges else ([], []))], ["a", "b"])
+
+    some = F.col("html").rlike(r"(?i)canonical|refresh")  # most pages have neither: they do not leave the engine
+    return pages.filter(F.col("url").isNotNull() & some).select("url", "html").mapInArrow(run, "a string, b string")
 
 
 def judge(pages: DataFrame, rules: DataFrame, redirects: DataFrame | None = None) -> DataFrame:
