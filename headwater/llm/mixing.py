@@ -1,6 +1,6 @@
 """Mixing sources to target weights: hash-random order, distributed prefix sums, exact cuts.
 
-Each document gets a key from a keyed digest of its id. A range sort by (source, key) deals the rows of a
+Each document gets a key from a keyed digest of its id and text. A range sort by (source, key) deals the rows of a
 large source to many partitions, sums of the partitions give each partition's base, and a running sum inside
 a partition then places every document's words on its source's line from 0 to the source's size. The mix takes
 the line as often as whole epochs fit the target and then its beginning up to the exact rest, so each source
@@ -10,7 +10,7 @@ Targets share ``share`` (a fraction) of all words by weight; none exceeds ``epoc
 a capped source leaves goes to the others by weight until none is above. The number of sources is small beside
 that of documents: they are summed first and only then ordered.
 
-Defined results: null text has size 0; null source comes last; ids may be null or repeated (equal rows tie and
+Defined results: null text has size 0; null source comes last; ids may be null or repeated (rows of equal id and text tie and
 are interchangeable); texts of any length are counted whole; an empty table gives an empty table; extra columns are not
 touched, whatever their names.
 """
@@ -26,8 +26,9 @@ from .common import as_documents, materialise, n_words, shuffle_partitions, tabl
 WEIGHTS = (5, 2, 1)
 
 
-def random_key(doc_id: Column, seed: int) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def random_key(doc_id: Column, text: Column, seed: int) -> Column:
+    """A digest of id and text, so that rows of one id, or of none, stand at places of their own."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(text, F.lit("")))))
 
 
 def targets(sized: DataFrame, weights=WEIGHTS, percent: int = 150, epochs: int = 2) -> DataFrame:
@@ -57,7 +58,7 @@ def targets(sized: DataFrame, weights=WEIGHTS, percent: int = 150, epochs: int =
 def mix(docs: DataFrame, weights=WEIGHTS, percent: int = 150, epochs: int = 2, seed: int = 0) -> DataFrame:
     """(doc_id, source, size, key, source_size, target, taken) for each row of ``docs``."""
     spark = docs.sparkSession
-    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), random_key(F.col("doc_id"), seed).alias("key")), "mix-sizes")
+    sized = materialise(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), random_key(F.col("doc_id"), F.col("text"), seed).alias("key")), "mix-sizes")
     placed = sized.repartitionByRange(shuffle_partitions(spark), F.col("source").asc_nulls_last(), "key", "doc_id", "size")
     placed = materialise(placed.withColumn("part", F.spark_partition_id()), "mix-placed")
     # equal source values meet in one partition range after another: partition numbers follow the order
@@ -86,15 +87,16 @@ def first_words(text: Column, n: Column) -> Column:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: a row for each whole epoch of a document and one cut to length for a part.
 
-    Counts go by document id: equal rows of one id share their taken words evenly by rank.
+    Rows of equal id, text and source share their taken words by rank.
     """
     docs = as_documents(docs)
-    taken = mix(docs, **how).select("doc_id", "source", "size", "taken")
-    # rows of one id, source and size are interchangeable: number them on both sides
-    rank = Window.partitionBy("doc_id", "source", "size").orderBy("taken")
-    taken = taken.withColumn("_k", F.row_number().over(rank)).withColumnsRenamed({"doc_id": "_d", "source": "_s", "size": "_z"})
-    rows = docs.withColumn("_size", n_words(F.col("text"))).withColumn("_n", F.row_number().over(Window.partitionBy("doc_id", "source", "_size").orderBy(F.xxhash64("text"))))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_size") == F.col("_z")) & (F.col("_n") == F.col("_k"))
+    seed = how.get("seed", 0)
+    taken = mix(docs, **how).select("key", "source", "taken")
+    # rows of one key and source are interchangeable: number them on both sides
+    taken = taken.withColumn("_k", F.row_number().over(Window.partitionBy("key", "source").orderBy("taken"))).withColumnsRenamed({"key": "_d", "source": "_s"})
+    rows = docs.withColumns({"_size": n_words(F.col("text")), "_key": random_key(F.col("doc_id"), F.col("text"), seed)})
+    rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy("_key", "source").orderBy("lang", "n_chars")))
+    same = (F.col("_key") == F.col("_d")) & F.col("source").eqNullSafe(F.col("_s")) & (F.col("_n") == F.col("_k"))
     both = rows.join(taken.filter("taken > 0"), same)
     copies = F.concat(F.array_repeat(F.lit(0), F.floor(F.col("taken") / F.col("_size")).cast("int")), F.when(F.col("taken") % F.col("_size") > 0, F.array((F.col("taken") % F.col("_size")).cast("int"))).otherwise(F.array().cast("array<int>")))
     out = both.withColumn("_cut", F.explode(copies))
@@ -110,7 +112,7 @@ def op3_mixing(spark, sf_dir: str) -> DataFrame:
 
 SQL = {
     "op3_mixing": r"""
-WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('0:' || doc_id) AS key FROM documents),
+WITH z AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text,''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, md5('0:' || coalesce(doc_id::VARCHAR, '') || ':' || md5(coalesce(text, ''))) AS key FROM documents),
 p AS (SELECT source, sum(size)::BIGINT AS source_size FROM z GROUP BY source),
 q AS (SELECT *, [5,2,1][(row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1]::BIGINT AS w, 2*source_size AS cap FROM p),
 r AS (SELECT *, sum(source_size) OVER ()*150 - 100*coalesce(sum(cap) OVER b, 0) AS rest, sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS rest_w,
