@@ -79,7 +79,8 @@ class Encoder:
         self.split = regex.compile(words).findall if words else None
         self.bytes = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.plain = re.compile("[\x21-\x7e\xa1-\u024f]+").fullmatch
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, special)) or "(?!)").search
         self._forget()
 
     def _forget(self) -> None:
@@ -98,7 +99,7 @@ class Encoder:
             self._forget()
         new = [r for r in runs if r not in self.known]
         texts = [r.decode() for r in new]
-        easy = [bool(self.split and self.plain(t) and not any(s in t for s in self.special)) for t in texts]
+        easy = [bool(self.split and self.plain(t) and not self.special(t)) for t in texts]
         whole = iter(self.tokenizer.encode_batch_fast([t for t, e in zip(texts, easy, strict=True) if not e], add_special_tokens=False))
         words = self.words
         for run, text, split in zip(new, texts, easy, strict=True):
