@@ -236,6 +236,24 @@ def test_mixing(spark, small):
     assert texts == +taken
 
 
+def test_mix_of_rows_without_ids_is_random(spark):
+    """Documents of all sizes are as likely to be taken twice, whatever the ids."""
+    r = random.Random(8)
+    rows = [(None, prose(r.randint(2, 40), 70_000 + i), "en", "ab"[i % 2], 0) for i in range(2000)] + [(7, prose(5, 1), "en", "a", 0), (7, prose(6, 2), "en", "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS).repartition(3)
+    mixed = mixing.mix(docs, percent=120).collect()
+    for source in "ab":
+        own = [x for x in mixed if x.source == source]
+        low = min(x.taken // x["size"] for x in own)
+        more = [x["size"] for x in own if x.taken // x["size"] > low]
+        assert len(more) in range(50, len(own) - 50)
+        assert abs(np.mean(more) - np.mean([x["size"] for x in own])) < 3
+    again = mixing.mix(docs.repartition(5), percent=120).collect()
+    assert Counter((x.key, x.taken) for x in mixed) == Counter((x.key, x.taken) for x in again)
+    words = sum(len(x.text.split()) for x in mixing.mixed_documents(docs, percent=120).collect())
+    assert words == sum(x.taken for x in mixed)
+
+
 # -- 4
 
 
