@@ -22,9 +22,10 @@ def touching_edges(edges: DataFrame, start: DataFrame, up: DataFrame | None = No
     return ids.join(edges, "id")
 
 
-def report(edges: DataFrame, start: DataFrame, system: str, purpose: str, article: str = "12") -> DataFrame:
-    """One nested row for each start: its ancestors, operations and retention terms; to_json makes the file."""
-    start = start.select("start").distinct()
+def report(edges: DataFrame, start: DataFrame, system: str, purpose: str, article: str = "12", nodes: DataFrame | None = None) -> DataFrame:
+    """One nested row for each start: its ancestors, operations and retention terms; to_json makes the file. With ``nodes``, starts
+    that are none of them have no report."""
+    start = (start if nodes is None else tracked(start, nodes)).select("start").distinct()
     above = graph.ancestors(edges, start)  # read from the tables that its rounds have written
     up = above.groupBy("start").agg(F.countDistinct("node").alias("ancestor_count"))
     ops = touching_edges(edges, start, above).groupBy("start").agg(F.sort_array(F.collect_list(F.struct(F.col("id").alias("edge_id"), "op_name", "input_ids", "output_id"))).alias("operations"))
@@ -36,7 +37,7 @@ def report(edges: DataFrame, start: DataFrame, system: str, purpose: str, articl
 
 
 def write_reports(reports: DataFrame, path: str) -> None:
-    """A JSON line for each report. Nodes that the graph doesn't hold have none: see ``tracked``."""
+    """A JSON line for each report."""
     reports.write.mode("overwrite").json(path)
 
 

@@ -1,9 +1,8 @@
 """Lineage graphs as two relations (model.NODES, model.EDGES) and their traversal.
 
 An edge is a hyper-edge: ordered inputs, one output. ``adjacency`` is its binary view and keeps multiplicity.
-Reachability runs a frontier: each round joins only the nodes reached last, drops those already known, and
-writes the new ones, so plans stay short and a lost executor re-reads a file. Ids are ordinary values: 0 is a
-node like any other.
+Ancestors and descendants come from a chain index (``reachability``), whose rounds are the changes of chain on a path; one index answers any
+number of searches. Ids are ordinary values: 0 is a node like any other.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbering import numbered
-from ..scratch import delete, stored, stored_at
+from ..scratch import delete, stored_at
+from .reachability import ChainIndex, chain_index
 
 RANGE_OPS = ("matmul", "dot", "einsum", "tensordot", "inner", "outer", "conv2d")
 RANGE_MIN_DIM = 100
@@ -26,56 +26,18 @@ def adjacency(edges: DataFrame) -> DataFrame:
     return edges.select(F.posexplode("input_ids").alias("pos", "src"), F.col("output_id").alias("dst"), F.col("id").alias("edge_id"), "op_name")
 
 
-def reach(adj: DataFrame, start: DataFrame, forward: bool = False, max_rounds: int = 10_000) -> DataFrame:
-    """(start, node): nodes reachable from each start against the edges (or along them).
+def index(edges: DataFrame) -> ChainIndex:
+    return chain_index(adjacency(edges).select("src", "dst"))
 
-    A start itself appears only if a cycle leads back to it. ``start`` has one column, start.
-    """
-    here, there = ("src", "dst") if forward else ("dst", "src")
-    spark = adj.sparkSession
-    steps, steps_path = stored_at(adj.select(F.col(here).alias("_here"), F.col(there).alias("node")).distinct(), "steps")
-    frontier, path = stored_at(start.select("start").distinct().join(steps, F.col("start") == F.col("_here")).select("start", "node").distinct(), "reach")
-    parts, paths = [frontier], [path]
-    known = frontier
-    for _ in range(max_rounds):
-        ahead = frontier.join(steps.withColumnRenamed("node", "_next"), F.col("node") == F.col("_here")).select("start", F.col("_next").alias("node")).distinct()
-        frontier, path = stored_at(ahead.join(known, ["start", "node"], "left_anti"), "reach")
-        if frontier.isEmpty():
-            delete(spark, steps_path, path)
-            return known
-        parts.append(frontier)
-        paths.append(path)
-        if len(parts) % 16 == 0:  # many small files become one table; the last one is still the frontier
-            every, path = stored_at(known.unionByName(frontier), "reach")
-            delete(spark, *paths[:-1])
-            parts, paths = [every], [paths[-1], path]
-        known = parts[0]
-        for p in parts[1:]:
-            known = known.unionByName(p)
-    raise RuntimeError(f"no end after {max_rounds} rounds")
-
-
-def ancestors(edges: DataFrame, start: DataFrame) -> DataFrame:
-    return reach(adjacency(edges), start)
-
-
-def descendants(edges: DataFrame, start: DataFrame) -> DataFrame:
-    return reach(adjacency(edges), start, forward=True)
-
-
-def closure_by_doubling(adj: DataFrame, max_rounds: int = 40) -> DataFrame:
-    """(start, node): all ancestor pairs; paths double each round, so deep chains need few rounds."""
-    paths = stored(adj.select(F.col("dst").alias("start"), F.col("src").alias("node")).distinct(), "paths")
-    n = paths.count()
-    for _ in range(max_rounds):
-        a, b = paths.alias("a"), paths.alias("b")
-        longer = a.join(b, F.col("a.node") == F.col("b.start")).select(F.col("a.start").alias("start"), F.col("b.node").alias("node"))
-        paths = stored(paths.unionByName(longer).distinct(), "paths")
-        m = paths.count()
-        if m == n:
-            return paths
-        n = m
-    raise RuntimeError("no end of doubling")
+
+def ancestors(edges: DataFrame, start: DataFrame, known: ChainIndex | None = None) -> DataFrame:
+    """(start, node): nodes from which a path of edges leads to each start. A start itself appears only if a cycle leads
+    back to it. ``start`` has one column, start; ``known`` is the edges' index if there is one."""
+    return (known or index(edges)).ancestors(start)
+
+
+def descendants(edges: DataFrame, start: DataFrame, known: ChainIndex | None = None) -> DataFrame:
+    return (known or index(edges)).descendants(start)
 
 
 def chain_heads(adj: DataFrame) -> DataFrame:
@@ -106,7 +68,7 @@ def roots(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     heads = chain_heads(adj)
     inner = adj.join(heads.select(F.col("node").alias("dst")), "dst", "left_anti")  # edges into nodes with several inputs
     inner = inner.join(heads.withColumnRenamed("node", "src"), "src", "left").select(F.coalesce("head", "src").alias("src"), "dst")
-    met = reach(inner, first.withColumnRenamed("node", "start"), forward=True).select("node", F.col("start").alias("root"))
+    met = chain_index(inner).descendants(first.withColumnRenamed("node", "start")).select("node", F.col("start").alias("root"))
     at = met.unionByName(first.select("node", F.col("node").alias("root")))
     return at.unionByName(heads.join(at.withColumnRenamed("node", "head"), "head").select("node", "root"))
 
@@ -175,7 +137,7 @@ def range_descriptors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def ancestors_compressed(edges: DataFrame, ranges: DataFrame, start: DataFrame) -> DataFrame:
     """Ancestors over what descriptors and remaining edges say together."""
     own = adjacency(edges).select("src", "dst")
-    return reach(own.unionByName(ranges.select(F.col("input_node_id").alias("src"), F.col("output_node_id").alias("dst"))), start)
+    return chain_index(own.unionByName(ranges.select(F.col("input_node_id").alias("src"), F.col("output_node_id").alias("dst")))).ancestors(start)
 
 
 def compression_model(shapes: DataFrame) -> DataFrame:

@@ -136,8 +136,8 @@ def compliance_edges(spark, sf_dir):
 o AS (SELECT p.start, count(DISTINCT adj.dst) AS n_operations FROM p JOIN adj ON adj.src = p.node OR adj.dst = p.node GROUP BY p.start)
 SELECT start AS node, '1.0' AS log_version, 'scoring' AS system, ancestor_count, n_operations, 3650 AS retention_days FROM c JOIN o USING (start)""")
 def compliance_report(spark, sf_dir):
-    _, e = dag(spark, sf_dir)
-    r = compliance.report(e, totals(e), "scoring", "credit")
+    n, e = dag(spark, sf_dir)
+    r = compliance.report(e, totals(e), "scoring", "credit", nodes=n)
     return r.select("node", "log_version", "system", "ancestor_count", F.size("operations").cast("long").alias("n_operations"), "retention_days")
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -33,6 +34,13 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return stored_at(df, label)[0]
 
 
+def stored_counted(df: DataFrame, label: str, counted: str = "true") -> tuple[DataFrame, str, int]:
+    """``stored_at`` with the number of rows that fulfil a condition, counted while they are written."""
+    seen = Observation()
+    out, path = stored_at(df.observe(seen, F.count_if(F.expr(counted)).alias("n")), label)
+    return out, path, seen.get["n"]
+
+
 def delete(spark: SparkSession, *paths: str) -> None:
     """Remove tables that nothing reads any more."""
     for p in paths:
