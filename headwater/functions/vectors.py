@@ -38,15 +38,6 @@ def sigmoid(z: Column) -> Column:
     return 1.0 / (1.0 + F.exp(-F.greatest(F.least(z, F.lit(500.0)), F.lit(-500.0))))
 
 
-def vector_sum(v: Column, dim: int) -> Column:
-    """Element-wise sum over a group: one partial sum for each element, so groups of any size pre-aggregate."""
-    return F.array(*(F.sum(v[i]) for i in range(dim)))
-
-
-def vector_mean(v: Column, dim: int) -> Column:
-    return F.array(*(F.avg(v[i]) for i in range(dim)))
-
-
 def coin(i: Column, j: Column, seed: int) -> Column:
     """A projection's entry in units of sqrt(3 / k): -1, 0 or 1 with chances 1/6, 2/3, 1/6, by integer arithmetic."""
     mixed = F.pmod((i * 7919 + 13) * (j * 104729 + 17) + F.lit(seed * 31337) + i * j * 31, F.lit(1000003)) % 6

@@ -1,7 +1,7 @@
 """Projection, influence scores and rankings over gradient tables (see model.GRADIENTS).
 
-Queries are the small side: they are broadcast only while their vectors stay under ``MAX_QUERY_BYTES``; beyond
-that rows and blocks of queries meet in a shuffle. Vectors reach NumPy as one Arrow buffer a batch.
+Queries stay a table. They and the gradients are packed into blocks, which meet by a broadcast of checked size or in a shuffle, and tasks
+multiply matrices (``blocks``). Gram matrices and their factors are tables of blocks as well.
 """
 
 from __future__ import annotations
@@ -9,15 +9,17 @@ from __future__ import annotations
 import math
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..functions.vector_sums import as_lists, as_matrix, vector_means
+from ..scratch import stored
+from . import blocks as B
+from .blocks import block_scores
 
-MAX_QUERY_BYTES = 64 << 20
 TINY = 1e-10
 
 
@@ -41,72 +43,26 @@ def project(df: DataFrame, proj_dim: int, input_dim: int, seed: int = 42, column
 
     @F.arrow_udf("array<double>")
     def times(v: pa.Array) -> pa.Array:
-        return _as_lists(_as_matrix(v, input_dim) @ matrix.T)
+        return as_lists(as_matrix(v, input_dim) @ matrix.T)
 
     return df.withColumn(column, times(F.col(column)))
 
 
-def _as_matrix(v, dim: int | None = None) -> np.ndarray:
-    """An Arrow column of vectors of one width as rows of a matrix. Nulls and wrong widths raise."""
-    v = v.combine_chunks() if isinstance(v, pa.ChunkedArray) else v
-    if not len(v):
-        return np.zeros((0, dim or 0))
-    flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    dim = len(flat) // len(v) if dim is None else dim
-    widths = v.value_lengths().to_numpy(zero_copy_only=False)
-    if v.null_count or (widths != dim).any():
-        raise ValueError(f"vectors have {sorted(set(widths.tolist()))} elements or are null; {dim} are taken")
-    return flat.reshape(len(v), dim)
-
-
-def _as_lists(m: np.ndarray) -> pa.Array:
-    offsets = np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]
-    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(m).ravel()))
-
-
-def score_blocks(gradients: DataFrame, queries: list[tuple[int, list[float]]]) -> DataFrame:
-    """(query_id, sample_index, source_id, score): one matrix product for each Arrow batch and block of queries."""
-    out = None
-    size = max(1, MAX_QUERY_BYTES // (8 * max(1, len(queries[0][1]) if queries else 1)))
-    for at in range(0, max(1, len(queries)), size):
-        ids = np.array([q[0] for q in queries[at : at + size]], np.int64)
-        matrix = np.array([q[1] for q in queries[at : at + size]], np.float64)
-
-        def run(batches, ids=ids, matrix=matrix):
-            for batch in batches:
-                if batch.num_rows and len(ids):
-                    s = _as_matrix(batch.column("vec"), matrix.shape[1]) @ matrix.T
-                    at = pa.array(np.repeat(np.arange(batch.num_rows), len(ids)))
-                    columns = [pa.array(np.tile(ids, batch.num_rows)), batch.column("sample_index").take(at), batch.column("source_id").take(at), pa.array(s.ravel())]
-                    yield pa.RecordBatch.from_arrays(columns, ["query_id", "sample_index", "source_id", "score"])
-
-        df = gradients.select("sample_index", "source_id", "vec").mapInArrow(run, "query_id long, sample_index long, source_id string, score double")
-        out = df if out is None else out.union(df)
-    return out
-
-
 def dot_scores(gradients: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, sample_index, source_id, score) for every query of a small, stated set against all samples.
+    """(query_id, sample_index, source_id, score) for every query (query_id, vec) of a stated set against all samples."""
+    return block_scores(gradients, queries)
 
-    ``queries`` has (query_id, vec). Inner products stay in built-in functions.
-    """
-    q = queries.select("query_id", F.col("vec").alias("_q"))
-    pairs = _paired(gradients, q)
-    return pairs.select("query_id", "sample_index", "source_id", V.dot(F.col("vec"), F.col("_q")).alias("score"))
 
+def scores_unprojected(gradients: DataFrame, queries: DataFrame, proj_dim: int, input_dim: int, seed: int = 42) -> DataFrame:
+    """``dot_scores`` of projected gradients with queries in the projected space, without a projected table: (P g) q = g (P' q), so the
+    queries are pulled back once and the gradients are read as they are."""
+    matrix = projection_matrix(input_dim, proj_dim, seed)
 
-def _paired(rows: DataFrame, queries: DataFrame) -> DataFrame:
-    """Every row with every query (query_id, _q) of a stated set. The queries are broadcast after a check of their
-    size; more of them are dealt to blocks of that size, a row goes to each block, and both meet by block and share."""
-    spark = rows.sparkSession
-    n = queries.agg(F.coalesce(F.sum(F.size("_q")), F.lit(0))).first()[0]
-    if 8 * n <= MAX_QUERY_BYTES:
-        return rows.join(F.broadcast(queries))
-    blocks, shares = -(-8 * n // MAX_QUERY_BYTES), int(spark.conf.get("spark.sql.shuffle.partitions"))
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    dealt = queries.withColumn("_block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int")).withColumn("_share", every(shares))
-    share = F.pmod(F.xxhash64(*[c for c, kind in rows.dtypes if kind in ("bigint", "int", "string")]), F.lit(shares)).cast("int")
-    return rows.withColumn("_share", share).withColumn("_block", every(blocks)).join(dealt, ["_block", "_share"]).drop("_block", "_share")
+    @F.arrow_udf("array<double>")
+    def back(v: pa.Array) -> pa.Array:
+        return as_lists(as_matrix(v, proj_dim) @ matrix)
+
+    return block_scores(gradients, queries.withColumn("vec", back(F.col("vec").cast("array<double>"))))
 
 
 def normalised(scores: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFrame:
@@ -119,40 +75,17 @@ def normalised(scores: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFr
     return joined.withColumn("score", F.when(F.col("_peak") > TINY, F.col("score") / F.col("_peak")).otherwise(F.col("score"))).drop("_peak")
 
 
-def gram(gradients: DataFrame, dim: int) -> np.ndarray:
-    """The dim x dim matrix of inner products of columns: each batch adds its product, sums meet by row."""
-
-    def partial(batches):
-        g = np.zeros((dim, dim))
-        for batch in batches:
-            x = _as_matrix(batch.column("vec"), dim)
-            g += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(dim, dtype=np.int32)), _as_lists(g)], ["i", "row"])
-
-    parts = gradients.select("vec").mapInArrow(partial, "i int, row array<double>")
-    sums = parts.select("i", F.posexplode("row").alias("j", "x")).groupBy("i", "j").agg(F.sum("x").alias("x")).collect()
-    out = np.zeros((dim, dim))
-    for r in sums:
-        out[r.i, r.j] = r.x
-    return out
-
-
-def damped(g: np.ndarray, factor: float = 1e-3, floor: float = 0.0) -> np.ndarray:
-    """G + lambda I with lambda = factor * trace / dim, at least ``floor``."""
-    return g + max(factor * np.trace(g) / len(g), floor) * np.eye(len(g))
+def gram_factor(gradients: DataFrame, dim: int, factor: float = 1e-3, floor: float = 0.0) -> DataFrame:
+    """Blocks (i, j, m) of the Cholesky factor of G + lambda I, G the inner products of columns and lambda = factor * trace / dim, at
+    least ``floor``. It stays in the executors."""
+    return B.factor(B.gram_blocks(gradients, dim), dim, factor, floor)
 
 
-def preconditioned(queries: list[tuple[int, list[float]]], g: np.ndarray, factor: float = 1e-3, floor: float = 0.0) -> list[tuple[int, list[float]]]:
-    """Queries multiplied by the inverse of the damped Gram matrix (a Cholesky factor on the driver, k x k)."""
-    low = np.linalg.cholesky(damped(g, factor, floor))
-    return [(i, np.linalg.solve(low.T, np.linalg.solve(low, np.asarray(v, np.float64))).tolist()) for i, v in queries]
-
-
-def trak_scores(gradients: DataFrame, queries: DataFrame, dim: int, factor: float = 1e-3, floor: float = 0.0, g: np.ndarray | None = None) -> DataFrame:
-    """Inverse-Gram influence of every sample on every query of a stated set; ``g`` reuses a Gram matrix."""
-    g = gram(gradients, dim) if g is None else g
-    rows = [(r.query_id, list(r.vec)) for r in queries.select("query_id", "vec").collect()]
-    return score_blocks(gradients, preconditioned(rows, g, factor, floor) if rows else [])
+def trak_scores(gradients: DataFrame, queries: DataFrame, dim: int, factor: float = 1e-3, floor: float = 0.0, lower: DataFrame | None = None) -> DataFrame:
+    """Inverse-Gram influence of every sample on every query of a stated set; ``lower`` reuses a ``gram_factor``."""
+    lower = gram_factor(gradients, dim, factor, floor) if lower is None else lower
+    ready = stored(B.solved(queries.select("query_id", "vec"), lower, dim), "preconditioned")
+    return block_scores(gradients, ready)
 
 
 def multi_checkpoint(scores: list[DataFrame]) -> DataFrame:
@@ -177,16 +110,9 @@ def self_influence(gradients: DataFrame) -> DataFrame:
 
 
 def self_influence_trak(gradients: DataFrame, dim: int, factor: float = 1e-3) -> DataFrame:
-    """g' (G + lambda I)^-1 g of each sample."""
-    inverse = np.linalg.inv(damped(gram(gradients, dim), factor))
-
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                x = np.stack([np.asarray(v, np.float64) for v in pdf.vec])
-                yield pd.DataFrame({"sample_index": pdf.sample_index, "source_id": pdf.source_id, "score": np.einsum("ni,ij,nj->n", x, inverse, x)})
-
-    return gradients.select("sample_index", "source_id", "vec").mapInPandas(run, "sample_index long, source_id string, score double")
+    """g' (G + lambda I)^-1 g of each sample: the squared norm of g after half of the substitution."""
+    half = B.solved(gradients, gram_factor(gradients, dim, factor), dim, back=False, names=("sample_index", "source_id"))
+    return self_influence(half)
 
 
 def cosine_scores(gradients: DataFrame, queries: DataFrame) -> DataFrame:
@@ -217,29 +143,12 @@ def source_stratified(scores: DataFrame) -> DataFrame:
     return per.withColumns({"norm_mean": unit("mean"), "norm_total": unit("total"), "rank": F.row_number().over(order)}).drop("_p")
 
 
-def source_means(gradients: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
+def source_means(gradients: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, source, n, mean): the mean score of each source on every query.
 
-    A mean of inner products is the inner product with the mean: each batch adds its vectors by source, and the
-    queries meet one vector for each source instead of all samples.
+    A mean of inner products is the inner product with the mean: vectors are added by source, and the queries meet one
+    vector for each source instead of all samples.
     """
-
-    def partial(batches):
-        n: dict[str, int] = {}
-        total: dict[str, np.ndarray] = {}
-        for batch in batches:
-            x = _as_matrix(batch.column("vec"), dim)
-            code, names = pd.factorize(batch.column("source_id").to_pandas().fillna("unknown").replace("", "unknown"))
-            member = np.zeros((len(names), len(x)))
-            member[code, np.arange(len(x))] = 1.0
-            for name, k, s in zip(names, np.bincount(code).tolist(), member @ x, strict=True):
-                n[name], total[name] = n.get(name, 0) + k, total.get(name, 0.0) + s
-        if n:  # a row for each task and source
-            yield pa.RecordBatch.from_arrays([pa.array(list(n)), pa.array(list(n.values()), pa.int64()), _as_lists(np.stack(list(total.values())))], ["source", "n", "vec"])
-
-    parts = gradients.select("source_id", "vec").mapInArrow(partial, "source string, n long, vec array<double>")
-    # summed by element, so that a source's parts need not meet in one task whole
-    sums = parts.select("source", "n", F.posexplode("vec").alias("i", "x")).groupBy("source", "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    sums = sums.groupBy("source").agg(F.max("n").alias("n"), F.transform(F.sort_array(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("total"))
-    q = queries.select("query_id", F.col("vec").alias("_q"))
-    return _paired(sums, q).select("query_id", "source", "n", (V.dot(F.col("total"), F.col("_q")) / F.col("n")).alias("mean"))
+    named = gradients.select(source_key(F.col("source_id")).alias("source"), "vec")
+    means = vector_means(named, ["source"], "vec").withColumnRenamed("mean", "vec")
+    return block_scores(means, queries, ("n", "source")).withColumnRenamed("score", "mean")

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import itertools
 import time
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +59,7 @@ class TrackedFrame:
         return out
 
     def _view(self, df: DataFrame) -> TrackedFrame:
-        return TrackedFrame(df, self.recorder, self.source_id, self.node if self.node is not None else -1)
+        return TrackedFrame(df, self.recorder, self.source_id, self.node)
 
     def select(self, *cols) -> TrackedFrame:
         return self._view(self.df.select(*cols))
@@ -82,10 +82,10 @@ class TrackedFrame:
     def cast(self, kinds: dict[str, str]) -> TrackedFrame:
         return self._view(self.df.withColumns({c: F.col(c).cast(k) for c, k in kinds.items()}))
 
-    def apply(self, op: str, f: Callable[..., DataFrame], *others: TrackedFrame | DataFrame) -> TrackedFrame:
-        """Any function of DataFrames, reductions among them; only tracked inputs are noted."""
-        plain = [t.df if isinstance(t, TrackedFrame) else t for t in others]
-        return self._made(op, f(self.df, *plain), tuple(t for t in others if isinstance(t, TrackedFrame)))
+    def apply(self, op: str, f: Callable[..., DataFrame], *others, **named) -> TrackedFrame:
+        """Any function of DataFrames, reductions among them; only tracked inputs are noted, wherever they stand in lists, tuples, sets
+        and dictionaries of arguments, each as often as it is there."""
+        return self._made(op, f(self.df, *unwrapped(list(others)), **unwrapped(named)), tuple(tracked_in([others, named])))
 
     def apply_many(self, op: str, f: Callable[[DataFrame], tuple[DataFrame, ...]]) -> tuple[TrackedFrame, ...]:
         """A function with several results: each has its node, and an edge from this one."""
@@ -110,6 +110,28 @@ class TrackedFrame:
         return self._made("standardise", standardise(self.df, columns), meta={"columns": ",".join(columns)})
 
 
+def tracked_in(value) -> Iterator[TrackedFrame]:
+    """The tracked frames in nested arguments, in their order."""
+    if isinstance(value, TrackedFrame):
+        yield value
+    elif isinstance(value, Mapping):
+        yield from tracked_in(list(value.values()))
+    elif isinstance(value, (list, tuple, set, frozenset)):
+        for v in value:
+            yield from tracked_in(v)
+
+
+def unwrapped(value):
+    """The same arguments with plain DataFrames in place of tracked ones."""
+    if isinstance(value, TrackedFrame):
+        return value.df
+    if isinstance(value, Mapping):
+        return {k: unwrapped(v) for k, v in value.items()}
+    if isinstance(value, tuple) and hasattr(value, "_fields"):
+        return type(value)(*map(unwrapped, value))
+    return type(value)(map(unwrapped, value)) if isinstance(value, (list, tuple, set, frozenset)) else value
+
+
 def normal_op_name(op):
     """One name for operations that libraries call differently."""
     names = {"true_divide": "divide", "floor_divide": "divide", "absolute": "abs"}

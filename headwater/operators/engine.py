@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import attribution as A
-from . import valuation
+from . import graph, valuation
+from .gradients import active
 from .unlearning import unlearn
 
 
@@ -15,7 +15,7 @@ class AttributionEngine:
     """Scores of a stated query set over one gradient table.
 
     ``gradients`` holds projected vectors; queries come in the input space and are projected alike unless
-    ``input_dim`` is None (already projected). The Gram matrix of the 'trak' estimator is made once.
+    ``input_dim`` is None (already projected). The Gram matrix of the 'trak' estimator is factored once.
     """
 
     def __init__(self, gradients: DataFrame, dim: int, estimator: str = "dot", factor: float = 1e-3, input_dim: int | None = None, seed: int = 42):
@@ -23,7 +23,7 @@ class AttributionEngine:
             raise ValueError(f"unknown estimator {estimator!r}")
         self.gradients, self.dim, self.estimator, self.factor = gradients, dim, estimator, factor
         self.input_dim, self.seed = input_dim, seed
-        self._gram: np.ndarray | None = None
+        self._lower: DataFrame | None = None
 
     def project(self, queries: DataFrame) -> DataFrame:
         return queries if self.input_dim is None else A.project(queries, self.dim, self.input_dim, self.seed)
@@ -32,9 +32,9 @@ class AttributionEngine:
         q = self.project(queries)
         if self.estimator == "dot":
             return A.dot_scores(self.gradients, q)
-        if self._gram is None:
-            self._gram = A.gram(self.gradients, self.dim)
-        return A.trak_scores(self.gradients, q, self.dim, self.factor, g=self._gram)
+        if self._lower is None:
+            self._lower = A.gram_factor(self.gradients, self.dim, self.factor)
+        return A.trak_scores(self.gradients, q, self.dim, self.factor, lower=self._lower)
 
     def scores(self, queries: DataFrame) -> DataFrame:
         return A.normalised(self.raw_scores(queries))
@@ -45,8 +45,15 @@ class AttributionEngine:
         rows = self.gradients.select("sample_index", "source_id", "source_node_id", "loss")
         return top.join(rows, "sample_index").select("query_id", "rank", "sample_index", "source_id", "source_node_id", "loss", "score")
 
-    def by_source(self, queries: DataFrame) -> DataFrame:
-        return A.source_stratified(self.raw_scores(queries))
+    def by_source(self, queries: DataFrame, nodes: DataFrame | None = None, edges: DataFrame | None = None) -> DataFrame:
+        """Scores by source; with a lineage graph a sample's source is the file behind its node (``source_files``), else its own id."""
+        scores = self.raw_scores(queries)
+        if edges is not None:
+            files = source_files(nodes, edges)
+            own = self.gradients.select("sample_index", "source_node_id").distinct().join(files, F.col("source_node_id") == F.col("node"))
+            own = own.groupBy("sample_index").agg(F.min("file").alias("file"))
+            scores = scores.join(own, "sample_index", "left").withColumn("source_id", A.source_key(F.col("source_id"), F.col("file"))).drop("file")
+        return A.source_stratified(scores)
 
     def values(self, validation: DataFrame, k: int = 10) -> DataFrame:
         return valuation.knn_values(self.gradients, self.project(validation), k)
@@ -55,6 +62,14 @@ class AttributionEngine:
         return unlearn(self.gradients, source_id, self.dim, **how)
 
 
+def source_files(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, file): the file (or source) that the metadata of the smallest root behind each node names; nodes whose roots name none are
+    left out."""
+    meta = F.coalesce(F.col("meta")["file"], F.col("meta")["source_file"], F.col("meta")["source_id"])
+    named = nodes.select(F.col("id").alias("root"), meta.alias("file")).filter("file <> ''")
+    return graph.roots(edges, nodes).join(named, "root").groupBy("node").agg(F.min_by("file", "root").alias("file"))
+
+
 class MultiCheckpointEngine:
     """Mean of the normalised scores of several engines, by sample."""
 
@@ -72,6 +87,19 @@ class MultiCheckpointEngine:
         return top.join(rows, "sample_index").select("query_id", "rank", "sample_index", "source_id", "source_node_id", "loss", "score")
 
 
+def training_attribution(spark: SparkSession, gradients: DataFrame | None = None, queries: DataFrame | None = None, k: int = 10, most_harmful: bool = False) -> DataFrame | None:
+    """Ranked samples for a node's queries. Without ``gradients`` the session's active table is taken, and without one there is nothing to tell
+    (None); without ``queries`` a vector of zeros, under which all scores are 0 and the smallest samples come first."""
+    if gradients is None:
+        if not spark.catalog.tableExists("active_gradients"):
+            return None
+        gradients = active(spark)
+    some = gradients.select(F.size("vec")).first()
+    dim = some[0] if some else 0
+    asked = valuation.default_validation(spark, dim) if queries is None else queries
+    return AttributionEngine(gradients, dim).attribute(asked, k, most_harmful)
+
+
 def sources(attributed: DataFrame) -> DataFrame:
     """Distinct sources of ranked rows."""
     return attributed.filter("source_id <> ''").select("source_id").distinct()

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from .. import model
 from ..functions import vectors as V
 from ..functions.numbering import numbered
+from ..functions.vector_sums import vector_means, vector_sums
 from .attribution import project
 
 
@@ -84,12 +85,13 @@ def stats(gradients: DataFrame) -> DataFrame:
 
 def batch_means(gradients: DataFrame, batch: Column, dim: int) -> DataFrame:
     """(batch, sample_index, n, vec): one mean gradient for each batch, under its first sample."""
-    return gradients.groupBy(batch.alias("batch")).agg(F.min("sample_index").alias("sample_index"), F.count("*").alias("n"), V.vector_mean(F.col("vec"), dim).alias("vec"))
+    means = vector_means(gradients.withColumn("batch", batch), ["batch"], "vec", "sample_index")
+    return means.select("batch", F.col("least").alias("sample_index"), "n", F.col("mean").alias("vec"))
 
 
 def trajectory_sum(gradients: DataFrame, samples: DataFrame, dim: int) -> DataFrame:
     """Sum over steps for each of ``samples`` (sample_index); a sample that was never logged has zeros."""
-    sums = gradients.groupBy("sample_index").agg(V.vector_sum(F.col("vec"), dim).alias("vec"))
+    sums = vector_sums(gradients, ["sample_index"], "vec").select("sample_index", F.col("total").alias("vec"))
     zeros = F.array_repeat(F.lit(0.0), dim)
     return samples.select("sample_index").join(sums, "sample_index", "left").withColumn("vec", F.coalesce("vec", zeros))
 
@@ -110,7 +112,7 @@ def gradient_descent(df: DataFrame, x: str, y: str, dim: int, steps: int, rate:
     w = [0.0] * dim if w is None else list(w)
     for step in range(steps):
         rows = df if batches == 1 else df.filter(F.pmod(F.col(key), F.lit(batches)) == step % batches)
-        g = rows.select(logistic_gradient(F.col(x), F.col(y), w).alias("g")).agg(*(F.avg(F.col("g")[i]) for i in range(dim))).first()
+        g = vector_means(rows.select(logistic_gradient(F.col(x), F.col(y), w).alias("g")), [], "g").first()["mean"]
         w = [a + (rate if ascent else -rate) * b for a, b in zip(w, g, strict=True)]
     return w
 
@@ -147,7 +149,7 @@ def retrain_subsets(df: DataFrame, masks: DataFrame, dim: int, steps: int = 50,
         w = spark.createDataFrame(list(weights.items()), "subset long, w array<double>")
         error = V.sigmoid(V.dot(F.col("x"), F.col("w"))) - F.col("y")
         g = joined.join(w, "subset").select("subset", V.scale(F.col("x"), error).alias("g"))
-        means = g.groupBy("subset").agg(V.vector_mean(F.col("g"), dim).alias("g")).collect()
+        means = vector_means(g, ["subset"], "g").select("subset", F.col("mean").alias("g")).collect()
         for r in means:
             weights[r.subset] = [a - rate * b for a, b in zip(weights[r.subset], r.g, strict=True)]
     return spark.createDataFrame(list(weights.items()), "subset long, weights array<double>")

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.vector_sums import vector_sums
 from .attribution import projection_matrix
 
 BLOCK = r"(?:^|\.)(?:h|layers|blocks)\.(\d+)\."
@@ -120,7 +121,7 @@ def dense_sketch(factors: DataFrame, widths: dict[str, tuple[int, int]], k: int,
     cells = cells.select("sample_index", "value", place.alias("_j"))
     unit = (3.0 / k) ** 0.5
     parts = cells.select("sample_index", F.transform(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")), lambda i: V.coin(i, F.col("_j"), seed) * F.col("value") * unit).alias("_v"))
-    return parts.groupBy("sample_index").agg(V.vector_sum(F.col("_v"), k).alias("vec"))
+    return vector_sums(parts, ["sample_index"], "_v").select("sample_index", F.col("total").alias("vec"))
 
 
 def modules_checked(rows: DataFrame, modules: list[str]) -> DataFrame:

@@ -9,14 +9,16 @@ for each query and source.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..functions.statistics import correlation
-from .attribution import damped
+from ..functions.vector_sums import as_lists, as_matrix, vector_sums
+from ..scratch import stored
+from .blocks import few_blocks, paired
 
 
 def predict(values: DataFrame) -> DataFrame:
@@ -94,7 +96,8 @@ def blockmag_lift(scores: DataFrame, prior: DataFrame, blocks: DataFrame, k: int
 def _weighted_means(scores: DataFrame, gradients: DataFrame, dim: int) -> DataFrame:
     joined = scores.join(gradients.select("sample_index", "vec"), "sample_index")
     w = F.abs("score")
-    return joined.groupBy("query_id", F.col("source_id").alias("source")).agg(F.sum(w).alias("w"), V.vector_sum(V.scale(F.col("vec"), w), dim).alias("m"))
+    each = joined.select("query_id", F.col("source_id").alias("source"), F.concat(F.array(w), V.scale(F.col("vec"), w)).alias("v"))  # the weights are a component
+    return vector_sums(each, ["query_id", "source"], "v").select("query_id", "source", F.col("total")[0].alias("w"), F.slice("total", 2, dim).alias("m"))
 
 
 def cosine(scores: DataFrame, gradients: DataFrame, queries: DataFrame, dim: int, columns: dict[str, tuple[int, int]] | None = None) -> DataFrame:
@@ -114,29 +117,46 @@ def cosine(scores: DataFrame, gradients: DataFrame, queries: DataFrame, dim: int
     return means.select("query_id", "source", F.when(F.col("w") < 1e-12, 0.0).otherwise(value).alias("value"))
 
 
-def per_source_trak(gradients: DataFrame, queries: list[tuple[int, list[float]]], dim: int, factor: float = 1e-3) -> DataFrame:
+def per_source_trak(gradients: DataFrame, queries: DataFrame, dim: int, factor: float = 1e-3) -> DataFrame:
     """Largest score magnitude of each source under its own Gram matrix: partial products by batch, one k x k
-    solve for each source, then one pass of products. No source's rows are gathered."""
+    solve for each source and block of queries, then matrix products of blocks of one source. No source's rows are gathered."""
+
+    def by_source(batches):
+        for batch in batches:
+            x = as_matrix(batch.column("vec"), dim)
+            names = batch.column("source_id").dictionary_encode(null_encoding="encode")
+            code = names.indices.to_numpy(zero_copy_only=False)
+            for k, source in enumerate(names.dictionary.to_pylist()):
+                yield source, x[code == k]
 
     def partial(batches):
-        for pdf in batches:
-            for s, own in pdf.groupby("source_id"):
-                x = np.stack([np.asarray(v, np.float64) for v in own.vec])
-                yield pd.DataFrame({"source": [s], "g": [(x.T @ x).ravel()]})
+        for source, x in by_source(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([source], pa.string()), as_lists((x.T @ x).reshape(1, -1))], ["source", "g"])
 
-    parts = gradients.select("source_id", "vec").mapInPandas(partial, "source string, g array<double>")
-    sums = parts.select("source", F.posexplode("g").alias("c", "x")).groupBy("source", "c").agg(F.sum("x").alias("x"))
-    grams = sums.groupBy("source").agg(F.transform(F.sort_array(F.collect_list(F.struct("c", "x"))), lambda p: p["x"]).alias("g"))
-    ids, matrix = np.array([q[0] for q in queries], np.int64), np.array([q[1] for q in queries], np.float64)
+    def rows(batches):
+        for source, x in by_source(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([source], pa.string()), as_lists(x.reshape(1, -1))], ["source", "x"])
 
     def solve(batches):
-        for pdf in batches:
-            for s, g in zip(pdf.source, pdf.g, strict=True):
-                yield pd.DataFrame({"source": s, "query_id": ids, "v": list(np.linalg.solve(damped(np.asarray(g).reshape(dim, dim), factor), matrix.T).T)})
-
-    solved = grams.mapInPandas(solve, "source string, query_id long, v array<double>")
-    met = gradients.join(solved, F.col("source_id") == F.col("source"))
-    return met.groupBy("query_id", "source").agg(F.max(F.abs(V.dot(F.col("vec"), F.col("v")))).alias("value"))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                g, q = (batch.column(c)[k].values.to_numpy().reshape(-1, dim) for c in ("total", "m"))
+                v = np.linalg.solve(g + factor * np.trace(g) / dim * np.eye(dim), q.T).T
+                yield pa.RecordBatch.from_arrays([batch.column("source").slice(k, 1), batch.column("query_id").slice(k, 1), as_lists(v.reshape(1, -1))], ["source", "query_id", "v"])
+
+    def peaks(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                x, v = (batch.column(c)[k].values.to_numpy().reshape(-1, dim) for c in ("x", "v"))
+                ids = batch.column("query_id")[k].values
+                yield pa.RecordBatch.from_arrays([ids, pa.array([batch.column("source")[k].as_py()] * len(ids), pa.string()), pa.array(np.abs(x @ v.T).max(0))], ["query_id", "source", "value"])
+
+    named = gradients.select("source_id", F.col("vec").cast("array<double>").alias("vec"))
+    grams = vector_sums(named.mapInArrow(partial, "source string, g array<double>"), ["source"], "g")
+    q, size = few_blocks(queries)
+    ready = stored(paired(grams.select("source", "total"), q, size).mapInArrow(solve, "source string, query_id array<long>, v array<double>"), "by-source")
+    met = named.mapInArrow(rows, "source string, x array<double>").join(ready, "source")
+    return met.mapInArrow(peaks, "query_id long, source string, value double").groupBy("query_id", "source").agg(F.max("value").alias("value"))
 
 
 def precision_at_1(predicted: DataFrame, truth: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql.window import Window
 
 from ..functions import vectors as V
 from ..functions.numbering import quantile
+from ..functions.vector_sums import vector_means, vector_sums
 
 
 def forget_by_source(gradients: DataFrame, source_id: str) -> DataFrame:
@@ -20,16 +21,16 @@ def forget_by_source(gradients: DataFrame, source_id: str) -> DataFrame:
 
 def forget_top(gradients: DataFrame, dim: int, k: int) -> DataFrame:
     """The k samples with the largest magnitude of inner product with the sum of all gradients."""
-    total = gradients.agg(V.vector_sum(F.col("vec"), dim).alias("_t"))
+    total = vector_sums(gradients, [], "vec").select(F.col("total").alias("_t"))
     scored = gradients.join(F.broadcast(total)).withColumn("score", F.abs(V.dot(F.col("vec"), F.col("_t")))).drop("_t")
     return scored.orderBy(F.round("score", 9).desc(), "sample_index").limit(k)
 
 
 def corrected(gradients: DataFrame, source_id: str, dim: int, steps: int = 100, rate: float = 1e-4, decay: float = 0.95) -> DataFrame:
     """The gradient table with the target's rows moved by ``steps`` shrinking steps along their mean."""
-    mean = forget_by_source(gradients, source_id).agg(V.vector_mean(F.col("vec"), dim).alias("_mean"))
+    mean = vector_means(forget_by_source(gradients, source_id), [], "vec").select(F.col("mean").alias("_mean"))
     moved = rate * (1.0 - decay**steps) / (1.0 - decay)
-    joined = gradients.join(F.broadcast(mean))
+    joined = gradients.join(F.broadcast(mean), how="left")  # one row, none without targets
     new = V.add(F.col("vec"), V.scale(F.col("_mean"), F.lit(-moved)))
     return joined.withColumn("vec", F.when(F.col("source_id") == source_id, new).otherwise(F.col("vec"))).drop("_mean")
 
@@ -39,7 +40,7 @@ def unlearn(gradients: DataFrame, source_id: str, dim: int, steps: int = 100, ra
 
     The query is the target's mean gradient. Without targets nothing remains to forget: verified, no steps.
     """
-    query = forget_by_source(gradients, source_id).agg(V.vector_mean(F.col("vec"), dim).alias("_q"))
+    query = vector_means(forget_by_source(gradients, source_id), [], "vec").select(F.col("mean").alias("_q"))
 
     def influence(df: DataFrame, name: str) -> DataFrame:
         s = df.join(F.broadcast(query)).select("source_id", V.dot(F.col("vec"), F.col("_q")).alias("s"))

@@ -78,8 +78,7 @@ def topk_harmful(spark, sf_dir):
 @query(f"WITH {GRADS}, b AS (SELECT s AS query_id, v AS u FROM g WHERE s % 50 = 0), r AS (SELECT query_id, s AS sample_index, list_dot_product(v, u) AS score FROM g, b) SELECT query_id, sample_index, round(score / max(abs(score)) OVER (PARTITION BY query_id), 6) + 0.0 AS score FROM r")
 def influence_batch_scores(spark, sf_dir):
     g = grads(spark, sf_dir)
-    q = [(r.query_id, list(r.vec)) for r in tests(g).collect()]
-    return A.normalised(A.score_blocks(g, q)).select("query_id", "sample_index", r6("score"))
+    return A.normalised(A.dot_scores(g, tests(g))).select("query_id", "sample_index", r6("score"))
 
 
 _SEEDS = (1, 2, 3)
@@ -177,7 +176,7 @@ def source_stratified(spark, sf_dir):
 @query(f"WITH {RAW} SELECT query_id, source_id AS source, count(*) AS n, round(avg(score), 6) + 0.0 AS mean FROM raw GROUP BY ALL")
 def source_means(spark, sf_dir):
     g = grads(spark, sf_dir)
-    return A.source_means(g, tests(g), DIM).select("query_id", "source", "n", r6("mean"))
+    return A.source_means(g, tests(g)).select("query_id", "source", "n", r6("mean"))
 
 
 @query(f"WITH r AS ({_STRAT}) SELECT query_id, string_agg(source, '>' ORDER BY rank) AS ranking FROM r GROUP BY query_id")

@@ -293,7 +293,7 @@ h AS (SELECT corr(x.r, y.r) AS rho FROM r x JOIN r y ON x.source = y.source AND
 SELECT count(*) AS n, round(avg(CASE WHEN top = 's1' THEN 1.0 ELSE 0.0 END), 6) AS top_share, round(avg(CASE WHEN a >= b AND b >= c THEN 1.0 ELSE 0.0 END), 6) AS order_share, round((SELECT coalesce(avg(rho), 0) FROM h), 6) AS mean_rho FROM p""")
 def ranking_consistency(spark, sf_dir):
     g = grads(spark, sf_dir)
-    means = A.source_means(g, tests(g), 64)
+    means = A.source_means(g, tests(g))
     return T.ranking_consistency(means, ["s1", "s2", "s3"]).select("n", r6("top_share"), r6("order_share"), r6("mean_rho"))
 
 

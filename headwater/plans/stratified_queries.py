@@ -106,8 +106,7 @@ def sab_block_cosine(spark, sf_dir):
 def sab_per_source_trak(spark, sf_dir):
     """A Gram matrix for each source: NumPy checks it in the tests."""
     g = grads(spark, sf_dir)
-    q = [(r.query_id, list(r.vec)) for r in tests(g).collect()]
-    return picked(S.per_source_trak(g, q, DIM))
+    return picked(S.per_source_trak(g, tests(g), DIM))
 
 
 _PRED = f"pred AS ({PICK}), tru AS (SELECT s AS query_id, src AS seg FROM g WHERE s % 50 = 0), j AS (SELECT seg, (seg = source)::INTEGER::DOUBLE AS hit FROM tru JOIN pred USING (query_id)), ps AS (SELECT seg, count(*) AS n, sum(hit) AS hits, avg(hit) AS p1 FROM j GROUP BY seg)"

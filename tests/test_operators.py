@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from headwater.functions import statistics, vectors
 from headwater.functions.numbering import numbered
-from headwater.operators import attribution, capture, etl, gradients, graph, sketch, stratified, unlearning, valuation
+from headwater.operators import attribution, blocks, capture, etl, gradients, graph, sketch, stratified, unlearning, valuation
 from headwater.sources import readers, stores
 from headwater.streaming import window
 
@@ -180,7 +180,7 @@ def test_descent_matches_numpy(spark):
 def test_per_source_trak_matches_numpy(spark):
     x, q = rng.normal(size=(60, 4)), rng.normal(size=(2, 4))
     src = ["a", "b", "c"] * 20
-    got = {(r.query_id, r.source): r.value for r in stratified.per_source_trak(store(spark, x, src), list(enumerate(q.tolist())), 4).collect()}
+    got = {(r.query_id, r.source): r.value for r in stratified.per_source_trak(store(spark, x, src), queries(spark, q), 4).collect()}
     for k, s in enumerate("abc"):
         own = x[k::3]
         g = own.T @ own
@@ -253,7 +253,7 @@ def test_late_sample_leaves_a_full_window(spark):
 
 def test_queries_beyond_the_broadcast_bound_meet_in_a_shuffle(spark, monkeypatch):
     x, q = rng.normal(size=(60, 4)), rng.normal(size=(17, 4))
-    monkeypatch.setattr(attribution, "MAX_QUERY_BYTES", 64)
+    monkeypatch.setattr(blocks, "MAX_QUERY_BYTES", 64)
     scores = attribution.dot_scores(store(spark, x), queries(spark, q))
     assert "CartesianProduct" not in scores._jdf.queryExecution().executedPlan().toString()
     np.testing.assert_allclose(scores_of(scores, 17, 60), q @ x.T)
