@@ -23,7 +23,7 @@ piece's number among those of its length names its pattern, sequence and place.
 (task, length), without their ids.
 
 A text's ids are those of its runs without ASCII white space, end to end, as the vocabulary's rules drop white space and never reach across
-it; so a run is encoded once and remembered by its task's worker (up to a bound), however often it occurs.
+it; so a run is encoded once and remembered by its task (up to a bound), however often it occurs.
 
 Defined results: a null or empty text is its end id alone; rows with null or repeated ids are packed like all others;
 a text of any length is encoded whole; an empty table gives an empty table; extra columns are not touched, whatever
@@ -40,6 +40,7 @@ from bisect import bisect_left, insort
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -54,7 +55,7 @@ END = 0
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\p{L}\p{N}]+"
 _SLICE = 4 << 20  # bytes of text that are encoded at a time
 _RANKS = 1 << 44  # pieces of one length, at most
-_KNOWN = 1 << 20  # runs that a worker remembers: some 200 MB
+_KNOWN = 1 << 19  # runs that a task remembers: with their words some 150 MB
 _encoders: dict = {}
 
 
@@ -85,12 +86,12 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.words: dict[str, list[int]] = {}
+        self.words: dict[str, bytes] = {}
         self.ids, self.ends = array("I"), array("q", [0])
 
-    def _word(self, word: str) -> list[int]:
+    def _word(self, word: str) -> bytes:
         as_bytes = word if word.isascii() else self.bytes.pre_tokenize_str(word)[0][0]
-        ids = self.words[word] = [t.id for t in self.tokenizer.model.tokenize(as_bytes)]
+        ids = self.words[word] = array("I", [t.id for t in self.tokenizer.model.tokenize(as_bytes)]).tobytes()
         return ids
 
     def _numbers(self, runs: list[bytes]) -> np.ndarray:
@@ -106,7 +107,7 @@ class Encoder:
             self.known[run] = len(self.known)
             if split:
                 for w in self.split(text.lower()):
-                    self.ids.extend(words[w] if w in words else self._word(w))
+                    self.ids.frombytes(words[w] if w in words else self._word(w))
             else:
                 self.ids.extend(next(whole).ids)
             self.ends.append(len(self.ids))
@@ -152,17 +153,16 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
 
         names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "rank", *(["ids"] if with_ids else [])]
         types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), *([pa.list_(pa.int32())] if with_ids else [])]
-        for batch in batches:
-            doc_ids, texts, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                doc_ids.append(doc_id)
-                texts.append(text)
-                size += len(text)
-                if size >= _SLICE:
-                    yield cut(doc_ids, texts)
-                    doc_ids, texts, size = [], [], 0
-            if doc_ids:
-                yield cut(doc_ids, texts)
+        try:
+            for batch in batches:
+                sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy()) // _SLICE
+                bounds = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
+                for begin, end in zip(bounds, bounds[1:], strict=False):
+                    if end > begin:
+                        rows = batch.slice(begin, end - begin)
+                        yield cut(rows.column(0).to_pylist(), rows.column(1).cast(pa.binary()).to_pylist())
+        finally:
+            encoder._forget()  # a worker that waits for its next task holds no words
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, rank long" + (", ids array<int>" if with_ids else "")
     return docs.select(id_in(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).mapInArrow(run, schema)
