@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import kendall, quantiles, running_total, with_rank  # noqa: F401
+
 
 def correlation(x: str, y: str) -> Column:
     """Pearson's correlation; null where a side is constant (the built-in one divides by zero there)."""
@@ -13,45 +15,41 @@ def correlation(x: str, y: str) -> Column:
 
 
 def average_rank(value: str, by: list[str]) -> Column:
-    """Ranks from 1 with ties averaged."""
+    """Ranks from 1 with ties averaged, by windows: for many groups of stated, small size. ``ranks.with_rank`` takes groups of any size."""
     order = Window.partitionBy(*by).orderBy(value)
     ties = F.count("*").over(Window.partitionBy(*by, value))
     return F.rank().over(order) + (ties - 1) / 2.0
 
 
+def _ranked(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """A column of average ranks; without groups the rows are one group of any size, which no window may gather."""
+    return df.withColumn(name, average_rank(value, by)) if by else with_rank(df, value, by, name)
+
+
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """(by..., rho): correlation of average ranks; undefined where a side is constant."""
-    ranked = df.select(*by, average_rank(x, by).alias("_rx"), average_rank(y, by).alias("_ry"))
+    ranked = _ranked(_ranked(df.select(*by, F.col(x).alias("_x"), F.col(y).alias("_y")), "_x", by, "_rx"), "_y", by, "_ry")
     return ranked.groupBy(*by).agg(correlation("_rx", "_ry").alias("rho"))
 
 
-def kendall(df: DataFrame, x: str, y: str, by: list[str], item: str) -> DataFrame:
-    """(by..., tau): tau-b over the items of each group; pairs are made within groups of stated, small size."""
-    a, b = df.alias("a"), df.alias("b")
-    same = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by]
-    pairs = a.join(b, [*same, F.col(f"a.{item}") < F.col(f"b.{item}")]) if by else a.join(b, F.col(f"a.{item}") < F.col(f"b.{item}"))
-    sx, sy = F.signum(F.col(f"a.{x}") - F.col(f"b.{x}")), F.signum(F.col(f"a.{y}") - F.col(f"b.{y}"))
-    sums = pairs.groupBy(*(F.col(f"a.{k}").alias(k) for k in by)).agg(F.sum(sx * sy).alias("s"), F.sum(F.abs(sx)).alias("nx"), F.sum(F.abs(sy)).alias("ny"))
-    return sums.select(*by, F.when(F.col("nx") * F.col("ny") > 0, F.col("s") / F.sqrt(F.col("nx") * F.col("ny"))).alias("tau"))
-
-
 def roc_auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
-    """(by..., n_pos, n_neg, auc) from the rank sum of the positives, ties averaged.
-
-    Scores are counted first, so the window runs over distinct scores.
-    """
+    """(by..., n_pos, n_neg, auc) from the rank sum of the positives, ties averaged. Scores are counted first and added up over ranges, so a group may
+    be the whole table."""
     pos = F.sum(F.when(F.col(label) == 1, 1).otherwise(0)).alias("_pos")
     counts = df.groupBy(*by, score).agg(F.count("*").alias("_n"), pos)
-    below = F.sum("_n").over(Window.partitionBy(*by).orderBy(score)) - F.col("_n")
-    ranked = counts.withColumn("_r", below + (F.col("_n") + 1) / 2.0)
-    sums = ranked.groupBy(*by).agg(F.sum("_pos").alias("n_pos"), F.sum(F.col("_n") - F.col("_pos")).alias("n_neg"), F.sum(F.col("_pos") * F.col("_r")).alias("_s"))
-    u = F.col("_s") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0
+    upto = running_total(counts, [*by, score], "_n", "_upto")
+    # below a group's first score stand the rows of other groups: taken off the rank sum for all positives at once
+    ranked = upto.withColumn("_r", F.col("_upto") - F.col("_n") + (F.col("_n") + 1) / 2.0)
+    sums = ranked.groupBy(*by).agg(
+        F.sum("_pos").alias("n_pos"), F.sum(F.col("_n") - F.col("_pos")).alias("n_neg"), F.sum(F.col("_pos") * F.col("_r")).alias("_s"), F.min(F.col("_upto") - F.col("_n")).alias("_start"),
+    )
+    u = F.col("_s") - F.col("n_pos") * F.col("_start") - F.col("n_pos") * (F.col("n_pos") + 1) / 2.0
     return sums.select(*by, F.col("n_pos").cast("long").alias("n_pos"), F.col("n_neg").cast("long").alias("n_neg"), F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), u / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
 
 
 def precision_at_k(df: DataFrame, score: str, label: str, item: str, by: list[str], k: int) -> DataFrame:
     order = Window.partitionBy(*by).orderBy(F.desc(score), item)
-    top = df.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k)
+    top = df.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k) if by else df.orderBy(F.desc(score), item).limit(k)
     return top.groupBy(*by).agg(F.avg(F.col(label).cast("double")).alias("precision_at_k"))
 
 
@@ -68,7 +66,7 @@ def paired_t(df: DataFrame, diff: Column, by: list[str]) -> DataFrame:
 def wilcoxon(df: DataFrame, diff: Column, by: list[str]) -> DataFrame:
     """(by..., w_plus, w_minus): signed-rank sums, zero differences dropped, ties averaged."""
     d = df.withColumn("_d", diff).filter("_d <> 0").withColumn("_a", F.abs("_d"))
-    d = d.withColumn("_r", average_rank("_a", by))
+    d = _ranked(d, "_a", by, "_r")
     return d.groupBy(*by).agg(F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("w_plus"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("w_minus"))
 
 

@@ -134,6 +134,18 @@ def range_descriptors(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return made.groupBy(F.col("src").alias("input_node_id"), F.col("dst").alias("output_node_id")).agg(last).select("d.op_name", "input_node_id", "output_node_id", "d.input_shape", "d.output_shape", F.lit(True).alias("full_range"))
 
 
+def compressed(edges: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(edges, ranges): descriptors in place of what they describe. An input that a descriptor stands for leaves its edge, and an edge without
+    inputs goes: together they reach what the edges reached."""
+    ranges = range_descriptors(edges, nodes)
+    described = ranges.select(F.col("input_node_id").alias("src"), F.col("output_node_id").alias("dst"), "op_name").withColumn("_described", F.lit(True))
+    adj = adjacency(edges.filter(F.col("op_name").isin(*RANGE_OPS)))
+    left = adj.join(described, ["src", "dst", "op_name"], "left").filter("_described is null")
+    kept = left.groupBy(F.col("edge_id").alias("id")).agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "src"))), lambda x: x["src"]).alias("_inputs"))
+    of_ranges = edges.filter(F.col("op_name").isin(*RANGE_OPS)).join(kept, "id").withColumn("input_ids", F.col("_inputs")).drop("_inputs")
+    return edges.filter(~F.col("op_name").isin(*RANGE_OPS)).unionByName(of_ranges.select(*edges.columns)), ranges
+
+
 def ancestors_compressed(edges: DataFrame, ranges: DataFrame, start: DataFrame) -> DataFrame:
     """Ancestors over what descriptors and remaining edges say together."""
     own = adjacency(edges).select("src", "dst")

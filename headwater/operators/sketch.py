@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.vector_sums import vector_sums
+from ..scratch import stored
 from .attribution import projection_matrix
 
 BLOCK = r"(?:^|\.)(?:h|layers|blocks)\.(\d+)\."
@@ -71,25 +72,32 @@ def inverse_root(m: np.ndarray, damping: float = 0.1) -> np.ndarray:
 
 
 def whiten(blocks: DataFrame, cov: DataFrame, damping: float = 0.1) -> DataFrame:
-    """(sample_index, module, o, i, value) whitened on both sides; covariances are k x k for each module."""
-    roots: dict = {}
-    rows = cov.collect()
-    for key in {(r.module, r.side) for r in rows}:
-        own = [r for r in rows if (r.module, r.side) == key]
-        m = np.zeros((max(r.i for r in own) + 1,) * 2)
-        for r in own:
-            m[r.i, r.j] = r.value
-        roots[key] = inverse_root(m, damping)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, right = roots[(pdf.module.iloc[0], "g")], roots[(pdf.module.iloc[0], "a")]
-        s = np.zeros((len(left), len(right)))
-        s[pdf.o, pdf.i] = pdf.value
-        w = left @ s @ right
-        o, i = np.indices(w.shape)
-        return pd.DataFrame({"sample_index": pdf.sample_index.iloc[0], "module": pdf.module.iloc[0], "o": o.ravel(), "i": i.ravel(), "value": w.ravel()})
-
-    return blocks.groupBy("sample_index", "module").applyInPandas(run, "sample_index long, module string, o int, i int, value double")
+    """(sample_index, module, o, i, value) whitened on both sides. A covariance is k x k, k the width of one side of one module: a task takes
+    its inverse root, and each sample's block meets its module's two roots in a join."""
+
+    def root(pdf: pd.DataFrame) -> pd.DataFrame:
+        m = np.zeros((max(pdf.i.max(), pdf.j.max()) + 1,) * 2)
+        m[pdf.i, pdf.j] = pdf.value
+        return pd.DataFrame({"module": [pdf.module.iloc[0]], "side": [pdf.side.iloc[0]], "root": [inverse_root(m, damping).ravel()]})
+
+    roots = stored(cov.groupBy("module", "side").applyInPandas(root, "module string, side string, root array<double>"), "roots")
+    of = lambda side: roots.filter(F.col("side") == side).select("module", F.col("root").alias(f"_{side}"))
+    own = blocks.groupBy("sample_index", "module").agg(F.collect_list(F.struct("o", "i", "value")).alias("cells"))  # k x k cells
+    met = own.join(of("g"), "module").join(of("a"), "module")
+
+    @F.pandas_udf("array<struct<o:int,i:int,value:double>>")
+    def both(cells: pd.Series, g: pd.Series, a: pd.Series) -> pd.Series:
+        def one(own, left, right):
+            left, right = (np.reshape(m, (round(len(m) ** 0.5), -1)) for m in (left, right))
+            s = np.zeros((len(left), len(right)))
+            for c in own:
+                s[c["o"], c["i"]] = c["value"]
+            w = left @ s @ right
+            return [{"o": o, "i": i, "value": w[o, i]} for o, i in np.ndindex(w.shape)]
+
+        return pd.Series([one(*x) for x in zip(cells, g, a, strict=True)])
+
+    return met.select("sample_index", "module", F.inline(both("cells", "_g", "_a")))
 
 
 def hook_counts(modules: DataFrame, factors: DataFrame) -> DataFrame:

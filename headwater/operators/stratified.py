@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import vectors as V
+from ..functions.ranks import quantiles
 from ..functions.statistics import correlation
 from ..functions.vector_sums import as_lists, as_matrix, vector_sums
 from ..scratch import stored
@@ -51,8 +52,11 @@ def random_choice(queries: DataFrame, sources: list[str], seed: int) -> DataFram
 def aggregate(scores: DataFrame, method: str) -> DataFrame:
     """mean, median, max, summag or normsum of a query's scores by source."""
     s = F.col("score")
+    if method == "median":
+        named = scores.select("query_id", F.col("source_id").alias("source"), "score")
+        return quantiles(named, "score", 0.5, ["query_id", "source"], "value").withColumn("value", F.abs("value"))
     value: dict[str, Column] = {
-        "mean": F.abs(F.avg(s)), "median": F.abs(F.percentile(s, F.lit(0.5))), "max": F.max(F.abs(s)),
+        "mean": F.abs(F.avg(s)), "max": F.max(F.abs(s)),
         "summag": F.sum(F.abs(s)), "normsum": F.sum(F.abs(s)) / F.sqrt(F.count("*")),
     }
     return scores.groupBy("query_id", F.col("source_id").alias("source")).agg(value[method].alias("value"))

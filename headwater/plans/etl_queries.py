@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from .. import scratch
 from ..operators import attribution as A
-from ..operators import etl
+from ..operators import etl, interval_lineage
+from ..operators.plan_capture import plan_lineage
 from ..session import table
+from ..sources import physical
 from ._register import query
 from .attribution_queries import grads, r6, tests
 
@@ -21,6 +26,18 @@ def q1(spark, sf_dir):
       WHERE l.quality IS NOT NULL AND d.source IS NOT NULL GROUP BY d.source ORDER BY total DESC, source_file LIMIT 10""")
 
 
+@query("""SELECT d.source AS source_file, round(sum(l.quality * 1.0 - l.toxic * 0.5), 6) AS total FROM labels l JOIN documents d USING (doc_id)
+ WHERE l.quality IS NOT NULL AND d.source IS NOT NULL GROUP BY d.source ORDER BY total DESC, source_file LIMIT 10""")
+def q1_bucketed(spark, sf_dir):
+    """The same over stored tables that are dealt to buckets by document and analysed: nothing moves below the sums."""
+    work, name = f"{scratch.folder(spark)}/q1-{uuid.uuid4().hex}", f"headwater_{uuid.uuid4().hex}"
+    scores = table(spark, sf_dir, "labels").select("doc_id", (F.col("quality") * 1.0 - F.col("toxic") * 0.5).alias("score"))
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    scores = physical.save_bucketed(scores, f"{name}_scores", "doc_id", buckets, f"{work}/scores")
+    lineage_ = physical.save_bucketed(table(spark, sf_dir, "documents").select("doc_id", "source"), f"{name}_lineage", "doc_id", buckets, f"{work}/lineage")
+    return physical.rollup(scores, lineage_, "doc_id", "source", "score")
+
+
 @query("""SELECT d.source AS source_file, d.doc_id AS source_row, round(sum(l.quality * 1.0 - l.toxic * 0.5), 6) AS total FROM labels l JOIN documents d USING (doc_id)
  WHERE d.source IS NOT NULL GROUP BY ALL ORDER BY total DESC, source_file, source_row LIMIT 10""")
 def q1_with_rows(spark, sf_dir):
@@ -103,6 +120,33 @@ def row_lineage_lists(spark, sf_dir):
     return etl.lineage_lists(lineage(spark, sf_dir))
 
 
+_RUNS = f"{LIN}, rn AS (SELECT sample_id, tab, row_id, count(*) AS times FROM lin GROUP BY ALL), isl AS (SELECT *, row_id - row_number() OVER (PARTITION BY tab, sample_id, times ORDER BY row_id) AS i FROM rn), runs AS (SELECT sample_id, tab, min(row_id) AS first, max(row_id) AS last, times FROM isl GROUP BY sample_id, tab, i, times)"
+
+
+@query(f"WITH {_RUNS} SELECT sample_id, tab AS \"table\", first, last, times FROM runs")
+def lineage_runs(spark, sf_dir):
+    """Row lineage as runs of row numbers."""
+    return interval_lineage.runs(lineage(spark, sf_dir)).select("sample_id", "table", "first", "last", "times")
+
+
+@query(f"WITH {LIN} SELECT sample_id, tab AS \"table\", list(row_id ORDER BY row_id) AS row_ids FROM lin GROUP BY ALL")
+def row_lineage_of_runs(spark, sf_dir):
+    """The same answer as from edges, without any edge stored."""
+    return interval_lineage.lists(interval_lineage.runs(lineage(spark, sf_dir)))
+
+
+@query(f"WITH {_RUNS}, p AS (SELECT sample_id, sum((last - first + 1) * times) AS n, count(*) AS r FROM runs GROUP BY 1) SELECT count(*) AS samples, sum(n)::BIGINT AS total_rows, round(avg(n), 6) AS avg_rows, max(n)::BIGINT AS max_rows, sum(r)::BIGINT AS records FROM p")
+def lineage_run_stats(spark, sf_dir):
+    return interval_lineage.stats(interval_lineage.runs(lineage(spark, sf_dir))).select("samples", "total_rows", r6("avg_rows"), "max_rows", "records")
+
+
+@query("SELECT 'lineitem' AS \"table\", l_orderkey * 100 + l_linenumber AS row_id, o_custkey AS sample_id FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 45")
+def samples_of_rows(spark, sf_dir):
+    """Which samples use the rows of large quantities: a range join on runs."""
+    asked = table(spark, sf_dir, "lineitem").filter("l_quantity > 45").select(F.lit("lineitem").alias("table"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_id"))
+    return interval_lineage.samples_of(interval_lineage.runs(lineage(spark, sf_dir)), asked)
+
+
 @query(f"WITH {LIN}, p AS (SELECT sample_id, count(*) AS n FROM lin GROUP BY 1) SELECT count(*) AS samples, sum(n)::BIGINT AS total_rows, round(avg(n), 6) AS avg_rows, max(n) AS max_rows FROM p")
 def row_lineage_stats(spark, sf_dir):
     return etl.lineage_stats(lineage(spark, sf_dir)).select("samples", "total_rows", r6("avg_rows"), "max_rows")
@@ -282,3 +326,17 @@ def trigger_overflows(spark, sf_dir):
     m = F.col("event_id") % 3
     t = F.when(m == 0, ints(5, 6, 7, 8, 9, 10)).when(m == 1, ints(5, 6, 0, 0, 0, 0)).otherwise(ints(5, 6, 7, 8, 9, 0))
     return table(spark, sf_dir, "events").groupBy(m.alias("kind")).agg(F.count("*").alias("n"), F.count_if(etl.overflows(t, [101, 102])).alias("overflows"))
+
+
+_ORIGINS = "(VALUES ('bureau_count', 'lineitem', 'l_extendedprice'), ('bureau_sum', 'lineitem', 'l_extendedprice'), ('bureau_max', 'lineitem', 'l_quantity'), ('prev_sum', 'orders', 'o_totalprice'), ('prev_approved', 'orders', 'o_orderstatus'), ('c_acctbal', 'customer', 'c_acctbal')) o(feature, source, source_column)"
+
+
+@query(f"WITH {ETL}, x AS (UNPIVOT (SELECT c_acctbal::DOUBLE AS c_acctbal, bureau_count::DOUBLE AS bureau_count, bureau_sum::DOUBLE AS bureau_sum, bureau_max::DOUBLE AS bureau_max, prev_sum::DOUBLE AS prev_sum, prev_approved::DOUBLE AS prev_approved FROM t) ON COLUMNS(*) INTO NAME feature VALUE v) SELECT source, source_column, count(*) AS n, round(sum(abs(v)), 2) AS mass FROM x JOIN {_ORIGINS} USING (feature) GROUP BY ALL")
+def plan_origins(spark, sf_dir):
+    """How much of the feature table's values each column of each source has made; the origins are read from the plan."""
+    t = three_tables(spark, sf_dir)
+    found = plan_lineage(t, {f"file:{sf_dir}/{n}.parquet": n for n in ("customer", "orders", "lineitem")})
+    origins = spark.createDataFrame([(c, s.rsplit("/", 1)[-1].removesuffix(".parquet"), of) for c, s, of in found.columns], "feature string, source string, source_column string")
+    features = ["c_acctbal", "bureau_count", "bureau_sum", "bureau_max", "prev_sum", "prev_approved"]
+    long = t.select(*(F.col(c).cast("double") for c in features)).unpivot([], features, "feature", "v").filter("v is not null")
+    return long.join(origins, "feature").groupBy("source", "source_column").agg(F.count("*").alias("n"), F.round(F.sum(F.abs("v")), 2).alias("mass"))

@@ -114,8 +114,7 @@ def range_encode(spark, sf_dir):
 def ancestors_compressed(spark, sf_dir):
     """Descriptors stand in for the edges they describe; reachability is unchanged."""
     n, e = dag(spark, sf_dir)
-    ranges = graph.range_descriptors(e, n)
-    rest = e.join(ranges.select(F.col("output_node_id").alias("id")), "id", "left_anti")
+    rest, ranges = graph.compressed(e, n)
     return graph.ancestors_compressed(rest, ranges, ranges.select(F.col("output_node_id").alias("start")))
 
 

@@ -33,7 +33,22 @@ def lds_spearman(spark, sf_dir):
 SELECT round(sum(sign(a.x-b.x)*sign(a.y-b.y)) / sqrt(sum(abs(sign(a.x-b.x))) * sum(abs(sign(a.y-b.y)))), 6) AS tau FROM n a JOIN n b ON a.k < b.k""")
 def kendall_agreement(spark, sf_dir):
     n = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.round(F.avg("s_acctbal"), 4).alias("x"), F.count("*").alias("y"))
-    return T.kendall(n, "x", "y", [], "k").select(r6("tau"))
+    return T.kendall(n, "x", "y", []).select(r6("tau"))
+
+
+@query("""WITH x AS (SELECT o_orderkey AS k, o_totalprice AS a, count(*)::DOUBLE AS b FROM orders JOIN lineitem ON l_orderkey = o_orderkey GROUP BY ALL)
+SELECT round(sum(sign(p.a - q.a) * sign(p.b - q.b)) / sqrt(sum(abs(sign(p.a - q.a))) * sum(abs(sign(p.b - q.b)))), 6) AS tau FROM x p JOIN x q ON p.k < q.k""")
+def kendall_of_orders(spark, sf_dir):
+    """Price against number of lines over all orders: tau-b in n log n, where SQL compares all pairs."""
+    li = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.count("*").alias("b"))
+    x = table(spark, sf_dir, "orders").join(li, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_totalprice").alias("a"), "b")
+    return T.kendall(x, "a", "b", []).select(r6("tau"))
+
+
+@query("SELECT round(corr(a, b), 6) AS rho FROM (SELECT rank() OVER (ORDER BY l_extendedprice) + (count(*) OVER (PARTITION BY l_extendedprice) - 1) / 2.0 AS a, rank() OVER (ORDER BY l_quantity) + (count(*) OVER (PARTITION BY l_quantity) - 1) / 2.0 AS b FROM lineitem)")
+def spearman_of_lines(spark, sf_dir):
+    """Price against quantity over all lines, one group: ranks by ranges."""
+    return T.spearman(table(spark, sf_dir, "lineitem"), "l_extendedprice", "l_quantity", []).select(r6("rho"))
 
 
 _DET = "d AS (SELECT doc_id, toxic, source, (n_chars % 50)::BIGINT AS score FROM labels JOIN documents USING (doc_id))"

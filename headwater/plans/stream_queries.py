@@ -23,14 +23,13 @@ def entries(df: DataFrame) -> DataFrame:
 _SQL = "SELECT source_id, sample_index, value FROM (SELECT 'u' || (user_id % 50) AS source_id, event_id AS sample_index, value, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id DESC) AS k FROM events) WHERE k <= 5"
 
 
-def _streamed(spark, sf_dir, flush_bytes: int | None = None) -> str:
-    """Where the windows are of a stream that reads the events in out-of-order batches and keeps state."""
+def _streamed(spark, sf_dir, flush_bytes: int | None = None, every: int | None = None) -> window.StreamingContext:
+    """A stream that has read the events in out-of-order batches and keeps state."""
     work = f"{scratch.folder(spark)}/stream-{uuid.uuid4().hex}"
     e = table(spark, sf_dir, "events")
     e.select("event_id", "user_id", "value").repartition(4, F.col("event_id") % 4).write.parquet(f"{work}/in")
-    stream = window.read_entries(spark, f"{work}/in", "event_id long, user_id long, value double", flush_bytes=flush_bytes)
-    window.run_to_table(window.streaming_window(entries(stream), SIZE), f"{work}/out", f"{work}/state").awaitTermination()
-    return f"{work}/out"
+    context = window.StreamingContext(spark, f"{work}/in", work, SIZE, every, flush_bytes=flush_bytes)
+    return context.run("event_id long, user_id long, value double", entries)
 
 
 @query(_SQL)
@@ -41,7 +40,7 @@ def count_window(spark, sf_dir):
 @query(_SQL)
 def stream_window(spark, sf_dir):
     """The same by a stream."""
-    return window.latest_windows(spark, _streamed(spark, sf_dir))
+    return _streamed(spark, sf_dir).windows()
 
 
 @query("SELECT source_id, count(*) AS seen, least(count(*), 5) AS held FROM (SELECT 'u' || (user_id % 50) AS source_id FROM events) GROUP BY 1")
@@ -53,7 +52,7 @@ def stream_window_stats(spark, sf_dir):
 @query("SELECT source_id, count(*) AS seen, least(count(*), 5) AS held FROM (SELECT 'u' || (user_id % 50) AS source_id FROM events) GROUP BY 1")
 def stream_statistics(spark, sf_dir):
     """The same from what the stream's state has counted; batches end at a budget of bytes."""
-    return window.window_stats(spark, _streamed(spark, sf_dir, flush_bytes=1 << 20))
+    return _streamed(spark, sf_dir, flush_bytes=1 << 20).stats()
 
 
 @query(f"""WITH {GRADS}, w AS (SELECT sample_index FROM (SELECT event_id AS sample_index, row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id DESC) AS k FROM events) WHERE k <= 5),
@@ -65,5 +64,11 @@ def stream_attribution(spark, sf_dir):
     g = grads(spark, sf_dir)
     e = table(spark, sf_dir, "events").select(F.col("event_id").alias("sample_index"), (F.col("event_id") % g.agg(F.count("*")).scalar()).alias("_v"))
     logged = e.join(g.select(F.col("sample_index").alias("_v"), "vec"), "_v").select("sample_index", "vec")
-    out = window.attribute_window(window.latest_windows(spark, _streamed(spark, sf_dir)), logged, tests(g), 10)
-    return out.select("query_id", "rank", "sample_index", r6("score"))
+    return _streamed(spark, sf_dir).attribute(logged, tests(g), 10).select("query_id", "rank", "sample_index", r6("score"))
+
+
+@query("SELECT (SELECT count(*) FROM events) AS entries, count(*) AS held FROM (SELECT row_number() OVER (PARTITION BY user_id % 50 ORDER BY event_id DESC) AS k FROM events) WHERE k <= 5")
+def stream_checkpoints(spark, sf_dir):
+    """The last checkpoint by number of entries: every entry is one, so the last micro-batch has it."""
+    saved = _streamed(spark, sf_dir, every=1).checkpoints().groupBy(F.col("entries").cast("long").alias("entries")).agg(F.count("*").alias("held"))
+    return saved.orderBy(F.desc("entries")).limit(1)

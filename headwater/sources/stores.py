@@ -17,8 +17,8 @@ from .. import model
 
 
 def current(versions: DataFrame, seq: str = "seq") -> DataFrame:
-    """The last version of each id."""
-    order = Window.partitionBy("id").orderBy(F.desc(seq))
+    """The last version of each id; of several that one save brought, the last by its content."""
+    order = Window.partitionBy("id").orderBy(F.desc(seq), F.to_json(F.struct(*(c for c in versions.columns if c != seq))).desc())
     return versions.withColumn("_k", F.row_number().over(order)).filter("_k = 1").drop("_k", seq)
 
 
