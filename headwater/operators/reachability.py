@@ -7,7 +7,7 @@ above it as ancestors, and an edge between chains brings in the other chain up t
 Technique to Materialize Transitive Closure", 1990). A search keeps the furthest place on each chain, so edges between the same
 chains do not repeat it, and its rounds are the changes of chain on a path, not its length: a chain of any depth takes one.
 
-Cycles are allowed: nodes of a cycle of main inputs are chains of their own. Ids are ordinary values: 0 is a node like any other.
+Cycles are allowed: a cycle of main inputs is cut into a chain and an edge from its end to its beginning. Ids are ordinary values: 0 is a node like any other.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import delete, stored, stored_at, stored_counted
+from ..scratch import delete, stored, stored_at
 
 #: Chains that one task stitches: 24 bytes each.
 STITCH_ROWS = 1_000_000
@@ -28,16 +28,18 @@ MATCH_ROUNDS = 8
 
 
 def climb(up: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The end of each element's pointers (-1: its own) and the weights on the way, by doubling. ``up`` takes no element twice;
-    elements of a cycle end at themselves."""
+    """The end of each element's pointers (-1: its own) and the weights on the way, by doubling. ``up`` takes no element twice; a
+    cycle is cut at its least element, which is then an end."""
     n = len(up)
-    at = np.where(up < 0, np.arange(n), up)
+    own = np.arange(n)
+    at, least = np.where(up < 0, own, up), own.copy()
     far = np.where(up < 0, 0, weight)
     for _ in range(max(1, int(n).bit_length() + 1)):
-        far = far + np.where(at == np.arange(n), 0, far[at])
+        far = far + np.where(at == own, 0, far[at])
+        least = np.minimum(least, least[at])
         at = at[at]
     loose = up[at] >= 0
-    return np.where(loose, np.arange(n), at), np.where(loose, 0, far)
+    return climb(np.where(loose & (least == own), -1, up), weight) if loose.any() else (at, far)
 
 
 def _chains(node: np.ndarray, src: np.ndarray, known: np.ndarray) -> list[tuple]:
@@ -77,15 +79,19 @@ def _chains(node: np.ndarray, src: np.ndarray, known: np.ndarray) -> list[tuple]
     ]
 
 
-def _local_chains(batches):
-    held = [b for b in batches if b.num_rows]
-    if held:
-        rows = pa.Table.from_batches(held)
-        src = rows["src"].combine_chunks()
-        parts = _chains(rows["node"].to_numpy(), src.fill_null(0).to_numpy(zero_copy_only=False), src.is_valid().to_numpy(zero_copy_only=False))
-        for part in parts:
-            other = pa.array(part[4], mask=part[4] == np.iinfo(np.int64).min)
-            yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *(pa.array(c, pa.int64()) for c in part[1:4]), other], ["kind", "node", "chain", "pos", "other"])
+def _local_chains(counted):
+    def run(batches):
+        held = [b for b in batches if b.num_rows]
+        if held:
+            rows = pa.Table.from_batches(held)
+            src = rows["src"].combine_chunks()
+            parts = _chains(rows["node"].to_numpy(), src.fill_null(0).to_numpy(zero_copy_only=False), src.is_valid().to_numpy(zero_copy_only=False))
+            counted.add(len(parts[2][0]))
+            for part in parts:
+                other = pa.array(part[4], mask=part[4] == np.iinfo(np.int64).min)
+                yield pa.RecordBatch.from_arrays([pa.array(part[0], pa.int32()), *(pa.array(c, pa.int64()) for c in part[1:4]), other], ["kind", "node", "chain", "pos", "other"])
+
+    return run
 
 
 def _stitched(batches):
@@ -133,8 +139,8 @@ class ChainIndex:
             reached = met.groupBy("start", "chain").agg(F.max("bound").alias("bound"))
             older = known.select("start", "chain", F.col("bound").alias("_old"))
             new = reached.join(older, ["start", "chain"], "left").filter("_old is null or _old < bound").select("start", "chain", "bound")
-            frontier, new_path, n = stored_counted(new, "bounds")
-            if not n:
+            frontier, new_path = stored_at(new, "bounds")
+            if frontier.isEmpty():
                 break
             paths.append(new_path)
             if len(paths) == 16:  # few files and a short plan, whatever the rounds
@@ -153,8 +159,10 @@ def chain_index(steps: DataFrame) -> ChainIndex:
     """The index of a graph given by edges (src, dst); repeated edges and edges of a node to itself are allowed."""
     spark = steps.sparkSession
     rows = steps.select(F.col("dst").alias("node"), "src").union(steps.select("src", F.lit(None).cast("long")))
-    made = rows.repartitionByRange("node").mapInArrow(_local_chains, "kind int, node long, chain long, pos long, other long")
-    cut, path, n = stored_counted(made, "chains", "kind = 2")
+    counted = spark.sparkContext.accumulator(0)  # a task that runs twice counts twice: it only sets the number of tasks below
+    made = rows.repartitionByRange("node").mapInArrow(_local_chains(counted), "kind int, node long, chain long, pos long, other long")
+    cut, path = stored_at(made, "chains")
+    n = counted.value
     chains = cut.filter("kind = 2")
     ends = chains.select(F.col("node").alias("_end"), F.col("chain").alias("on"), (F.col("pos") + 1).alias("size"))
     met = chains.join(ends, F.col("other") == F.col("_end"))

@@ -70,16 +70,16 @@ def test_a_ladder_takes_two_changes_of_chain(spark, monkeypatch):
     """Searches keep the furthest place on a chain, so two chains that exchange at each step are not walked step by step."""
     index = reachability.chain_index(spark.createDataFrame(graphs()["ladder"], "src long, dst long").coalesce(1))
     counted = []
-    plain = reachability.stored_counted
-    monkeypatch.setattr(reachability, "stored_counted", lambda *a: counted.append(a[1]) or plain(*a))
+    plain = reachability.stored_at
+    monkeypatch.setattr(reachability, "stored_at", lambda *a: counted.append(a[1]) or plain(*a))
     assert index.ancestors(spark.createDataFrame([(60,)], "start long")).count() == 120
-    assert len(counted) <= 5
+    assert counted.count("bounds") <= 5
 
 
-def test_climb_ends_cycles_at_themselves():
+def test_climb_cuts_cycles_at_their_least():
     up = np.array([-1, 0, 1, 4, 5, 3, 2])
     end, far = reachability.climb(up, np.array([0, 10, 20, 1, 1, 1, 30]))
-    assert end.tolist() == [0, 0, 0, 3, 4, 5, 0] and far.tolist() == [0, 10, 30, 0, 0, 0, 60]
+    assert end.tolist() == [0, 0, 0, 3, 3, 3, 0] and far.tolist() == [0, 10, 30, 0, 2, 1, 60]
 
 
 def test_report_of_an_untracked_node_is_none(spark, tmp_path):
