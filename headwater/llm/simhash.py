@@ -7,14 +7,14 @@ bits differ by at most ``radius`` in every coordinate, so pairs are discarded by
 difference and only survivors are verified bit by bit.
 
 Pivot coordinates alone bring nothing together (distances of unrelated fingerprints all lie near 32), so pairs
-meet first under exact pigeonhole keys: of six bit blocks at most ``radius`` = 4 can differ, hence two whole blocks
-agree and one of fifteen block pairs is a common key. A pair counts only under its first common key. The
-join drops a pair unless the tables and the bits agree, so it gives out links and nothing else.
+meet first under exact pigeonhole keys: at most ``radius`` = 4 blocks of bits can differ, so the others agree and are a common
+key. Blocks and keys are chosen by the number of fingerprints: six blocks and 15 keys of two, up to eight blocks and 70 keys of
+four, so that buckets of unrelated fingerprints stay small. In a bucket the tables discard and the bits decide.
 
-Links grow with the square of a cluster of near copies. The cluster is therefore first thinned without losing
+Pairs grow with the square of a cluster of near copies, so none are given out. The cluster is first thinned without losing
 connection: fingerprints that differ in one bit share one of 64 masked values, groups under a masked value are
-stars, and their components are contracted; the join then only gives out links between different
-contracted components.
+stars, and their components are contracted. What is still in different components is compared inside tasks, in pairs of
+blocks, and each gives out links that span what it has connected.
 
 Defined results: null or blank text has fingerprint zero and links like any other; a text of fewer words than
 a shingle is one shingle; texts of any length are read whole; null ids are kept as rows (the least non-null id names a
@@ -41,7 +41,6 @@ from .common import as_documents, bitmap, id_in, id_out, in_bitmap, in_groups, m
 from .components import components
 
 RADIUS = 4
-BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # start bit, width
 N_PIVOTS = 16
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _SLAB = 1 << 16
@@ -86,36 +85,83 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def pivot_table(fp: Column, n: int = N_PIVOTS) -> list[Column]:
-    return [F.bit_count(fp.bitwiseXOR(F.lit(_signed(p)))).cast("byte").alias(f"d{i}") for i, p in enumerate(pivots(n))]
-
-
-def _mask(block: tuple[int, int]) -> int:
-    return ((1 << block[1]) - 1) << block[0]
-
-
-def _first_common(x: Column) -> Column:
-    """Number of the first block pair in which two fingerprints of exclusive-or ``x`` agree."""
-    out = F.lit(None).cast("int")
-    for k, pair in reversed(list(enumerate(combinations(BLOCKS, 2)))):
-        out = F.when(x.bitwiseAND(F.lit(_signed(_mask(pair[0]) | _mask(pair[1])))) == 0, F.lit(k)).otherwise(out)
-    return out
-
-
-def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints within ``radius`` bits that are in different groups.
-
-    ``fps`` has distinct ``fp`` and ``grp``: fingerprints already known to be connected share a group.
+def blocks_for(n: int, radius: int = RADIUS) -> tuple[list[tuple[int, int]], int]:
+    """(start bit, width) of the blocks that fingerprints are cut into, and how many of them a key holds: so many that unrelated fingerprints
+    of a table of ``n`` hardly share a key. At most ``radius`` blocks differ, so the others agree."""
+    for parts in range(radius + 2, 2 * radius + 1):
+        edges = [64 * k // parts for k in range(parts + 1)]
+        width = min(edges[k + 1] - edges[k] for k in range(parts)) * (parts - radius)
+        if n >> width <= 16:
+            break
+    return [(lo, hi - lo) for lo, hi in zip(edges, edges[1:], strict=False)], parts - radius
+
+
+def _spanning(radius: int):
+    """Compares the fingerprints of whole groups (k, v, x, y) and gives out (a, b) that connect the groups whose members are near. The pivot
+    tables discard, the bits of what is left decide."""
+    refs = np.array(pivots(), np.uint64)
+
+    def work(pdf: pd.DataFrame) -> pd.DataFrame:
+        fp = pdf.fp.to_numpy().view(np.uint64)
+        table_ = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int8)
+        names, code = np.unique(pdf.grp.to_numpy(), return_inverse=True)
+        label = np.arange(len(names))
+        key = [pdf[c].to_numpy() for c in ("k", "v", "x", "y")]
+        new = np.ones(len(pdf), bool)
+        new[1:] = np.any([c[1:] != c[:-1] for c in key], axis=0)
+        stop = np.searchsorted(np.cumsum(new), np.cumsum(new), "right")
+        mine, one_block = pdf.r.to_numpy(), key[2] == key[3]
+        many = stop - np.arange(len(pdf)) - 1  # each row's partners: those after it in its group
+        ends, at, near = np.cumsum(many), 0, []
+        while at < len(pdf):
+            upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + _PAIRS, "right")))
+            m = many[at:upto]
+            a = np.repeat(np.arange(at, upto), m)
+            b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(m) - m, m)
+            at = upto
+            keep = (code[a] != code[b]) & (one_block[a] | (mine[a] != mine[b]))
+            a, b = a[keep], b[keep]
+            keep = np.abs(table_[a] - table_[b]).max(1, initial=0) <= radius
+            a, b = a[keep], b[keep]
+            keep = np.bitwise_count(fp[a] ^ fp[b]) <= radius
+            a, b = code[a[keep]], code[b[keep]]
+            keep = label[a] != label[b]  # what is connected needs no further link
+            if keep.any():
+                near.append(np.stack([a[keep], b[keep]]))
+                x, y = near[-1]
+                while (label[x] != label[y]).any():
+                    least = np.minimum(label[x], label[y])
+                    np.minimum.at(label, label[x], least)
+                    np.minimum.at(label, label[y], least)
+                    label = label[label]
+        while (label != label[label]).any():
+            label = label[label]
+        moved = np.flatnonzero(label != np.arange(len(names)))
+        return pd.DataFrame({"a": names[label[moved]], "b": names[moved]})
+
+    return work
+
+
+def links(fps: DataFrame, radius: int = RADIUS, block: int = 1024) -> DataFrame:
+    """(a, b): links that connect the groups of fingerprints within ``radius`` bits, a spanning set for each batch of buckets.
+
+    ``fps`` has distinct ``fp`` and ``grp``: fingerprints already known to be connected share a group. Fingerprints that agree in enough whole blocks
+    meet in a bucket; a bucket inside one group is left out, and one of more than ``block`` rows is dealt to pairs of blocks, which
+    are compared inside tasks.
     """
-    keyed = fps.select("fp", "grp", F.struct(*pivot_table(F.col("fp"))).alias("t"))
-    keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(_signed(_mask(a) | _mask(b)))).alias("v")) for k, (a, b) in enumerate(combinations(BLOCKS, 2))))
-    keyed = keyed.select("fp", "grp", "t", F.explode(keys).alias("key")).select("fp", "grp", "t", "key.k", "key.v")
-    a, b = keyed.alias("a"), keyed.alias("b")
-    far = F.greatest(*(F.abs(F.col(f"a.t.d{i}") - F.col(f"b.t.d{i}")) for i in range(N_PIVOTS)))
-    x = F.col("a.fp").bitwiseXOR(F.col("b.fp"))
-    close = (F.col("a.fp") < F.col("b.fp")) & (F.col("a.grp") != F.col("b.grp")) & (far <= radius) & (F.bit_count(x) <= radius) & (_first_common(x) == F.col("a.k"))
-    met = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.v") == F.col("b.v")) & close)
-    return met.select(F.col("a.grp").alias("a"), F.col("b.grp").alias("b"))
+    blocks, held = blocks_for(fps.count(), radius)
+    mask = lambda parts: _signed(sum(((1 << width) - 1) << at for at, width in parts))
+    keys = F.array(*(F.struct(F.lit(k).alias("k"), F.col("fp").bitwiseAND(F.lit(mask(parts))).alias("v")) for k, parts in enumerate(combinations(blocks, held))))
+    keyed = fps.select("fp", "grp", F.explode(keys).alias("key")).select("fp", "grp", "key.k", "key.v")
+    open_ = keyed.groupBy("k", "v").agg(F.count("*").alias("m"), F.min("grp").alias("lo"), F.max("grp").alias("hi")).filter("lo <> hi")
+    open_ = materialise(open_.select(F.col("k").alias("_k"), F.col("v").alias("_v"), F.ceil(F.col("m") / block).cast("int").alias("blocks"), F.xxhash64("k", "v").alias("_h")), "open-buckets")
+    met = (F.col("k") == F.col("_k")) & (F.col("v") == F.col("_v"))
+    some = in_bitmap(keyed.withColumn("_slot", F.xxhash64("k", "v")), "_slot", bitmap(open_, "_h")).drop("_slot")
+    dealt = some.join(open_, met).withColumn("r", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumns({"x": F.least("r", "o"), "y": F.greatest("r", "o")})
+    by = ["k", "v", "x", "y"]
+    rows = dealt.select(*by, "r", "fp", "grp").repartition(*by).sortWithinPartitions(*by)
+    return rows.mapInPandas(in_groups(by, lambda: _spanning(radius)), "a long, b long")
 
 
 def _contracted(fps: DataFrame) -> DataFrame:

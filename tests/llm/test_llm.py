@@ -428,6 +428,26 @@ def test_links_are_complete_in_a_dense_cluster(spark):
     assert got == {f: find(i) for i, f in rows}
 
 
+def test_links_span_a_dense_cluster(spark):
+    """Two of forty bits flipped: no two differ in one bit, and all pairs are links. A link a fingerprint comes out of each task."""
+    base = 0x0123456789ABCDEF
+    fps = sorted(simhash._signed(base ^ (1 << i) ^ (1 << j)) for i in range(40) for j in range(i))
+    df = spark.createDataFrame([(f, f) for f in fps], "fp long, grp long").repartition(3)
+    for block in (1024, 100):
+        found = simhash.links(df, block=block)
+        edges = found.collect()
+        assert len(set(edges)) <= (len(fps) - 1) * found.rdd.getNumPartitions() * (1 if block > 780 else 4)
+        roots = components.components(found.distinct())
+        assert roots.count() == len(fps) and roots.select("root").distinct().count() == 1
+
+
+def test_keys_widen_with_the_number_of_fingerprints():
+    assert [simhash.blocks_for(n)[1] for n in (10, 10**6, 10**9, 10**12)] == [2, 2, 3, 4]
+    for n in (10, 10**9, 10**12):
+        blocks, held = simhash.blocks_for(n)
+        assert sum(w for _, w in blocks) == 64 and len(blocks) - held == 4
+
+
 def test_near_copies_of_high_similarity_are_grouped(spark):
     base = prose(300, 40).split()
     rows = [(0, " ".join(base))]
