@@ -195,6 +195,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = RADIUS) ->
 _ODD = [xxhash.xxh64_intdigest(i.to_bytes(8, "little"), 11) | 1 for i in range(128)]
 LANES, BANDS, ROWS = 4, 16, 4
 WIDE_RADIUS = 64  # of 256 bits: only discards, see similar_groups
+SMALL = 16  # sets of fewer shingles have too few votes in a bit for the radius: only their sizes discard
 BLOCK = 1024  # rows of one band key that a task compares with as many others
 _PAIRS = 1 << 17  # pairs looked at at once
 
@@ -295,9 +296,10 @@ class _Near:
             same_block = pdf.x.to_numpy()[a] == pdf.y.to_numpy()[a]
             keep = (grp[a] != grp[b]) & (same_block | (mine[a] != mine[b])) & (5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b]))
             a, b = a[keep], b[keep]
-            keep = np.abs(pivots_[a] - pivots_[b]).max(1, initial=0) <= self.radius
-            a, b = a[keep], b[keep]
-            keep = np.bitwise_count(f[a] ^ f[b]).sum(1) <= self.radius
+            small = np.minimum(n[a], n[b]) < SMALL
+            keep = small | (np.abs(pivots_[a] - pivots_[b]).max(1, initial=0) <= self.radius)
+            a, b, small = a[keep], b[keep], small[keep]
+            keep = small | (np.bitwise_count(f[a] ^ f[b]).sum(1) <= self.radius)
             a, b = a[keep], b[keep]
             keep = (keys[a] == keys[b]).argmax(1) == band[a]  # the first band in which they meet
             yield a[keep], b[keep]
@@ -352,7 +354,7 @@ def _grouped(docs: DataFrame, shingle: int, radius: int, block: int = BLOCK) ->
     hub = materialise(hub.select(F.col("band").alias("_band"), F.col("key").alias("_key"), F.col("hub").alias("_hub")), "hubs")
     apart = sum((F.bit_count(F.col(f).bitwiseXOR(F.col(f"_hub.{f}"))) for f in fs[1:]), F.bit_count(F.col("f0").bitwiseXOR(F.col("_hub.f0"))))
     sizes = 5 * F.least("n", "_hub.n") >= 4 * F.greatest("n", "_hub.n")  # else the sets can't reach 0.8
-    met = (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")) & (F.col("same") != F.col("_hub.same")) & sizes & (apart <= radius)
+    met = (F.col("band") == F.col("_band")) & (F.col("key") == F.col("_key")) & (F.col("same") != F.col("_hub.same")) & sizes & ((apart <= radius) | (F.least("n", "_hub.n") < SMALL))
     stars = materialise(banded.join(hub, met).select("same", F.col("_hub.same").alias("hub")).distinct(), "stars")
     sets = _with_sets(stars.select("same").union(stars.select("hub")), classes, docs, shingle)
     side = lambda x, to: sets.select(F.col("_same").alias(f"_{x}"), F.col("s").alias(to))
@@ -394,8 +396,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, radius: int = WIDE_RADIUS,
 
     Pairs meet under bands of least shingle hashes (16 bands of 4: similarity 0.8 meets with probability 0.9998).
     Sizes, pivot tables and four lanes of majority bits (256) over the distinct shingles discard: sets of Jaccard
-    similarity 0.8 differ in at most 39 bits on average (48 in sets of five), with a standard deviation of six, so
-    the radius keeps them. What is left is decided by the Jaccard similarity of the shingle hashes itself. Texts of
+    similarity 0.8 differ in at most 39 bits on average, with a standard deviation of six, so the radius keeps them; sets of fewer
+    than ``SMALL`` shingles are discarded by their sizes alone. What is left is decided by the Jaccard similarity of the shingle hashes itself. Texts of
     equal words are one row. A dense group is connected by its buckets' stars first. What these leave in different
     groups is compared inside tasks: a bucket of more than ``block`` rows is dealt to pairs of blocks, and a block
     gives out a spanning set of its links, so nothing that Spark moves grows with the number of pairs.

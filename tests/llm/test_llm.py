@@ -481,6 +481,33 @@ def test_near_copies_are_decided_by_their_shingle_similarity(spark):
     assert {k: got[k] for k in want} == want
 
 
+def test_recall_of_planted_copies_by_size(spark):
+    """Pairs at a shingle similarity of 0.8 and a little more, of texts from nine words on: found by size class, with what is lost stated."""
+    r, rows, want = random.Random(12), [], {}
+    for size in (9, 12, 20, 60, 300):
+        for k in range(60):
+            base = [f"{r.choice(WORDS)}{size}x{k}x{i}" for i in range(size)]
+            own = list(base)
+            shingles = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+            for i in [size - 1 - j for j in range(size)]:  # words change from the end on as long as 0.8 holds
+                changed = [*own[:i], "other" + own[i], *own[i + 1 :]]
+                a, b = shingles(base), shingles(changed)
+                if len(a & b) < 0.8 * len(a | b):
+                    break
+                own = changed
+            if own == base:
+                own = [*base, "more"]  # one shingle more: n / (n + 1)
+            a, b = shingles(base), shingles(own)
+            assert len(a & b) >= 0.8 * len(a | b)
+            at = len(rows)
+            rows += [(at, " ".join(base)), (at + 1, " ".join(own))]
+            want.setdefault(size, []).append(at)
+    found = {x.doc_id: x.component for x in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    recall = {size: sum(found[at] == found[at + 1] for at in ids) / len(ids) for size, ids in want.items()}
+    assert all(x >= 0.98 for x in recall.values()), recall
+    assert len({c for c in found.values()}) >= len(rows) // 2  # and no pair meets another one
+
+
 @pytest.mark.parametrize("block", [3, 1024])
 def test_dense_groups_below_and_above_the_bound_are_whole(spark, block):
     """Copies of one text with a random tenth of it replaced: pairs lie on both sides of 0.8, and no row is like all others."""
