@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,7 +11,7 @@ from pyspark.sql.window import Window
 from .. import model
 from ..functions import vectors as V
 from ..functions.numbering import numbered
-from ..functions.vector_sums import vector_means, vector_sums
+from ..functions.vector_sums import as_lists, as_matrix, vector_means, vector_sums
 from .attribution import project
 
 
@@ -128,6 +130,34 @@ def last_layer_gradient(hidden: Column, p: Column, y: Column) -> Column:
     return V.scale(hidden, p - y)
 
 
+def mlp_gradients(df: DataFrame, x: str, y: str, w1: list[list[float]], b1: list[float], w2: list[float], b2: float, name: str = "g") -> DataFrame:
+    """``df`` with the gradient of each row's log loss under a network of one hidden layer (relu(x W1 + b1) w2 + b2, through a sigmoid): the cells of
+    W1 by row, b1, w2 and b2 in one vector. One pass of matrix products for each Arrow batch."""
+    first, shift, last = np.asarray(w1, float), np.asarray(b1, float), np.asarray(w2, float)
+
+    @F.arrow_udf("array<double>")
+    def gradient(v: pa.Array, t: pa.Array) -> pa.Array:
+        rows = as_matrix(v, len(first))
+        h = np.maximum(rows @ first + shift, 0.0)
+        error = 1.0 / (1.0 + np.exp(-np.clip(h @ last + b2, -500.0, 500.0))) - t.to_numpy(zero_copy_only=False)
+        down = error[:, None] * last * (h > 0)
+        cells = (rows[:, :, None] * down[:, None, :]).reshape(len(rows), -1)
+        return as_lists(np.hstack([cells, down, error[:, None] * h, error[:, None]]))
+
+    return df.withColumn(name, gradient(F.col(x).cast("array<double>"), F.col(y).cast("double")))
+
+
+def mlp_descent(df: DataFrame, x: str, y: str, weights: tuple, steps: int, rate: float) -> tuple:
+    """Full-batch steps of that network; each sends one mean gradient to the driver. ``weights`` is (w1, b1, w2, b2)."""
+    for _ in range(steps):
+        w1, b1, w2, b2 = (np.asarray(w, float) for w in weights)
+        g = np.array(vector_means(mlp_gradients(df, x, y, w1, b1, w2, float(b2), "_g"), [], "_g").first()["mean"])
+        n, k = w1.shape
+        cut = np.split(g, [n * k, n * k + k, n * k + 2 * k])
+        weights = (w1 - rate * cut[0].reshape(n, k), b1 - rate * cut[1], w2 - rate * cut[2], float(b2 - rate * cut[3][0]))
+    return weights
+
+
 def hidden_layer(x: Column, weights: list[list[float]], bias: list[float]) -> Column:
     """tanh(W x + b) with a small, fixed W."""
     rows = F.array(*(F.array(*map(F.lit, r)) for r in weights))

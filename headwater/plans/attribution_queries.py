@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
+from ..functions.vector_sums import vector_means
 from ..operators import attribution as A
 from ..operators import gradients as G
 from ..operators import unlearning as U
@@ -279,6 +280,20 @@ def logistic_gradients(spark, sf_dir):
     return f.groupBy("l_orderkey").agg(F.count("*").alias("n"), *(r6(F.sum(F.col("g")[i]), f"g{i}") for i in range(3)), r6(F.sum("m"), "margin"))
 
 
+_W1, _B1, _W2, _B2 = [[0.5, -0.25], [-1.0, 0.75], [0.25, 1.5]], [0.10371, -0.20113], [1.0, -0.5], 0.05
+_HID = ", ".join(f"greatest(0, {' + '.join(f'x[{i + 1}]*({_W1[i][j]})' for i in range(3))} + ({_B1[j]})) AS h{j}" for j in range(2))
+_CELLS = [f"avg(x[{i + 1}]*e*({_W2[j]})*(h{j} > 0)::INTEGER)" for i in range(3) for j in range(2)] + [f"avg(e*({_W2[j]})*(h{j} > 0)::INTEGER)" for j in range(2)] + [f"avg(e*h{j})" for j in range(2)] + ["avg(e)"]
+
+
+@query(f"""WITH {_X}, h AS (SELECT *, {_HID} FROM z), s AS (SELECT *, 1.0/(1.0 + exp(-(h0*({_W2[0]}) + h1*({_W2[1]}) + {_B2}))) - y AS e FROM h), g AS (SELECT l_linenumber, {", ".join(f"{c} AS c{k}" for k, c in enumerate(_CELLS))} FROM s GROUP BY 1)
+SELECT l_linenumber AS batch, unnest([{", ".join(map(str, range(len(_CELLS))))}])::INTEGER AS i, round(unnest([{", ".join(f"c{k}" for k in range(len(_CELLS)))}]), 6) + 0.0 AS value FROM g""")
+def mlp_batch_gradients(spark, sf_dir):
+    """Mean gradient of a network with a hidden layer for each batch (here: line number), all of its weights."""
+    g = G.mlp_gradients(_features(spark, sf_dir), "x", "y", _W1, _B1, _W2, _B2)
+    means = vector_means(g, ["l_linenumber"], "g")
+    return means.select(F.col("l_linenumber").alias("batch"), F.posexplode("mean").alias("i", "value")).select("batch", "i", r6("value"))
+
+
 @query()
 def logistic_descent(spark, sf_dir):
     """Three full-batch steps; SQL has no loop, so the driver's weights are checked against NumPy in the tests."""

@@ -118,10 +118,12 @@ def ancestors_compressed(spark, sf_dir):
     return graph.ancestors_compressed(rest, ranges, ranges.select(F.col("output_node_id").alias("start")))
 
 
-@query("WITH s AS (SELECT b, m, n, k FROM (VALUES (1,100,100,100), (1,1000,1000,1000), (8,512,512,64), (4,2048,2048,128)) t(b, m, n, k)) SELECT b::BIGINT AS b, m::BIGINT AS m, n::BIGINT AS n, k::BIGINT AS k, b::BIGINT*m*n*k AS cell_edges, 24*b::BIGINT*m*n*k AS cell_bytes, b::BIGINT*m AS descriptors, 56*b::BIGINT*m AS descriptor_bytes, (b::BIGINT*m*n*k)/(b*m)::DOUBLE AS ratio FROM s")
+@query("WITH s AS (SELECT 1 + o_custkey % 8 AS b, count(*) AS m, 64 + o_custkey % 64 AS n, 1 + max(o_orderkey) % 32 AS k FROM orders GROUP BY o_custkey) SELECT b::BIGINT AS b, m::BIGINT AS m, n::BIGINT AS n, k::BIGINT AS k, b::BIGINT*m*n*k AS cell_edges, 24*b::BIGINT*m*n*k AS cell_bytes, b::BIGINT*m AS descriptors, 56*b::BIGINT*m AS descriptor_bytes, (b::BIGINT*m*n*k)/(b*m)::DOUBLE AS ratio FROM s")
 def compression_model(spark, sf_dir):
-    shapes = spark.createDataFrame([(1, 100, 100, 100), (1, 1000, 1000, 1000), (8, 512, 512, 64), (4, 2048, 2048, 128)], "b long, m long, n long, k long")
-    return graph.compression_model(shapes)
+    """A product for each customer, with a row for each of its orders."""
+    key = F.col("o_custkey")
+    shapes = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count("*").alias("m"), (1 + F.max("o_orderkey") % 32).alias("k"))
+    return graph.compression_model(shapes.select((1 + key % 8).alias("b"), "m", (64 + key % 64).alias("n"), "k"))
 
 
 @query(f"""WITH RECURSIVE {ADJ}, {UP}, p AS (SELECT start, node FROM up UNION SELECT DISTINCT start, start FROM up)

@@ -107,10 +107,12 @@ def overhead_quartiles(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy("event_type").agg(q(0.25, "q1"), q(0.5, "q2"), q(0.75, "q3"))
 
 
-@query("SELECT n::BIGINT AS n, k::BIGINT AS k, n::BIGINT*k*4 AS bytes FROM unnest([1000, 100000, 1000000]) a(n), unnest([64, 512, 4096]) b(k)")
+@query("SELECT event_type, n, k::BIGINT AS k, n * k * 4 AS bytes FROM (SELECT event_type, count(*) AS n FROM events GROUP BY 1), unnest([64, 512, 4096]) b(k)")
 def memory_scaling(spark, sf_dir):
-    n = spark.createDataFrame([(1000,), (100000,), (1000000,)], "n long")
-    return n.join(spark.createDataFrame([(64,), (512,), (4096,)], "k long")).select("n", "k", (F.col("n") * F.col("k") * 4).alias("bytes"))
+    """What the gradients of each kind of event take at three widths."""
+    n = table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    wide = n.withColumn("k", F.explode(F.array(*(F.lit(k).cast("long") for k in (64, 512, 4096)))))
+    return wide.select("event_type", "n", "k", (F.col("n") * F.col("k") * 4).alias("bytes"))
 
 
 @query("WITH v AS (SELECT user_id % 10 AS u, count(*) AS n, avg(value) AS m FROM events GROUP BY 1) SELECT u AS seed, CASE WHEN m > 60 THEN 'ABOVE' WHEN m < 40 THEN 'BELOW' ELSE 'OVERLAP' END AS verdict FROM v")
@@ -129,13 +131,14 @@ def ols_cost_model(spark, sf_dir):
     return t.groupBy("plan").agg(r6(F.regr_intercept("y", "x"), "a"), r6(F.regr_slope("y", "x"), "b"), r6(F.sqrt(F.avg(F.pow(F.col("y") - 2.5 - 0.01 * F.col("x"), F.lit(2)))), "rmse"))
 
 
-_CROSS = [(1000, 1.2, 2.0), (10000, 12.0, 13.0), (100000, 128.0, 92.0), (500000, 508.0, 545.0), (1000000, 1104.0, 1200.0)]
-
-
-@query(f"""WITH t AS (SELECT * FROM (VALUES {", ".join(map(str, _CROSS))}) v(n, a, b)), w AS (SELECT n, a - b AS d, lead(n) OVER (ORDER BY n) AS n2, lead(a - b) OVER (ORDER BY n) AS d2 FROM t)
+@query("""WITH m AS (SELECT date_trunc('month', o_orderdate) AS mo, count(*) AS c, avg(o_totalprice) AS a FROM orders GROUP BY 1),
+t AS (SELECT sum(c) OVER (ORDER BY mo)::DOUBLE AS n, a - (SELECT avg(o_totalprice) FROM orders) AS d FROM m), w AS (SELECT n, d, lead(n) OVER (ORDER BY n) AS n2, lead(d) OVER (ORDER BY n) AS d2 FROM t)
 SELECT round(power(10, log10(n) + (log10(n2) - log10(n)) * d / (d - d2)), 4) AS crossover FROM w WHERE d * d2 < 0""")
 def crossover(spark, sf_dir):
-    t = spark.createDataFrame(_CROSS, "n long, a double, b double").withColumn("d", F.col("a") - F.col("b"))
+    """At how many orders the mean price of a month passes that of all, between months on a logarithmic line; the windows run over months."""
+    o = table(spark, sf_dir, "orders")
+    m = o.groupBy(F.date_trunc("month", "o_orderdate").alias("mo")).agg(F.count("*").alias("c"), F.avg("o_totalprice").alias("a"))
+    t = m.select(F.sum("c").over(Window.orderBy("mo")).cast("double").alias("n"), (F.col("a") - o.agg(F.avg("o_totalprice")).scalar()).alias("d"))
     w = Window.orderBy("n")
     t = t.withColumns({"n2": F.lead("n").over(w), "d2": F.lead("d").over(w)}).filter("d * d2 < 0")
     at = F.log10("n") + (F.log10("n2") - F.log10("n")) * F.col("d") / (F.col("d") - F.col("d2"))
@@ -170,12 +173,13 @@ def kfac_whitened(spark, sf_dir):
     return sketch.whiten(sketch.sample_gradients(f), sketch.covariances(f)).select("sample_index", "module", "o", "i", r6("value"))
 
 
-_NAMES = [f"model.h.{i}.{k}" for i in range(6) for k in ("attn.q_lora", "mlp.up_lora", "norm")] + ["head_lora"]
-
-
-@query(f"WITH m AS (SELECT unnest({_NAMES}) AS name), f AS (SELECT name, nullif(regexp_extract(name, '(?:^|\\.)(?:h|layers|blocks)\\.(\\d+)\\.', 1), '')::BIGINT AS block FROM m WHERE contains(name, 'lora')) SELECT name, block FROM f WHERE block IS NULL OR block IN (SELECT DISTINCT block FROM f WHERE block IS NOT NULL ORDER BY block DESC LIMIT 2)")
+@query(r"""WITH m AS (SELECT DISTINCT CASE WHEN l_linenumber = 7 THEN 'head_lora' ELSE 'model.h.' || (l_suppkey % 12) || CASE WHEN l_linenumber % 3 = 0 THEN '.attn.q_lora' WHEN l_linenumber % 3 = 1 THEN '.mlp.up_lora' ELSE '.norm' END END AS name FROM lineitem),
+f AS (SELECT name, nullif(regexp_extract(name, '(?:^|\.)(?:h|layers|blocks)\.(\d+)\.', 1), '')::BIGINT AS block FROM m WHERE contains(name, 'lora')) SELECT name, block FROM f WHERE block IS NULL OR block IN (SELECT DISTINCT block FROM f WHERE block IS NOT NULL ORDER BY block DESC LIMIT 2)""")
 def module_select(spark, sf_dir):
-    return sketch.select_modules(spark.createDataFrame([(n,) for n in _NAMES], "name string"), ["lora"], 2).select("name", "block")
+    """Modules by the names that the rows of a log give them (here: made of suppliers and line numbers)."""
+    kind = F.when(F.col("l_linenumber") % 3 == 0, ".attn.q_lora").when(F.col("l_linenumber") % 3 == 1, ".mlp.up_lora").otherwise(".norm")
+    name = F.when(F.col("l_linenumber") == 7, "head_lora").otherwise(F.concat(F.lit("model.h."), F.col("l_suppkey") % 12, kind))
+    return sketch.select_modules(table(spark, sf_dir, "lineitem").select(name.alias("name")).distinct(), ["lora"], 2).select("name", "block")
 
 
 @query(f"WITH {_FACT} SELECT m.name AS module, count(DISTINCT sample_index) AS n FROM (SELECT unnest(['h.0.attn', 'h.1.mlp', 'h.2.dead']) AS name) m LEFT JOIN f ON f.module = m.name GROUP BY 1")

@@ -126,3 +126,30 @@ def test_scores_by_source_under_own_matrices(spark, bound, monkeypatch):
         np.testing.assert_allclose([got[k, f"s{s}"] for k in range(9)], want)
     means = {(r.query_id, r.source): r["mean"] for r in attribution.source_means(table(spark, x), asked(spark, q)).collect()}
     np.testing.assert_allclose([means[k, "s1"] for k in range(9)], q @ x[1::3].mean(0))
+
+
+def test_two_layer_gradients_and_descent(spark):
+    from headwater.operators import gradients
+
+    x, y = rng.normal(size=(60, 3)), rng.integers(0, 2, 60)
+    w1, b1, w2, b2 = rng.normal(size=(3, 4)), rng.normal(size=4), rng.normal(size=4), 0.3
+    df = spark.createDataFrame([(i, v.tolist(), int(t)) for i, (v, t) in enumerate(zip(x, y, strict=True))], "i long, x array<double>, y int").repartition(3)
+
+    def loss(flat, v, t):
+        a, b, c, d = flat[:12].reshape(3, 4), flat[12:16], flat[16:20], flat[20]
+        z = np.maximum(v @ a + b, 0) @ c + d
+        return np.logaddexp(0, z) - t * z
+
+    flat = np.concatenate([w1.ravel(), b1, w2, [b2]])
+    got = {r.i: r.g for r in gradients.mlp_gradients(df, "x", "y", w1.tolist(), b1.tolist(), w2.tolist(), b2).collect()}
+    for i in range(0, 60, 7):  # finite differences
+        want = [(loss(flat + e, x[i], y[i]) - loss(flat - e, x[i], y[i])) / 2e-6 for e in 1e-6 * np.eye(21)]
+        np.testing.assert_allclose(got[i], want, atol=1e-5)
+    moved = gradients.mlp_descent(df, "x", "y", (w1, b1, w2, b2), 3, 0.1)
+    for _ in range(3):
+        h = np.maximum(x @ w1 + b1, 0)
+        e = (1 / (1 + np.exp(-(h @ w2 + b2))) - y) / len(x)
+        down = np.outer(e, w2) * (h > 0)
+        w1, b1, w2, b2 = w1 - 0.1 * x.T @ down, b1 - 0.1 * down.sum(0), w2 - 0.1 * h.T @ e, b2 - 0.1 * e.sum()
+    for a, b in zip(moved, (w1, b1, w2, b2), strict=True):
+        np.testing.assert_allclose(a, b)
