@@ -162,7 +162,7 @@ def occurrences(docs: DataFrame, bits: np.ndarray, mask: int, hot: frozenset[tup
             by_task = np.argsort(task, kind="stable")
             ends = np.flatnonzero(np.diff(task[by_task], append=-1)) + 1
             rows = []
-            for begin, end in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
+            for begin, end in zip(np.append(0, ends)[:-1].tolist(), ends.tolist(), strict=True):
                 own = by_task[begin:end]
                 kinds, local = np.unique(np.stack([p[own] for p in parts]), return_inverse=True)
                 local = local.reshape(LONGEST, -1) - (kinds[0] < 0)

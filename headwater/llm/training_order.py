@@ -17,9 +17,11 @@ empty table gives an empty table; extra columns are not touched, whatever their
 from __future__ import annotations
 
 import base64
+import re
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,6 +34,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 END = 50256
 ROUNDS = 6
+_RUN = 50_000
+_PIECES, _LONG_RUN = regex.compile(PATTERN), re.compile(rf"\s{{{_RUN}}}")
 _encoders: dict = {}
 
 
@@ -44,6 +48,14 @@ def _encoder(vocabulary: bytes):
     return _encoders[vocabulary]
 
 
+def encode(encoder, text: str) -> list[int]:
+    """The ids of a text. The encoder's own splitter recurses over runs of white space, so a text with a run that would be too much for its stack
+    is split by the same pattern elsewhere."""
+    if len(text) >= _RUN and _LONG_RUN.search(text):
+        return [i for piece in _PIECES.findall(text) for i in encoder._encode_single_piece(piece.encode())]
+    return encoder.encode_ordinary(text)
+
+
 def _mix(x: np.ndarray, key: int) -> np.ndarray:
     x = (x ^ np.uint64(key & (2**64 - 1))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -88,11 +100,11 @@ def tokenise(docs: DataFrame, seq_len: int, vocabulary: str = VOCABULARY) -> Dat
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())  # a vocabulary file: about half a megabyte
 
     def run(batches):
-        encode, part, first = _encoder(ranks.value).encode_ordinary, TaskContext.get().partitionId(), 0
+        encoder, part, first = _encoder(ranks.value), TaskContext.get().partitionId(), 0
         for pdf in batches:
             rows = []
             for doc_id, text in zip(pdf.doc_id, pdf.text, strict=True):
-                ids = np.array(encode(text) if text else [], np.uint16)
+                ids = np.array(encode(encoder, text) if text else [], np.uint16)
                 n = -(-(len(ids) + 1) // seq_len) if len(ids) else 0
                 rows.append((doc_id, part, first, n, ids.tobytes()))
                 first += n

@@ -6,7 +6,7 @@ import time
 
 import pytest
 
-from headwater.llm import chat, secrets, url_filter
+from headwater.llm import chat, registry, secrets, training_order, url_filter
 
 
 def timed(make) -> tuple[float, list]:
@@ -58,3 +58,67 @@ def test_a_conversation_of_many_turns(spark):
     took, (row,) = timed(lambda: chat.format_conversations(rows).collect())
     assert len(row.loss) == 10_000 and took < 30
     assert [row.formatted[s.start : s.end] for s in row.loss] == [f"t{i}" for i in range(1, 20_000, 2)]
+
+
+ONE_MB = 1_000_000
+LONG = [
+    (0, "lorem ipsum dolor sit amet " * (ONE_MB // 27)), (1, "q" * ONE_MB), (2, "\n" * ONE_MB), (3, "line of words\n" * (ONE_MB // 14)),
+    (4, "".join(f"w{i} " for i in range(ONE_MB // 8))), (5, "é😀. " * (ONE_MB // 4)), (6, "short and clean"),
+]
+
+
+@pytest.fixture(scope="module")
+def long_tables(spark, tmp_path_factory):
+    d = str(tmp_path_factory.mktemp("long"))
+    rows = [(i, t, "en", "s", len(t)) for i, t in LONG]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{d}/documents.parquet")
+    items = [(0, "lorem ipsum dolor sit amet lorem ipsum dolor"), (1, "no such words are in any text here at all")]
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([(i, 0, "assistant", t) for i, t in LONG], "conv_id long, turn long, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    spark.createDataFrame([(i, f"http://a.com/{i}", t) for i, t in LONG], "page_id long, url string, html string").write.parquet(f"{d}/pages.parquet")
+    return d
+
+
+@pytest.mark.parametrize("name", sorted(q for q in registry.queries() if not q.startswith("op12")))
+def test_megabyte_texts_go_through(spark, long_tables, name):
+    took, rows = timed(lambda: registry.queries()[name](spark, long_tables).collect())
+    assert took < 120
+    if name.startswith(("op1_", "op3", "op4", "op6", "op7", "op8", "op10")):
+        key = "page_id" if name.startswith("op8") else "doc_id"
+        assert sorted({r[key] for r in rows}) == list(range(len(LONG)))
+    if name.startswith("op9"):
+        assert {(r.doc_id, r.item_id) for r in rows} == {(0, 0)}
+    if name.startswith("op11"):
+        assert sum(r.length for r in rows if r.doc_id == 2) == 1 and {r.doc_id for r in rows} == set(range(len(LONG)))
+
+
+def test_stages_take_empty_tables_and_clashing_columns(spark):
+    import corpus_pipeline
+
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, same long, fp long, taken long, hits string, kept boolean"
+    docs = spark.createDataFrame([], schema)
+    benchmark = spark.createDataFrame([], "item_id long, text string")
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "decontamination":
+            from headwater.llm import decontaminate
+
+            assert decontaminate.clean(docs, benchmark).count() == 0
+        else:
+            assert stage(spark, docs, "").count() == 0
+
+
+def test_clashing_columns_of_versions(spark):
+    rows = [("p", 1, "password=hunter22secret"), ("q", 1, "clean")]
+    plain = spark.createDataFrame(rows, "path string, version int, content string")
+    odd = spark.createDataFrame([(*r, b"x", "s", 3, "h") for r in rows], "path string, version int, content string, blob binary, spans string, _version int, _blob string")
+    found = lambda df: sorted((tuple(r) for r in secrets.by_path(df, secrets.scan_unseen(df)).select("path", "spans").collect()), key=str)
+    assert found(odd) == found(plain) and len(found(odd)[0][1]) == 1
+
+
+def test_long_runs_have_the_ids_of_short_ones(monkeypatch):
+    encoder = training_order._encoder(open(training_order.VOCABULARY, "rb").read())
+    texts = ["a b\n\n  c", " \t\n x", "x   ", "don't  stop\n\n\n", "é😀  z", "　 y", "1234 ...  q"]
+    want = [encoder.encode_ordinary(t) for t in texts]
+    monkeypatch.setattr(training_order, "_RUN", 0)
+    monkeypatch.setattr(training_order, "_LONG_RUN", training_order.re.compile(""))
+    assert [training_order.encode(encoder, t) for t in texts] == want
