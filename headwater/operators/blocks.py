@@ -18,6 +18,7 @@ from ..scratch import delete, stored, stored_at
 #: Query blocks are broadcast up to this size; beyond it they meet the rows in a shuffle.
 MAX_QUERY_BYTES = 64 << 20
 PACK_BYTES = 4 << 20
+SCORES = 1 << 18  # that a task holds at a time
 BLOCK = 1024
 
 
@@ -71,9 +72,11 @@ def block_scores(rows: DataFrame, queries: DataFrame, names: tuple[str, str] = (
             for k in range(batch.num_rows):
                 ids, samples, source = (col[n][k].values for n in ("query_id", *names))
                 x, u = (col[n][k].values.to_numpy().reshape(n_rows, -1) for n, n_rows in (("x", len(samples)), ("m", len(ids))))
-                s = x @ u.T
-                at = pa.array(np.repeat(np.arange(len(samples)), len(ids)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids.to_numpy(), len(samples))), samples.take(at), source.take(at), pa.array(s.ravel())], ["query_id", *names, "score"])
+                step = max(1, SCORES // len(ids))  # a product of two blocks is given out in parts
+                for lo in range(0, len(samples), step):
+                    s = x[lo : lo + step] @ u.T
+                    at = pa.array(np.repeat(np.arange(lo, lo + len(s)), len(ids)))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids.to_numpy(), len(s))), samples.take(at), source.take(at), pa.array(s.ravel())], ["query_id", *names, "score"])
 
     return met.mapInArrow(run, f"query_id long, {names[0]} long, {names[1]} string, score double")
 

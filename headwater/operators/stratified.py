@@ -19,7 +19,7 @@ from ..functions.ranks import quantiles
 from ..functions.statistics import correlation
 from ..functions.vector_sums import as_lists, as_matrix, vector_sums
 from ..scratch import stored
-from .blocks import few_blocks, paired
+from .blocks import SCORES, few_blocks, paired
 
 
 def predict(values: DataFrame) -> DataFrame:
@@ -153,7 +153,9 @@ def per_source_trak(gradients: DataFrame, queries: DataFrame, dim: int, factor:
             for k in range(batch.num_rows):
                 x, v = (batch.column(c)[k].values.to_numpy().reshape(-1, dim) for c in ("x", "v"))
                 ids = batch.column("query_id")[k].values
-                yield pa.RecordBatch.from_arrays([ids, pa.array([batch.column("source")[k].as_py()] * len(ids), pa.string()), pa.array(np.abs(x @ v.T).max(0))], ["query_id", "source", "value"])
+                step = max(1, SCORES // len(ids))
+                peak = np.max([np.abs(x[lo : lo + step] @ v.T).max(0) for lo in range(0, len(x), step)], axis=0)
+                yield pa.RecordBatch.from_arrays([ids, pa.array([batch.column("source")[k].as_py()] * len(ids), pa.string()), pa.array(peak)], ["query_id", "source", "value"])
 
     named = gradients.select("source_id", F.col("vec").cast("array<double>").alias("vec"))
     grams = vector_sums(named.mapInArrow(partial, "source string, g array<double>"), ["source"], "g")

@@ -107,6 +107,12 @@ def test_the_widest_default_stays_in_the_executors(spark):
     np.testing.assert_allclose(matrix(scores, 3, 40), inner[:3] @ np.linalg.inv(inner + shift * np.eye(40)), atol=1e-6)
 
 
+def test_products_are_given_out_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "SCORES", 20)
+    x, q = rng.normal(size=(37, 3)), rng.normal(size=(8, 3))
+    np.testing.assert_allclose(matrix(attribution.dot_scores(table(spark, x), asked(spark, q)), 8, 37), q @ x.T)
+
+
 def test_scores_before_projection_equal_scores_after(spark):
     x, q = rng.normal(size=(40, 12)), rng.normal(size=(4, 6))
     after = attribution.dot_scores(attribution.project(table(spark, x), 6, 12), asked(spark, q))
