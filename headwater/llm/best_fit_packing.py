@@ -157,9 +157,9 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = N
             for batch in batches:
                 sizes = np.cumsum(pc.binary_length(batch.column(1)).to_numpy()) // _SLICE
                 bounds = [0, *(np.flatnonzero(np.diff(sizes)) + 1).tolist(), batch.num_rows]
-                for begin, end in zip(bounds, bounds[1:], strict=False):
-                    if end > begin:
-                        rows = batch.slice(begin, end - begin)
+                for first, last in zip(bounds, bounds[1:], strict=False):
+                    if last > first:
+                        rows = batch.slice(first, last - first)
                         yield cut(rows.column(0).to_pylist(), rows.column(1).cast(pa.binary()).to_pylist())
         finally:
             encoder._forget()  # a worker that waits for its next task holds no words

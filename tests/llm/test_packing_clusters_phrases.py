@@ -108,6 +108,12 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert all((encoder.encode([prose(50, k).encode()])[0] == w).all() for k, w in enumerate(want)) and len(encoder.known) <= 100
 
 
+def test_every_document_ends_with_the_end_id(spark):
+    """Also those that share a slice of text with others."""
+    got = best_fit_packing.pieces(documents(spark, [(i, "of an", "en") for i in range(7)]).coalesce(1), 64, end=5, with_ids=True).collect()
+    assert [x.ids[-1] for x in got] == [5] * 7 and len({x.ids_crc32 for x in got}) == 1
+
+
 @pytest.mark.parametrize("layout", [1, 5])
 def test_packing(spark, layout):
     from tokenizers import Tokenizer
