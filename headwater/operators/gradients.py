@@ -12,6 +12,7 @@ from .. import model
 from ..functions import vectors as V
 from ..functions.numbering import numbered
 from ..functions.vector_sums import as_lists, as_matrix, vector_means, vector_sums
+from ..scratch import stored
 from .attribution import project
 
 
@@ -168,18 +169,29 @@ def hidden_layer(x: Column, weights: list[list[float]], bias: list[float]) -> Co
 def retrain_subsets(df: DataFrame, masks: DataFrame, dim: int, steps: int = 50, rate: float = 0.5) -> DataFrame:
     """(subset, weights): logistic regression on the samples of each subset by full-batch descent.
 
-    ``masks`` is (subset, sample_index). All subsets step together: each step is one aggregation over the joined
-    table by subset, so neither a subset nor its samples meet in one task.
+    ``masks`` is (subset, sample_index). The rows of each subset are joined once, in a shuffle, and written; all subsets step together,
+    and each step reads them once: a task gives one sum for each subset that it meets, and the driver gets one for each subset.
     """
-    joined = masks.join(df.select("sample_index", "x", "y"), "sample_index")
-    subsets = [r.subset for r in masks.select("subset").distinct().orderBy("subset").collect()]
-    weights = {s: [0.0] * dim for s in subsets}
-    spark = df.sparkSession
+    rows = masks.select("subset", "sample_index").hint("merge").join(df.select("sample_index", "x", "y"), "sample_index")  # a broadcast would pass the driver
+    rows = stored(rows.select("subset", F.col("x").cast("array<double>").alias("x"), F.col("y").cast("double").alias("y")), "subsets")
+    weights = {r.subset: np.zeros(dim) for r in masks.select("subset").distinct().orderBy("subset").collect()}
+
+    def partial(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, y = as_matrix(batch.column("x"), dim), batch.column("y").to_numpy(zero_copy_only=False)
+            names = batch.column("subset").dictionary_encode()
+            code = names.indices.to_numpy(zero_copy_only=False)
+            for k, subset in enumerate(names.dictionary.to_pylist()):
+                own = code == k
+                error = 1.0 / (1.0 + np.exp(-np.clip(x[own] @ weights[subset], -500.0, 500.0))) - y[own]
+                sums[subset] = sums.get(subset, 0.0) + np.append(error @ x[own], own.sum())
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int64()), as_lists(np.stack(list(sums.values())))], ["subset", "g"])
+
     for _ in range(steps):
-        w = spark.createDataFrame(list(weights.items()), "subset long, w array<double>")
-        error = V.sigmoid(V.dot(F.col("x"), F.col("w"))) - F.col("y")
-        g = joined.join(w, "subset").select("subset", V.scale(F.col("x"), error).alias("g"))
-        means = vector_means(g, ["subset"], "g").select("subset", F.col("mean").alias("g")).collect()
-        for r in means:
-            weights[r.subset] = [a - rate * b for a, b in zip(weights[r.subset], r.g, strict=True)]
-    return spark.createDataFrame(list(weights.items()), "subset long, weights array<double>")
+        for r in vector_sums(rows.mapInArrow(partial, "subset long, g array<double>"), ["subset"], "g").collect():
+            weights[r.subset] = weights[r.subset] - rate * np.array(r.total[:dim]) / r.total[dim]
+    return df.sparkSession.createDataFrame([(s, w.tolist()) for s, w in weights.items()], "subset long, weights array<double>")

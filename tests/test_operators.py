@@ -350,3 +350,18 @@ def test_unknown_module_fails_and_stratified_split_is_exact(spark):
     rows = spark.range(1000).select("id", F.when(F.col("id") % 10 == 0, None).otherwise(F.col("id") % 3).alias("label"))
     got = etl.stratified_split(rows, "id", "label", 3, 70, buckets=8).groupBy("label").agg(F.count_if("train").alias("n"), F.count("*").alias("all")).collect()
     assert {r.n == int(r["all"] * 0.7 + 0.5) for r in got} == {True} and sum(r["all"] for r in got) == 1000
+
+
+def test_subsets_are_joined_once_and_not_by_the_driver(spark, monkeypatch):
+    plans = []
+    monkeypatch.setattr(gradients, "stored", lambda df, label: plans.append(df._jdf.queryExecution().toString()) or df)
+    x, y = rng.normal(size=(30, 2)), rng.integers(0, 2, 30)
+    df = spark.createDataFrame([(i, x[i].tolist(), int(y[i])) for i in range(30)], "sample_index long, x array<double>, y int")
+    masks = spark.createDataFrame([(s, i) for s in range(2) for i in range(30) if (i + s) % 3], "subset long, sample_index long").union(spark.createDataFrame([(2, 99)], "subset long, sample_index long"))
+    got = {r.subset: r.weights for r in gradients.retrain_subsets(df, masks, 2, steps=3).collect()}
+    for s in range(2):
+        own, w = np.array([i for i in range(30) if (i + s) % 3]), np.zeros(2)
+        for _ in range(3):
+            w -= 0.5 * ((1 / (1 + np.exp(-x[own] @ w)) - y[own])[:, None] * x[own]).mean(0)
+        assert np.allclose(got[s], w)
+    assert got[2] == [0.0, 0.0] and len(plans) == 1 and "Broadcast" not in plans[0]
