@@ -75,6 +75,18 @@ def normalised(scores: DataFrame, by: tuple[str, ...] = ("query_id",)) -> DataFr
     return joined.withColumn("score", F.when(F.col("_peak") > TINY, F.col("score") / F.col("_peak")).otherwise(F.col("score"))).drop("_peak")
 
 
+def normalised_scores(gradients: DataFrame, queries: DataFrame) -> DataFrame:
+    """``normalised(dot_scores(...))`` without moving a score: peaks are taken inside tasks, and the queries carry them into a second product."""
+    return block_scores(gradients, _with_unit(gradients, queries), unit="_unit")
+
+
+def _with_unit(gradients: DataFrame, queries: DataFrame) -> DataFrame:
+    """Queries with ``_unit``, what ``normalised`` divides their scores by."""
+    peak = stored(B.block_peaks(gradients, queries), "peaks")
+    unit = F.when(F.col("peak") > TINY, F.col("peak")).otherwise(1.0)
+    return queries.select("query_id", "vec").join(peak.select("query_id", unit.alias("_unit")), "query_id")
+
+
 def gram_factor(gradients: DataFrame, dim: int, factor: float = 1e-3, floor: float = 0.0) -> DataFrame:
     """Blocks (i, j, m) of the Cholesky factor of G + lambda I, G the inner products of columns and lambda = factor * trace / dim, at
     least ``floor``. It stays in the executors."""
@@ -83,9 +95,13 @@ def gram_factor(gradients: DataFrame, dim: int, factor: float = 1e-3, floor: flo
 
 def trak_scores(gradients: DataFrame, queries: DataFrame, dim: int, factor: float = 1e-3, floor: float = 0.0, lower: DataFrame | None = None) -> DataFrame:
     """Inverse-Gram influence of every sample on every query of a stated set; ``lower`` reuses a ``gram_factor``."""
+    return block_scores(gradients, trak_queries(gradients, queries, dim, factor, floor, lower))
+
+
+def trak_queries(gradients: DataFrame, queries: DataFrame, dim: int, factor: float = 1e-3, floor: float = 0.0, lower: DataFrame | None = None) -> DataFrame:
+    """Queries (query_id, vec) times the inverse Gram matrix: their inner products are the scores of ``trak_scores``."""
     lower = gram_factor(gradients, dim, factor, floor) if lower is None else lower
-    ready = stored(B.solved(queries.select("query_id", "vec"), lower, dim), "preconditioned")
-    return block_scores(gradients, ready)
+    return stored(B.solved(queries.select("query_id", "vec"), lower, dim), "preconditioned")
 
 
 def multi_checkpoint(scores: list[DataFrame]) -> DataFrame:
@@ -97,6 +113,32 @@ def multi_checkpoint(scores: list[DataFrame]) -> DataFrame:
     return every.groupBy("query_id", "sample_index", "source_id").agg(F.avg("score").alias("score"))
 
 
+def multi_checkpoint_scores(gradients: DataFrame, columns: list[str], queries: list[DataFrame]) -> DataFrame:
+    """``multi_checkpoint`` of checkpoints that one table holds as ``columns``, with the queries of each: no score is moved.
+
+    The mean of inner products over repeated rows is that of their mean vectors, and the mean of normalised scores is one inner product of
+    the checkpoints' vectors end to end with queries divided by their peaks. Vectors alone are added up.
+    """
+    asked = None
+    for k, (c, q) in enumerate(zip(columns, queries, strict=True)):
+        q = _with_unit(gradients.select("sample_index", F.col(c).alias("vec")), q)
+        q = vector_means(q.select("query_id", V.scale(F.col("vec"), 1.0 / (F.col("_unit") * len(columns))).alias("vec")), ["query_id"], "vec").select("query_id", F.col("mean").alias(f"_{k}"))
+        asked = q if asked is None else asked.join(q, "query_id")
+    asked = stored(asked.select("query_id", F.concat(*(f"_{k}" for k in range(len(columns)))).alias("vec")), "checkpoints")
+    ends = gradients.select("sample_index", "source_id", F.concat(*columns).alias("vec"))
+    return block_scores(vector_means(ends, ["sample_index", "source_id"], "vec").withColumnRenamed("mean", "vec"), asked)
+
+
+def top_scores(gradients: DataFrame, queries: DataFrame, k: int, most_harmful: bool = False, normal: bool = False) -> DataFrame:
+    """``top_k`` of all scores, ranked from what each task leaves of its products. ``normal`` divides the scores by their peak, after which ties are
+    those of the quotients."""
+    order = "largest" if most_harmful else "least"
+    if normal:  # the queries are divided, not the scores: what is ranked is what the tasks compared
+        asked = _with_unit(gradients, queries)
+        queries = stored(asked.select("query_id", V.scale(F.col("vec"), 1.0 / F.col("_unit")).alias("vec")), "queries")
+    return top_k(B.block_top(gradients, queries, k, order), k, most_harmful)
+
+
 def top_k(scores: DataFrame, k: int, most_harmful: bool = False) -> DataFrame:
     """The first k samples of each query with their rank: the most negative scores, or with ``most_harmful`` the
     largest; ties by sample. Spark limits each partition's groups before the shuffle (WindowGroupLimit)."""

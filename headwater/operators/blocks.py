@@ -7,18 +7,22 @@ driver is counts and the trace.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector_sums import as_lists, as_matrix, vector_sums
+from ..functions.vector_sums import HELD, as_lists, as_matrix, vector_sums
 from ..scratch import delete, stored, stored_at
 
 #: Query blocks are broadcast up to this size; beyond it they meet the rows in a shuffle.
 MAX_QUERY_BYTES = 64 << 20
 PACK_BYTES = 4 << 20
 SCORES = 1 << 18  # that a task holds at a time
+TILE = 1 << 21  # scores of a product that stays in its task
+SLACK = 2e-9  # two units of the ninth digit
 BLOCK = 1024
 
 
@@ -39,12 +43,12 @@ def packed(rows: DataFrame, names: list[str], column: str = "vec") -> DataFrame:
     return rows.select(*names, F.col(column).cast("array<double>").alias("_v")).mapInArrow(run, schema)
 
 
-def few_blocks(queries: DataFrame, column: str = "vec") -> tuple[DataFrame, int]:
+def few_blocks(queries: DataFrame, column: str = "vec", names: tuple[str, ...] = ("query_id",)) -> tuple[DataFrame, int]:
     """Queries in as few blocks as their size asks for, and that size in bytes."""
     size = 8 * queries.agg(F.coalesce(F.sum(F.size(column)), F.lit(0))).first()[0]
     n = max(1, -(-size // PACK_BYTES))
-    dealt = queries.coalesce(1) if n == 1 else queries.repartition(n, "query_id")
-    return packed(dealt.select("query_id", column), ["query_id"], column), size
+    dealt = queries.coalesce(1) if n == 1 else queries.repartition(n, "query_id").sortWithinPartitions("query_id")
+    return packed(dealt.select(*names, column), list(names), column), size
 
 
 def paired(rows: DataFrame, queries: DataFrame, size: int) -> DataFrame:
@@ -60,10 +64,11 @@ def paired(rows: DataFrame, queries: DataFrame, size: int) -> DataFrame:
     return rows.join(dealt, ["_part", "_share"]).drop("_part", "_share")
 
 
-def block_scores(rows: DataFrame, queries: DataFrame, names: tuple[str, str] = ("sample_index", "source_id")) -> DataFrame:
+def block_scores(rows: DataFrame, queries: DataFrame, names: tuple[str, str] = ("sample_index", "source_id"), unit: str | None = None) -> DataFrame:
     """(query_id, names, score): inner products of all rows with all queries (query_id, vec), one matrix product for each pair of
-    blocks. ``names`` are a whole number and a text of the rows."""
-    q, size = few_blocks(queries)
+    blocks. ``names`` are a whole number and a text of the rows; ``unit`` is a number of each query that its scores are divided by."""
+    own = ("query_id",) if unit is None else ("query_id", unit)
+    q, size = few_blocks(queries, names=own)
     met = paired(packed(rows, list(names)).withColumnRenamed("m", "x"), q, size)
 
     def run(batches):
@@ -75,12 +80,119 @@ def block_scores(rows: DataFrame, queries: DataFrame, names: tuple[str, str] = (
                 step = max(1, SCORES // len(ids))  # a product of two blocks is given out in parts
                 for lo in range(0, len(samples), step):
                     s = x[lo : lo + step] @ u.T
+                    if unit is not None:
+                        s /= col[unit][k].values.to_numpy()
                     at = pa.array(np.repeat(np.arange(lo, lo + len(s)), len(ids)))
                     yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids.to_numpy(), len(s))), samples.take(at), source.take(at), pa.array(s.ravel())], ["query_id", *names, "score"])
 
     return met.mapInArrow(run, f"query_id long, {names[0]} long, {names[1]} string, score double")
 
 
+def _tiles(batches, names: tuple[str, ...], cells: int):
+    """(key, ids, columns, x, s) of each product of blocks, s (some queries of a block x some of its rows) of ``cells`` at most; key tells the queries."""
+    few = max(1, math.isqrt(cells) // 4)  # queries of a product, whatever the rows
+    for batch in batches:
+        col = {n: batch.column(n) for n in batch.schema.names}
+        for k in range(batch.num_rows):
+            ids = col["query_id"][k].values.to_numpy()
+            columns = [col[n][k].values for n in names]
+            x = col["x"][k].values.to_numpy().reshape(len(columns[0]), -1)
+            u = col["m"][k].values.to_numpy().reshape(len(ids), -1)
+            step, name = max(1, cells // few), ids.tobytes()
+            for lo in range(0, len(ids), few):
+                own = u[lo : lo + few]
+                for at in range(0, len(x), step):
+                    part = x[at : at + step]
+                    yield (name, lo), ids[lo : lo + few], [c.slice(at, step) for c in columns], part, own @ part[:, : own.shape[1]].T
+
+
+def block_peaks(rows: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, peak): the largest score magnitude of each query. A task holds a number for each query and no score leaves it."""
+    q, size = few_blocks(queries)
+    met = paired(packed(rows, ["sample_index"]).withColumnRenamed("m", "x"), q, size)
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        for key, ids, _, _, s in _tiles(batches, ("sample_index",), TILE):
+            peak = np.abs(s, out=s).max(1)
+            held[key] = [ids, peak if key not in held else np.maximum(held[key][1], peak)]
+        for ids, peak in held.values():
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(peak)], ["query_id", "peak"])
+
+    return met.mapInArrow(run, "query_id long, peak double").groupBy("query_id").agg(F.max("peak").alias("peak"))
+
+
+def block_top(rows: DataFrame, queries: DataFrame, k: int, order: str = "least") -> DataFrame:
+    """Scores among which are each query's first k by score to nine digits and sample: the 'least', the 'largest' or the largest in 'magnitude'.
+
+    A task gives out the scores of a product that reach its k-th, and no less than the k-th of any product before; of equal
+    scores those of the k smallest samples. ``SLACK`` leaves room for the rounding, so ranking what is left ranks all.
+    """
+    q, size = few_blocks(queries)
+    met = paired(packed(rows, ["sample_index", "source_id"]).withColumnRenamed("m", "x"), q, size)
+
+    def run(batches):
+        bound: dict[tuple, np.ndarray] = {}
+        for key, ids, (samples, source), _, s in _tiles(batches, ("sample_index", "source_id"), TILE):
+            v = -s if order == "least" else np.abs(s) if order == "magnitude" else s
+            gone = np.isnan(v)  # not a number is larger than all numbers
+            v[gone] = -np.inf if order == "least" else np.inf
+            n = v.shape[1]
+            least = np.partition(v, n - k, axis=1)[:, n - k] if n > k else np.full(len(v), -np.inf)
+            if key in bound:
+                least = np.maximum(least, bound[key])
+            bound[key] = least
+            at, row = np.nonzero(v >= (least - SLACK)[:, None])
+            if len(at) > 4 * k * len(ids):  # many equal scores
+                value, sample = v[at, row], samples.fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)[row]
+                by = np.lexsort((sample, value, at))
+                first = np.append(True, (np.diff(at[by]) != 0) | (value[by][1:] != value[by][:-1]))
+                place = np.arange(len(by)) - np.maximum.accumulate(np.where(first, np.arange(len(by)), 0))
+                at, row = at[by[place < k]], row[by[place < k]]
+            for lo in range(0, len(at), SCORES):
+                i, j = at[lo : lo + SCORES], row[lo : lo + SCORES]
+                score = np.where(gone[i, j], np.nan, s[i, j])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i]), samples.take(pa.array(j)), source.take(pa.array(j)), pa.array(score)], ["query_id", "sample_index", "source_id", "score"])
+
+    return met.mapInArrow(run, "query_id long, sample_index long, source_id string, score double")
+
+
+def weighted_sums(rows: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
+    """(query_id, source_id, total): sums of the rows' ``value`` vectors by source, each times its score magnitude, the score being that of
+    ``vec`` (``dim`` elements). Two matrix products for each pair of blocks; a task gives out one sum for each query and source."""
+    q, size = few_blocks(queries)
+    both = rows.select("source_id", F.concat("vec", "value").alias("vec"))
+    met = paired(packed(both, ["source_id"]).withColumnRenamed("m", "x"), q, size)
+
+    def run(batches):
+        held: dict[tuple, list] = {}
+        taken = 0
+
+        def out():
+            for (_, source), (ids, total) in held.items():
+                yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([source] * len(ids), pa.string()), as_lists(total)], ["query_id", "source_id", "v"])
+
+        for key, ids, (source,), x, s in _tiles(batches, ("source_id",), TILE):
+            np.abs(s, out=s)
+            names = source.dictionary_encode(null_encoding="encode")
+            code = names.indices.to_numpy(zero_copy_only=False)
+            for k, name in enumerate(names.dictionary.to_pylist()):
+                own = np.flatnonzero(code == k)
+                total = s[:, own] @ x[own, dim:]
+                if (key, name) in held:
+                    held[key, name][1] += total
+                else:
+                    held[key, name] = [ids, total]
+                    taken += total.nbytes
+            if taken > HELD:
+                yield from out()
+                held, taken = {}, 0
+        yield from out()
+
+    sums = met.mapInArrow(run, "query_id long, source_id string, v array<double>")
+    return vector_sums(sums, ["query_id", "source_id"], "v").select("query_id", "source_id", "total")
+
+
 def gram_blocks(gradients: DataFrame, dim: int) -> DataFrame:
     """(i, j, m): blocks of the dim x dim matrix of inner products of columns, i >= j. A task adds the products of its batches."""
     edges = [*range(0, dim, BLOCK), dim]

@@ -19,7 +19,7 @@ from ..functions.ranks import quantiles
 from ..functions.statistics import correlation
 from ..functions.vector_sums import as_lists, as_matrix, vector_sums
 from ..scratch import stored
-from .blocks import SCORES, few_blocks, paired
+from .blocks import SCORES, block_top, few_blocks, paired, weighted_sums
 
 
 def predict(values: DataFrame) -> DataFrame:
@@ -62,52 +62,53 @@ def aggregate(scores: DataFrame, method: str) -> DataFrame:
     return scores.groupBy("query_id", F.col("source_id").alias("source")).agg(value[method].alias("value"))
 
 
-def strongest(scores: DataFrame, k: int) -> DataFrame:
+def strongest(gradients: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """Each query's k scores of largest magnitude, ties by sample, ranked from what each task leaves of its products."""
     order = Window.partitionBy("query_id").orderBy(F.round(F.abs("score"), 9).desc(), "sample_index")
-    return scores.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).drop("_k")
+    return block_top(gradients, queries, k, "magnitude").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).drop("_k")
 
 
-def topk_vote(scores: DataFrame, k: int = 25) -> DataFrame:
-    return strongest(scores, k).groupBy("query_id", F.col("source_id").alias("source")).agg(F.count("*").cast("double").alias("value"))
+def topk_vote(gradients: DataFrame, queries: DataFrame, k: int = 25) -> DataFrame:
+    return strongest(gradients, queries, k).groupBy("query_id", F.col("source_id").alias("source")).agg(F.count("*").cast("double").alias("value"))
 
 
-def _lift(scores: DataFrame, prior: DataFrame, k: int, mass: bool) -> DataFrame:
+def _lift(gradients: DataFrame, queries: DataFrame, prior: DataFrame, k: int, mass: bool) -> DataFrame:
     what = F.sum(F.abs("score")) if mass else F.count("*") / F.lit(float(k))
-    found = strongest(scores, k).groupBy("query_id", F.col("source_id").alias("source")).agg(what.alias("v"))
-    grid = scores.select("query_id", F.col("source_id").alias("source")).distinct().join(prior, "source")  # every query is scored against all sources
+    found = strongest(gradients, queries, k).groupBy("query_id", F.col("source_id").alias("source")).agg(what.alias("v"))
+    grid = queries.select("query_id").distinct().join(prior.filter("source is not null"))  # every query is scored against all sources
     return grid.join(found, ["query_id", "source"], "left").select("query_id", "source", (F.coalesce("v", F.lit(0.0)) / F.col("prior")).alias("value"))
 
 
-def topk_lift(scores: DataFrame, prior: DataFrame, k: int = 25) -> DataFrame:
-    return _lift(scores, prior, k, False)
+def topk_lift(gradients: DataFrame, queries: DataFrame, prior: DataFrame, k: int = 25) -> DataFrame:
+    return _lift(gradients, queries, prior, k, False)
 
 
-def attrib_block(scores: DataFrame, prior: DataFrame, blocks: DataFrame, n_train: int, k: int | None = None) -> DataFrame:
+def attrib_block(gradients: DataFrame, queries: DataFrame, prior: DataFrame, blocks: DataFrame, n_train: int, k: int | None = None) -> DataFrame:
     """Block magnitude times the top-K score mass over the prior; K is 5 % of the samples within 50 and 1000."""
     k = min(1000, max(50, n_train // 20)) if k is None else k
-    lift = _lift(scores, prior, k, True)
+    lift = _lift(gradients, queries, prior, k, True)
     return lift.join(blocks, ["query_id", "source"]).select("query_id", "source", (F.col("magnitude") * F.col("value")).alias("value"))
 
 
-def blockmag_lift(scores: DataFrame, prior: DataFrame, blocks: DataFrame, k: int = 25) -> DataFrame:
+def blockmag_lift(gradients: DataFrame, queries: DataFrame, prior: DataFrame, blocks: DataFrame, k: int = 25) -> DataFrame:
     """Geometric mean of block magnitude and lift, each a share of the query's total."""
-    both = topk_lift(scores, prior, k).join(blocks, ["query_id", "source"])
+    both = topk_lift(gradients, queries, prior, k).join(blocks, ["query_id", "source"])
     w = Window.partitionBy("query_id")
     share = lambda c: F.col(c) / (F.sum(c).over(w) + 1e-12)
     return both.select("query_id", "source", F.sqrt(share("magnitude") * share("value")).alias("value"))
 
 
-def _weighted_means(scores: DataFrame, gradients: DataFrame, dim: int) -> DataFrame:
-    joined = scores.join(gradients.select("sample_index", "vec"), "sample_index")
-    w = F.abs("score")
-    each = joined.select("query_id", F.col("source_id").alias("source"), F.concat(F.array(w), V.scale(F.col("vec"), w)).alias("v"))  # the weights are a component
-    return vector_sums(each, ["query_id", "source"], "v").select("query_id", "source", F.col("total")[0].alias("w"), F.slice("total", 2, dim).alias("m"))
+def _weighted_means(gradients: DataFrame, queries: DataFrame, dim: int) -> DataFrame:
+    """A score weighs all rows of its sample: they are added up first, with their number as a component beside them."""
+    of_sample = vector_sums(gradients, ["sample_index"], "vec").select("sample_index", F.concat(F.array(F.col("n").cast("double")), F.col("total")).alias("value"))
+    rows = gradients.select("sample_index", "source_id", "vec").join(of_sample, "sample_index")
+    return weighted_sums(rows, queries, dim).withColumnRenamed("source_id", "source").select("query_id", "source", F.col("total")[0].alias("w"), F.slice("total", 2, dim).alias("m"))
 
 
-def cosine(scores: DataFrame, gradients: DataFrame, queries: DataFrame, dim: int, columns: dict[str, tuple[int, int]] | None = None) -> DataFrame:
+def cosine(gradients: DataFrame, queries: DataFrame, dim: int, columns: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """Cosine of the query with a source's score-weighted mean gradient; with ``columns`` on the source's own block,
     negative ones as 0, times the block's magnitude."""
-    means = _weighted_means(scores, gradients, dim).join(queries.select("query_id", F.col("vec").alias("q")), "query_id")
+    means = _weighted_means(gradients, queries, dim).join(queries.select("query_id", F.col("vec").alias("q")), "query_id")
     m = V.scale(F.col("m"), 1.0 / F.col("w"))
     if columns is None:
         value = V.dot(m, F.col("q")) / (V.norm(m) * (V.norm(F.col("q")) + 1e-12) + 1e-12)

@@ -63,7 +63,7 @@ def sab_gradmag(spark, sf_dir):
 
 @query(f"WITH {BASE}, val AS (SELECT query_id, src, count(*)::DOUBLE AS value FROM rk WHERE k <= 25 GROUP BY ALL) {PICK}")
 def sab_topk_vote(spark, sf_dir):
-    return picked(S.topk_vote(setting(spark, sf_dir)[2]))
+    return picked(S.topk_vote(*setting(spark, sf_dir)[:2]))
 
 
 _LIFT = "lf AS (SELECT q.query_id, pri.src, coalesce(c.n, 0) / 25.0 / prior AS value FROM q CROSS JOIN pri LEFT JOIN (SELECT query_id, src, count(*) AS n FROM rk WHERE k <= 25 GROUP BY ALL) c ON c.query_id = q.query_id AND c.src = pri.src)"
@@ -71,20 +71,20 @@ _LIFT = "lf AS (SELECT q.query_id, pri.src, coalesce(c.n, 0) / 25.0 / prior AS v
 
 @query(f"WITH {BASE}, {_LIFT}, val AS (SELECT * FROM lf) {PICK}")
 def sab_topk_lift(spark, sf_dir):
-    g, _, s = setting(spark, sf_dir)
-    return picked(S.topk_lift(s, S.priors(g)))
+    g, q, _ = setting(spark, sf_dir)
+    return picked(S.topk_lift(g, q, S.priors(g)))
 
 
 @query(f"WITH {BASE}, {_LIFT}, z AS (SELECT query_id, src, mag / (sum(mag) OVER w + 1e-12) AS a, value / (sum(value) OVER w + 1e-12) AS b FROM lf JOIN blk USING (query_id, src) WINDOW w AS (PARTITION BY query_id)), val AS (SELECT query_id, src, sqrt(a*b) AS value FROM z) {PICK}")
 def sab_blockmag_lift(spark, sf_dir):
-    g, q, s = setting(spark, sf_dir)
-    return picked(S.blockmag_lift(s, S.priors(g), S.block_magnitudes(q, COLUMNS)))
+    g, q, _ = setting(spark, sf_dir)
+    return picked(S.blockmag_lift(g, q, S.priors(g), S.block_magnitudes(q, COLUMNS)))
 
 
 @query(f"WITH {BASE}, kk AS (SELECT least(1000, greatest(50, count(*) // 20)) AS kk FROM g), m AS (SELECT query_id, src, sum(abs(score)) AS m FROM rk, kk WHERE k <= kk GROUP BY ALL), val AS (SELECT blk.query_id, blk.src, mag * coalesce(m, 0) / prior AS value FROM blk JOIN pri USING (src) LEFT JOIN m ON m.query_id = blk.query_id AND m.src = blk.src) {PICK}")
 def sab_attrib_block(spark, sf_dir):
-    g, q, s = setting(spark, sf_dir)
-    return picked(S.attrib_block(s, S.priors(g), S.block_magnitudes(q, COLUMNS), g.count()))
+    g, q, _ = setting(spark, sf_dir)
+    return picked(S.attrib_block(g, q, S.priors(g), S.block_magnitudes(q, COLUMNS), g.count()))
 
 
 _MEANS = "mw AS (SELECT query_id, src, list(x / w ORDER BY i) AS m, max(w) AS w FROM (SELECT query_id, src, i, sum(abs(score) * v[i]) AS x, sum(abs(score)) AS w FROM sc JOIN (SELECT s AS s2, v FROM g) h ON h.s2 = sc.s, unnest(range(1, 65)) t(i) GROUP BY ALL) GROUP BY ALL)"
@@ -92,14 +92,14 @@ _MEANS = "mw AS (SELECT query_id, src, list(x / w ORDER BY i) AS m, max(w) AS w
 
 @query(f"WITH {BASE}, {_MEANS}, val AS (SELECT query_id, src, CASE WHEN w < 1e-12 THEN 0 ELSE list_dot_product(m, u) / (sqrt(list_dot_product(m, m)) * (sqrt(list_dot_product(u, u)) + 1e-12) + 1e-12) END AS value FROM mw JOIN q USING (query_id)) {PICK}")
 def sab_cosine(spark, sf_dir):
-    g, q, s = setting(spark, sf_dir)
-    return picked(S.cosine(s, g, q, DIM))
+    g, q, _ = setting(spark, sf_dir)
+    return picked(S.cosine(g, q, DIM))
 
 
 @query(f"WITH {BASE}, {_MEANS}, b AS (SELECT query_id, src, w, m[8*k+1:8*k+8] AS m, u[8*k+1:8*k+8] AS u FROM (SELECT *, substr(src, 2)::INTEGER AS k FROM mw JOIN q USING (query_id))), val AS (SELECT query_id, src, CASE WHEN w < 1e-12 THEN 0 ELSE (sqrt(list_dot_product(u, u)) + 1e-12) * greatest(list_dot_product(m, u) / (sqrt(list_dot_product(m, m)) * (sqrt(list_dot_product(u, u)) + 1e-12) + 1e-12), 0) END AS value FROM b) {PICK}")
 def sab_block_cosine(spark, sf_dir):
-    g, q, s = setting(spark, sf_dir)
-    return picked(S.cosine(s, g, q, DIM, COLUMNS))
+    g, q, _ = setting(spark, sf_dir)
+    return picked(S.cosine(g, q, DIM, COLUMNS))
 
 
 @query()

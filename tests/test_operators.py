@@ -365,3 +365,36 @@ def test_subsets_are_joined_once_and_not_by_the_driver(spark, monkeypatch):
             w -= 0.5 * ((1 / (1 + np.exp(-x[own] @ w)) - y[own])[:, None] * x[own]).mean(0)
         assert np.allclose(got[s], w)
     assert got[2] == [0.0, 0.0] and len(plans) == 1 and "Broadcast" not in plans[0]
+
+
+@pytest.mark.parametrize("bound", [64 << 20, 1])
+def test_blocks_are_reduced_inside_tasks(spark, monkeypatch, bound):
+    """Peaks, tops with ties and repeated samples, weighted sums and means of checkpoints, against all scores; small tiles, many products."""
+    monkeypatch.setattr(blocks, "MAX_QUERY_BYTES", bound)
+    monkeypatch.setattr(blocks, "TILE", 130)
+    monkeypatch.setattr(blocks, "PACK_BYTES", 24 * 17)  # blocks of unequal size meet in one task
+    r = np.random.default_rng(4)
+    x = np.vstack([r.integers(-3, 4, (60, 3)) / 4, np.tile([[1.0, 0.5, 0.25]], (40, 1)), r.normal(size=(20, 3))])
+    g = store(spark, x, [f"s{i % 3}" for i in range(len(x))])
+    g = g.unionByName(g.filter("sample_index < 5")).repartition(3)
+    q = queries(spark, np.vstack([r.integers(-2, 3, (4, 3)), np.zeros((1, 3))]))
+    raw = attribution.dot_scores(g, q)
+    rows = lambda df: sorted((*r[:3], round(r[3], 9)) for r in df.select("query_id", "sample_index", "source_id", "score").collect())
+    assert rows(attribution.normalised_scores(g, q)) == rows(attribution.normalised(raw))
+    for harmful in (False, True):
+        first = lambda df: sorted((r.query_id, r["rank"], r.sample_index, round(r.score, 9)) for r in df.collect())
+        assert first(attribution.top_scores(g, q, 7, harmful)) == first(attribution.top_k(raw, 7, harmful))
+        assert first(attribution.top_scores(g, q, 7, harmful, normal=True)) == first(attribution.top_k(attribution.normalised(raw), 7, harmful))
+    assert blocks.block_top(g, q, 7).count() < 0.7 * raw.count()  # of blocks of 17 rows
+    both = g.withColumns({"a": F.col("vec"), "b": vectors.scale(F.col("vec"), F.lit(3.0))})
+    asked = [q, q.withColumn("vec", vectors.scale(F.col("vec"), F.col("query_id").cast("double") - 1))]
+    want = attribution.multi_checkpoint([attribution.dot_scores(both.withColumn("vec", F.col(c)), a) for c, a in zip("ab", asked, strict=True)])
+    assert rows(attribution.multi_checkpoint_scores(both, ["a", "b"], asked)) == rows(want)
+    w = F.abs("score")
+    value = F.concat(F.array(F.lit(1.0)), "vec")
+    joined = raw.join(g.select("sample_index", "vec"), "sample_index").groupBy("query_id", "source_id").agg(F.sum(w).alias("w"), *(F.sum(w * F.col("vec")[i]).alias(f"m{i}") for i in range(3)))
+    of_sample = g.groupBy("sample_index").agg(F.count("*").alias("n")).withColumn("n", F.col("n").cast("double"))
+    given = g.join(of_sample, "sample_index").withColumn("value", vectors.scale(value, F.col("n")))
+    got = {(r.query_id, r.source_id): r.total for r in blocks.weighted_sums(given, q, 3).collect()}
+    for r_ in joined.collect():
+        assert np.allclose(got[r_.query_id, r_.source_id], [r_.w, r_.m0, r_.m1, r_.m2])
