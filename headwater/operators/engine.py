@@ -29,19 +29,23 @@ class AttributionEngine:
         return queries if self.input_dim is None else A.project(queries, self.dim, self.input_dim, self.seed)
 
     def raw_scores(self, queries: DataFrame) -> DataFrame:
+        return A.dot_scores(self.gradients, self.ready(queries))
+
+    def ready(self, queries: DataFrame) -> DataFrame:
+        """Queries whose inner products with the gradients are the scores."""
         q = self.project(queries)
         if self.estimator == "dot":
-            return A.dot_scores(self.gradients, q)
+            return q
         if self._lower is None:
             self._lower = A.gram_factor(self.gradients, self.dim, self.factor)
-        return A.trak_scores(self.gradients, q, self.dim, self.factor, lower=self._lower)
+        return A.trak_queries(self.gradients, q, self.dim, self.factor, lower=self._lower)
 
     def scores(self, queries: DataFrame) -> DataFrame:
-        return A.normalised(self.raw_scores(queries))
+        return A.normalised_scores(self.gradients, self.ready(queries))
 
     def attribute(self, queries: DataFrame, k: int = 20, most_harmful: bool = False) -> DataFrame:
         """(query_id, rank, sample_index, source_id, source_node_id, loss, score)."""
-        top = A.top_k(self.scores(queries), k, most_harmful).drop("source_id")
+        top = A.top_scores(self.gradients, self.ready(queries), k, most_harmful, normal=True).drop("source_id")
         rows = self.gradients.select("sample_index", "source_id", "source_node_id", "loss")
         return top.join(rows, "sample_index").select("query_id", "rank", "sample_index", "source_id", "source_node_id", "loss", "score")
 

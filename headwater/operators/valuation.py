@@ -7,15 +7,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import graph
-from .attribution import dot_scores
+from .attribution import top_scores
 
 
 def knn_values(gradients: DataFrame, validation: DataFrame, k: int = 10) -> DataFrame:
     """(sample_index, source_id, source_node_id, value): for each validation vector the sample of 0-based rank r < k by inner product gets
     (1/k)(1 - r/k)/n_validation; all others 0. ``validation`` is a stated set (query_id, vec) in the projected space."""
     n = max(1, validation.count())
-    order = Window.partitionBy("query_id").orderBy(F.round("score", 9).desc(), "sample_index")
-    near = dot_scores(gradients, validation).withColumn("_r", F.row_number().over(order) - 1).filter(F.col("_r") < k)
+    near = top_scores(gradients, validation, k, most_harmful=True).withColumn("_r", F.col("rank") - 1)
     won = near.groupBy("sample_index").agg(F.sum((1.0 / k) * (1.0 - F.col("_r") / k) / n).alias("value"))
     return gradients.select("sample_index", "source_id", "source_node_id").join(won, "sample_index", "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
 
