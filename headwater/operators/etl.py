@@ -49,7 +49,8 @@ def trace_to_rows(top: DataFrame, lineage: DataFrame, first: int = 3) -> DataFra
 
 
 def table_contribution(scores: DataFrame, lineage: DataFrame, k: int) -> DataFrame:
-    """(query_id, table, n_samples, contribution): mean magnitude of the top-k samples that used each table."""
+    """(query_id, table, n_samples, contribution): mean magnitude of the top-k samples that used each table. ``scores`` may leave out what is no
+    sample of the top k (``blocks.block_top``)."""
     order = Window.partitionBy("query_id").orderBy(F.round(F.abs("score"), 9).desc(), "sample_index")
     top = scores.withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k)
     used = lineage.select("sample_id", "table").distinct()

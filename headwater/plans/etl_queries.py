@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import scratch
 from ..operators import attribution as A
-from ..operators import etl, interval_lineage
+from ..operators import blocks, etl, interval_lineage
 from ..operators.plan_capture import plan_lineage
 from ..session import table
 from ..sources import physical
@@ -155,20 +155,20 @@ def row_lineage_stats(spark, sf_dir):
 _SC = f"{LIN}, g AS (SELECT vec_id AS s, 's' || label AS src, embedding::DOUBLE[] AS v FROM embeddings), raw AS (SELECT q.s AS query_id, g.s AS sample_index, list_dot_product(g.v, q.v) AS score FROM g, g q WHERE q.s % 50 = 0)"
 
 
-def _scores(spark, sf_dir):
+def _scored(spark, sf_dir):
     g = grads(spark, sf_dir)
-    return A.dot_scores(g, tests(g))
+    return g, tests(g)
 
 
 @query(f"WITH {_SC}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, sample_index) AS rank FROM raw QUALIFY rank <= 10) SELECT query_id, rank, sample_index, tab AS \"table\", count(*) AS n_rows, list(row_id ORDER BY row_id)[1:3] AS first_rows FROM t JOIN lin ON sample_id = sample_index GROUP BY ALL")
 def trace_topk_to_rows(spark, sf_dir):
-    top = A.top_k(_scores(spark, sf_dir), 10, most_harmful=True)
+    top = A.top_scores(*_scored(spark, sf_dir), 10, most_harmful=True)
     return etl.trace_to_rows(top, lineage(spark, sf_dir))
 
 
 @query(f"WITH {_SC}, t AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(abs(score), 9) DESC, sample_index) AS rank FROM raw QUALIFY rank <= 50) SELECT query_id, tab AS \"table\", count(*) AS n_samples, round(avg(abs(score)), 6) AS contribution FROM t JOIN (SELECT DISTINCT sample_id, tab FROM lin) ON sample_id = sample_index GROUP BY ALL")
 def source_table_contribution(spark, sf_dir):
-    c = etl.table_contribution(_scores(spark, sf_dir), lineage(spark, sf_dir), 50)
+    c = etl.table_contribution(blocks.block_top(*_scored(spark, sf_dir), 50, "magnitude"), lineage(spark, sf_dir), 50)
     return c.select("query_id", "table", "n_samples", r6("contribution"))
 
 
