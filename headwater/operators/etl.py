@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.numbering import quantile
+from ..scratch import stored
 
 
 def aggregate_child(child: DataFrame, key: str, aggs: dict[str, Column], row_id: str | None = None) -> DataFrame:
@@ -43,8 +44,16 @@ def lineage_stats(lineage: DataFrame) -> DataFrame:
 
 
 def trace_to_rows(top: DataFrame, lineage: DataFrame, first: int = 3) -> DataFrame:
-    """(query_id, rank, sample_index, table, n_rows, first_rows) for ranked samples."""
-    per = lineage.groupBy("sample_id", "table").agg(F.count("*").alias("n_rows"), F.slice(F.sort_array(F.collect_list("row_id")), 1, first).alias("first_rows"))
+    """(query_id, rank, sample_index, table, n_rows, first_rows) for ranked samples. Only their lineage is looked at, and no more than ``first`` rows of
+    a sample are listed."""
+    top = stored(top, "ranked")
+    ranked = top.select(F.col("sample_index").alias("sample_id")).distinct()
+    used = stored(lineage.select("sample_id", "table", "row_id").join(ranked, "sample_id", "left_semi"), "lineage")
+    order = Window.partitionBy("sample_id", "table").orderBy("row_id")
+    rows = used.filter("row_id is not null").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= first)
+    listed = rows.groupBy("sample_id", "table").agg(F.sort_array(F.collect_list("row_id")).alias("_first"))
+    per = used.groupBy("sample_id", "table").agg(F.count("*").alias("n_rows")).join(listed, ["sample_id", "table"], "left")
+    per = per.select("sample_id", "table", "n_rows", F.coalesce("_first", F.array().cast("array<long>")).alias("first_rows"))
     return top.join(per, top.sample_index == per.sample_id).select("query_id", "rank", "sample_index", "table", "n_rows", "first_rows")
 
 
