@@ -37,10 +37,13 @@ def by_source(values: DataFrame) -> DataFrame:
 def by_operation(values: DataFrame, node_edges: DataFrame) -> DataFrame:
     """(op_name, n, mean): values averaged by the operations upstream of each sample's node, once for each edge.
 
-    ``node_edges`` has (node, edge_id, op_name): the edges on the way to a node.
+    ``node_edges`` has (node, edge_id, op_name): the edges on the way to a node. Values are added up by node and edges counted by node and
+    operation before they meet, so a node of many values below many edges makes no pairs.
     """
-    met = values.join(node_edges, values.source_node_id == node_edges.node)
-    return met.groupBy("op_name").agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    at = values.groupBy(F.col("source_node_id").alias("node")).agg(F.count("*").alias("_n"), F.count("value").alias("_known"), F.sum("value").alias("_sum"))
+    times = node_edges.groupBy("node", "op_name").agg(F.count("*").alias("_times"))
+    total = lambda c: F.sum(F.col(c) * F.col("_times"))
+    return at.join(times, "node").groupBy("op_name").agg(total("_n").alias("n"), F.try_divide(total("_sum"), total("_known")).alias("mean"))
 
 
 def by_upstream_operation(values: DataFrame, edges: DataFrame) -> DataFrame:
