@@ -1,4 +1,4 @@
-"""Effects of single samples, read off their membership in subsets, against their scores."""
+"""What needs all scores of a query at a time: effects of samples by membership in subsets against the scores, and medians by source."""
 
 from __future__ import annotations
 
@@ -93,3 +93,60 @@ def membership_lds(samples: DataFrame, queries: DataFrame) -> DataFrame:
             yield out()
 
     return dealt.mapInArrow(run, "query_id long, rho double")
+
+
+def source_medians(gradients: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, source, median) of the scores of each query by source, linear between neighbours. As in ``membership_lds`` queries are dealt to parts,
+    and a task holds the scores of one part, ``CELLS`` at most (of one query at least): no score is shuffled."""
+    spark = gradients.sparkSession
+    parts = max(-(-gradients.count() * queries.count() // CELLS), spark.sparkContext.defaultParallelism)
+
+    def packed(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                names, vec = batch.column(0).slice(lo, BLOCK_ROWS), batch.column(1).slice(lo, BLOCK_ROWS).flatten()
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (names, vec)], ["names", "vec"])
+
+    kind = gradients.schema["vec"].dataType.simpleString()
+    blocks = gradients.select("source_id", "vec").mapInArrow(packed, f"names array<string>, vec {kind}")
+    rows = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("step"), F.lit(None).cast("long").alias("query_id"), "names", "vec")
+    part_of = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
+    asked = queries.select(part_of, F.lit(0).alias("step"), "query_id", F.lit(None).cast("array<string>").alias("names"), F.col("vec").cast(kind).alias("vec"))
+    dealt = asked.unionByName(rows).repartition(parts, "part").sortWithinPartitions("part", "step")
+
+    def run(batches):
+        part, ids, u, scores, names = None, [], [], [], []
+
+        def out():
+            coded = pa.concat_arrays(names).dictionary_encode(null_encoding="encode")
+            code = coded.indices.to_numpy(zero_copy_only=False)
+            found = []
+            for q in sorted(set(ids)):
+                own = [k for k, i in enumerate(ids) if i == q]
+                x = np.stack([np.concatenate([s[:, k] for s in scores]) for k in own])
+                for k, name in enumerate(coded.dictionary.to_pylist()):
+                    v = x[:, code == k].ravel()
+                    low, high = (len(v) - 1) // 2, len(v) // 2
+                    v.partition((low, high))
+                    found.append((q, name, float(v[low] + (v[high] - v[low]) * 0.5) if high > low else float(v[low])))
+            columns = zip(*found, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64()), strict=True)], ["query_id", "source", "median"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                p, step, query_id = (batch.column(c)[k].as_py() for c in range(3))
+                vec = batch.column(4)[k].values.to_numpy().astype(np.float64)
+                if p != part:
+                    if scores and ids:
+                        yield out()
+                    part, ids, u, scores, names = p, [], [], [], []
+                if step == 0:
+                    ids.append(query_id)
+                    u.append(vec)
+                elif ids:
+                    scores.append(vec.reshape(-1, len(u[0])) @ np.stack(u).T)
+                    names.append(batch.column(3)[k].values)
+        if scores and ids:
+            yield out()
+
+    return dealt.mapInArrow(run, "query_id long, source string, median double")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import attribution as A
+from ..operators import membership
 from ..operators import stratified as S
 from ..session import table
 from ._register import query
@@ -39,6 +40,9 @@ def picked(values):
 
 def _simple(name: str, value: str):
     def run(spark, sf_dir):
+        if name == "median":
+            g = grads(spark, sf_dir).withColumn("vec", F.col("vec").cast("array<float>"))  # as the table has them
+            return picked(membership.source_medians(g, tests(g)).select("query_id", "source", F.abs("median").alias("value")))
         return picked(S.aggregate(setting(spark, sf_dir)[2], name))
 
     query(f"WITH {BASE}, val AS (SELECT query_id, src, {value} AS value FROM sc GROUP BY ALL) {PICK}", name=f"sab_{name}")(run)

@@ -23,3 +23,14 @@ def test_scores_are_ranked_in_parts_of_queries(spark, monkeypatch):
         effect = pd.Series([pd.Series(m[i]).rank().corr(pd.Series(o[q]).rank()) if 0 < m[i].sum() < 4 else 0.0 for i in range(30)]).round(9)
         rho = pd.Series(x @ u[q]).round(9).rank().corr(effect.rank())
         assert np.isclose(got[q], 0.0 if np.isnan(rho) else rho)
+
+
+def test_medians_are_taken_in_parts_of_queries(spark, monkeypatch):
+    monkeypatch.setattr(membership, "CELLS", 60)
+    monkeypatch.setattr(membership, "BLOCK_ROWS", 7)
+    r = np.random.default_rng(5)
+    x, u = r.normal(size=(31, 3)), r.normal(size=(9, 3))
+    g = spark.createDataFrame([(i, f"s{i % 4}", x[i].tolist()) for i in range(31)], "sample_index long, source_id string, vec array<double>").repartition(2)
+    q = spark.createDataFrame([(i, u[i].tolist()) for i in range(9)], "query_id long, vec array<double>")
+    got = {(m.query_id, m.source): m.median for m in membership.source_medians(g, q).collect()}
+    assert len(got) == 36 and all(np.isclose(got[i, f"s{k}"], np.median(x[k::4] @ u[i])) for i in range(9) for k in range(4))
