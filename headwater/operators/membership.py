@@ -1,4 +1,5 @@
-"""What needs all scores of a query at a time: effects of samples by membership in subsets against the scores, and medians by source."""
+"""What needs all scores of a query at a time: effects of samples by membership in subsets against the scores, medians by source, and what sources
+have of the strongest scores."""
 
 from __future__ import annotations
 
@@ -7,9 +8,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vector_sums import as_matrix
+
 #: Scores that a task holds: 8 bytes each.
 CELLS = 48 << 20
 BLOCK_ROWS = 4096
+#: Strongest scores that a task keeps, as many again while it looks for them: 24 bytes each.
+KEPT = 2 << 20
+TILE = 1 << 20  # scores of a product, of one row at least
 
 
 def array_ranks(values: Column) -> Column:
@@ -150,3 +156,105 @@ def source_medians(gradients: DataFrame, queries: DataFrame) -> DataFrame:
             yield out()
 
     return dealt.mapInArrow(run, "query_id long, source string, median double")
+
+
+def _order(v: np.ndarray) -> np.ndarray:
+    """Magnitudes as they are ranked, to nine digits; not a number is larger than all numbers."""
+    return np.where(np.isnan(v), np.inf, np.minimum(half_up(v), np.finfo(np.float64).max))
+
+
+class _Strongest:
+    """The first k scores of each query by magnitude to nine digits, then by sample (null last), of all samples that came by. A query that was asked twice has all of
+    its scores twice."""
+
+    def __init__(self, ids: list[int], u: np.ndarray, k: int):
+        self.u, self.k, self.codes = u, k, {}
+        self.ids, self.of = np.unique(np.array(ids, np.int64), return_inverse=True)
+        self.least, self.last = np.full(len(self.ids), -np.inf), np.full(len(self.ids), np.iinfo(np.int64).max)  # each query's k-th
+        self.held: list[list[np.ndarray]] = []  # (query, magnitude, sample, source), the first entry is pruned
+        self.size = 0
+
+    def meet(self, samples: pa.Array, names: pa.Array, x: np.ndarray) -> None:
+        sample = samples.fill_null(np.iinfo(np.int64).max).to_numpy(zero_copy_only=False)
+        coded = names.dictionary_encode(null_encoding="encode")
+        code = np.array([self.codes.setdefault(n, len(self.codes)) for n in coded.dictionary.to_pylist()], np.int32)
+        source = code[coded.indices.to_numpy(zero_copy_only=False)]
+        step = max(1, TILE // len(self.u))
+        for lo in range(0, len(x), step):
+            v = self.u @ x[lo : lo + step].T
+            np.abs(v, out=v)
+            low = self.least * (1 - 1e-15) - 2e-9  # no score below it is rounded to the k-th
+            at, row = np.nonzero(~(v < low[self.of, None]))
+            query, value, row = self.of[at], v[at, row], row + lo
+            rank = _order(value)
+            new = (rank > self.least[query]) | ((rank == self.least[query]) & (sample[row] < self.last[query]))
+            row = row[new]
+            self.held.append([query[new].astype(np.int32), value[new], sample[row], source[row]])
+            self.size += len(row)
+            if self.size > max(2 * self.k * len(self.ids), TILE // 4):
+                self.prune()
+
+    def prune(self) -> None:
+        held, self.held = self.held, []
+        query, value, sample, source = (np.concatenate([h.pop(0) for h in held]) for _ in range(4))  # each is given up when it is joined
+        by = np.lexsort((sample, -_order(value), query))
+        place = np.arange(len(by)) - np.searchsorted(query[by], np.arange(len(self.ids), dtype=np.int32))[query[by]]
+        kth = by[place == self.k - 1]
+        self.least[query[kth]], self.last[query[kth]] = _order(value[kth]), sample[kth]
+        by = by[place < self.k]
+        self.held, self.size = [[query[by], value[by], sample[by], source[by]]], len(by)
+
+    def by_source(self) -> pa.RecordBatch:
+        self.prune()
+        query, value, _, source = self.held[0]
+        key, at, n = np.unique(query.astype(np.int64) * len(self.codes) + source, return_inverse=True, return_counts=True)
+        names = pa.array(list(self.codes), pa.string()).take(pa.array(key % len(self.codes)))
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[key // len(self.codes)]), names, pa.array(n), pa.array(np.bincount(at, value))], ["query_id", "source_id", "n", "mass"])
+
+
+def strongest_by_source(gradients: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, source_id, n, mass): how many of each query's k scores of largest magnitude the source has, and the sum of those magnitudes; ties by sample.
+
+    For a k that is large against a row: as in ``membership_lds`` queries are dealt to parts, and samples go by in blocks, but a task keeps k scores of each of its
+    queries alone, ``KEPT`` in all. So the parts are as many as the cluster has cores until queries times k pass ``KEPT`` for each, and what is shuffled is the vectors
+    once for each part, whatever k is. No score is shuffled.
+    """
+    spark = gradients.sparkSession
+    parts = max(-(-queries.count() * k // KEPT), spark.sparkContext.defaultParallelism)
+
+    def packed(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, BLOCK_ROWS):
+                samples, names, vec = (c.slice(lo, BLOCK_ROWS) for c in batch.columns)
+                as_matrix(vec)  # nulls and unequal widths raise
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (samples, names, vec.flatten())], ["samples", "names", "vec"])
+
+    kind = gradients.schema["vec"].dataType.simpleString()
+    blocks = gradients.select(F.col("sample_index").cast("long"), "source_id", "vec").mapInArrow(packed, f"samples array<long>, names array<string>, vec {kind}")
+    rows = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("step"), F.lit(None).cast("long").alias("query_id"), "samples", "names", "vec")
+    part_of = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
+    nothing = (F.lit(None).cast(f"array<{t}>").alias(c) for c, t in (("samples", "long"), ("names", "string")))
+    asked = queries.select(part_of, F.lit(0).alias("step"), F.col("query_id").cast("long"), *nothing, F.col("vec").cast(kind).alias("vec"))
+    dealt = asked.unionByName(rows).repartitionById(parts, "part").sortWithinPartitions("part", "step")
+
+    def run(batches):
+        part, ids, u, best = None, [], [], None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                p, step, query_id = (batch.column(c)[row].as_py() for c in range(3))
+                vec = batch.column(5)[row].values.to_numpy(zero_copy_only=False).astype(np.float64)
+                if p != part:
+                    if best is not None:
+                        yield best.by_source()
+                    part, ids, u, best = p, [], [], None
+                if step == 0:
+                    ids.append(query_id)
+                    u.append(vec)
+                elif ids:
+                    best = best or _Strongest(ids, np.stack(u), k)
+                    samples = batch.column(3)[row].values
+                    best.meet(samples, batch.column(4)[row].values, vec.reshape(len(samples), -1))
+        if best is not None:
+            yield best.by_source()
+
+    return dealt.mapInArrow(run, "query_id long, source_id string, n long, mass double")

@@ -20,6 +20,7 @@ from ..functions.statistics import correlation
 from ..functions.vector_sums import as_lists, as_matrix, vector_sums
 from ..scratch import stored
 from .blocks import SCORES, block_top, few_blocks, paired, weighted_sums
+from .membership import strongest_by_source
 
 
 def predict(values: DataFrame) -> DataFrame:
@@ -63,7 +64,7 @@ def aggregate(scores: DataFrame, method: str) -> DataFrame:
 
 
 def strongest(gradients: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """Each query's k scores of largest magnitude, ties by sample, ranked from what each task leaves of its products."""
+    """Each query's k scores of largest magnitude, ties by sample, ranked from what each task leaves of its products: for a small k."""
     order = Window.partitionBy("query_id").orderBy(F.round(F.abs("score"), 9).desc(), "sample_index")
     return block_top(gradients, queries, k, "magnitude").withColumn("_k", F.row_number().over(order)).filter(F.col("_k") <= k).drop("_k")
 
@@ -72,22 +73,21 @@ def topk_vote(gradients: DataFrame, queries: DataFrame, k: int = 25) -> DataFram
     return strongest(gradients, queries, k).groupBy("query_id", F.col("source_id").alias("source")).agg(F.count("*").cast("double").alias("value"))
 
 
-def _lift(gradients: DataFrame, queries: DataFrame, prior: DataFrame, k: int, mass: bool) -> DataFrame:
-    what = F.sum(F.abs("score")) if mass else F.count("*") / F.lit(float(k))
-    found = strongest(gradients, queries, k).groupBy("query_id", F.col("source_id").alias("source")).agg(what.alias("v"))
+def _lift(queries: DataFrame, prior: DataFrame, found: DataFrame) -> DataFrame:
     grid = queries.select("query_id").distinct().join(prior.filter("source is not null"))  # every query is scored against all sources
     return grid.join(found, ["query_id", "source"], "left").select("query_id", "source", (F.coalesce("v", F.lit(0.0)) / F.col("prior")).alias("value"))
 
 
 def topk_lift(gradients: DataFrame, queries: DataFrame, prior: DataFrame, k: int = 25) -> DataFrame:
-    return _lift(gradients, queries, prior, k, False)
+    found = strongest(gradients, queries, k).groupBy("query_id", F.col("source_id").alias("source")).agg((F.count("*") / F.lit(float(k))).alias("v"))
+    return _lift(queries, prior, found)
 
 
 def attrib_block(gradients: DataFrame, queries: DataFrame, prior: DataFrame, blocks: DataFrame, n_train: int, k: int | None = None) -> DataFrame:
     """Block magnitude times the top-K score mass over the prior; K is 5 % of the samples within 50 and 1000."""
     k = min(1000, max(50, n_train // 20)) if k is None else k
-    lift = _lift(gradients, queries, prior, k, True)
-    return lift.join(blocks, ["query_id", "source"]).select("query_id", "source", (F.col("magnitude") * F.col("value")).alias("value"))
+    found = strongest_by_source(gradients, queries, k).select("query_id", F.col("source_id").alias("source"), F.col("mass").alias("v"))
+    return _lift(queries, prior, found).join(blocks, ["query_id", "source"]).select("query_id", "source", (F.col("magnitude") * F.col("value")).alias("value"))
 
 
 def blockmag_lift(gradients: DataFrame, queries: DataFrame, prior: DataFrame, blocks: DataFrame, k: int = 25) -> DataFrame:

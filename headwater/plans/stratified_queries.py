@@ -88,6 +88,8 @@ def sab_blockmag_lift(spark, sf_dir):
 @query(f"WITH {BASE}, kk AS (SELECT least(1000, greatest(50, count(*) // 20)) AS kk FROM g), m AS (SELECT query_id, src, sum(abs(score)) AS m FROM rk, kk WHERE k <= kk GROUP BY ALL), val AS (SELECT blk.query_id, blk.src, mag * coalesce(m, 0) / prior AS value FROM blk JOIN pri USING (src) LEFT JOIN m ON m.query_id = blk.query_id AND m.src = blk.src) {PICK}")
 def sab_attrib_block(spark, sf_dir):
     g, q, _ = setting(spark, sf_dir)
+    kind = table(spark, sf_dir, "embeddings").schema["embedding"].dataType
+    g = g.withColumn("vec", F.col("vec").cast(kind))  # as the table has them
     return picked(S.attrib_block(g, q, S.priors(g), S.block_magnitudes(q, COLUMNS), g.count()))
 
 

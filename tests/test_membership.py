@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from headwater.operators import membership
+from headwater.operators import membership, stratified
 
 
 def test_scores_are_ranked_in_parts_of_queries(spark, monkeypatch):
@@ -34,3 +34,57 @@ def test_medians_are_taken_in_parts_of_queries(spark, monkeypatch):
     q = spark.createDataFrame([(i, u[i].tolist()) for i in range(9)], "query_id long, vec array<double>")
     got = {(m.query_id, m.source): m.median for m in membership.source_medians(g, q).collect()}
     assert len(got) == 36 and all(np.isclose(got[i, f"s{k}"], np.median(x[k::4] @ u[i])) for i in range(9) for k in range(4))
+
+
+def test_the_strongest_are_found_in_parts_of_queries(spark, monkeypatch):
+    """Ties, repeated samples and queries, a source and a sample without a name, and what is not a number, against all scores; no row leaves a task for a score."""
+    monkeypatch.setattr(membership, "KEPT", 14)
+    monkeypatch.setattr(membership, "TILE", 40)
+    monkeypatch.setattr(membership, "BLOCK_ROWS", 7)
+    r = np.random.default_rng(6)
+    x = np.vstack([r.integers(-2, 3, (40, 3)) / 2, np.tile([[1.0, -0.5, 0.5]], (30, 1)), r.normal(size=(20, 3)), [[np.nan, 0, 0], [np.inf, 0, 0]]])
+    rows = [(i, None if i % 9 == 0 else f"s{i % 4}", v.tolist()) for i, v in enumerate(x)]
+    rows = [rows[k] for k in r.permutation(len(rows))] + [rows[3], rows[80], (None, "s9", [1.0, -0.5, 0.5])]
+    u = np.vstack([r.integers(-2, 3, (8, 3)), r.normal(size=(4, 3)), np.ones((1, 3))])
+    asked = [(i, v.tolist()) for i, v in enumerate(u)]
+    asked.append(asked[9])
+    g = spark.createDataFrame(rows, "sample_index long, source_id string, vec array<double>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, vec array<double>").repartition(2)
+    for k in (1, 7, 33, 500):
+        want = {}
+        for i in range(len(u)):
+            with np.errstate(invalid="ignore"):
+                scored = [(abs(float(np.dot(v, u[i]))), s, name) for s, name, v in rows] * (2 if i == 9 else 1)
+            key = lambda t: (not np.isnan(t[0]), -round(t[0], 9) if not np.isnan(t[0]) else 0.0, t[1] is None, t[1] or 0)
+            for value, _, name in sorted(scored, key=key)[:k]:
+                n, mass = want.get((i, name), (0, 0.0))
+                want[i, name] = (n + 1, mass + value)
+        got = {(m.query_id, m.source_id): (m.n, m.mass) for m in membership.strongest_by_source(g, q, k).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[w][0] == want[w][0] and np.isclose(got[w][1], want[w][1], equal_nan=True) for w in want)
+
+
+def test_shuffled_vectors_do_not_grow_with_the_strongest(spark):
+    """Rows that meet in the shuffle of ``attrib_block`` are blocks of vectors and queries: as many for any k."""
+    r = np.random.default_rng(7)
+    x = r.normal(size=(600, 4))
+    g = spark.createDataFrame([(i, f"s{i % 4}", v.tolist()) for i, v in enumerate(x)], "sample_index long, source_id string, vec array<double>").repartition(3)
+    q = g.filter("sample_index < 12").selectExpr("sample_index AS query_id", "vec")
+    blocks = stratified.block_magnitudes(q, {f"s{i}": (i, 1) for i in range(4)})
+
+    def moved(k):
+        df = stratified.attrib_block(g, q, stratified.priors(g), blocks, 600, k)
+        assert len(df.collect()) == 48
+        plan, nodes = df._jdf.queryExecution().executedPlan().finalPhysicalPlan(), []
+        visit = [plan]
+        while visit:
+            at = visit.pop()
+            if at.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage"):
+                at = at.plan()
+            if at.nodeName() == "Exchange":
+                nodes.append(at.metrics().apply("shuffleRecordsWritten").value())
+            children = at.children()
+            visit += [children.apply(i) for i in range(children.size())]
+        return sum(nodes)
+
+    assert moved(5) > 0 and moved(300) < 1.5 * moved(5)
