@@ -159,3 +159,35 @@ def test_two_layer_gradients_and_descent(spark):
         w1, b1, w2, b2 = w1 - 0.1 * x.T @ down, b1 - 0.1 * down.sum(0), w2 - 0.1 * h.T @ e, b2 - 0.1 * e.sum()
     for a, b in zip(moved, (w1, b1, w2, b2), strict=True):
         np.testing.assert_allclose(a, b)
+
+
+def exchanged(df) -> int:
+    """Rows that went through a shuffle when ``df`` was collected."""
+    visit, n = [df._jdf.queryExecution().executedPlan().finalPhysicalPlan()], 0
+    while visit:
+        at = visit.pop()
+        if at.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage"):
+            at = at.plan()
+        if at.nodeName() == "Exchange":
+            n += at.metrics().apply("shuffleRecordsWritten").value()
+        children = at.children()
+        visit += [children.apply(i) for i in range(children.size())]
+    return n
+
+
+def test_queries_carry_their_source_into_the_product(spark):
+    """Signs are those of a join of all scores with the queries' sources, of which a query may have two or none; no score is shuffled for it."""
+    x = rng.normal(size=(300, 4))
+    rows = [(i, None if i % 11 == 0 else f"s{i % 3}", v.tolist()) for i, v in enumerate(x)]
+    g = spark.createDataFrame(rows, "sample_index long, source_id string, vec array<double>").repartition(3)
+    own = [(0, "s0"), (1, None), (2, "s2"), (2, "s1"), (3, "other")]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the sources were a large table
+    try:
+        df = attribution.label_aware_scores(g, asked(spark, x[:5]), spark.createDataFrame(own, "query_id long, source_id string"))
+        got = sorted((r.query_id, r.sample_index, round(r.score, 9)) for r in df.collect())
+        moved = exchanged(df)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    want = sorted((q, i, round(float(x[i] @ x[q]) * (1 if s is not None and s == name else -1), 9)) for q, name in own for i, s, _ in rows)
+    assert got == want and moved < 600
