@@ -8,7 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector_sums import as_matrix
+from ..functions.vector_sums import as_lists, as_matrix, vector_sums
+from .blocks import block_scores
 
 #: Scores that a task holds: 8 bytes each.
 CELLS = 48 << 20
@@ -24,6 +25,43 @@ def array_ranks(values: Column) -> Column:
     return F.transform(values, lambda x: (below(x) + (F.size(F.filter(values, lambda y: y == x)) + 1) / 2.0).cast("float"))
 
 
+def subset_sums(samples: DataFrame) -> DataFrame:
+    """(subset, n, total): how many samples each subset has, and the sum of their vectors. ``samples`` is (subsets, vec), subsets being whole numbers; a
+    vector is added to all of its subsets inside its task, so no row is made for a sample and a subset."""
+
+    def partial(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x, lists = as_matrix(batch.column(1)), batch.column(0)
+            row = np.repeat(np.arange(len(x)), lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            ids, code = np.unique(lists.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+            total = np.zeros((len(ids), x.shape[1]))
+            if np.isfinite(x).all():
+                step = max(1, TILE // max(1, len(ids)))
+                for lo in range(0, len(x), step):
+                    own = slice(*np.searchsorted(row, (lo, lo + step)))
+                    times = np.zeros((len(ids), len(x[lo : lo + step])))
+                    np.add.at(times, (code[own], row[own] - lo), 1.0)
+                    total += times @ x[lo : lo + step]
+            else:  # nothing times infinity is not nothing: only a sample's own subsets have it
+                np.add.at(total, code, x[row])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(np.bincount(code, minlength=len(ids)), pa.int64()), as_lists(total)], ["subset", "_times", "vec"])
+
+    parts = samples.select(F.col("subsets").cast("array<long>"), F.col("vec").cast("array<double>")).mapInArrow(partial, "subset long, _times long, vec array<double>")
+    both = parts.select("subset", F.concat(F.array(F.col("_times").cast("double")), "vec").alias("vec"))
+    sums = vector_sums(both, ["subset"], "vec")
+    return sums.select("subset", F.col("total")[0].cast("long").alias("n"), F.slice("total", 2, F.size("total") - 1).alias("total"))
+
+
+def subset_outcomes(samples: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, subset, n, score): how many scores the samples of each subset (``subset_sums``) have with each query, and their sum. A sum of inner products is the
+    product with the sum of the vectors: no score of a single sample is made. A query that was asked twice has all of its scores twice."""
+    sums = subset_sums(samples)
+    made = block_scores(sums.select("subset", F.col("n").cast("string").alias("n"), F.col("total").alias("vec")), queries, ("subset", "n"))
+    return made.groupBy("query_id", "subset").agg(F.sum(F.col("n").cast("long")).alias("n"), F.sum("score").alias("score"), F.count("*").alias("times"))
+
+
 def half_up(x: np.ndarray, digits: int = 9) -> np.ndarray:
     unit = 10.0**digits
     return np.copysign(np.floor(np.abs(x) * unit + 0.5) / unit, x) + 0.0

@@ -88,3 +88,45 @@ def test_shuffled_vectors_do_not_grow_with_the_strongest(spark):
         return sum(nodes)
 
     assert moved(5) > 0 and moved(300) < 1.5 * moved(5)
+
+
+def test_subsets_are_added_up_before_they_meet_the_queries(spark):
+    """Sums against NumPy: a sample of no subset, of one twice, of null ones, vectors that are not finite (their own subsets alone have that), a query asked twice."""
+    r = np.random.default_rng(8)
+    x = np.vstack([r.normal(size=(40, 3)), [[np.inf, 0, 1], [0, np.nan, 1]]])
+    subsets = [sorted(set(r.integers(0, 6, 3).tolist())) for _ in range(40)] + [[7, 1], [8]]
+    subsets[3], subsets[4], subsets[5] = [], None, [2, 2]
+    for finite in (True, False):
+        n = 40 if finite else 42
+        samples = spark.createDataFrame([(subsets[i], x[i].tolist()) for i in range(n)], "subsets array<long>, vec array<double>").repartition(3)
+        times = np.array([[(subsets[i] or []).count(k) for i in range(n)] for k in range(9)])
+        got = {s.subset: s for s in membership.subset_sums(samples).collect()}
+        assert set(got) == set(np.flatnonzero(times.sum(1)))
+        u = r.normal(size=(2, 3))
+        asked = spark.createDataFrame([(0, u[0].tolist()), (1, u[1].tolist()), (1, u[0].tolist())], "query_id long, vec array<double>")
+        scores = {(s.query_id, s.subset): s for s in membership.subset_outcomes(samples, asked).collect()}
+        for k in got:
+            own = [i for i in range(n) for _ in range(times[k, i])]
+            assert got[k].n == len(own)
+            np.testing.assert_allclose(got[k].total, x[own].sum(0))
+            assert [scores[q, k].n for q in (0, 1)] == [len(own), 2 * len(own)] and scores[1, k].times == 2
+            np.testing.assert_allclose([scores[q, k].score for q in (0, 1)], [(x[own] @ u[0]).sum(), (x[own] @ (u[0] + u[1])).sum()])
+
+
+def test_no_row_is_made_for_a_sample_a_query_and_a_subset(spark):
+    from headwater import catalogue
+
+    from .conftest import SMALL
+
+    df = catalogue.queries()["lds_spearman"](spark, SMALL)
+    assert len(df.collect()) > 1
+    visit, made = [df._jdf.queryExecution().executedPlan().finalPhysicalPlan()], 0
+    while visit:
+        at = visit.pop()
+        if at.nodeName() in ("ShuffleQueryStage", "BroadcastQueryStage"):
+            at = at.plan()
+        if at.nodeName() == "Generate":
+            made += at.metrics().apply("numOutputRows").value()
+        children = at.children()
+        visit += [children.apply(i) for i in range(children.size())]
+    assert 0 < made <= 40 * spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
