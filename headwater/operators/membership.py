@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector_sums import as_lists, as_matrix, vector_sums
-from .blocks import block_scores
+from ..scratch import stored
+from .blocks import block_scores, few_blocks, packed, paired
 
 #: Scores that a task holds: 8 bytes each.
 CELLS = 48 << 20
@@ -17,6 +18,10 @@ BLOCK_ROWS = 4096
 #: Strongest scores that a task keeps, as many again while it looks for them: 24 bytes each.
 KEPT = 2 << 20
 TILE = 1 << 20  # scores of a product, of one row at least
+PIECE = 1 << 17  # the same where several passes over them follow
+#: Bins that a pass over all scores counts between a median's bounds, scores between bounds that need no further pass, and passes at most.
+BINS, FEW, ROUNDS = 64, 256, 5
+HOLD = 256 << 20  # bytes of counts in a task, which go out in parts beyond it
 
 
 def array_ranks(values: Column) -> Column:
@@ -139,61 +144,223 @@ def membership_lds(samples: DataFrame, queries: DataFrame) -> DataFrame:
     return dealt.mapInArrow(run, "query_id long, rho double")
 
 
-def source_medians(gradients: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, source, median) of the scores of each query by source, linear between neighbours. As in ``membership_lds`` queries are dealt to parts,
-    and a task holds the scores of one part, ``CELLS`` at most (of one query at least): no score is shuffled."""
-    spark = gradients.sparkSession
-    parts = max(-(-gradients.count() * queries.count() // CELLS), spark.sparkContext.defaultParallelism)
-
-    def packed(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, BLOCK_ROWS):
-                names, vec = batch.column(0).slice(lo, BLOCK_ROWS), batch.column(1).slice(lo, BLOCK_ROWS).flatten()
-                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array([0, len(c)], pa.int32()), c) for c in (names, vec)], ["names", "vec"])
-
-    kind = gradients.schema["vec"].dataType.simpleString()
-    blocks = gradients.select("source_id", "vec").mapInArrow(packed, f"names array<string>, vec {kind}")
-    rows = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(1).alias("step"), F.lit(None).cast("long").alias("query_id"), "names", "vec")
-    part_of = F.pmod(F.xxhash64("query_id"), F.lit(parts)).cast("int").alias("part")
-    asked = queries.select(part_of, F.lit(0).alias("step"), "query_id", F.lit(None).cast("array<string>").alias("names"), F.col("vec").cast(kind).alias("vec"))
-    dealt = asked.unionByName(rows).repartition(parts, "part").sortWithinPartitions("part", "step")
-
-    def run(batches):
-        part, ids, u, scores, names = None, [], [], [], []
-
-        def out():
-            coded = pa.concat_arrays(names).dictionary_encode(null_encoding="encode")
+def _by_source(batches):
+    """(key, ids, names, bounds, at, source, s) of products of some queries of a block, from ``at`` on, with rows of one source, ``PIECE`` cells or one query at most;
+    bounds are what the block's queries carry behind their vectors, key tells the block."""
+    for batch in batches:
+        col = {n: batch.column(n) for n in batch.schema.names}
+        for k in range(batch.num_rows):
+            ids = col["query_id"][k].values.to_numpy()
+            names = col["names"][k].values[0].as_py() if "names" in col else []
+            coded = col["source_id"][k].values.dictionary_encode(null_encoding="encode")
             code = coded.indices.to_numpy(zero_copy_only=False)
-            found = []
-            for q in sorted(set(ids)):
-                own = [k for k, i in enumerate(ids) if i == q]
-                x = np.stack([np.concatenate([s[:, k] for s in scores]) for k in own])
-                for k, name in enumerate(coded.dictionary.to_pylist()):
-                    v = x[:, code == k].ravel()
-                    low, high = (len(v) - 1) // 2, len(v) // 2
-                    v.partition((low, high))
-                    found.append((q, name, float(v[low] + (v[high] - v[low]) * 0.5) if high > low else float(v[low])))
-            columns = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.float64()), strict=True)], ["query_id", "source", "median"])
+            x = col["x"][k].values.to_numpy().reshape(len(code), -1)
+            m = col["m"][k].values.to_numpy().reshape(len(ids), -1)
+            dim = m.shape[1] - 2 * len(names)
+            if x.shape[1] != dim:
+                raise ValueError(f"vectors have {x.shape[1]} elements, queries {dim}")
+            u, bounds, key = np.ascontiguousarray(m[:, :dim]), m[:, dim:], ids.tobytes()
+            order = np.argsort(code, kind="stable")
+            ends = np.searchsorted(code[order], np.arange(len(coded.dictionary) + 1))
+            for j, source in enumerate(coded.dictionary.to_pylist()):
+                for first in range(ends[j], ends[j + 1], BLOCK_ROWS):
+                    own = x[order[first : min(first + BLOCK_ROWS, ends[j + 1])]].T
+                    few = max(1, PIECE // own.shape[1])
+                    for at in range(0, len(ids), few):
+                        with np.errstate(invalid="ignore", over="ignore"):
+                            s = u[at : at + few] @ own
+                        yield key, ids, names, bounds, at, source, s
+
+
+def _spread(batches):
+    """(query_id, source, neg, fin, pos, nan, mn, mx, total, squares): how many scores are which kind of number, and what the finite ones are."""
+    held: dict[tuple, tuple] = {}
+    kinds = ["neg", "fin", "pos", "nan"]
+
+    def out():
+        for (_, source), (ids, n, v) in held.items():
+            columns = [pa.array(ids), pa.array([source] * len(ids), pa.string()), *map(pa.array, n), *map(pa.array, v)]
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "source", *kinds, "mn", "mx", "total", "squares"])
+
+    for key, ids, _, _, at, source, s in _by_source(batches):
+        if (key, source) not in held:
+            if sum(96 * len(h[0]) for h in held.values()) > HOLD:
+                yield from out()
+                held = {}
+            held[key, source] = ids, np.zeros((4, len(ids)), np.int64), np.stack([np.full(len(ids), w) for w in (np.inf, -np.inf, 0.0, 0.0)])
+        _, n, v = held[key, source]
+        own = slice(at, at + len(s))
+        low, high = s.min(1), s.max(1)
+        if np.isfinite(low).all() and np.isfinite(high).all():
+            n[1, own] += s.shape[1]
+        else:
+            finite = np.isfinite(s)
+            n[:, own] += np.stack([(s == -np.inf).sum(1), finite.sum(1), (s == np.inf).sum(1), np.isnan(s).sum(1)])
+            low, high, s = np.where(finite, s, np.inf).min(1), np.where(finite, s, -np.inf).max(1), np.where(finite, s, 0.0)
+        v[0, own], v[1, own] = np.minimum(v[0, own], low), np.maximum(v[1, own], high)
+        with np.errstate(over="ignore", invalid="ignore"):
+            v[2, own] += s.sum(1)
+            v[3, own] += np.einsum("ij,ij->i", s, s)
+    yield from out()
+
+
+def _unit(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Bins in a unit between bounds; a bit less, so that the upper bound is in the last bin. 0 where they cannot be divided."""
+    with np.errstate(divide="ignore", over="ignore", invalid="ignore"):
+        unit = BINS / (hi - lo) * (1 - 1e-12)
+    return np.where(np.isfinite(unit) & (hi > lo), unit, 0.0)
+
+
+def _counted(batches):
+    """(query_id, v): for each source of the block how many scores are below the bounds, in each bin between them, and above."""
+    held: dict[bytes, tuple] = {}
+    width = BINS + 2
+
+    def out():
+        for ids, n, _ in held.values():
+            for lo in range(0, len(ids), 1024):
+                yield pa.RecordBatch.from_arrays([pa.array(ids[lo : lo + 1024]), as_lists(n[lo : lo + 1024].reshape(len(ids[lo : lo + 1024]), -1).astype(np.float64))], ["query_id", "v"])
+
+    for key, ids, names, bounds, at, source, s in _by_source(batches):
+        if key not in held:
+            if sum(h[1].nbytes for h in held.values()) > HOLD:
+                yield from out()
+                held = {}
+            held[key] = ids, np.zeros((len(ids), len(names), width), np.int32), _unit(bounds[:, : len(names)], bounds[:, len(names) :])
+        _, n, unit = held[key]
+        k, own = names.index(source), slice(at, at + len(s))
+        s -= bounds[own, k, None]
+        s *= unit[own, k, None]
+        s += 1.0
+        np.fmax(np.fmin(s, BINS + 1.0, out=s), 0.0, out=s)  # what is not a number counts as above
+        s += (np.arange(len(s)) * width)[:, None]
+        n[own, k] += np.bincount(s.astype(np.int64).ravel(), minlength=len(s) * width).reshape(len(s), width).astype(np.int32)
+    yield from out()
+
+
+def _narrowed(batches):
+    """The bounds around the bin that has the rank, and whether that bin still has more than ``FEW`` scores."""
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        lo, hi, rank, active, mn, mx, slack = (as_matrix(batch.column(c)) for c in ("lo", "hi", "rank", "active", "mn", "mx", "slack"))
+        n = as_matrix(batch.column("total")).reshape(*lo.shape, BINS + 2)
+        unit = _unit(lo, hi)
+        at = np.minimum((np.cumsum(n, 2) <= rank[:, :, None]).sum(2), BINS + 1)
+        inside = np.take_along_axis(n, at[:, :, None], 2)[:, :, 0]
+        step = np.divide(1.0, unit, out=np.zeros_like(unit), where=unit > 0)
+        low = np.where(at == 0, mn, np.where(at > BINS, hi, lo + (at - 1) * step) - slack)
+        high = np.where(at > BINS, mx, np.where(at == 0, lo, lo + at * step) + slack)
+        go = (active > 0) & (unit > 0)
+        low, high = np.where(go, np.maximum(low, mn), lo), np.where(go, np.minimum(high, mx), hi)
+        go &= (inside > FEW) & (high > low)
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("names"), *map(as_lists, (low, high, rank, go.astype(np.float64), mn, mx, slack))], ["query_id", "names", "lo", "hi", "rank", "active", "mn", "mx", "slack"])
+
+
+def _inside(batches):
+    """(query_id, source, below, above, v, times): how many scores are below the bounds, the least above them, and the distinct ones between with their numbers."""
+    held: dict[tuple, list] = {}
+    size = 0
+
+    def out():
+        for (_, source), (ids, below, above, found) in held.items():
+            at, v = (np.concatenate([f[c] for f in found]) if found else np.zeros(0) for c in (0, 1))
+            by = np.lexsort((v, at))
+            at, v = at[by].astype(np.int64), v[by]
+            first = np.flatnonzero(np.append(True, (np.diff(at) != 0) | (v[1:] != v[:-1]))[: len(v)])
+            times = np.diff(np.append(first, len(v)))
+            ends = pa.array(np.append(0, np.cumsum(np.bincount(at[first], minlength=len(ids)))), pa.int32())
+            lists = (pa.ListArray.from_arrays(ends, pa.array(c)) for c in (v[first], times.astype(np.int64)))
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([source] * len(ids), pa.string()), pa.array(below), pa.array(above), *lists], ["query_id", "source", "below", "above", "v", "times"])
+
+    for key, ids, names, bounds, at, source, s in _by_source(batches):
+        if (key, source) not in held:
+            held[key, source] = [ids, np.zeros(len(ids), np.int64), np.full(len(ids), np.inf), []]
+            size += 24 * len(ids)
+        _, below, above, found = held[key, source]
+        k, own = names.index(source), slice(at, at + len(s))
+        lo, hi = bounds[own, k, None], bounds[own, len(names) + k, None]
+        over, under = s > hi, s < lo
+        below[own] += np.count_nonzero(under, axis=1)
+        above[own] = np.minimum(above[own], np.where(over, s, np.inf).min(1))
+        i, j = np.nonzero(~(over | under | np.isnan(s)))
+        found.append(((i + at).astype(np.int32), s[i, j]))
+        size += 12 * len(i)
+        if size > HOLD:
+            yield from out()
+            held, size = {}, 0
+    yield from out()
+
+
+def _middle(batches):
+    """(query_id, source, median) from the counts of ``_spread`` and what ``_inside`` has left of a query's scores with a source."""
+    for batch in batches:
+        found = []
+        for r in batch.to_pylist():
+            v, times = np.array(r["v"]), np.array(r["times"], np.int64)
+            by = np.argsort(v)
+            v, upto = v[by], r["below"] + np.cumsum(times[by])
+            least, most = r["neg"], r["neg"] + r["fin"]
+
+            def place(rank, r=r, v=v, upto=upto, least=least, most=most):
+                if not least <= rank < most:
+                    return -np.inf if rank < least else np.inf if rank < most + r["pos"] else np.nan
+                at = int(np.searchsorted(upto, rank, "right"))
+                if rank < r["below"] or (at == len(v) and rank > (upto[-1] if len(v) else r["below"])):
+                    raise RuntimeError("bounds without the median: a product changed between two passes")
+                return v[at] if at < len(v) else r["above"]
+
+            n = most + r["pos"] + r["nan"]
+            low, high = place((n - 1) // 2), place(n // 2)
+            with np.errstate(invalid="ignore"):
+                found.append(float(low + (high - low) * 0.5) if n % 2 == 0 else float(low))
+        yield pa.RecordBatch.from_arrays([batch.column("query_id"), batch.column("source"), pa.array(found, pa.float64())], ["query_id", "source", "median"])
 
-        for batch in batches:
-            for k in range(batch.num_rows):
-                p, step, query_id = (batch.column(c)[k].as_py() for c in range(3))
-                vec = batch.column(4)[k].values.to_numpy().astype(np.float64)
-                if p != part:
-                    if scores and ids:
-                        yield out()
-                    part, ids, u, scores, names = p, [], [], [], []
-                if step == 0:
-                    ids.append(query_id)
-                    u.append(vec)
-                elif ids:
-                    scores.append(vec.reshape(-1, len(u[0])) @ np.stack(u).T)
-                    names.append(batch.column(3)[k].values)
-        if scores and ids:
-            yield out()
 
-    return dealt.mapInArrow(run, "query_id long, source string, median double")
+def source_medians(gradients: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, source, median) of the scores of each query by source, linear between neighbours; not a number is larger than all numbers.
+
+    Products are made again in each pass, and no vector is shuffled and no score but those next to a median. A first pass takes each source's mean score, deviation and
+    range; the median is within one deviation of the mean. Passes then count ``BINS`` bins between bounds and go on inside the one that has the middle rank,
+    for queries that have more than ``FEW`` scores between bounds of a source. The last pass counts what is below and gives out the distinct scores between
+    the bounds, with their numbers. Counts decide, so bounds that missed the rank would be widened to the range. A task holds counts of its queries, ``HOLD`` bytes.
+    """
+    rows = packed(gradients.select("source_id", "vec"), ["source_id"]).withColumnRenamed("m", "x")
+    queries = queries.select("query_id", F.col("vec").cast("array<double>").alias("vec"))
+
+    def met(asked: DataFrame, names: tuple[str, ...]) -> DataFrame:
+        return paired(rows, *few_blocks(asked, names=names))
+
+    kinds = ["neg", "fin", "pos", "nan"]
+    spread = met(queries, ("query_id",)).mapInArrow(_spread, "query_id long, source string, neg long, fin long, pos long, nan long, mn double, mx double, total double, squares double")
+    sums = [F.sum(c).alias(c) for c in (*kinds, "total", "squares")]
+    per = stored(spread.groupBy("query_id", "source").agg(*sums, F.min("mn").alias("mn"), F.max("mx").alias("mx")), "spread")
+    at = F.floor((F.col("neg") + F.col("fin") + F.col("pos") + F.col("nan") - 1) / 2)  # the lower middle
+    mean = F.try_divide("total", "fin")
+    off = F.sqrt(F.greatest(F.try_divide("squares", "fin") - mean * mean, F.lit(0.0)) + 1e-12 * F.try_divide("squares", "fin"))
+    few, known = F.col("fin") <= FEW, (at >= F.col("neg")) & (at < F.col("neg") + F.col("fin"))
+    bound = lambda own, other, near: F.when(F.col("fin") == 0, 0.0).when(at < F.col("neg"), F.col("mn")).when(~known, F.col("mx")).when(few | ~(off < 1e300), F.col(own)).otherwise(near)
+    named = {
+        "lo": bound("mn", "mx", F.greatest("mn", mean - off)), "hi": bound("mx", "mn", F.least("mx", mean + off)), "rank": at.cast("double"),
+        "active": F.when(known & ~few & (F.col("mn") < F.col("mx")), 1.0).otherwise(0.0), "mn": F.col("mn"), "mx": F.col("mx"), "slack": F.when(F.col("fin") == 0, 0.0).otherwise(1e-12 * F.greatest(F.abs("mn"), F.abs("mx"))),
+    }
+    by_query = per.select("query_id", F.struct("source", *(c.alias(n) for n, c in named.items())).alias("b")).groupBy("query_id").agg(F.sort_array(F.collect_list("b")).alias("b"))
+    state = stored(by_query.select("query_id", F.col("b.source").alias("names"), *(f"b.{n}" for n in named)), "bounds")
+    schema = "query_id long, names array<string>, " + ", ".join(f"{n} array<double>" for n in named)
+    for _ in range(ROUNDS):
+        wide = F.exists("active", lambda a: a > 0)
+        more = state.filter(wide)
+        if more.isEmpty():
+            break
+        asked = more.join(queries, "query_id").select("query_id", "names", F.concat("vec", "lo", "hi").alias("vec"))
+        counts = vector_sums(met(asked, ("query_id", "names")).mapInArrow(_counted, "query_id long, v array<double>"), ["query_id"], "v")
+        state = stored(more.join(counts, "query_id").mapInArrow(_narrowed, schema).unionByName(state.filter(~wide)), "bounds")
+    ends = F.concat("vec", F.zip_with("lo", "slack", lambda v, s: v - s), F.zip_with("hi", "slack", lambda v, s: v + s))
+    last = state.join(queries, "query_id").select("query_id", "names", ends.alias("vec"))
+    found = met(last, ("query_id", "names")).mapInArrow(_inside, "query_id long, source string, below long, above double, v array<double>, times array<long>")
+    both = found.unionByName(per.select("query_id", "source", *kinds), allowMissingColumns=True).groupBy("query_id", "source")
+    lists = (F.flatten(F.collect_list(c)).alias(c) for c in ("v", "times"))
+    return both.agg(F.sum("below").alias("below"), F.min("above").alias("above"), *lists, *(F.sum(c).alias(c) for c in kinds)).mapInArrow(_middle, "query_id long, source string, median double")
 
 
 def _order(v: np.ndarray) -> np.ndarray:

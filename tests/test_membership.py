@@ -130,3 +130,31 @@ def test_no_row_is_made_for_a_sample_a_query_and_a_subset(spark):
         children = at.children()
         visit += [children.apply(i) for i in range(children.size())]
     assert 0 < made <= 40 * spark.read.parquet(f"{SMALL}/embeddings.parquet").count()
+
+
+def test_medians_are_narrowed_down_by_counts(spark, monkeypatch):
+    """Ties, one value alone, two far ends, a source without a name, what is not finite, and a query asked twice, against all scores; no row leaves a task for most of them."""
+    r = np.random.default_rng(9)
+    x = np.vstack([r.normal(size=(400, 3)), np.zeros((120, 3)), np.tile([[1e-9, 2.0, -1.0]], (90, 1)), r.choice([-1.0, 1.0], (100, 3)), 1e6 + r.normal(size=(101, 3))])
+    kind = [f"s{i % 2}" for i in range(400)] + [("s0", "zero", None)[i % 3] for i in range(120)] + ["one"] * 90 + ["ends"] * 100 + ["far"] * 101
+    odd = [(x[i] * 0 + v).tolist() for i, v in enumerate([np.inf, -np.inf, np.nan, np.inf])]
+    rows = [(i, k, v.tolist()) for i, (k, v) in enumerate(zip(kind, x, strict=True))] + [(900 + i, "s1" if i < 2 else "odd", v) for i, v in enumerate(odd)]
+    u = np.vstack([r.normal(size=(5, 3)), [[1.0, 1.0, 1.0]], [[0.5, 0, 0]]])
+    asked = [(i, v.tolist()) for i, v in enumerate(u)] + [(3, u[0].tolist())]
+    g = spark.createDataFrame([rows[k] for k in r.permutation(len(rows))], "sample_index long, source_id string, vec array<double>").repartition(3)
+    q = spark.createDataFrame(asked, "query_id long, vec array<double>").repartition(2)
+    want = {}
+    for i, v in asked:
+        for _, s, w in rows:
+            with np.errstate(invalid="ignore"):
+                want.setdefault((i, s), []).append(float(np.dot(w, v)))
+    with np.errstate(invalid="ignore"):
+        half = {k: (lambda v: v[(len(v) - 1) // 2] + (v[len(v) // 2] - v[(len(v) - 1) // 2]) * 0.5 if len(v) % 2 == 0 else v[len(v) // 2])(np.sort(v)) for k, v in want.items()}
+    for bins, few, rounds, hold in ((64, 256, 5, 256 << 20), (4, 3, 40, 256 << 20), (5, 10, 2, 100)):
+        for name, value in (("BINS", bins), ("FEW", few), ("ROUNDS", rounds), ("HOLD", hold), ("PIECE", 500)):
+            monkeypatch.setattr(membership, name, value)
+        got = {(m.query_id, m.source): m.median for m in membership.source_medians(g, q).collect()}
+        assert got.keys() == half.keys()
+        for k in got:
+            np.testing.assert_allclose(got[k], half[k], rtol=1e-9, atol=1e-12, err_msg=str(k))
+    assert membership.source_medians(g.filter("false"), q).count() == membership.source_medians(g, q.filter("false")).count() == 0
