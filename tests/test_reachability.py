@@ -6,6 +6,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from headwater.operators import compliance, graph, reachability
 
@@ -91,3 +92,37 @@ def test_report_of_an_untracked_node_is_none(spark, tmp_path):
     compliance.write_reports(reports, f"{tmp_path}/r")
     again = spark.read.json(f"{tmp_path}/r").first()
     assert (again.node, again.log_version, again.retention_days, again.operations[0].op_name) == (2, "1.0", 3650, "a")
+
+
+@pytest.mark.parametrize("name", [*graphs(), "operations of several inputs", "leaves of a root"])
+def test_counts_are_those_of_the_listed(spark, name, monkeypatch):
+    """Ancestors and touched operations of every node, against a plain search: cycles, operations of several inputs, ids that several outputs share, nodes without an edge."""
+    monkeypatch.setattr(reachability, "STITCH_ROWS", 4)
+    r = random.Random(5)
+    steps = graphs().get(name) or ([(1, i) for i in range(2, 9)] if name == "leaves of a root" else [])
+    ops = [(i // 2 if name == "tree" else i, [a], b) for i, (a, b) in enumerate(steps)]
+    if name == "operations of several inputs":
+        ops = [(i % 35, sorted(r.sample(range(i), min(i, r.randrange(5)))), i) for i in range(1, 50)] + [(100 + i, [r.randrange(i)] * 2, i) for i in range(5, 50, 7)] + [(200, [49, 3], 20)]
+    edges = spark.createDataFrame([(o, "a", a, b, ["s"]) for o, a, b in ops], "id long, op_name string, input_ids array<long>, output_id long, source_ids array<string>").repartition(3)
+    starts = sorted({x for _, a, b in ops for x in [*a, b]} | {77_777})
+    up = plain_search([(a, b) for _, inputs, b in ops for a in inputs], starts)
+    got = {c.start: (c.ancestor_count, c.n_operations) for c in compliance.counts(edges, spark.createDataFrame([(x,) for x in [*starts, starts[0]]], "start long")).collect()}
+    for x in starts:
+        path = {y for s, y in up if s == x} | {x}
+        assert got.pop(x) == (sum(s == x for s, _ in up), len({o for o, a, b in ops if a and path & {*a, b}})), x
+    assert not got
+
+
+def test_orders_whose_ids_pass_the_totals_are_reported(spark, tmp_path):
+    """With ten million orders and more their nodes are starts as well, and some have the id of a total: all equal SQL."""
+    from headwater import catalogue
+
+    from .conftest import SMALL, duck, same_rows
+
+    for t in ("region", "nation", "customer", "supplier", "orders"):
+        df = spark.read.parquet(f"{SMALL}/{t}.parquet")
+        df = df.withColumn("o_orderkey", F.col("o_orderkey") + 9_999_000) if t == "orders" else df
+        df.write.parquet(f"{tmp_path}/{t}.parquet")
+    con = duck(str(tmp_path))
+    for name in ("compliance_report", "compliance_edges"):
+        same_rows(catalogue.queries()[name](spark, str(tmp_path)), con, catalogue.oracle_sql()[name])
