@@ -158,3 +158,22 @@ def test_medians_are_narrowed_down_by_counts(spark, monkeypatch):
         for k in got:
             np.testing.assert_allclose(got[k], half[k], rtol=1e-9, atol=1e-12, err_msg=str(k))
     assert membership.source_medians(g.filter("false"), q).count() == membership.source_medians(g, q.filter("false")).count() == 0
+
+
+def test_no_vector_is_shuffled_for_a_median(spark, monkeypatch):
+    monkeypatch.setattr(membership, "CELLS", 3000)
+    r = np.random.default_rng(10)
+    g = spark.createDataFrame([(i, f"s{i % 2}", v.tolist()) for i, v in enumerate(r.normal(size=(2400, 64)))], "sample_index long, source_id string, vec array<double>").coalesce(2)
+    q = g.filter("sample_index < 20").selectExpr("sample_index AS query_id", "vec")
+    jvm, store = spark._jvm, spark.sparkContext._jsc.sc().statusStore()
+
+    def written():
+        stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+        return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()) if stages.apply(i).stageId() > last)
+
+    last = -1
+    spark.range(1).collect()
+    stages = store.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    last = max(stages.apply(i).stageId() for i in range(stages.size()))
+    assert len(membership.source_medians(g, q).collect()) == 40
+    assert 0 < written() < 2400 * 64 * 8 / 2
